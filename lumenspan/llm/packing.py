@@ -15,8 +15,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructField, StructType
 
 from .common import cut
 
@@ -100,18 +103,20 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
 
     Only documents of more than `capacity` ids are cut, into pieces of `capacity` of which the last may be shorter.
     """
-    kind = dict(docs.dtypes)[id_col]
+    schema = StructType([StructField("id", docs.schema[id_col].dataType), *StructType.fromDDL("piece int, start long, length long, ids_crc32 long")])
+    arrow = to_arrow_schema(schema)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = tokenizer(tokenizer_path)
         for batch in batches:
             rows = []
-            for i, text in zip(batch["id"], batch["body"], strict=True):
+            for k, text in enumerate(batch["body"].to_pylist()):
                 ids = np.append(words.ids(text or ""), np.uint32(end_id)).astype("<u4")
-                rows += [(i, k, s, len(p := ids[s : s + capacity]), zlib.crc32(p.tobytes())) for k, s in enumerate(range(0, len(ids), capacity))]
-            yield pd.DataFrame(rows, columns=["id", "piece", "start", "length", "ids_crc32"]).astype({"id": batch["id"].dtype})
+                rows += [(k, p, s, len(part := ids[s : s + capacity]), zlib.crc32(part.tobytes())) for p, s in enumerate(range(0, len(ids), capacity))]
+            at, *columns = np.array(rows, np.int64).reshape(-1, 5).T
+            yield pa.RecordBatch.from_arrays([batch["id"].take(pa.array(at)), *(pa.array(c).cast(f.type) for c, f in zip(columns, list(arrow)[1:], strict=True))], schema=arrow)
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("body")).mapInPandas(run, f"id {kind}, piece int, start long, length long, ids_crc32 long")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("body")).mapInArrow(run, schema)
 
 
 def best_fit(lengths: np.ndarray, capacity: int, most_docs: int, most_cost: int, rule: str = "norm", weights: tuple[float, float, float] = (1.0, 1.0, 1.0)) -> tuple[np.ndarray, np.ndarray]:
