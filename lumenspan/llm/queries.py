@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import read
 from .exact_dedup import exact_dedup
 from .fingerprints import fingerprint_with_next
+from .line_dedup import LINES, drop_repeated_lines
+from .mixing import mix_sources
 from .ngram_join import ngram_components
 from .packing import pack_documents
 
@@ -29,11 +32,19 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read(spark, sf_dir, "documents"), word_tokenizer())
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(read(spark, sf_dir, "documents"), F.array("source")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_with_next(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op3_exact_dedup, op5_best_fit_packing, op8_fingerprints)}
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drop_repeated_lines(read(spark, sf_dir, "documents")).drop("key")
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op3_exact_dedup, op5_best_fit_packing, op6_mixing, op8_fingerprints, op10_line_dedup)}
 
 ORACLES = {
     "op1_ngram_jaccard_join": r"""
@@ -44,9 +55,9 @@ ORACLES = {
                 ELSE [array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)] END) AS s FROM words
         ), sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
         shared AS (
-            SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS both FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2
+            SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS n_both FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2
         ), links AS (
-            SELECT x, y FROM shared JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE 100 * both >= 75 * (p.n + q.n - both)
+            SELECT x, y FROM shared JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE 100 * n_both >= 75 * (p.n + q.n - n_both)
         ), reached AS (
             SELECT doc_id, doc_id AS to_id FROM documents UNION SELECT r.doc_id, l.y FROM reached r JOIN links l ON l.x = r.to_id
         )
@@ -58,4 +69,21 @@ ORACLES = {
                doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
     """,
+    "op10_line_dedup": rf"""
+        WITH docs AS (
+            SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS body, text IS NULL AS absent FROM documents
+        ), split AS (
+            SELECT r, doc_id, regexp_extract_all(body, '{LINES}') AS u, list_transform(regexp_extract_all(body, '{LINES}'), lambda x: regexp_replace(x, '\s+$', '')) AS bare FROM docs WHERE body <> ''
+        ), starts AS (
+            SELECT r, doc_id, bare, unnest(range(0, greatest(len(bare) - 3, 0) + 1)) AS pos FROM split WHERE len(bare) > 0
+        ), windows AS (
+            SELECT r, doc_id, pos, array_to_string(bare[pos + 1:pos + 3], chr(10)) AS t FROM starts
+        ), later AS (
+            SELECT r, pos FROM windows WHERE length(t) >= 40 QUALIFY row_number() OVER (PARTITION BY t ORDER BY doc_id, r, pos) > 1
+        ), gone AS (SELECT r, list(DISTINCT pos + k) AS g FROM later, range(0, 3) AS s(k) GROUP BY r)
+        SELECT d.doc_id, CASE WHEN g.r IS NULL THEN CASE WHEN d.absent THEN NULL ELSE d.body END
+                 ELSE coalesce(array_to_string(list_filter(s.u, lambda x, i: NOT list_contains(g.g, i - 1)), ''), '') END AS text,
+               coalesce(len(s.u), 0)::INT AS n_lines, coalesce(len(list_filter(g.g, lambda x: x < len(s.u))), 0)::INT AS n_removed
+        FROM docs d LEFT JOIN split s USING (r) LEFT JOIN gone g USING (r)
+    """,
 }
