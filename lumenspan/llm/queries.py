@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import fold_of, read
 from .exact_dedup import exact_dedup
 from .fingerprints import fingerprint_with_next
+from .language_id import fit_language, identify_language
 from .line_dedup import LINES, drop_repeated_lines
 from .mixing import mix_sources
 from .ngram_join import ngram_components
 from .packing import pack_documents
+from .quality import fit_quality, score_quality
 
 
 def word_tokenizer() -> str:
@@ -24,6 +26,12 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(read(spark, sf_dir, "documents"))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    held = F.coalesce(fold_of("doc_id", 3) == 1, F.lit(False))
+    return identify_language(docs, fit_language(docs)).select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read(spark, sf_dir, "documents"))
 
@@ -40,11 +48,17 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_with_next(read(spark, sf_dir, "documents"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    held = F.coalesce(fold_of("doc_id", 5) == 0, F.lit(False))
+    return score_quality(docs, fit_quality(docs, read(spark, sf_dir, "labels"))).select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_repeated_lines(read(spark, sf_dir, "documents")).drop("key")
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op3_exact_dedup, op5_best_fit_packing, op6_mixing, op8_fingerprints, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_language_id, op3_exact_dedup, op5_best_fit_packing, op6_mixing, op8_fingerprints, op9_quality, op10_line_dedup)}
 
 ORACLES = {
     "op1_ngram_jaccard_join": r"""
