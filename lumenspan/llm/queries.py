@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from .common import fold_of, read
 from .exact_dedup import exact_dedup
 from .fingerprints import fingerprint_with_next
+from .html_text import extract_text
 from .language_id import fit_language, identify_language
 from .line_dedup import LINES, drop_repeated_lines
+from .lm_scoring import score_documents, train
 from .mixing import mix_sources
 from .ngram_join import ngram_components
 from .packing import pack_documents
@@ -36,6 +38,11 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read(spark, sf_dir, "documents"))
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = extract_text(read(spark, sf_dir, "pages").select("page_id", "url", "html"), to="text")
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read(spark, sf_dir, "documents"), word_tokenizer())
 
@@ -44,6 +51,11 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(read(spark, sf_dir, "documents"), F.array("source")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return score_documents(docs, train(docs))
+
+
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_with_next(read(spark, sf_dir, "documents"))
 
@@ -58,7 +70,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_repeated_lines(read(spark, sf_dir, "documents")).drop("key")
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_language_id, op3_exact_dedup, op5_best_fit_packing, op6_mixing, op8_fingerprints, op9_quality, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_language_id, op3_exact_dedup, op4_html_extraction, op5_best_fit_packing, op6_mixing, op7_lm_scoring, op8_fingerprints, op9_quality, op10_line_dedup)}
 
 ORACLES = {
     "op1_ngram_jaccard_join": r"""
