@@ -25,7 +25,7 @@ def word_tokenizer() -> str:
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_components(read(spark, sf_dir, "documents"))
+    return ngram_components(read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

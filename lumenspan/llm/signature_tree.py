@@ -12,20 +12,32 @@ from collections.abc import Iterator
 import numpy as np
 
 FANOUT = 8
+MOST_BITS = 1 << 14  # of a bitmap that travels
 PAIRS = 1 << 16  # node pairs looked at together
 
 
+def bitmap(tokens: np.ndarray, bits: int) -> np.ndarray:
+    """The tokens' marks in so many bits (a power of two, at least 64)."""
+    line = np.zeros(bits, bool)
+    line[(tokens & np.uint64(bits - 1)).astype(np.int64)] = True
+    return np.packbits(line).view(np.uint64)
+
+
+def width_for(size: int) -> int:
+    """Bits of a set's own bitmap: twice its size or more, up to MOST_BITS; sizes within a factor of two differ by one step."""
+    return int(min(MOST_BITS, max(64, 1 << (2 * size - 1).bit_length())))
+
+
+def fold(maps: np.ndarray) -> np.ndarray:
+    """The same sets' bitmaps in half the bits: a token's bit is its hash modulo the width."""
+    half = maps.shape[1] // 2
+    return maps[:, :half] | maps[:, half:]
+
+
 class SignatureTree:
-    def __init__(self, sets: list[np.ndarray], bits: int):
-        """Sets must be sorted hash arrays, none empty. Leaves are ordered by least hash, which brings alike sets together."""
-        self.order = np.array(sorted(range(len(sets)), key=lambda k: (int(sets[k][0]), len(sets[k]))), np.int64)
-        sizes = np.array([len(sets[k]) for k in self.order], np.int64)
-        marks = np.zeros((len(sets), bits // 8), np.uint8)
-        for row, k in enumerate(self.order):
-            line = np.zeros(bits, bool)
-            line[(sets[k] & np.uint64(bits - 1)).astype(np.int64)] = True
-            marks[row] = np.packbits(line)
-        maps = marks.view(np.uint64)
+    def __init__(self, maps: np.ndarray, sizes: np.ndarray, order: np.ndarray):
+        """maps: a bitmap of 64-bit words for each leaf; order: the set number of each leaf."""
+        self.order = order
         full = np.bitwise_count(maps).sum(axis=1, dtype=np.int64)
         #: Level by level from the leaves: bitmap, least and largest size, most tokens beyond the set bits of one leaf.
         self.levels = [(maps, sizes, sizes, sizes - full)]
@@ -35,6 +47,12 @@ class SignatureTree:
             maps = np.bitwise_or.reduceat(maps, cuts, axis=0)
             self.levels.append((maps, np.minimum.reduceat(low, cuts), np.maximum.reduceat(high, cuts), np.maximum.reduceat(slack, cuts)))
 
+    @classmethod
+    def of_sets(cls, sets: list[np.ndarray], bits: int) -> SignatureTree:
+        """Sets must be sorted hash arrays, none empty. Leaves are ordered by least hash, which brings alike sets together."""
+        order = np.array(sorted(range(len(sets)), key=lambda k: (int(sets[k][0]), len(sets[k]))), np.int64)
+        return cls(np.stack([bitmap(sets[k], bits) for k in order]), np.array([len(sets[k]) for k in order], np.int64), order)
+
     def owners(self, label: np.ndarray) -> list[np.ndarray]:
         """Level by level the label that all leaves of a node share, or -1."""
         out = [label[self.order]]
@@ -110,16 +128,10 @@ def link(sets: list[np.ndarray], need: int, side: np.ndarray | None = None) -> n
         return label
     trees = []
     for g in groups:
-        tree = SignatureTree([sets[k] for k in g], bits)
+        tree = SignatureTree.of_sets([sets[k] for k in g], bits)
         tree.order = g[tree.order]
         trees.append(tree)
-    a, b = trees[0], trees[-1]
-    depth = max(len(a.levels), len(b.levels))
-    for tree in (a, b):  # a shorter tree gets a chain of single nodes on top
-        while len(tree.levels) < depth:
-            maps, low, high, slack = tree.levels[-1]
-            zero = np.zeros(1, np.int64)
-            tree.levels.append((np.bitwise_or.reduceat(maps, zero, axis=0), np.minimum.reduceat(low, zero), np.maximum.reduceat(high, zero), np.maximum.reduceat(slack, zero)))
+    a, b = level_out(trees[0], trees[-1])
 
     def try_all(i: np.ndarray, j: np.ndarray) -> None:
         size = 32
@@ -138,3 +150,37 @@ def link(sets: list[np.ndarray], need: int, side: np.ndarray | None = None) -> n
         open_ = label[i] != label[j]
         try_all(i[open_], j[open_])
     return label
+
+
+def level_out(a: SignatureTree, b: SignatureTree) -> tuple[SignatureTree, SignatureTree]:
+    """Make both as deep: the shorter gets a chain of single nodes on top."""
+    depth = max(len(a.levels), len(b.levels))
+    for tree in (a, b):
+        while len(tree.levels) < depth:
+            maps, low, high, slack = tree.levels[-1]
+            zero = np.zeros(1, np.int64)
+            tree.levels.append((np.bitwise_or.reduceat(maps, zero, axis=0), np.minimum.reduceat(low, zero), np.maximum.reduceat(high, zero), np.maximum.reduceat(slack, zero)))
+    return a, b
+
+
+def may_link(maps: list[np.ndarray], sizes: np.ndarray, need: int) -> np.ndarray:
+    """Classes of sets that bitmaps (each of width_for its size) can't rule out to be linked, by trees of one width.
+
+    Linked sizes are within a factor of two, so only equal and neighbouring widths meet, the wider ones folded.
+    """
+    label = np.arange(len(maps))
+    widths = np.array([len(m) for m in maps])
+    trees: dict[int, SignatureTree] = {}
+    for width in np.unique(widths).tolist():
+        own = np.flatnonzero(widths == width)
+        own = own[np.lexsort((sizes[own], [int(maps[k][0]) for k in own]))]
+        trees[width] = tree = SignatureTree(np.stack([maps[k] for k in own]), sizes[own], own)
+        meet = [(tree, tree)]
+        if width // 2 in trees:
+            meet.append(level_out(trees[width // 2], SignatureTree(fold(tree.levels[0][0]), sizes[own], own)))
+        for a, b in meet:
+            for i, j in leaf_pairs(a, b, need, label):
+                for x, y in zip(i.tolist(), j.tolist(), strict=True):
+                    if label[x] != label[y]:
+                        label[label == max(label[x], label[y])] = min(label[x], label[y])
+    return label
