@@ -15,6 +15,7 @@ from .common import cut, text_of
 LONGEST = 16  # words of a line
 WINDOW = 3  # lines of a window
 #: The lines of a text, each with the white space that follows it; together they are the whole text.
+BLANK = " \t\n\x0b\f\r"
 LINES = rf"(?:\S*[^\s.!?][^\S\n]+){{0,{LONGEST - 1}}}\S+\s*|\s+"
 
 
@@ -24,27 +25,29 @@ def lines_of(text: Column) -> Column:
 
 def _windows(docs: DataFrame, least_chars: int) -> DataFrame:
     """id, key, at (first line), h1, h2: a row for each window, or one for a text of fewer lines."""
-    bare = docs.filter("body <> ''").select("id", "key", F.transform(lines_of(F.col("body")), lambda u: F.rtrim(F.regexp_replace(u, r"\s+$", ""))).alias("bare"))
+    bare = docs.filter("body <> ''").select("id", "key", F.transform(lines_of(F.col("body")), lambda u: F.rtrim(u, F.lit(BLANK))).alias("bare"))
     n = F.size("bare")
-    at = F.explode(F.sequence(F.lit(0), F.greatest(n - WINDOW, F.lit(0)))).alias("at")
+    # Not explode: the optimizer would derive a filter from it and cut every text into lines once more.
+    at = F.explode_outer(F.sequence(F.lit(0), F.greatest(n - WINDOW, F.lit(0)))).alias("at")
     text = F.array_join(F.slice("bare", F.col("at") + 1, WINDOW), "\n")
-    placed = bare.filter(n > 0).select("id", "key", "bare", at).select("id", "key", "at", text.alias("t"))
+    placed = bare.select("id", "key", "bare", at).select("id", "key", "at", text.alias("t"))
     return placed.filter(F.length("t") >= least_chars).select("id", "key", "at", F.xxhash64("t").alias("h1"), F.hash("t").alias("h2"))
 
 
-def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_chars: int = 40) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_chars: int = 40, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per input row: id, key (hash of the text it had), text (what stays), n_lines, n_removed.
 
     The first occurrence of a window is the one with the least (id, text hash, line); null ids come first. A window of
     fewer than least_chars characters is never a repeat. A text of fewer than three lines is one window. Texts without
     repeats stay as they are to the byte; an empty or null text stays empty (null stays null) with no lines. Rows that
-    repeat id and text are one document and get the same result. Other columns are not read, whatever their names.
+    repeat id and text are one document and get the same result. Of other columns those named in
+    `carry` come along as the fields of a struct `carried`, whatever their names; the rest is not read.
 
     Hashes are counted with combining before the shuffle; the joins are equi-joins of written tables, which adaptive
     execution can split at a hot window. No group is gathered but the covered lines of one document.
     """
-    base = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_of(text_col)).alias("key"), text_of(text_col).alias("body"), F.col(text_col).isNull().alias("absent"))
-    windows = _windows(base, least_chars)
+    base = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_of(text_col)).alias("key"), text_of(text_col).alias("body"), F.col(text_col).isNull().alias("absent"), F.struct(*[F.col(c) for c in carry] or [F.lit(0)]).alias("carried"))
+    windows = cut(_windows(base, least_chars), "windows")
     again = cut(windows.groupBy("h1").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h1"), "repeated")
     places = cut(windows.join(again, "h1").dropDuplicates(["id", "key", "at"]), "places")
     place = F.struct("id", "key", "at")
@@ -52,7 +55,7 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     later = places.join(first, ["h1", "h2"]).filter(place > F.col("first"))
     covered = later.groupBy("id", "key").agg(F.collect_set("at").alias("starts"))
     same = base["id"].eqNullSafe(covered["id"]) & (base["key"] == covered["key"])
-    joined = base.join(covered, same, "left").select(base["id"], base["key"], "body", "absent", "starts")
+    joined = base.join(covered, same, "left").select(base["id"], base["key"], "body", "absent", "starts", "carried")
     lines = lines_of(F.col("body"))
     # A line goes if a later occurrence starts at it or at one of the lines before it.
     gone = lambda i: F.array_contains(F.col("gone"), i)
@@ -62,5 +65,5 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     count = F.when(F.col("body") == "", 0).otherwise(F.regexp_count("body", F.lit(LINES)))
     removed = F.size(F.filter("gone", lambda i: i < F.size("lines")))
     return found.select(
-        F.col("id").alias(id_col), "key", F.when(F.col("starts").isNotNull(), kept).when(~F.col("absent"), F.col("body")).alias("text"), count.alias("n_lines"), F.when(F.col("starts").isNull(), 0).otherwise(removed).alias("n_removed")
+        F.col("id").alias(id_col), "key", *(["carried"] if carry else []), F.when(F.col("starts").isNotNull(), kept).when(~F.col("absent"), F.col("body")).alias("text"), count.alias("n_lines"), F.when(F.col("starts").isNull(), 0).otherwise(removed).alias("n_removed")
     )
