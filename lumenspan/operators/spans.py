@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.attributes import text_of
 from .sketch import quantiles
 from .steps import step_of
 
@@ -30,6 +31,21 @@ def ranked(groups: DataFrame, keys: list[str], by: str = "total_ns", limit: int
     return groups.orderBy(measure.desc() if highest else measure.asc(), *[F.asc_nulls_first(k) for k in keys]).limit(limit)
 
 
+def ordered(spans: DataFrame, order: str, limit: int) -> DataFrame:
+    """A page in one of four orders; equal durations and starts break ties newest first."""
+    first = {"newest": [], "oldest": [F.asc("started_at")], "longest": [F.desc("duration_ns")], "shortest": [F.asc("duration_ns")]}[order]
+    return spans.orderBy(*first, F.desc("started_at"), F.desc("row_id")).limit(limit)
+
+
+def meaning() -> list[Column]:
+    """What a span is about, http or database, and its title, from new and old attribute names."""
+    text = lambda *keys: F.coalesce(*[text_of(F.try_element_at("attributes", F.lit(k))) for k in keys])
+    method, route = text("http.request.method", "http.method"), text("http.route", "url.path", "http.target")
+    system = text("db.system.name", "db.system")
+    kind = F.when(method.isNotNull(), "http").when(system.isNotNull(), "database")
+    return [kind.alias("meaning"), F.when(method.isNotNull(), F.concat_ws(" ", method, route)).otherwise(system).alias("title")]
+
+
 def services(spans: DataFrame, logs: DataFrame) -> DataFrame:
     """Per service: HTTP requests with their errors and percentiles, all spans, logs, error logs."""
     http = spans.filter((F.col("kind") == 2) & F.map_contains_key("attributes", F.lit("http.request.method")))
@@ -44,8 +60,7 @@ def trace_list(spans: DataFrame, condition: Column, roots_in: Column, limit: int
     """Traces with a root in range and any matching span; the page's span count and errors are over the whole trace."""
     matching = spans.filter(condition).select("trace_id").distinct()
     roots = spans.filter(F.col("parent_span_id").isNull() & roots_in).join(matching, "trace_id", "left_semi")
-    first = {"newest": [], "oldest": [F.asc("started_at")], "longest": [F.desc("duration_ns")], "shortest": [F.asc("duration_ns")]}[order]
-    page = roots.orderBy(*first, F.desc("started_at"), F.desc("row_id")).limit(limit)
+    page = ordered(roots, order, limit)
     stats = spans.join(F.broadcast(page.select("trace_id")), "trace_id", "left_semi").groupBy("trace_id").agg(F.count(F.lit(1)).alias("n_spans"), F.max(F.col("status") == 2).alias("failed"))
     return page.join(stats, "trace_id").select("trace_id", "name", "service", "started_at", "duration_ns", "n_spans", "failed")
 

@@ -422,3 +422,69 @@ def agg_25_jon_7_metric_list(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT a_type AS value, count(DISTINCT a_user) AS n_distinct FROM logs GROUP BY 1", LOGS)
 def agg_24_distinct_values(spark: SparkSession, sf: str) -> DataFrame:
     return S.logs(spark, sf).groupBy(A.value("attributes", "event.type").alias("value")).agg(F.count_distinct(A.value("attributes", "user.id")).alias("n_distinct"))
+
+
+def _span_page(order: str) -> str:
+    return f"SELECT row_id, '{order}' AS sorted_by FROM (SELECT * FROM spans ORDER BY {dict(newest='started_at DESC', oldest='started_at', longest='duration_ns DESC', shortest='duration_ns')[order]}, started_at DESC, row_id DESC LIMIT 100)"
+
+
+@query(" UNION ALL ".join(map(_span_page, ("newest", "oldest", "longest", "shortest"))), SPANS)
+def srt_2_span_orders(spark: SparkSession, sf: str) -> DataFrame:
+    """A page of spans in each of the four orders."""
+    rows = S.spans(spark, sf)
+    pages = [spans.ordered(rows, order, 100).select("row_id", F.lit(order).alias("sorted_by")) for order in ("newest", "oldest", "longest", "shortest")]
+    return pages[0].unionByName(pages[1]).unionByName(pages[2]).unionByName(pages[3])
+
+
+@query("SELECT l.row_id, l.trace_id FROM logs l JOIN (SELECT trace_id FROM logs GROUP BY 1 ORDER BY count(*) DESC, trace_id LIMIT 10) t USING (trace_id)", LOGS)
+def srt_3_jon_6_logs_of_traces(spark: SparkSession, sf: str) -> DataFrame:
+    """The logs of the ten traces with most of them."""
+    rows = S.logs(spark, sf)
+    page = rows.groupBy("trace_id").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "trace_id").limit(10)
+    return rows.join(F.broadcast(page), "trace_id", "left_semi").select("row_id", "trace_id")
+
+
+@query("SELECT service, arg_max(host, (logged_at, row_id)) AS host, max(logged_at) AS newest_at FROM logs GROUP BY 1", LOGS)
+def agg_11_resource_of_service(spark: SparkSession, sf: str) -> DataFrame:
+    """The resource that each service's newest log came from."""
+    found = S.logs(spark, sf).groupBy("service").agg(F.max_by(A.value("resource", "host.name"), F.struct("logged_at", "row_id")).alias("host"), F.max("logged_at").alias("newest_at"))
+    return found
+
+
+@query("SELECT type AS name, count(DISTINCT series) AS n_series, min(value) AS low, max(value) AS high FROM points GROUP BY 1", POINTS)
+def agg_26_metric_names(spark: SparkSession, sf: str) -> DataFrame:
+    return S.gauge_points(spark, sf).groupBy(F.col("type").alias("name")).agg(F.count_distinct("series").alias("n_series"), F.min("value").alias("low"), F.max("value").alias("high"))
+
+
+@query(
+    f"""SELECT step_at, round(avg(a), 6) AS gauge, round(sum(a), 6) AS updown FROM (SELECT series, recorded_at - recorded_at % {DAY} AS step_at, sum(value) / count(*) AS a FROM points GROUP BY ALL) GROUP BY 1""", POINTS,
+)
+def cli_5_cli_6_combined_series(spark: SparkSession, sf: str) -> DataFrame:
+    """All series of a chart as one line: gauges average, updowns add up, steps without a point left out."""
+    found = metrics.levels(S.gauge_points(spark, sf), ["series"], DAY).withColumn("a", F.col("sum") / F.col("n"))
+    return found.groupBy("step_at").agg(F.round(F.avg("a"), 6).alias("gauge"), F.round(F.sum("a"), 6).alias("updown"))
+
+
+@query(
+    f"""SELECT step_at, l.n AS logs, coalesce(p.n, 0) AS purchases FROM (SELECT logged_at - logged_at % {DAY} AS step_at, count(*) AS n FROM logs GROUP BY 1) l
+    LEFT JOIN (SELECT recorded_at - recorded_at % {DAY} AS step_at, count(*) AS n FROM points WHERE type = 'purchase' GROUP BY 1) p USING (step_at)""", LOGS + "," + POINTS,
+)
+def cli_7_two_queries_on_one_chart(spark: SparkSession, sf: str) -> DataFrame:
+    """Two queries aligned by the start of their steps."""
+    a = S.logs(spark, sf).groupBy(steps.step_of(F.col("logged_at"), DAY).alias("step_at")).agg(F.count(F.lit(1)).alias("logs"))
+    b = S.gauge_points(spark, sf).filter("type = 'purchase'").groupBy(steps.step_of(F.col("recorded_at"), DAY).alias("step_at")).agg(F.count(F.lit(1)).alias("p"))
+    return a.join(b, "step_at", "left").select("step_at", "logs", F.coalesce("p", F.lit(0)).alias("purchases"))
+
+
+@query("SELECT row_id, CASE WHEN method IS NOT NULL THEN 'http' WHEN query IS NOT NULL THEN 'database' END AS meaning, coalesce(trim(method, '\"') || ' ' || trim(route, '\"'), 'postgresql') AS title FROM spans", SPANS)
+def cli_14_span_meaning(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether a span is an HTTP request or a database call, by new and old attribute names."""
+    return S.spans(spark, sf).select("row_id", *spans.meaning())
+
+
+@query(f"SELECT service, count(*) AS n, round(sum(duration_ns) / 1e9, 3) AS seconds FROM spans WHERE started_at >= {820454400 * 10**9} AND started_at < {852076800 * 10**9} GROUP BY 1", SPANS)
+def src_13_mth_2_range_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """Total time of the spans of a range, in decimals that can't overflow."""
+    rows = steps.within(S.spans(spark, sf), "started_at", Range(820454400 * 10**9, 852076800 * 10**9))
+    total = F.sum(F.col("duration_ns").cast("decimal(38,0)"))
+    return rows.groupBy("service").agg(F.count(F.lit(1)).alias("n"), F.round(total.cast("double") / 1e9, 3).alias("seconds"))
