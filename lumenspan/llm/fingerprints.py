@@ -75,12 +75,25 @@ def range_edges(keys: DataFrame, count: int) -> list:
 
 def range_of(key: Column, edges: list, width: int = 256) -> Column:
     """How many edges are below the key, found in two steps of at most `width` comparisons each (for up to width**2)."""
+    if not edges:
+        return F.lit(0)
     below = lambda array: F.size(F.filter(array, lambda e: e < key))
-    rows = [edges[i : i + width] for i in range(0, len(edges), width)]
-    if len(rows) <= 1:
-        return below(F.lit(edges)) if edges else F.lit(0)
+    rows = _in_rows(edges, width)
     row = below(F.lit([r[-1] for r in rows]))
-    return row * width + F.coalesce(below(F.get(F.array(*[F.lit(r) for r in rows]), row)), F.lit(0))
+    return F.when(row < len(rows), row * width + below(F.get(_array(rows), row))).otherwise(len(edges))
+
+
+def edge_at(place: Column, edges: list, width: int = 256) -> Column:
+    """The edge of that number, null beyond the last."""
+    return F.get(F.get(_array(_in_rows(edges, width)), F.floor(place / width).cast("int")), place % width) if edges else F.lit(None)
+
+
+def _in_rows(edges: list, width: int) -> list[list]:
+    return [edges[i : i + width] for i in range(0, len(edges), width)]
+
+
+def _array(rows: list[list]) -> Column:
+    return F.array(*[F.lit(r) for r in rows])
 
 
 def fingerprint_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows_per_range: int = 2_000, most_ranges: int = 65_536) -> DataFrame:
@@ -102,7 +115,8 @@ def fingerprint_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str
     top = absent if span["top"] is None else span["top"]
     base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(id_col).cast("long"), F.lit(absent)).alias("key"), text_of(text_col).alias("body"))
     edges = range_edges(base.select("key"), min(most_ranges, -(-span["n"] // rows_per_range)))
-    part, is_edge = range_of(F.col("key"), edges), F.array_contains(F.lit(edges), F.col("key")) if edges else F.lit(False)
+    base = base.withColumn("range", range_of(F.col("key"), edges))
+    part, is_edge = F.col("range"), F.coalesce(edge_at(F.col("range"), edges) == F.col("key"), F.lit(False))
     # A range ends, in descending order, before the edge below it: that edge's document follows its last one.
     places = F.array_compact(F.array(
         F.struct(part.alias("part"), F.lit(0).alias("again")),

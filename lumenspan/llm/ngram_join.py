@@ -228,8 +228,9 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     entries = plain.select("body").mapInArrow(_deal(width, need, buckets, max(1, task_shingles // 8), frequent, counts), "bucket int, x binary, y binary")
     met = entries.groupBy("bucket").applyInPandas(_meet, "list long, d1 long")
     lists = cut(met.dropDuplicates(["list", "d1"]), "lists")
-    tasks = max(1, -(-lists.count() // max(1, task_shingles // 8)))
-    sifted = lists.join(classes.select("d1", "node", "n", "bits"), "d1").withColumn("task", F.pmod(F.xxhash64("list"), F.lit(tasks)).cast("int"))
+    tasks = max(1, -(-lists.count() // max(1, task_shingles // 32)))
+    # Merge joins at every size: what a small table would broadcast grows with the corpus.
+    sifted = lists.join(classes.select("d1", "node", "n", "bits").hint("merge"), "d1").withColumn("task", F.pmod(F.xxhash64("list"), F.lit(tasks)).cast("int"))
     edges = sifted.select("task", "list", "node", "n", "bits").groupBy("task").applyInPandas(_sift(need), "a long, b long")
     family = components(edges)
 
@@ -240,7 +241,7 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     blocks = F.ceil(F.col("all") / (task_shingles // 2)).cast("int")
     placed = members.join(sizes, "fam").withColumn("blocks", F.when(F.col("all") > task_shingles, blocks).otherwise(1))
     placed = placed.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    with_text = plain.join(placed.drop("n", "all").withColumnRenamed("rid", "rid_"), (F.col("rid") == F.col("rid_")) & F.col("id").eqNullSafe(F.col("low")))
+    with_text = plain.join(placed.drop("n", "all").withColumnRenamed("rid", "rid_").hint("merge"), (F.col("rid") == F.col("rid_")) & F.col("id").eqNullSafe(F.col("low")))
     pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("block")).alias("i"), F.greatest(k, F.col("block")).alias("j"))))
     task = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("fam"), F.lit(small))).otherwise(F.col("fam"))
     dealt = with_text.withColumn("p", pair).select("fam", "node", "d1", "block", "body", "blocks", "p.i", "p.j").withColumn("task", task)

@@ -3,6 +3,7 @@
 import hashlib
 import re
 import zlib
+from bisect import bisect_left
 from collections import Counter, defaultdict
 from itertools import combinations
 
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lumenspan.llm import html_text, language_id, lm_scoring, packing, quality, signature_tree
 from lumenspan.llm.exact_dedup import exact_dedup
-from lumenspan.llm.fingerprints import add, fingerprint_with_next, lane_sums, subtract
+from lumenspan.llm.fingerprints import add, edge_at, fingerprint_with_next, lane_sums, range_of, subtract
 from lumenspan.llm.line_dedup import drop_repeated_lines
 from lumenspan.llm.mixing import capped_shares, min_cost_flow, mix_sources
 from lumenspan.llm.ngram_join import ngram_components
@@ -279,6 +280,12 @@ def test_fingerprints(docs, empty, spark):
     assert alone["edited_sha256"] == hashlib.sha256(b"abc deab").hexdigest()[:0] + hashlib.sha256(("abc def"[:5] + "ab").encode()).hexdigest()
 
 
+def test_ranges_of_many_edges(spark):
+    edges = list(range(5, 3_000, 7))
+    rows = spark.range(3_100).select(F.col("id").alias("key")).withColumn("r", range_of(F.col("key"), edges)).withColumn("x", F.coalesce(edge_at(F.col("r"), edges) == F.col("key"), F.lit(False)))
+    assert all(r["r"] == bisect_left(edges, r["key"]) and r["x"] == (r["key"] in edges) for r in rows.collect())
+
+
 def test_fingerprints_are_homomorphic(spark):
     def lanes(*pieces):
         return spark.createDataFrame([(p,) for p in pieces], "p string").agg(*lane_sums(F.col("p"))).first()["lanes"]
