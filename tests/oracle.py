@@ -15,7 +15,7 @@ def tables(sf: str) -> duckdb.DuckDBPyConnection:
 
 def rows(df: pd.DataFrame) -> list[tuple]:
     def plain(v):
-        if v is None or v != v:
+        if v is None or v is pd.NA or v != v:
             return "null"
         if isinstance(v, float):
             return repr(round(v, 9)) if not float(v).is_integer() else str(int(v))
