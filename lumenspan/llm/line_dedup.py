@@ -7,8 +7,12 @@ places; every place but the first covers its three lines, covered lines are merg
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from .common import cut, text_of
 
@@ -17,6 +21,7 @@ WINDOW = 3  # lines of a window
 #: The lines of a text, each with the white space that follows it; together they are the whole text.
 BLANK = " \t\n\x0b\f\r"
 LINES = rf"(?:\S*[^\s.!?][^\S\n]+){{0,{LONGEST - 1}}}\S+\s*|\s+"
+_LINES = re.compile(LINES, re.ASCII)
 
 
 def lines_of(text: Column) -> Column:
@@ -34,6 +39,24 @@ def _windows(docs: DataFrame, least_chars: int) -> DataFrame:
     return placed.filter(F.length("t") >= least_chars).select("id", "key", "at", F.xxhash64("t").alias("h1"), F.hash("t").alias("h2"))
 
 
+def without(text: str, starts) -> tuple[str | None, int, int]:
+    """The text without the windows that start at those lines (None if there are none), its lines, and how many went."""
+    lines = _LINES.findall(text)
+    if starts is None:
+        return None, len(lines), 0
+    gone = {k for s in starts for k in range(s, min(s + WINDOW, len(lines)))}
+    return "".join(x for k, x in enumerate(lines) if k not in gone), len(lines), len(gone)
+
+
+@F.pandas_udf(StructType([StructField("text", StringType()), StructField("n_lines", IntegerType()), StructField("n_removed", IntegerType())]))
+def _rebuild(texts: pd.Series, starts: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([without(t, s) for t, s in zip(texts, starts, strict=True)], columns=["text", "n_lines", "n_removed"])
+
+
+#: So that a filter on the result isn't moved below it, which would rebuild every text once more.
+_rebuilt = _rebuild.asNondeterministic()
+
+
 def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_chars: int = 40, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per input row: id, key (hash of the text it had), text (what stays), n_lines, n_removed.
 
@@ -56,14 +79,7 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     covered = later.groupBy("id", "key").agg(F.collect_set("at").alias("starts"))
     same = base["id"].eqNullSafe(covered["id"]) & (base["key"] == covered["key"])
     joined = base.join(covered, same, "left").select(base["id"], base["key"], "body", "absent", "starts", "carried")
-    lines = lines_of(F.col("body"))
-    # A line goes if a later occurrence starts at it or at one of the lines before it.
-    gone = lambda i: F.array_contains(F.col("gone"), i)
-    merged = F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s, s + WINDOW - 1))))
-    found = joined.withColumns({"gone": F.when(F.col("starts").isNotNull(), merged), "lines": F.when(F.col("starts").isNotNull(), lines)})
-    kept = F.array_join(F.filter("lines", lambda u, i: ~gone(i)), "")
-    count = F.when(F.col("body") == "", 0).otherwise(F.regexp_count("body", F.lit(LINES)))
-    removed = F.size(F.filter("gone", lambda i: i < F.size("lines")))
+    found = joined.withColumn("made", _rebuilt("body", "starts"))
     return found.select(
-        F.col("id").alias(id_col), "key", *(["carried"] if carry else []), F.when(F.col("starts").isNotNull(), kept).when(~F.col("absent"), F.col("body")).alias("text"), count.alias("n_lines"), F.when(F.col("starts").isNull(), 0).otherwise(removed).alias("n_removed")
+        F.col("id").alias(id_col), "key", *(["carried"] if carry else []), F.when(F.col("starts").isNotNull(), F.col("made.text")).when(~F.col("absent"), F.col("body")).alias("text"), "made.n_lines", "made.n_removed"
     )
