@@ -22,7 +22,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     A null text counts as empty, so null and empty texts are one group. A null id is below every other id. Of rows that
     repeat id and text, one is kept. Other columns are not read, whatever their names. An empty table gives no rows.
     The counts of a group are combined before they are shuffled, and the join that brings them back to the rows is a
-    plain equi-join of which adaptive execution splits skewed partitions, so a hot group isn't one task.
+    plain equi-join. Adaptive execution may split its skewed partitions, but where it doesn't, the rows of a hot group meet
+    in one task, which streams over them.
     """
     base = docs.select(F.col(id_col).alias("id"), text_of(text_col).cast("binary").alias("body"))
     head = F.substring("body", 1, first_block)
