@@ -4,8 +4,9 @@ The network predicts every token from the tokens at both sides: the inputs of th
 passed through tanh, and a two-step softmax (class, then word of the class) gives the masked token's probability. A
 document's score is the sum of the log-probabilities of its tokens.
 
-It is trained in numpy where the documents are: in each round every task starts from the same parameters, learns from a
-share of the positions of all its documents, and the tasks' parameters are averaged, weighted by positions, in a tree.
+It is trained in numpy where the documents are: in each round every task starts from the same parameters, learns from
+every ROUNDS-th position of all its documents, and the tasks' parameters are averaged, weighted by positions, in a tree.
+Each round takes other positions, so that after the last one every position of every text was learned from, once.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ HIDDEN = 32
 CLASSES = 64
 VOCABULARY = CLASSES * CLASSES
 SPELLED = VOCABULARY - 256  # words of their own; all others share the remaining tokens by hash
-STRIDE, ROUNDS = 16, 2  # each round learns from every STRIDE-th position of every document, another one each time
+ROUNDS = 2  # each learns from every ROUNDS-th position of every document; all rounds together from all positions
 BATCH, RATE = 256, 0.3
 COUNTED = 500_000  # distinct words that a task counts before it hands them on
 FAN_IN = 32  # parameter sets that a task averages
@@ -43,6 +44,7 @@ _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 class WindowModel:
     words: list[str]
     params: list[np.ndarray]  # inputs by side, bias, class weights and bias, word weights and bias
+    learned: int = 0  # positions that it was trained on
 
     def __post_init__(self) -> None:
         self.number = {w: k for k, w in enumerate(self.words)}
@@ -79,18 +81,24 @@ class WindowModel:
         p[np.arange(n), token // CLASSES] -= 1
         dh += p @ cw.T
         steps = [(cw, h.T @ p / n), (cb, p.mean(axis=0))]
-        for c in np.unique(token // CLASSES):
-            rows = np.flatnonzero(token // CLASSES == c)
-            q = _softmax(h[rows] @ ww[c] + wb[c])
+        order = np.argsort(token // CLASSES, kind="stable")
+        edges = np.searchsorted((token // CLASSES)[order], np.arange(CLASSES + 1))
+        for c in np.flatnonzero(np.diff(edges)):
+            rows = order[edges[c] : edges[c + 1]]
+            own = h[rows]
+            q = _softmax(own @ ww[c] + wb[c])
             q[np.arange(len(rows)), token[rows] % CLASSES] -= 1
             dh[rows] += q @ ww[c].T
-            steps += [(ww[c], h[rows].T @ q / n), (wb[c], q.sum(axis=0) / n)]
+            steps += [(ww[c], own.T @ q / n), (wb[c], q.sum(axis=0) / n)]
         for a, g in steps:
             a -= rate * g
         dx = (dh * (1 - h * h)).astype(np.float32)
         bias -= rate * dx.mean(axis=0)
+        dx *= np.float32(-rate / np.sqrt(n))
         for k in range(2 * SPAN):  # each token's own row takes a full step, however rare it is in the batch
-            np.add.at(ins[k], near[:, k], -rate / np.sqrt(n) * dx)
+            order = np.argsort(near[:, k], kind="stable")
+            tokens, first = np.unique(near[order, k], return_index=True)
+            ins[k][tokens] += np.add.reduceat(dx[order], first)
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
@@ -203,9 +211,9 @@ def train(docs: DataFrame, text_col: str = "text") -> WindowModel:
                     if not len(tokens):
                         continue
                     x, y = neighbours([tokens])
-                    first = (zlib.crc32((text or "")[:64].encode()) + k * STRIDE // ROUNDS) % STRIDE
-                    near.append(x[first::STRIDE])
-                    token.append(y[first::STRIDE])
+                    first = (zlib.crc32((text or "")[:64].encode()) + k) % ROUNDS
+                    near.append(x[first::ROUNDS])
+                    token.append(y[first::ROUNDS])
                     held += len(token[-1])
                     learned += len(token[-1])
                     if held >= 32 * BATCH:
@@ -219,6 +227,7 @@ def train(docs: DataFrame, text_col: str = "text") -> WindowModel:
         found = _average(cut(docs.select(F.col(text_col).cast("string").alias("body")).mapInArrow(run, "part long, weight double, flat binary"), "learned"))
         if found:
             model.params = _shaped(found[0], model.params)
+            model.learned += round(found[1])
     return model
 
 

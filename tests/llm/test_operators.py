@@ -261,6 +261,12 @@ def test_lm_scoring(spark, docs, empty):
     assert lm_scoring.score_documents(empty, lm_scoring.train(empty)).count() == 0
 
 
+def test_lm_learns_from_every_position(spark):
+    texts = ["one", "two", "", None, passage(1, 300), *(f"shared head of all texts, longer than sixty-four characters in any case, {passage(k, k)}" for k in range(1, 40))]
+    table = rows_of(spark, texts).repartition(3)
+    assert lm_scoring.train(table).learned == sum(len((t or "").split()) for t in texts)
+
+
 def test_fingerprints(docs, empty, spark):
     found = fingerprint_with_next(docs, rows_per_range=3).collect()
     ordered = sorted(zip([*IDS, 5], [*TEXTS, TEXTS[0]], strict=True), key=lambda x: (-(x[0] if x[0] is not None else -1), x[1] or ""))
