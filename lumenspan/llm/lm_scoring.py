@@ -1,8 +1,9 @@
 """Masked pseudo-likelihood by a bidirectional window network.
 
 The network predicts every token from the tokens at both sides: the inputs of the SPAN tokens before and after are added,
-passed through tanh, and a two-step softmax (class, then word of the class) gives the masked token's probability. A
-document's score is the sum of the log-probabilities of its tokens.
+passed through tanh, and a two-step softmax (class, then word of the class) gives the masked token's probability. Words
+beyond the most frequent share tokens by hash; such a word is charged for its share of its token's words as well, from the
+counts of all words. A document's score is the sum of the log-probabilities of its words.
 
 It is trained in numpy where the documents are: in each round every task starts from the same parameters, learns from
 every ROUNDS-th position of all its documents, and the tasks' parameters are averaged, weighted by positions, in a tree.
@@ -16,12 +17,13 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructField, StructType
@@ -32,7 +34,9 @@ SPAN = 2  # tokens on each side
 HIDDEN = 32
 CLASSES = 64
 VOCABULARY = CLASSES * CLASSES
-SPELLED = VOCABULARY - 256  # words of their own; all others share the remaining tokens by hash
+SHARED = 256  # tokens that words without one of their own share by hash
+SPELLED = VOCABULARY - SHARED  # words with a token of their own
+UNIT = float(1 << 32)  # log-probabilities of shared words are added as whole numbers of 1 / UNIT, in any order the same
 ROUNDS = 2  # each learns from every ROUNDS-th position of every document; all rounds together from all positions
 BATCH, RATE = 256, 0.3
 COUNTED = 500_000  # distinct words that a task counts before it hands them on
@@ -45,13 +49,21 @@ class WindowModel:
     words: list[str]
     params: list[np.ndarray]  # inputs by side, bias, class weights and bias, word weights and bias
     learned: int = 0  # positions that it was trained on
+    rare: DataFrame | None = None  # word, n of all words that share a token
+    shared: np.ndarray | None = None  # how often each shared token occurs
 
     def __post_init__(self) -> None:
         self.number = {w: k for k, w in enumerate(self.words)}
 
-    def tokens(self, text: str) -> np.ndarray:
-        get = self.number.get
-        return np.array([get(w) if w in self.number else SPELLED + zlib.crc32(w.encode()) % (VOCABULARY - SPELLED) for w in _WORD.findall(text.lower())], np.int64)
+    def tokens(self, text: str, rare: Counter | None = None) -> np.ndarray:
+        """The tokens of the words; those that share a token are counted in rare."""
+        words = _WORD.findall(text.lower())
+        found = np.fromiter(map(self.number.get, words, repeat(-1)), np.int64, len(words))
+        for k in np.flatnonzero(found < 0).tolist():
+            found[k] = SPELLED + zlib.crc32(words[k].encode()) % SHARED
+            if rare is not None:
+                rare[words[k]] += 1
+        return found
 
     def hidden(self, near: np.ndarray) -> np.ndarray:
         """near: positions x (2 * SPAN) tokens; VOCABULARY stands for what is beyond an end."""
@@ -176,6 +188,10 @@ def _average(parts: DataFrame) -> tuple[np.ndarray, float] | None:
             return np.frombuffer(row["flat"], np.float32), row["weight"]
 
 
+def _share(word: Column) -> Column:
+    return F.pmod(F.crc32(word.cast("binary")), F.lit(SHARED)).cast("int")
+
+
 def train(docs: DataFrame, text_col: str = "text") -> WindowModel:
     """Learn from all texts. Without a word anywhere the model is the fresh one."""
     spark = docs.sparkSession
@@ -183,12 +199,13 @@ def train(docs: DataFrame, text_col: str = "text") -> WindowModel:
     top = counted.orderBy(F.desc("n"), "word").limit(SPELLED).collect()
     words = [r["word"] for r in top]
     known = spark.createDataFrame([(w,) for w in words], "word string")
-    share = F.pmod(F.crc32(F.col("word").cast("binary")), F.lit(VOCABULARY - SPELLED)).cast("int").alias("share")
+    rare = counted.join(F.broadcast(known), "word", "left_anti")
     counts = np.zeros(VOCABULARY)
     counts[: len(top)] = [r["n"] for r in top]
-    for r in counted.join(F.broadcast(known), "word", "left_anti").groupBy(share).agg(F.sum("n").alias("n")).collect():
+    for r in rare.groupBy(_share(F.col("word")).alias("share")).agg(F.sum("n").alias("n")).collect():
         counts[SPELLED + r["share"]] = r["n"]
     model = fresh(words, counts)
+    model.rare, model.shared = rare, counts[SPELLED:]
     for k in range(ROUNDS):
         given = spark.sparkContext.broadcast((words, model.params))
 
@@ -234,19 +251,25 @@ def train(docs: DataFrame, text_col: str = "text") -> WindowModel:
 def score_documents(docs: DataFrame, model: WindowModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_tokens, log_prob (sum over all tokens), mean_log_prob, of every row's whole text.
 
-    A text without words (null, empty, blank) has 0 tokens, log_prob 0 and a null mean. Equal texts score equally.
-    Other columns are not read; no rows give no rows.
+    A word that shares its token adds the log of its part of the token's words, n / (N + 1); all words that weren't seen in
+    training are 1 / (N + 1) together. A text without words (null, empty, blank) has 0 tokens, log_prob 0 and a null
+    mean. Equal texts score equally. Other columns are not read; no rows give no rows.
+
+    The counts of shared words grow with the corpus and are joined by word, never gathered.
     """
-    given = docs.sparkSession.sparkContext.broadcast((model.words, model.params))
-    schema = StructType([StructField("id", docs.schema[id_col].dataType), *StructType.fromDDL("n_tokens long, log_prob double, mean_log_prob double")])
+    spark = docs.sparkSession
+    given = spark.sparkContext.broadcast((model.words, model.params))
+    pair = "words array<string>, times array<long>"
+    schema = StructType([StructField("id", docs.schema[id_col].dataType), *StructType.fromDDL(f"row long, n_tokens long, network double, {pair}")])
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = WindowModel(*given.value)
+        own, row = WindowModel(*given.value), TaskContext.get().partitionId() << 40
         for batch in batches:
-            n, total = [], []
+            n, total, words, times = [], [], [], []
             for text in batch["body"].to_pylist():
-                tokens = own.tokens(text or "")
+                rare: Counter = Counter()
+                tokens = own.tokens(text or "", rare)
                 n.append(len(tokens))
                 score = 0.0
                 if len(tokens):
@@ -254,8 +277,18 @@ def score_documents(docs: DataFrame, model: WindowModel, id_col: str = "doc_id",
                     for at in range(0, len(token), 1 << 14):
                         score += float(own.log_probabilities(near[at : at + (1 << 14)], token[at : at + (1 << 14)]).sum(dtype=np.float64))
                 total.append(score)
-            mean = [s / k if k else None for s, k in zip(total, n, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch["id"], pa.array(n, pa.int64()), pa.array(total, pa.float64()), pa.array(mean, pa.float64())], schema=arrow)
-
-    scored = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("body")).mapInArrow(run, schema)
-    return scored.withColumnRenamed("id", id_col)
+                words.append(list(rare.keys()))
+                times.append(list(rare.values()))
+            rows = pa.array(range(row, row + len(n)), pa.int64())
+            row += len(n)
+            yield pa.RecordBatch.from_arrays([batch["id"], rows, pa.array(n, pa.int64()), pa.array(total, pa.float64()), pa.array(words, arrow.field("words").type), pa.array(times, arrow.field("times").type)], schema=arrow)
+
+    scored = cut(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("body")).mapInArrow(run, schema), "scored")
+    places = scored.select("row", F.explode(F.arrays_zip("words", "times")).alias("x")).select("row", F.col("x.words").alias("word"), F.col("x.times").alias("times"))
+    known = spark.createDataFrame([], "word string, n long") if model.rare is None else model.rare
+    whole = F.array(*[F.lit(float(x)) for x in (np.zeros(SHARED) if model.shared is None else model.shared)])
+    part = F.log(F.coalesce("n", F.lit(1)) / (F.element_at(whole, _share(F.col("word")) + 1) + 1))
+    charged = places.join(known, "word", "left").groupBy("row").agg(F.sum(F.col("times") * F.round(part * UNIT).cast("long")).alias("units"))
+    total = F.col("network") + F.coalesce("units", F.lit(0)) / UNIT
+    mean = F.when(F.col("n_tokens") > 0, total / F.col("n_tokens"))
+    return scored.join(charged, "row", "left").select(F.col("id").alias(id_col), "n_tokens", total.alias("log_prob"), mean.alias("mean_log_prob"))

@@ -267,6 +267,22 @@ def test_lm_learns_from_every_position(spark):
     assert lm_scoring.train(table).learned == sum(len((t or "").split()) for t in texts)
 
 
+def test_lm_charges_words_within_their_shared_token(spark):
+    share = lambda w: zlib.crc32(w.encode()) % 256
+    common = [f"c{k}" for k in range(lm_scoring.SPELLED)]
+    first = "zfirst"
+    other = next(w for w in (f"z{k}" for k in range(9_999)) if share(w) == share(first))
+    unseen = next(w for w in (f"u{k}" for k in range(9_999)) if share(w) == share(first))
+    model = lm_scoring.train(rows_of(spark, [" ".join(common * 4), f"{first} {first} {first} {other}"]))
+    found = {r["doc_id"]: r for r in lm_scoring.score_documents(rows_of(spark, [first, other, unseen, "c7", f"{other} {other}", other], [0, 1, 2, 3, 4, 1]), model).collect()}
+    network = float(model.log_probabilities(*lm_scoring.neighbours([model.tokens(first)])).sum())
+    for k, part in ((0, 3 / 5), (1, 1 / 5), (2, 1 / 5)):
+        assert found[k]["log_prob"] == pytest.approx(network + np.log(part), abs=1e-5) and found[k]["log_prob"] == found[k]["mean_log_prob"]
+    assert found[3]["log_prob"] == pytest.approx(float(model.log_probabilities(*lm_scoring.neighbours([model.tokens("c7")])).sum()), abs=1e-5)
+    twice = float(model.log_probabilities(*lm_scoring.neighbours([model.tokens(f"{other} {other}")])).sum())
+    assert found[4]["log_prob"] == pytest.approx(twice + 2 * np.log(1 / 5), abs=1e-5) and found[4]["n_tokens"] == 2
+
+
 def test_fingerprints(docs, empty, spark):
     found = fingerprint_with_next(docs, rows_per_range=3).collect()
     ordered = sorted(zip([*IDS, 5], [*TEXTS, TEXTS[0]], strict=True), key=lambda x: (-(x[0] if x[0] is not None else -1), x[1] or ""))
