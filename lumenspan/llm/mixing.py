@@ -3,8 +3,8 @@
 Documents are aggregated by membership pattern, the set of sources that they belong to. A flow network leads from each
 pattern, through arcs for its first, second and third use that cost more each time (a convex cost of repetition), to
 the sources of the pattern and on to the sources' quotas. The cheapest maximal flow says how many words of each pattern
-are used. Within a pattern, all documents are used as often as they all fit, and those with the least seeded hash once
-more, up to the pattern's words.
+are used. Within a pattern, all documents are used as often as they all fit, and once more those that fit in the order of
+a seeded hash, up to the pattern's words: a document that doesn't fit is passed over, until none is left that does.
 """
 
 from __future__ import annotations
@@ -16,8 +16,8 @@ from .common import WORD, cut
 
 #: Hash ranges within a pattern; the choice is exact within the one range that the quota cuts.
 RANGES = 1024
-#: Documents that may be added to each pattern to come nearer to its quota.
-FILLS = 6
+#: A pattern whose room shrank by less than this share in a pass goes on with its largest documents, which at least halve it.
+STALLED = 1 / 3
 
 
 def words(text: Column) -> Column:
@@ -91,18 +91,18 @@ def mix_sources(docs: DataFrame, members: Column, weights=None, id_col: str = "d
     the number of words, 0 for null or empty text. source_size and target are sums over the row's sources. weights maps
     the sources, by code point and null last, to numbers; by default 1, 2, 3, repeating. Targets share all words by
     weight, none above most_uses times its source's size. A document is used whole, at most most_uses times, so a pattern
-    gives nearly its flow: after the choice by hash, up to FILLS documents are added that fit best in what lacks. The choice depends on the seed, the id and the text, and not on
-    partitions; rows that repeat both are chosen together within a hash range, in any order. Other columns are not
-    read. No rows give no rows.
+    gives nearly its flow: passes over the documents by hash go on until none fits in what lacks, and one more is added if
+    that comes nearer. The choice depends on the seed, the id and the text, and not on partitions; rows that repeat both
+    are chosen in any order. Other columns are not read. No rows give no rows.
 
-    The driver gets a few rows for each pattern, and broadcasts as many; the rows of a range are ordered only where a
-    quota cuts it, so a source of a third of all rows is RANGES small groups.
+    The driver gets a few rows for each pattern and pass, and broadcasts as many; the rows of a range are ordered only where
+    a quota cuts it, so a source of a third of all rows is RANGES small groups. Each pass reads only what may still fit.
     """
     spark = docs.sparkSession
     given = F.array_sort(F.array_distinct(F.when(F.size(members) > 0, members).otherwise(F.array(F.lit(None).cast("string")))))
     base = docs.select(F.col(id_col).alias("id"), given.alias("members"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("key"), words(F.col(text_col)).alias("size"))
     rank = F.xxhash64(F.lit(seed), "id", "key")
-    sized = cut(base.withColumns({"rank": rank, "range": F.pmod(rank, F.lit(RANGES)).cast("int")}), "sized")
+    sized = cut(base.withColumns({"rank": rank, "range": F.pmod(rank, F.lit(RANGES)), "row": F.monotonically_increasing_id()}), "sized")
     patterns = [(tuple(r["members"]), r["size"]) for r in sized.groupBy("members").agg(F.sum("size").alias("size")).collect()]
     names = sorted({s for m, _ in patterns for s in m}, key=lambda s: (s is None, s or ""))
     if not names:
@@ -121,35 +121,41 @@ def mix_sources(docs: DataFrame, members: Column, weights=None, id_col: str = "d
         [(list(m), float(sum(target[number[s]] for s in m)), sum(sizes[number[s]] for s in m), sum(f) // n if n else 0, sum(f) % n if n else 0) for (m, n), f in zip(patterns, flow, strict=True)],
         "members array<string>, target double, source_size long, passes long, rest long",
     )
-    # How many words of a pattern come before each hash range, and which range the rest of its flow ends in.
-    before = Window.partitionBy("members").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = sized.groupBy("members", "range").agg(F.sum("size").alias("words")).withColumn("before", F.coalesce(F.sum("words").over(before), F.lit(0)))
-    ranges = ranges.join(F.broadcast(plan), "members").select("members", "range", "target", "source_size", "passes", (F.col("rest") - F.col("before")).alias("room"), "words")
-    placed = sized.join(cut(ranges, "ranges"), ["members", "range"])
-    whole = F.col("room") >= F.col("words")
-    inner = Window.partitionBy("members", "range").orderBy("rank", "id", "key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    chosen = placed.filter(~whole & (F.col("room") > 0)).withColumn("more", (F.sum("size").over(inner) <= F.col("room")).cast("int"))
-    rows = cut(placed.filter(whole | (F.col("room") <= 0)).withColumn("more", whole.cast("int")).unionByName(chosen).drop("room", "words", "range"), "chosen")
-    # What a quota lacks still is less than the document that crosses it: the largest that fits is used, or else
-    # the one that comes nearest, FILLS times.
+    rows = sized.join(F.broadcast(plan.select("members", "target", "source_size", "passes")), "members")
     lacking = {tuple(r["members"]): r["rest"] for r in plan.select("members", "rest").collect()}
-    for r in rows.filter("more = 1").groupBy("members").agg(F.sum("size").alias("used")).collect():
-        lacking[tuple(r["members"])] -= r["used"]
-    extra: list[tuple] = []
-    fields = f"members array<string>, lacks long, id {docs.schema[id_col].dataType.simpleString()}, key long"
-    for _ in range(FILLS):
-        gaps = spark.createDataFrame([(list(m), n, None, None) for m, n in lacking.items() if n > 0], fields).select("members", "lacks")
-        used = spark.createDataFrame([(list(m), 0, i, k) for m, i, k in extra], fields).select("members", "id", "key")
-        free = rows.filter(f"more = 0 and passes < {most_uses} and size > 0").join(F.broadcast(gaps), "members").filter("size < 2 * lacks")
-        same = [free["members"] == used["members"], free["id"].eqNullSafe(used["id"]), free["key"] == used["key"]]
-        best = free.join(F.broadcast(used), same, "left_anti").groupBy("members").agg(F.min(F.struct((F.col("size") > F.col("lacks")).alias("over"), F.abs(F.col("size") - F.col("lacks")).alias("off"), "size", "rank", "id", "key")).alias("top")).collect()
-        for r in best:
-            extra.append((tuple(r["members"]), r["top"]["id"], r["top"]["key"]))
-            lacking[tuple(r["members"])] -= r["top"]["size"]
-        if not best:
+    fields, narrow = "members array<string>, room long, stalled boolean", ["members", "size", "rank", "id", "key", "row", "range"]
+    free, slow, added = sized.filter("size > 0").select(*narrow), set(), []
+    while any(n > 0 for n in lacking.values()):
+        gaps = F.broadcast(spark.createDataFrame([(list(m), n, m in slow) for m, n in lacking.items() if n > 0], fields))
+        seen = cut(_pass(free.join(gaps, "members").filter("size <= room")).select(*narrow, "more"), "pass")
+        used = {tuple(r["members"]): r["used"] for r in seen.filter("more = 1").groupBy("members").agg(F.sum("size").alias("used")).collect()}
+        if not used:
             break
-    added = spark.createDataFrame([(list(m), 1, i, k) for m, i, k in extra], fields).withColumnsRenamed({"id": "id_", "key": "key_", "members": "members_"})
-    same = [rows["members"] == added["members_"], rows["id"].eqNullSafe(added["id_"]), rows["key"] == added["key_"]]
-    uses = F.least(F.lit(most_uses), F.col("passes") + F.greatest("more", F.coalesce("lacks", F.lit(0))))
-    rows = rows.join(F.broadcast(added), same, "left")
-    return rows.select(F.col("id").alias(id_col), rows["key"], rows["members"], "size", "source_size", "target", (uses * F.col("size")).alias("taken"))
+        added.append(seen.filter("more = 1").select("row"))
+        slow |= {m for m, n in used.items() if n < STALLED * lacking[m]}
+        lacking = {m: lacking[m] - n for m, n in used.items()} | {m: n for m, n in lacking.items() if m not in used}
+        free = seen.filter("more = 0").select(*narrow)
+    # Nothing fits any more: the smallest document that is left, if the quota is missed by less with it.
+    chosen = added[0] if added else sized.select("row").limit(0)
+    for x in added[1:]:
+        chosen = chosen.unionByName(x)
+    taken = cut(rows.join(chosen.withColumn("more", F.lit(1)), "row", "left").fillna(0, ["more"]).drop("range"), "taken")
+    gaps = F.broadcast(spark.createDataFrame([(list(m), n, False) for m, n in lacking.items() if n > 0], fields))
+    left = taken.filter(f"more = 0 and passes < {most_uses} and size > 0").join(gaps, "members").filter("size < 2 * room")
+    last = left.groupBy("members").agg(F.min(F.struct("size", "rank", "id", "key", "row")).alias("top")).select(F.col("top.row").alias("row"), F.lit(1).alias("last"))
+    final = taken.join(F.broadcast(last), "row", "left")
+    uses = F.least(F.lit(most_uses), F.col("passes") + F.greatest("more", F.coalesce("last", F.lit(0))))
+    return final.select(F.col("id").alias(id_col), "key", "members", "size", "source_size", "target", (uses * F.col("size")).alias("taken"))
+
+
+def _pass(placed: DataFrame) -> DataFrame:
+    """The rows with `more`: 1 for those that fit in their pattern's room before the first that doesn't, else 0."""
+    placed = placed.withColumn("range", F.when(F.col("stalled"), -F.col("size")).otherwise(F.col("range")))
+    before = Window.partitionBy("members").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = placed.groupBy("members", "range").agg(F.sum("size").alias("words")).withColumn("before", F.coalesce(F.sum("words").over(before), F.lit(0)))
+    placed = placed.join(cut(ranges, "ranges"), ["members", "range"])
+    room = F.col("room") - F.col("before")
+    whole = room >= F.col("words")
+    inner = Window.partitionBy("members", "range").orderBy("rank", "id", "key", "row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    crossed = placed.filter(~whole & (room > 0)).withColumn("more", (F.sum("size").over(inner) <= room).cast("int"))
+    return placed.filter(whole | (room <= 0)).withColumn("more", whole.cast("int")).unionByName(crossed)
