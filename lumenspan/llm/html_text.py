@@ -30,6 +30,7 @@ BLOCKS = frozenset(
     " li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 PROSE_BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre figcaption dd".split())
+TITLED = frozenset("section h1 h2 h3 h4 h5 h6".split())
 CLOSED_BY_BLOCK = frozenset("p h1 h2 h3 h4 h5 h6".split())
 NOT_TEXT = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense banner banners promo promotion sponsor sponsored sponsors sidebar sidenav menu menus nav"
@@ -37,6 +38,16 @@ NOT_TEXT = frozenset(
     " subscription signup login share sharing social comment comments disqus reply replies respond related recommended recommendations widget widgets toolbar"
     " pagination pager search legal copyright disclaimer hidden topbar".split()
 )
+#: Of these, words that also name subjects: at the head of a longer name they count only before a word for a part of a page.
+SUBJECTS = frozenset(
+    "ad banner banners promotion foot notice notices popup modal overlay subscription share sharing social comment comments reply replies related recommended recommendations"
+    " search legal copyright disclaimer hidden login signup consent menu menus navigation widget widgets".split()
+)
+PARTS = frozenset(
+    "area articles bar block body box buttons button container content contents footer form header icons info inner items label link links list listing news note outer panel posts"
+    " row section slot stories text title top unit wrap wrapper".split()
+)
+MODIFIERS = frozenset("has have no not with without is".split())
 NOT_TEXT_OUTSIDE = frozenset("header head site-header".split())
 NOT_TEXT_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar".split())
 
@@ -67,6 +78,19 @@ class Line:
         return max(own, 0) + PROSE * self.prose + INSIDE * self.inside
 
 
+def _names_no_text(value: str, inside: bool) -> bool:
+    """If a class or id names what is never text: as a whole, by its last part, or by its first one."""
+    for token in value.split():
+        words = [w.lower() for w in _NAME.findall(token)]
+        if not words or words[0] in MODIFIERS and len(words) > 1:  # has-sidebar tells of another element
+            continue
+        if words[0] in NOT_TEXT and (len(words) == 1 or words[0] not in SUBJECTS or any(w in PARTS or w in NOT_TEXT or len(w) < 2 for w in words[1:])):
+            return True
+        if words[-1] in NOT_TEXT or not inside and NOT_TEXT_OUTSIDE.intersection(words):
+            return True
+    return False
+
+
 def _not_text(name: str, attributes: str, inside: bool) -> bool:
     if name in DROPPED or name == "header" and not inside:
         return True
@@ -77,8 +101,9 @@ def _not_text(name: str, attributes: str, inside: bool) -> bool:
         if key == "role" and value.lower() in NOT_TEXT_ROLES:
             return True
         if key in ("class", "id") and name not in ("html", "body", "article", "main"):
-            words = {w.lower() for w in _NAME.findall(value)}
-            if words & NOT_TEXT or not inside and words & NOT_TEXT_OUTSIDE:
+            if key == "id" and inside and name in TITLED:  # made from a title
+                continue
+            if _names_no_text(value, inside):
                 return True
     return False
 
@@ -156,21 +181,24 @@ def main_text(page: str) -> str:
     weights = [x.weight() for x in lines]
     sums = [sum(weights[max(0, k - WINDOW + 1) : k + 1]) for k in range(len(lines) + WINDOW - 1)]  # of windows that end at k
     keep = [False] * len(lines)
+    # Where nothing surges, the heaviest window is the text.
+    surge = min(SURGE, max(sums, default=0)) or SURGE
     k = 0
     while k < len(sums):
-        if sums[k] < SURGE:
+        if sums[k] < surge:
             k += 1
             continue
         start = max(0, k - WINDOW + 1)
-        while k < len(sums) and sums[k] >= SURGE:
+        while k < len(sums) and sums[k] >= surge:
             k += 1
         end = min(len(lines), k)
         span = [i for i in range(start, end) if weights[i]]
         firm = [i for i in span if lines[i].prose or lines[i].inside or weights[i] >= SURGE]
+        between = range(firm[0], firm[-1] + 1) if firm else ()
         if firm:  # a short line that isn't prose, before or after all that is firm, is outside
             span = [i for i in span if firm[0] <= i <= firm[-1]]
         for i in range(span[0], span[-1] + 1):  # lines without weight at the borders are before the surge or after the dive
-            keep[i] = bool(weights[i]) or lines[i].inside
+            keep[i] = bool(weights[i]) or lines[i].inside or lines[i].prose and i in between
     if any(keep[i] and lines[i].inside for i in range(len(lines))):
         keep = [k and x.inside for k, x in zip(keep, lines, strict=True)]
     return "\n".join(x.text for x, k in zip(lines, keep, strict=True) if k)
@@ -179,7 +207,7 @@ def main_text(page: str) -> str:
 def extract_text(pages: DataFrame, html_col: str = "html", to: str = "main_text") -> DataFrame:
     """The rows of pages with their main text in a column `to` (replacing one of that name).
 
-    A null or empty page, and one without text that surges, has the empty text. Broken markup is read as far as it goes:
+    A null or empty page, and one without text outside links, has the empty text. Broken markup is read as far as it goes:
     unclosed elements end with their parents, an unfinished tag at the end is dropped. Pages of any length are read
     whole; nothing is shuffled or gathered.
     """

@@ -177,6 +177,21 @@ def test_html(spark):
     assert html_text.extract_text(pages.filter("page_id > 9")).count() == 0
 
 
+def test_html_keeps_what_names_and_links_hide():
+    prose = "<p>Prose that is long enough to surge by itself, and then some more of it here.</p>"
+    text = "Prose that is long enough to surge by itself, and then some more of it here."
+    for inner in ('<section id="related-work">{}</section>', '<div class="legal-basis">{}</div>', '<h2 id="search-results">Found</h2>{}'):
+        assert text in html_text.main_text(f"<article>{inner.format(prose)}</article>")
+    assert "Found" in html_text.main_text(f'<article><h2 id="search-results">Found</h2>{prose}</article>')
+    for around in ('<div class="content has-sidebar">', '<div id="page" class="no-sidebar">', '<div class="with-menu">'):
+        assert html_text.main_text(f"<body>{around}{prose}</div>") == text
+    for name in ("sidebar", "site-footer", "related-posts", "share-buttons", "cookie-notice", "searchBox", "post-comments"):
+        assert html_text.main_text(f'<body>{prose}<div class="{name}">{prose.replace("Prose", "Other")}</div>') == text
+    linked = '<p><a href="/x">All of this paragraph is one link to elsewhere.</a></p>'
+    assert html_text.main_text(f"<body><div>{prose}{linked}{prose}</div>") == f"{text}\nAll of this paragraph is one link to elsewhere.\n{text}"
+    assert html_text.main_text("<body><div><p>Short text.</p></div>") == "Short text." and html_text.main_text("<body><a href=a>A</a>") == ""
+
+
 def test_packing(docs, empty):
     from tokenizers import Tokenizer
 
