@@ -11,7 +11,7 @@ from .fingerprints import fingerprint_with_next
 from .html_text import extract_text
 from .language_id import fit_language, identify_language
 from .line_dedup import LINES, drop_repeated_lines
-from .lm_scoring import score_documents, train
+from .lm_scoring import score_documents
 from .mixing import mix_sources
 from .ngram_join import ngram_components
 from .packing import pack_documents
@@ -52,8 +52,7 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
-    return score_documents(docs, train(docs))
+    return score_documents(read(spark, sf_dir, "documents"), word_tokenizer())
 
 
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
