@@ -265,47 +265,98 @@ def test_shares_and_flow():
     assert sum(map(sum, min_cost_flow([4], [[0]], [100], 3))) == 12
 
 
+def lm_model(texts, spark):
+    table = lm_scoring.token_table(rows_of(spark, texts), word_tokenizer())
+    return table, lm_scoring.train(table, 49152)
+
+
 def test_lm_scoring(spark, docs, empty):
     rng = np.random.default_rng(0)
-    texts = [" ".join(f"a{k % 9} b{k % 9}" for k in rng.integers(0, 9, 60)) for _ in range(150)]
-    table = rows_of(spark, texts).repartition(5)
-    model = lm_scoring.train(table)
-    score = lambda t: lm_scoring.score_documents(rows_of(spark, [t]), model).first()
-    good, bad = score(texts[0]), score(" ".join(np.random.default_rng(1).permutation(texts[0].split())))
-    assert good["mean_log_prob"] > bad["mean_log_prob"] and good["n_tokens"] == 120 and abs(good["log_prob"] / 120 - good["mean_log_prob"]) < 1e-9
-    near, token = lm_scoring.neighbours([model.tokens("a1 b1 zz")])
-    brute = 0.0
-    for x, t in zip(near, token, strict=True):
-        h = np.tanh(model.params[1] + sum(model.params[0][k][x[k]] for k in range(4)))
-        c = h @ model.params[2] + model.params[3]
-        w = h @ model.params[4][t // 64] + model.params[5][t // 64]
-        brute += c[t // 64] - np.log(np.exp(c).sum()) + w[t % 64] - np.log(np.exp(w).sum())
-    assert abs(model.log_probabilities(near, token).sum() - brute) < 1e-3
-    odd = {r["doc_id"]: r for r in lm_scoring.score_documents(docs, lm_scoring.train(docs)).collect()}
-    assert odd[1]["n_tokens"] == 0 and odd[1]["mean_log_prob"] is None and odd[2]["log_prob"] == 0
-    assert lm_scoring.score_documents(empty, lm_scoring.train(empty)).count() == 0
-
-
-def test_lm_learns_from_every_position(spark):
-    texts = ["one", "two", "", None, passage(1, 300), *(f"shared head of all texts, longer than sixty-four characters in any case, {passage(k, k)}" for k in range(1, 40))]
-    table = rows_of(spark, texts).repartition(3)
-    assert lm_scoring.train(table).learned == sum(len((t or "").split()) for t in texts)
-
-
-def test_lm_charges_words_within_their_shared_token(spark):
-    share = lambda w: zlib.crc32(w.encode()) % 256
-    common = [f"c{k}" for k in range(lm_scoring.SPELLED)]
-    first = "zfirst"
-    other = next(w for w in (f"z{k}" for k in range(9_999)) if share(w) == share(first))
-    unseen = next(w for w in (f"u{k}" for k in range(9_999)) if share(w) == share(first))
-    model = lm_scoring.train(rows_of(spark, [" ".join(common * 4), f"{first} {first} {first} {other}"]))
-    found = {r["doc_id"]: r for r in lm_scoring.score_documents(rows_of(spark, [first, other, unseen, "c7", f"{other} {other}", other], [0, 1, 2, 3, 4, 1]), model).collect()}
-    network = float(model.log_probabilities(*lm_scoring.neighbours([model.tokens(first)])).sum())
-    for k, part in ((0, 3 / 5), (1, 1 / 5), (2, 1 / 5)):
-        assert found[k]["log_prob"] == pytest.approx(network + np.log(part), abs=1e-5) and found[k]["log_prob"] == found[k]["mean_log_prob"]
-    assert found[3]["log_prob"] == pytest.approx(float(model.log_probabilities(*lm_scoring.neighbours([model.tokens("c7")])).sum()), abs=1e-5)
-    twice = float(model.log_probabilities(*lm_scoring.neighbours([model.tokens(f"{other} {other}")])).sum())
-    assert found[4]["log_prob"] == pytest.approx(twice + 2 * np.log(1 / 5), abs=1e-5) and found[4]["n_tokens"] == 2
+    texts = [" ".join(f"{'abcdefghi'[k]} {'rstuvwxyz'[k]}" for k in rng.integers(0, 9, 60)) for _ in range(150)]
+    _, model = lm_model(texts, spark)
+    tokens = packing.tokenizer(word_tokenizer())
+    shuffled = " ".join(np.random.default_rng(1).permutation(texts[0].split()))
+    good, bad = model.score([tokens.ids(texts[0]), tokens.ids(shuffled)])
+    assert good > bad + 50
+    odd = {r["doc_id"]: r for r in lm_scoring.score_documents(docs, word_tokenizer()).collect()}
+    assert odd[1]["n_tokens"] == 0 and odd[1]["mean_log_prob"] is None and odd[2]["log_prob"] == 0 and len(odd) == len(set(IDS))
+    assert odd[9]["log_prob"] == pytest.approx(odd[5]["log_prob"], rel=1e-5) and odd[9]["log_prob"] / odd[9]["n_tokens"] == odd[9]["mean_log_prob"]
+    assert lm_scoring.score_documents(empty, word_tokenizer()).count() == 0
+
+
+def test_lm_against_brute_force(spark):
+    """Every token's probability from both sides, summed by a plain loop; all tokens of the vocabulary together have 1."""
+    _, model = lm_model([passage(k, 80) for k in range(30)], spark)
+    docs = [packing.tokenizer(word_tokenizer()).ids(t) for t in (passage(3, 80), "w1", "", "unseen words 中", passage(50, 300))]
+    p, found = {k: v.astype(float) for k, v in model.params.items()}, model.score(docs)
+    for ids, score in zip(docs, found, strict=True):
+        ranks, brute = [int(model.rank[t]) for t in ids], 0.0
+        for k, t in enumerate(ranks):
+            x = p["bias"].copy()
+            for side, d in enumerate((-2, -1, 1, 2)):
+                near = ranks[k + d] if 0 <= k + d < len(ranks) else None
+                x += p["side"][side] * p["ins"][model.known + 1 if near is None else min(near, model.known)]
+            h = x / np.sqrt(1 + x * x)
+            e, f = p["cw"] @ h + p["cb"], p["ww"] @ h + p["wb"]
+            first = np.exp(e) / np.exp(e).sum()
+            every = []
+            for c, (lo, hi) in enumerate(zip(model.edges[:-1], model.edges[1:], strict=True)):
+                q = np.exp(f[lo:hi]) / np.exp(f[lo:hi]).sum() if hi <= model.known else np.full(hi - lo, 1 / (hi - lo))
+                every.append(first[c] * q)
+            every = np.concatenate(every)
+            assert abs(every.sum() - 1) < 1e-9
+            brute += np.log(every[t])
+        assert score == pytest.approx(brute, rel=1e-4, abs=1e-4)
+
+
+def test_lm_slopes_are_derivatives(spark):
+    tokens = packing.tokenizer(word_tokenizer())
+    docs = [tokens.ids(passage(k, 40)) for k in range(3)]
+    counts = np.bincount(np.concatenate(docs), minlength=49152)
+    learner = lm_scoring.Learner(lm_scoring.fresh(counts))
+    learner.model.params = {k: v.astype(np.float64) for k, v in learner.model.params.items()}
+    blocks = learner.model.blocks(docs)
+    loss = lambda: -float(learner.model.log_probabilities(blocks).astype(float).sum())
+    for name, at, slope in learner.slopes(blocks):
+        param = learner.model.params[name]
+        rows = np.arange(len(param))[at]
+        k = int(np.argmax(np.abs(slope if slope.ndim == 1 else slope.sum(axis=1))))
+        place = (rows[k],) if slope.ndim == 1 else (rows[k], int(np.argmax(np.abs(slope[k]))))
+        own = slope[(k, *place[1:])]
+        param[place] += 1e-2
+        up = loss()
+        param[place] -= 2e-2
+        down = loss()
+        param[place] += 1e-2
+        assert (up - down) / 2e-2 == pytest.approx(float(own), rel=2e-2, abs=2e-2), name
+
+
+def test_lm_learns_from_every_position_whatever_the_partitions(spark):
+    texts = ["one", "two", "", None, passage(1, 300), *(passage(k, 4 * k) for k in range(1, 60))]
+    found = []
+    for n in (2, 6):
+        table = lm_scoring.token_table(rows_of(spark, texts).repartition(n), word_tokenizer())
+        model = lm_scoring.train(table, 49152, shard=700)
+        assert model.learned == sum(len(packing.tokenizer(word_tokenizer()).ids(t or "")) for t in texts)
+        found.append({r["doc_id"]: r["log_prob"] for r in lm_scoring.score_tokens(table, model).collect()})
+    assert found[0] == pytest.approx(found[1], rel=1e-5)
+
+
+def test_lm_averages_rows_by_how_often_they_were_met(spark):
+    rng, width, rows = np.random.default_rng(0), lm_scoring.HIDDEN, []
+    total, change = np.zeros(600), np.zeros((600, width))
+    for part in range(70):
+        at = np.sort(rng.choice(600, 300, replace=False))
+        met, moved = rng.integers(1, 50, len(at)).astype(float), rng.normal(size=(len(at), width)).astype(np.float16)
+        total[at] += met
+        change[at] += met[:, None] * moved
+        for s in range(3):
+            own = at // lm_scoring.SLICE == s
+            rows.append((s, part, 1, at[own].astype("<i4").tobytes(), met[own].tobytes(), moved[own].tobytes()))
+    found = np.zeros((600, width))
+    for r in lm_scoring._averaged(spark.createDataFrame(rows, lm_scoring._CHANGE), 70).collect():
+        found[np.frombuffer(r["at"], "<i4")] = np.frombuffer(r["change"], np.float16).reshape(-1, width)
+    assert np.abs(found - change / np.maximum(total, 1)[:, None]).max() < 5e-3
 
 
 def test_fingerprints(docs, empty, spark):
