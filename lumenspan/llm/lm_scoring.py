@@ -31,12 +31,12 @@ from .packing import tokenizer
 
 SPAN = 2  # tokens on each side
 SIDES = (*range(-SPAN, 0), *range(1, SPAN + 1))
-HIDDEN = 24
-BLOCK, TOGETHER = 64, 128  # positions of a block, blocks of a step
+HIDDEN = 16
+BLOCK, TOGETHER = 64, 256  # positions of a block, blocks of a step
 ROUNDS = 4  # each document takes part in one of them
 SHARD = 1_000_000  # tokens that a shard of a round has, on average
 RATE = 0.1
-STEEP = 60.0  # logits beyond count as this
+LARGEST = 3.0  # of any weight, and 8 times that of any bias: keeps all logits in the range of single precision
 SLICE = 256  # rows of parameters that are averaged together
 FAN_IN = 32  # shards whose slice a task averages
 KINDS = ("ins", "side", "bias", "cw", "cb", "ww", "wb")
@@ -129,7 +129,6 @@ class WindowModel:
 
 
 def _log_softmax(x: np.ndarray, at: np.ndarray) -> np.ndarray:
-    np.clip(x, -STEEP, STEEP, out=x)
     own = x[np.arange(len(at)), at]
     np.exp(x, out=x)
     return own - np.log(x @ np.ones(x.shape[1], np.float32))
@@ -137,7 +136,6 @@ def _log_softmax(x: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 def _less_softmax(x: np.ndarray, at: np.ndarray) -> np.ndarray:
     """The softmax less 1 at the right places: the slope of the negative log-probability."""
-    np.clip(x, -STEEP, STEEP, out=x)
     np.exp(x, out=x)
     x /= (x @ np.ones(x.shape[1], np.float32))[:, None]
     x[np.arange(len(at)), at] -= 1
@@ -198,10 +196,10 @@ class Learner:
             moved, param = self.moved[name], self.model.params[name]
             if moved.ndim == param.ndim:
                 moved[at] += slope * slope
-                param[at] -= rate * slope / np.sqrt(moved[at] + 1e-6)
+                param[at] = np.clip(param[at] - rate * slope / np.sqrt(moved[at] + 1e-6), -8 * LARGEST, 8 * LARGEST)
             else:
                 moved[at] += (slope * slope).mean(axis=1)
-                param[at] -= slope * (rate / np.sqrt(moved[at] + 1e-6))[:, None]
+                param[at] = np.clip(param[at] - slope * (rate / np.sqrt(moved[at] + 1e-6))[:, None], -LARGEST, LARGEST)
 
     def learn(self, docs: list[np.ndarray], rate: float, seed: int) -> None:
         """From every position once, in blocks in an order by seed."""
@@ -307,7 +305,7 @@ def train(tokens: DataFrame, vocabulary: int, shard: int = SHARD) -> WindowModel
     if not total:
         return model
     shards = -(-total // (ROUNDS * shard))
-    dealt = tokens.filter("n_tokens > 0").select(F.pmod("deal", F.lit(ROUNDS)).alias("round"), F.pmod(F.floor(F.col("deal") / ROUNDS), F.lit(shards)).alias("shard"), "deal", "n_tokens", "ids")
+    dealt = tokens.filter("n_tokens > 0").select(F.pmod("deal", F.lit(ROUNDS)).alias("round"), F.pmod(F.shiftrightunsigned("deal", ROUNDS.bit_length()), F.lit(shards)).alias("shard"), "deal", "n_tokens", "ids")
     for k in range(ROUNDS):
         learnt = dealt.filter(F.col("round") == k).repartition(2 * shards, "shard").groupBy("shard").applyInPandas(_learn(spark.sparkContext.broadcast(model), k), _CHANGE)
         changes = cut(learnt, "changes")
