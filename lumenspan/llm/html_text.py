@@ -2,15 +2,19 @@
 
 Markup is stripped to lines, one for each block element; parts that are never article text (scripts, forms, navigation,
 what a class, id or role names as an advert, menu, notice or the like) are stripped with it. A line weighs its characters
-outside links, and more if its element is one for prose. Weights are summed over sliding windows of lines; where the sum
-surges the text starts, where it dives it ends, and the lines between are kept.
+outside links; an element for prose and being inside an article add less than a window needs. Weights are summed over
+sliding windows of lines; where the sum surges the text starts, where it dives it ends, and the lines between are kept.
+Of what is kept, lines outside an article go only if those inside hold most of the characters.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -19,7 +23,7 @@ from pyspark.sql import functions as F
 WINDOW = 3  # lines whose weights are summed
 SURGE = 90  # weight of a window in which text starts
 PROSE = 45  # weight of an element for prose, besides its characters
-INSIDE = 200  # weight of being inside an article, besides its characters
+INSIDE = 30  # weight of being inside an article; with PROSE less than SURGE
 
 # The elements and words of page structure.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -51,8 +55,9 @@ MODIFIERS = frozenset("has have no not with without is".split())
 NOT_TEXT_OUTSIDE = frozenset("header head site-header".split())
 NOT_TEXT_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?\]\]>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[/!?][^>]*>?", re.S)
-_ATTRIBUTE = re.compile(r"(class|id|role|style|hidden|aria-hidden)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
+_TAG = re.compile(r"</?[a-zA-Z][^\s/>]*")
+_QUOTED_OR_END = re.compile(r"[>\"']")
+_ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
@@ -64,6 +69,30 @@ class Element:
     link: bool
 
 
+class Block:
+    """An open block element and the inline elements that are open in it."""
+
+    def __init__(self, element: Element, prose: bool):
+        self.element, self.prose = element, prose
+        self.inline: list[Element] = []
+        self.names: Counter = Counter()
+
+    def top(self) -> Element:
+        return self.inline[-1] if self.inline else self.element
+
+    def open(self, element: Element) -> None:
+        self.inline.append(element)
+        self.names[element.name] += 1
+
+    def close(self, name: str) -> None:
+        """Up to the nearest inline element of that name; nothing if there is none."""
+        while self.names[name]:
+            gone = self.inline.pop().name
+            self.names[gone] -= 1
+            if gone == name:
+                return
+
+
 @dataclass
 class Line:
     text: str
@@ -108,78 +137,129 @@ def _not_text(name: str, attributes: str, inside: bool) -> bool:
     return False
 
 
+def _tokens(page: str) -> Iterator[tuple[str, str, str]]:
+    """("text", its text, ""), ("open", name, attributes) and ("close", name, ""), in time linear in the page's length.
+
+    A quote in a tag that isn't closed before the last > is an ordinary character. A tag without an end is dropped, with all
+    after it; so is an unclosed comment. What looks like a tag but isn't one is text.
+    """
+    at, n, last, cdata, low = 0, len(page), page.rfind(">"), True, None
+    while at < n:
+        start = page.find("<", at)
+        if start < 0:
+            yield "text", page[at:], ""
+            return
+        following = page[start + 1 : start + 2]
+        found = _TAG.match(page, start) if following == "/" or following.isalpha() else None
+        if not found and following not in ("!", "?") and not (following == "/" and start + 2 < n):
+            yield "text", page[at : start + 1], ""
+            at = start + 1
+            continue
+        if start > at:
+            yield "text", page[at:start], ""
+        if not found:  # a comment, a declaration or the like
+            end = -1
+            if page.startswith("<!--", start):
+                end = page.find("-->", start + 4)
+                at = n if end < 0 else end + 3
+                continue
+            if cdata and page.startswith("<![CDATA[", start):
+                end = page.find("]]>", start)
+                cdata = end >= 0
+            at = end + 3 if end >= 0 else (page.find(">", start) + 1 or n)
+            continue
+        end = found.end()
+        while True:
+            sign = _QUOTED_OR_END.search(page, end) if end <= last else None
+            if sign is None:
+                return
+            end = sign.end()
+            if sign[0] == ">":
+                break
+            close = page.find(sign[0], end)
+            if 0 <= close < last:
+                end = close + 1
+        name = found[0].strip("</").lower()
+        at = end
+        if found[0].startswith("</"):
+            yield "close", name, ""
+            continue
+        yield "open", name, page[found.end() : end - 1]
+        if name in RAW:  # its content isn't markup
+            low = page.lower() if low is None else low
+            end = low.find(f"</{name}", at)
+            if end < 0 or (at := page.find(">", end) + 1) == 0:
+                return
+
+
 def page_lines(page: str) -> list[Line]:
     """A line for each block with text, without what is never article text."""
-    stack, lines = [Element("", False, False, False)], []
+    blocks, opened, lines = [Block(Element("", False, False, False), False)], Counter(), []
     parts: list[tuple[str, bool]] = []
     prose = False
 
-    def close() -> None:
+    def end_line() -> None:
         nonlocal prose
-        text = " ".join(entities.unescape("".join(t for t, _ in parts)).split())
+        text = " ".join("".join(t for t, _ in parts).split())
         if text:
-            links = len(" ".join(entities.unescape("".join(t for t, a in parts if a)).split()))
-            lines.append(Line(text, links, prose, stack[-1].inside))
+            links = len(" ".join("".join(t for t, a in parts if a).split()))
+            lines.append(Line(text, links, prose, blocks[-1].element.inside))
         parts.clear()
         prose = False
 
-    def pop(depth: int) -> None:
-        del stack[depth:]
+    def end_block() -> str:
+        name = blocks.pop().element.name
+        opened[name] -= 1
+        return name
 
-    at, n, low = 0, len(page), None
-    while at < n:
-        found = _TOKEN.search(page, at)
-        text = page[at : found.start()] if found else page[at:]
-        if text and not stack[-1].dropped:
-            if found is None and "<" in text and ">" not in text[text.rindex("<") :]:
-                text = text[: text.rindex("<")] if re.match(r"</?[a-zA-Z]", text[text.rindex("<") :]) else text
-            parts.append((text, stack[-1].link))
-            prose |= any(e.name in PROSE_BLOCKS for e in stack[-4:]) and bool(text.strip())
-        if not found:
-            break
-        at, name = found.end(), (found[2] or "").lower()
-        if not name:
+    for kind, name, attributes in _tokens(page):
+        block = blocks[-1]
+        above = block.top()
+        if kind == "text":
+            if not above.dropped:
+                parts.append((entities.unescape(name), above.link))
+                prose |= block.prose and bool(name.strip())
             continue
         if name in BLOCKS:
-            close()
+            end_line()
         elif name == "br":
             parts.append((" ", False))
-        if found[1]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].name == name:
-                    pop(k)
-                    break
-                if name not in BLOCKS and stack[k].name in BLOCKS:
-                    break  # an inline end tag doesn't close blocks
+        if kind == "close":
+            if name not in BLOCKS:  # an inline end tag doesn't close blocks
+                block.close(name)
+            elif opened[name]:
+                while end_block() != name:
+                    pass
             continue
-        if name in BLOCKS and stack[-1].name != "":
-            for k in range(len(stack) - 1, 0, -1):  # a block ends an open paragraph or heading, a list item the one before
-                if stack[k].name in CLOSED_BY_BLOCK or name == "li" and stack[k].name == "li" or name in ("dt", "dd") and stack[k].name in ("dt", "dd"):
-                    pop(k)
-                    break
-                if stack[k].name in BLOCKS:
-                    break
-        above = stack[-1]
-        if name in RAW:  # its content isn't markup
-            low = page.lower() if low is None else low
-            end = low.find(f"</{name}", at)
-            at = n if end < 0 else end
-            if end >= 0:
-                at = page.find(">", end) + 1 or n
-            continue
-        if name in VOID or found[3].endswith("/") and name not in BLOCKS:
+        if name in RAW or name in VOID or attributes.endswith("/") and name not in BLOCKS:
             continue
-        inside = above.inside or name in ("article", "main")
-        stack.append(Element(name, above.dropped or _not_text(name, found[3], above.inside), inside, above.link or name == "a"))
-    close()
+        if name in BLOCKS:  # ends an open paragraph or heading, a list item the one before
+            own = block.element.name
+            if own in CLOSED_BY_BLOCK or name == own == "li" or name in ("dt", "dd") and own in ("dt", "dd"):
+                end_block()
+                block = blocks[-1]
+                above = block.top()
+        element = Element(name, above.dropped or _not_text(name, attributes, above.inside), above.inside or name in ("article", "main"), above.link or name == "a")
+        if name in BLOCKS:
+            blocks.append(Block(element, block.prose or name in PROSE_BLOCKS))
+            opened[name] += 1
+        else:
+            block.open(element)
+    end_line()
     return lines
 
 
+def window_sums(weights: list[int]) -> list[int]:
+    """Sums of the windows that end at each line, and of those that reach beyond the last one."""
+    before = [0, *accumulate(weights)]
+    return [before[min(k + 1, len(weights))] - before[max(0, k - WINDOW + 1)] for k in range(len(weights) + WINDOW - 1)]
+
+
 def main_text(page: str) -> str:
     """The lines between surge and dive points, joined by line breaks; empty if there is no such text."""
     lines = page_lines(page)
     weights = [x.weight() for x in lines]
-    sums = [sum(weights[max(0, k - WINDOW + 1) : k + 1]) for k in range(len(lines) + WINDOW - 1)]  # of windows that end at k
+    sums = window_sums(weights)
     keep = [False] * len(lines)
     # Where nothing surges, the heaviest window is the text.
     surge = min(SURGE, max(sums, default=0)) or SURGE
@@ -199,17 +279,21 @@ def main_text(page: str) -> str:
             span = [i for i in span if firm[0] <= i <= firm[-1]]
         for i in range(span[0], span[-1] + 1):  # lines without weight at the borders are before the surge or after the dive
             keep[i] = bool(weights[i]) or lines[i].inside or lines[i].prose and i in between
-    if any(keep[i] and lines[i].inside for i in range(len(lines))):
-        keep = [k and x.inside for k, x in zip(keep, lines, strict=True)]
-    return "\n".join(x.text for x, k in zip(lines, keep, strict=True) if k)
+    kept = [x for x, k in zip(lines, keep, strict=True) if k]
+    inside = sum(len(x.text) for x in kept if x.inside)
+    if 2 * inside >= sum(len(x.text) for x in kept):
+        kept = [x for x in kept if x.inside] or kept
+    return "\n".join(x.text for x in kept)
 
 
 def extract_text(pages: DataFrame, html_col: str = "html", to: str = "main_text") -> DataFrame:
     """The rows of pages with their main text in a column `to` (replacing one of that name).
 
     A null or empty page, and one without text outside links, has the empty text. Broken markup is read as far as it goes:
-    unclosed elements end with their parents, an unfinished tag at the end is dropped. Pages of any length are read
-    whole; nothing is shuffled or gathered.
+    unclosed elements end with their parents, an unfinished tag at the end is dropped, a quote without its end is an ordinary
+    character. Pages of any length are read whole, in time linear in their length; nothing is shuffled or gathered. Rows that
+    repeat get equal texts; an empty table gives no rows. An element goes with all in it if its name, role or style, or a
+    whole class or id (`share-buttons`, not `share-price`) names it as what is never article text.
     """
 
     @F.pandas_udf("string")
