@@ -16,20 +16,33 @@ from pyspark.sql import functions as F
 from .common import cut, text_of
 
 
+HOT, SALTS = 1000, 64
+
+
+def _join_counts(rows: DataFrame, groups: DataFrame, keys: list[str], total: int) -> DataFrame:
+    """rows with what groups (a written table) says of their keys, or nulls."""
+    hot = [r[0] for r in groups.filter(F.col("n") > max(SALTS, total / HOT)).select(F.xxhash64(*keys)).collect()]
+    if not hot:
+        return rows.join(groups, keys, "left")
+    is_hot = F.xxhash64(*keys).isin(hot)
+    salted = groups.withColumn("salt", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+    return rows.withColumn("salt", F.when(is_hot, F.pmod(F.xxhash64("rid"), F.lit(SALTS)).cast("int")).otherwise(0)).join(salted, [*keys, "salt"], "left").drop("salt")
+
+
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", first_block: int = 32, growth: int = 4) -> DataFrame:
     """One row per input row: id, keep_id (largest id among the equal texts), group_size, kept, text_sha256.
 
     A null text counts as empty, so null and empty texts are one group. A null id is below every other id. Of rows that
     repeat id and text, one is kept. Other columns are not read, whatever their names. An empty table gives no rows.
-    The counts of a group are combined before they are shuffled, and the join that brings them back to the rows is a
-    plain equi-join. Adaptive execution may split its skewed partitions, but where it doesn't, the rows of a hot group meet
-    in one task, which streams over them.
+    The counts of a group are combined before they are shuffled. In the equi-joins that bring them back to the rows, the
+    rows of a hot group (over 1 / HOT of all) are dealt to SALTS parts and its counts are repeated for each of them. There
+    are fewer than HOT such groups, so the driver gets at most so many hashes; they only deal rows, and the keys decide.
     """
     base = docs.select(F.col(id_col).alias("id"), text_of(text_col).cast("binary").alias("body"))
-    head = F.substring("body", 1, first_block)
-    shared = base.groupBy(head.alias("head")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("head", F.lit(True).alias("open"))
+    base = base.withColumns({"head": F.substring("body", 1, first_block), "rid": F.monotonically_increasing_id()})
+    shared = cut(base.groupBy("head").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "heads")
     state = cut(
-        base.withColumn("head", head).join(shared, "head", "left").select("id", F.sha2("body", 256).alias("sha"), F.monotonically_increasing_id().alias("rid"), F.lit(0).cast("long").alias("gid"), F.when(F.col("open"), F.col("body")).alias("rest")), "radix"
+        _join_counts(base, shared, ["head"], base.count()).select("id", F.sha2("body", 256).alias("sha"), "rid", F.lit(0).cast("long").alias("gid"), F.when(F.col("n") > 1, F.col("body")).alias("rest")), "radix"
     )
     settled = [state.filter("rest is null").select("id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("n"), F.lit(True).alias("kept"), "sha")]
     state, block = state.filter("rest is not null"), first_block * growth
@@ -39,7 +52,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             F.count(F.lit(1)).alias("n"), F.max("id").alias("top"), F.coalesce(F.max_by("rid", "id"), F.max("rid")).alias("top_rid"), F.max("rid").alias("next_gid")
         )
         known = cut(
-            keyed.join(groups.filter("n > 1"), ["gid", "block", "ended"], "left").select(
+            _join_counts(keyed, cut(groups.filter("n > 1"), "groups"), ["gid", "block", "ended"], state.count()).select(
                 "id", "sha", "rid", F.col("next_gid").alias("gid"), F.when(~F.col("ended") & F.col("n").isNotNull(), F.substring("rest", block + 1, 2**31 - 1)).alias("rest"),
                 F.when(F.col("n").isNull(), F.col("id")).otherwise(F.col("top")).alias("keep_id"), F.coalesce("n", F.lit(1)).alias("n"), (F.coalesce("top_rid", "rid") == F.col("rid")).alias("kept"),
             ), "radix",
