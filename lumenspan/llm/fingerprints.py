@@ -11,6 +11,8 @@ share.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,22 +29,34 @@ def pieces(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(PIECES), F.lit(0))
 
 
+def _modulo(lane: Column) -> Column:
+    """Both components of a lane modulo 2^31, for a sum of so few that the lower one didn't carry."""
+    return lane.bitwiseAND(F.lit((1 << 2 * HALF) - 1))
+
+
 def lane_sums(piece: Column) -> list[Column]:
     """Aggregates: the summed vector of a group's pieces (a null piece adds nothing), and how many there are."""
     mask = (1 << HALF) | 1
     hashes = [F.xxhash64(F.lit(seed), piece) for seed in range(SEEDS)]
-    lanes = [F.sum(F.when(piece.isNotNull(), F.shiftrightunsigned(h, j).bitwiseAND(F.lit(mask))).otherwise(F.lit(0))) for h in hashes for j in range(HALF)]
+    lanes = [_modulo(F.sum(F.when(piece.isNotNull(), F.shiftrightunsigned(h, j).bitwiseAND(F.lit(mask))).otherwise(F.lit(0)))) for h in hashes for j in range(HALF)]
     return [F.array(*lanes).alias("lanes"), F.count(piece).alias("pieces")]
 
 
+def _each(x: Column, y: Column, of: Callable[[Column, Column], Column]) -> Column:
+    """Both components of two lanes, modulo 2^31 each."""
+    most = F.lit((1 << HALF) - 1)
+    low, high = of(x.bitwiseAND(most), y.bitwiseAND(most)), of(F.shiftright(x, HALF), F.shiftright(y, HALF))
+    return F.shiftleft(high.bitwiseAND(most), HALF).bitwiseOR(low.bitwiseAND(most))
+
+
 def add(a: Column, b: Column) -> Column:
     """The fingerprint vector of both multisets together."""
-    return F.zip_with(a, b, lambda x, y: x + y)
+    return F.zip_with(a, b, lambda x, y: _each(x, y, lambda u, v: u + v))
 
 
 def subtract(a: Column, b: Column) -> Column:
     """The fingerprint vector of a after deleting the pieces of b, which a holds."""
-    return F.zip_with(a, b, lambda x, y: x - y)
+    return F.zip_with(a, b, lambda x, y: _each(x, y, lambda u, v: u - v))
 
 
 def spell(lanes: Column, n: Column) -> Column:
