@@ -96,9 +96,9 @@ ORACLES = {
     """,
     "op10_line_dedup": rf"""
         WITH docs AS (
-            SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS body, text IS NULL AS absent FROM documents
-        ), split AS (
-            SELECT r, doc_id, regexp_extract_all(body, '{LINES}') AS u, list_transform(regexp_extract_all(body, '{LINES}'), lambda x: regexp_replace(x, '\s+$', '')) AS bare FROM docs WHERE body <> ''
+            SELECT DISTINCT doc_id, text, coalesce(text, '') AS body FROM documents
+        ), numbered AS (SELECT row_number() OVER (ORDER BY doc_id NULLS FIRST, body) AS r, * FROM docs), split AS (
+            SELECT r, doc_id, regexp_extract_all(body, '{LINES}') AS u, list_transform(regexp_extract_all(body, '{LINES}'), lambda x: regexp_replace(x, '\s+$', '')) AS bare FROM numbered WHERE body <> ''
         ), starts AS (
             SELECT r, doc_id, bare, unnest(range(0, greatest(len(bare) - 3, 0) + 1)) AS pos FROM split WHERE len(bare) > 0
         ), windows AS (
@@ -106,9 +106,9 @@ ORACLES = {
         ), later AS (
             SELECT r, pos FROM windows WHERE length(t) >= 40 QUALIFY row_number() OVER (PARTITION BY t ORDER BY doc_id, r, pos) > 1
         ), gone AS (SELECT r, list(DISTINCT pos + k) AS g FROM later, range(0, 3) AS s(k) GROUP BY r)
-        SELECT d.doc_id, CASE WHEN g.r IS NULL THEN CASE WHEN d.absent THEN NULL ELSE d.body END
+        SELECT e.doc_id, CASE WHEN g.r IS NULL THEN e.text
                  ELSE coalesce(array_to_string(list_filter(s.u, lambda x, i: NOT list_contains(g.g, i - 1)), ''), '') END AS text,
                coalesce(len(s.u), 0)::INT AS n_lines, coalesce(len(list_filter(g.g, lambda x: x < len(s.u))), 0)::INT AS n_removed
-        FROM docs d LEFT JOIN split s USING (r) LEFT JOIN gone g USING (r)
+        FROM documents e JOIN numbered d ON d.doc_id IS NOT DISTINCT FROM e.doc_id AND d.text IS NOT DISTINCT FROM e.text LEFT JOIN split s USING (r) LEFT JOIN gone g USING (r)
     """,
 }
