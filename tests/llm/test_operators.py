@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import zlib
 from bisect import bisect_left
 from collections import Counter, defaultdict
@@ -63,6 +64,15 @@ def test_exact_dedup(docs, empty):
     assert kept == dict.fromkeys(groups, 1)
 
 
+def test_exact_dedup_deals_hot_groups(spark):
+    texts = [BASE] * 300 + [f"{BASE} {k}" for k in range(40)] + ["x"] * 90 + [None, ""]
+    found = exact_dedup(rows_of(spark, texts).repartition(3), first_block=8).collect()
+    groups = defaultdict(list)
+    for k, t in enumerate(texts):
+        groups[t or ""].append(k)
+    assert {r["doc_id"]: (r["keep_id"], r["group_size"], r["kept"]) for r in found} == {k: (max(own), len(own), k == max(own)) for own in groups.values() for k in own}
+
+
 def shingles(text):
     w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     return {tuple(w[k : k + 5]) for k in range(len(w) - 4)} or ({tuple(w)} if w else set())
@@ -192,6 +202,39 @@ def test_html_keeps_what_names_and_links_hide():
     assert html_text.main_text("<body><div><p>Short text.</p></div>") == "Short text." and html_text.main_text("<body><a href=a>A</a>") == ""
 
 
+def test_html_attributes_and_references_are_read_exactly():
+    prose = "Prose that is long enough to surge by itself, and then some more of it here, until the line ends."
+    for start in ('<p data-class="menu">', '<p data-hidden-id="x">', '<p title="class=menu">', '<p class="share-price">', '<p id="copyright-law">'):
+        assert html_text.main_text(f"<article>{start}{prose}</p></article>") == prose
+    assert html_text.main_text(f"<p>{prose} &l<i>t;</i> &lt;b&gt;</p>") == f"{prose} &lt; <b>"
+    # The sums decide: a short line in an element for the main text doesn't take all else away.
+    page = f"<p>{prose}</p><p>{prose}</p><main><p>Ok.</p></main>"
+    assert html_text.main_text(page) == f"{prose}\n{prose}\nOk."
+    assert html_text.main_text(f"<div>Unmarked words before.</div><article><p>{prose}</p><p>End.</p></article><p>After all.</p>") == f"{prose}\nEnd."
+
+
+def test_html_windows_against_brute_force():
+    rng = np.random.default_rng(3)
+    for n in range(40):
+        weights = rng.integers(0, 99, n).tolist()
+        padded = [0] * (html_text.WINDOW - 1) + weights + [0] * (html_text.WINDOW - 1)
+        assert html_text.window_sums(weights) == [sum(padded[k : k + html_text.WINDOW]) for k in range(n + html_text.WINDOW - 1)]
+    # No tag, no name: where paragraphs are long the text is, and short lines before and after are not.
+    short, long = [f"<div>Item {k}</div>" for k in range(9)], [f"<div>{passage(k, 30)}</div>" for k in range(4)]
+    found = html_text.main_text("".join(short + long + short))
+    assert found == "\n".join(passage(k, 30) for k in range(4))
+
+
+@pytest.mark.parametrize("page", ['<p class="x>some text </p>' * 40_000, "<a 'x <b \"y " * 80_000, "<b>" * 150_000 + "</i>" * 150_000, "<div>" * 100_000 + "</p>" * 100_000, "<![CDATA[ x" * 90_000, "<" * 500_000])
+def test_html_takes_linear_time_on_broken_pages(page):
+    def seconds(text):
+        start = time.process_time()
+        html_text.main_text(text)
+        return time.process_time() - start
+
+    assert seconds(page) < 10 * seconds(page[: len(page) // 4]) + 0.5
+
+
 def test_packing(docs, empty):
     from tokenizers import Tokenizer
 
@@ -394,6 +437,15 @@ def test_fingerprints_are_homomorphic(spark):
     assert joined["sum"] == both and joined["less"] == a
 
 
+def test_fingerprint_vectors_are_added_modulo_powers(spark):
+    most, half = (1 << 31) - 1, 31
+    cases = [(most, 1), (0, 1), (most << half | most, most << half | most), (5 << half | 3, 7 << half | 9)]
+    table = spark.createDataFrame([([a], [b]) for a, b in cases], "a array<long>, b array<long>")
+    for (a, b), r in zip(cases, table.select(add(F.col("a"), F.col("b")).alias("s"), subtract(F.col("a"), F.col("b")).alias("d")).collect(), strict=True):
+        for got, sign in ((r["s"][0], 1), (r["d"][0], -1)):
+            assert got & most == ((a & most) + sign * (b & most)) & most and got >> half == ((a >> half) + sign * (b >> half)) & most
+
+
 def test_quality(spark, docs, empty):
     rng = np.random.default_rng(5)
     texts = [passage(k, int(rng.integers(20, 90))) if k % 2 else "!!! $$$ " * int(rng.integers(3, 30)) for k in range(300)]
@@ -433,5 +485,7 @@ def test_line_dedup(spark, docs, empty):
     assert [found[k]["text"] or "" for k in range(len(texts))] == brute_lines(list(enumerate(texts)))
     assert found[3]["text"] == texts[3] and found[5]["text"] is None and found[4]["text"] == "" and found[0]["n_removed"] == 0
     assert drop_repeated_lines(docs).count() == len(TEXTS) + 1 and drop_repeated_lines(empty).count() == 0
+    twice = drop_repeated_lines(rows_of(spark, [shared, shared, BASE, BASE], [3, 3, 4, 5]))
+    assert sorted((r["doc_id"], r["n_removed"] > 0) for r in twice.collect()) == [(3, False), (3, False), (4, False), (5, True)]
     carried = drop_repeated_lines(docs, carry=("key", "body", "n_chars")).first()
     assert carried["carried"]["key"] == "k"
