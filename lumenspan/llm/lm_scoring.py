@@ -71,17 +71,16 @@ class WindowModel:
 
     def _rows(self, blocks: np.ndarray) -> np.ndarray:
         """Rows of the input vectors: those of known tokens, and a last one for all else."""
-        return np.minimum(blocks, self.known + (blocks == self.wall)) if self.known + 1 < self.wall else blocks
+        return np.minimum(blocks, blocks.dtype.type(self.known) + (blocks == self.wall)) if self.known + 1 < self.wall else blocks
 
     def _hidden(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Input vectors, the squashed sum x / sqrt(1 + x * x) of every position, and that root."""
-        side = self.params["side"]
-        inner = self.params["ins"].take(rows, axis=0)
-        x = inner[:, :BLOCK] * side[0]
+        """Input vectors, the squashed sum x / sqrt(1 + x * x) of every position, and that root; a row for each block."""
+        inner = self.params["ins"].take(rows, axis=0).reshape(len(rows), -1)
+        x = inner[:, _near(-SPAN)] * np.tile(self.params["side"][0], BLOCK)
         root = np.empty_like(x)
         for k, d in enumerate(SIDES[1:], 1):
-            x += np.multiply(inner[:, SPAN + d : SPAN + d + BLOCK], side[k], out=root)
-        x += self.params["bias"]
+            x += np.multiply(inner[:, _near(d)], np.tile(self.params["side"][k], BLOCK), out=root)
+        x += np.tile(self.params["bias"], BLOCK)
         np.multiply(x, x, out=root)
         root += 1
         np.sqrt(root, out=root)
@@ -128,6 +127,11 @@ class WindowModel:
         return sums[ends] - sums[ends - sizes]
 
 
+def _near(d: int) -> slice:
+    """Of a block's input vectors in one row, those at distance d of its positions."""
+    return slice((SPAN + d) * HIDDEN, (SPAN + d + BLOCK) * HIDDEN)
+
+
 def _log_softmax(x: np.ndarray, at: np.ndarray) -> np.ndarray:
     own = x[np.arange(len(at)), at]
     np.exp(x, out=x)
@@ -176,13 +180,11 @@ class Learner:
         np.multiply(root, root, out=hidden)
         hidden *= root
         dx /= hidden
-        one = np.ones(len(flat), np.float32)
-        found.append(("bias", every, one @ flat))
+        found.append(("bias", every, dx.sum(axis=0).reshape(BLOCK, HIDDEN).sum(axis=0)))
         back, by_side = np.zeros_like(inner), np.empty_like(p["side"])
         for k, d in enumerate(SIDES):
-            near = slice(SPAN + d, SPAN + d + BLOCK)
-            back[:, near] += np.multiply(dx, p["side"][k], out=root)
-            by_side[k] = one @ np.multiply(dx, inner[:, near], out=root).reshape(-1, HIDDEN)
+            back[:, _near(d)] += np.multiply(dx, np.tile(p["side"][k], BLOCK), out=root)
+            by_side[k] = np.multiply(dx, inner[:, _near(d)], out=root).sum(axis=0).reshape(BLOCK, HIDDEN).sum(axis=0)
         found.append(("side", every, by_side))
         v = rows.ravel()
         order = np.argsort(v, kind="stable")
