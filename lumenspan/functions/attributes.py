@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
-from decimal import Decimal
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -16,9 +16,15 @@ KINDS = {"internal": 1, "server": 2, "client": 3, "producer": 4, "consumer": 5}
 STATUSES = {"unset": 0, "ok": 1, "error": 2}
 
 
+def _key(key: str) -> Column:
+    if '"' in key:
+        raise ValueError(f"a key can't have a double quote: {key}")
+    return F.lit(key)
+
+
 def value(attributes: str, key: str) -> Column:
     """The JSON text of an attribute, null if it is missing."""
-    return F.try_element_at(F.col(attributes), F.lit(key))
+    return F.try_element_at(F.col(attributes), _key(key))
 
 
 def json_type(text: Column) -> Column:
@@ -29,37 +35,54 @@ def json_type(text: Column) -> Column:
 
 def text_of(text: Column) -> Column:
     """The value as text: a string without its quotes and escapes, a boolean as 1 or 0, null as null."""
-    string = F.from_json(F.concat(F.lit("["), text, F.lit("]")), "array<string>")[0]
+    escaped = F.from_json(F.concat(F.lit("["), text, F.lit("]")), "array<string>")[0]
+    string = F.when(F.contains(text, F.lit("\\")), escaped).otherwise(F.substring(text, F.lit(2), F.length(text) - 2))
     return F.when(text.startswith('"'), string).when(text == "true", "1").when(text == "false", "0").when(text != "null", text)
 
 
-def number_of(text: Column) -> Column:
-    """Numbers, and booleans as 1 and 0, as exact decimals; null for all else."""
-    return F.when(text == "true", F.lit(Decimal(1))).when(text == "false", F.lit(Decimal(0))).when(~text.rlike(r'^["\[{n]'), text.try_cast("decimal(38,9)"))
+def _is_whole(text: Column) -> Column:
+    return text.rlike(r"^-?[0-9]{1,38}$|^true$|^false$")
+
+
+def _number(text: Column, kind: str) -> Column:
+    """Numbers, and booleans as 1 and 0, as a decimal or a double; null for all else."""
+    one, zero = F.lit(1).cast(kind), F.lit(0).cast(kind)
+    return F.when(text == "true", one).when(text == "false", zero).when(text.rlike(r"^-?[0-9]"), text.try_cast(kind))
+
 
+def is_number(text: Column) -> Column:
+    return text.rlike(r"^-?[0-9]|^true$|^false$")
 
-def _decimal(x: Literal) -> Column:
-    return F.lit(str(Decimal(str(int(x) if isinstance(x, bool) else x)))).cast("decimal(38,9)")
+
+def _versus(text: Column, x: Literal, act: Callable[[Column, Column], Column]) -> Column:
+    """act(number, x): whole numbers of any size exactly, all else as doubles; null if the value is no number."""
+    near = act(_number(text, "double"), F.lit(float(x)))
+    if isinstance(x, float):
+        return near
+    return F.when(_is_whole(text), act(_number(text, "decimal(38,0)"), F.lit(str(int(x))).try_cast("decimal(38,0)"))).otherwise(near)
 
 
 def _plain(x: float) -> str:
     return str(int(x)) if float(x).is_integer() else repr(x)
 
 
+def _string(text: Column) -> Column:
+    return F.when(text.startswith('"') | text.rlike(r"^[\[{]"), text_of(text))
+
+
 def equals(text: Column, x: Literal) -> Column:
     """Equality of value sets: the number 7 and the string "7" are both equal to 7 and to "7". Null for a missing value."""
-    number, string = number_of(text), F.when(text.startswith('"') | text.rlike(r"^[\[{]"), text_of(text))
+    same_as = lambda n: _versus(text, n, lambda a, b: a == b)
     if isinstance(x, bool):
-        same = number == _decimal(x)
-        other = F.lit(False)
+        same, other = same_as(x), F.lit(False)
     elif isinstance(x, int | float):
-        same, other = number == _decimal(x), string == str(x) if isinstance(x, int) else string == _plain(x)
+        same, other = same_as(x), _string(text) == (str(x) if isinstance(x, int) else _plain(x))
     else:
         try:
-            same = number == _decimal(float(x) if any(c in x for c in ".eE") else int(x))
+            same = same_as(float(x) if any(c in x for c in ".eE") else int(x))
         except ValueError:
             same = F.lit(False)
-        other = string == x
+        other = _string(text) == x
     return F.when(text.isNotNull() & (text != "null"), F.coalesce(same, F.lit(False)) | F.coalesce(other, F.lit(False)))
 
 
@@ -82,11 +105,10 @@ def differs(text: Column, x: Literal) -> Column:
 def compares(text: Column, op: str, x: Literal) -> Column:
     """Order across types: numbers come before all texts, and nothing is converted."""
     act = {"<": lambda a, b: a < b, "<=": lambda a, b: a <= b, ">": lambda a, b: a > b, ">=": lambda a, b: a >= b}[op]
-    number, string = number_of(text), F.when(text.startswith('"') | text.rlike(r"^[\[{]"), text_of(text))
-    above = F.lit(op in (">", ">="))
+    above, number, string = F.lit(op in (">", ">=")), is_number(text), _string(text)
     if isinstance(x, str):
-        return F.when(number.isNotNull(), ~above).when(string.isNotNull(), act(string, F.lit(x)))
-    return F.when(number.isNotNull(), act(number, _decimal(x))).when(string.isNotNull(), above)
+        return F.when(number, ~above).when(string.isNotNull(), act(string, F.lit(x)))
+    return F.when(number, _versus(text, x, act)).when(string.isNotNull(), above)
 
 
 def contains(text: Column, part: str) -> Column:
@@ -94,7 +116,7 @@ def contains(text: Column, part: str) -> Column:
 
 
 def has(attributes: str, key: str) -> Column:
-    return F.map_contains_key(F.col(attributes), F.lit(key))
+    return F.map_contains_key(F.col(attributes), _key(key))
 
 
 def level(severity: Column, op: str, x: str | int) -> Column:
@@ -118,23 +140,29 @@ def _plain_letters() -> tuple[str, str]:
 
 def tokens_line(text: Column) -> Column:
     """Lower-case tokens of letters and digits, marks stripped, each with a space on both sides."""
-    low = F.translate(F.lower(text), *_plain_letters())
+    low = F.regexp_replace(F.translate(F.lower(text), *_plain_letters()), r"\p{Mn}+", "")
     return F.concat(F.lit(" "), F.trim(F.regexp_replace(low, r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
 
 
-def matches_text(text: Column, words: str) -> Column:
-    """Every white-space separated word of `words` occurs as whole tokens, a word with inner punctuation as a phrase.
-
-    No words match all texts; words without a letter or digit are ignored next to others and alone match nothing.
-    """
+def matches_line(line: Column, words: str) -> Column:
+    """matches_text over a line that tokens_line made: for several searches in one text, make the line a column first."""
     if not words.split():
         return F.lit(True)
     table = str.maketrans(*_plain_letters())
-    phrases = [" ".join("".join(c if c.isalnum() else " " for c in w.lower().translate(table)).split()) for w in words.split()]
+    bare = lambda w: "".join(c for c in w.lower().translate(table) if unicodedata.category(c) != "Mn")
+    phrases = [" ".join("".join(c if c.isalnum() else " " for c in bare(w)).split()) for w in words.split()]
     phrases = [p for p in phrases if p]
     if not phrases:
         return F.lit(False)
-    line, out = tokens_line(text), F.lit(True)
+    out = F.lit(True)
     for p in phrases:
         out = out & F.contains(line, F.lit(f" {p} "))
     return out
+
+
+def matches_text(text: Column, words: str) -> Column:
+    """Every white-space separated word of `words` occurs as whole tokens, a word with inner punctuation as a phrase.
+
+    No words match all texts; words without a letter or digit are ignored next to others and alone match nothing.
+    """
+    return matches_line(tokens_line(text), words)

@@ -24,7 +24,7 @@ def keys_by_day(records: DataFrame, day: Column, map_col: str = "attributes") ->
 
 
 def values(records: DataFrame, key: str, map_col: str = "attributes", limit: int = 500, most_bytes: int = 100) -> DataFrame:
-    """Values of a key by count: scalars, and strings that are short enough to offer."""
+    """Values of a key by count: scalars, and strings that are short enough to offer. limit + 1 tells if there are more."""
     v = F.try_element_at(F.col(map_col), F.lit(key))
     found = records.select(v.alias("value")).filter(F.col("value").isNotNull() & ~F.col("value").rlike(r"^[\[{]") & (F.octet_length("value") <= most_bytes + 2))
     return found.groupBy("value").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "value").limit(limit)
@@ -34,7 +34,23 @@ def counts_of(records: DataFrame, column: str) -> DataFrame:
     return records.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
 
 
-def suggestions(records: DataFrame, context: Column, newest: list[Column], key: str, prefix: str, sample: int = 10_000, limit: int = 50) -> DataFrame:
-    """Values of a key among the newest records that match the rest of the filter, that start with what was typed."""
-    recent = records.filter(context).orderBy(*newest).limit(sample)
-    return values(recent, key).filter(F.lower(F.ltrim(F.col("value"), F.lit('"'))).startswith(prefix.lower())).limit(limit)
+def help_on(records: DataFrame, key: str, map_col: str = "attributes", limit: int = 10) -> DataFrame:
+    """A row about a field: type (`mixed` of several), origin, number of values, the most common ones."""
+    v = F.try_element_at(F.col(map_col), F.lit(key))
+    counts = records.select(v.alias("value")).filter(F.col("value").isNotNull()).groupBy("value").agg(F.count(F.lit(1)).alias("n"))
+    kind = json_type(F.col("value"))
+    about = counts.agg(F.min(kind).alias("low"), F.max(kind).alias("high"), F.count(F.lit(1)).alias("n_values"))
+    top = counts.orderBy(F.desc("n"), "value").limit(limit).agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "value"))), lambda x: x["value"]).alias("common"))
+    kinds = F.when(F.col("low") == F.col("high"), F.col("low")).when(F.col("low").isNotNull(), "mixed")
+    return about.crossJoin(top).select(F.lit(key).alias("key"), kinds.alias("type"), F.lit(map_col).alias("origin"), "n_values", "common")  # one row each
+
+
+def suggestions(records: DataFrame, context: Column, newest: list[Column], key: str, prefix: str, sample: int = 10_000, limit: int = 50, map_col: str = "attributes") -> DataFrame:
+    """Values of a key that start with what was typed, among the newest records that match the rest of the filter.
+
+    Records without such a value don't count for the sample, and the most frequent values are cut last, so that a value
+    is found however rare it is.
+    """
+    own = F.lower(F.ltrim(F.try_element_at(F.col(map_col), F.lit(key)), F.lit('"')))
+    recent = records.filter(context & own.startswith(prefix.lower())).orderBy(*newest).limit(sample)
+    return values(recent, key, map_col, limit)

@@ -6,7 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .steps import step_of
+from ..plans.ranges import Range
+from .steps import page, step_of, within
 
 
 def levels(points: DataFrame, keys: list[str], step: int) -> DataFrame:
@@ -16,23 +17,62 @@ def levels(points: DataFrame, keys: list[str], step: int) -> DataFrame:
     )
 
 
-def increases(points: DataFrame, keys: list[str], step: int, cumulative: bool = True) -> DataFrame:
+LOOK_BACK = 300_000_000_000  # how long before a range the point is looked for that its first one grew from
+
+
+def increases(points: DataFrame, keys: list[str], step: int, cumulative: bool = True, r: Range | None = None) -> DataFrame:
     """Per series and step: increase and the time it took, in the step of the later point.
 
-    The first point of a cumulative series only sets the base; a fall is a restart and counts from zero.
+    The first point of a cumulative series only sets the base; a fall is a restart and counts from zero. In a range, the
+    point before it, within LOOK_BACK, is the base of the first one.
     """
+    if r:
+        points = within(points, "recorded_at", Range(r.start - LOOK_BACK, r.end))
     w = Window.partitionBy(*keys).orderBy("recorded_at")
     before = F.lag("value").over(w)
     grown = F.when(F.col("value") >= before, F.col("value") - before).when(before.isNotNull(), F.col("value")) if cumulative else F.col("value")
     took = F.coalesce(F.col("recorded_at") - F.lag("recorded_at").over(w), F.lit(0))
     rows = points.select(*keys, "recorded_at", grown.alias("grown"), took.alias("took")).filter(F.col("grown").isNotNull())
+    if r:
+        rows = rows.filter(F.col("recorded_at") >= r.start)
     return rows.groupBy(*keys, step_of(F.col("recorded_at"), step).alias("step_at")).agg(F.sum("grown").alias("increase"), F.sum("took").alias("elapsed_ns"))
 
 
 def rates(steps: DataFrame) -> DataFrame:
+    """Increase a second; null where no time passed."""
     return steps.withColumn("rate", F.try_divide(F.col("increase").cast("double"), F.col("elapsed_ns") / F.lit(1e9)))
 
 
+def ranking(steps: DataFrame, key: str, kind: str) -> DataFrame:
+    """key, score: a gauge's and an updown's mean of step averages, a counter's mean over the steps that have a rate, a
+    histogram's summed values."""
+    score = {"counter": lambda: F.avg("rate"), "histogram": lambda: F.sum("sum")}.get(kind, lambda: F.avg(F.col("sum") / F.col("n")))()
+    return (rates(steps) if kind == "counter" else steps).groupBy(key).agg(score.alias("score"))
+
+
+def combined(steps: DataFrame, kind: str, by: list[str] | None = None) -> DataFrame:
+    """All series of a chart as one line: gauges average, updowns and rates add up; steps without a point are left out."""
+    value = F.col("rate") if kind == "counter" else F.col("sum") / F.col("n")
+    rows = rates(steps) if kind == "counter" else steps
+    return rows.groupBy(*(by or []), "step_at").agg((F.avg(value) if kind == "gauge" else F.sum(value)).alias("value"))
+
+
+def aligned(first: DataFrame, second: DataFrame, column: str) -> DataFrame:
+    """The rows of first with `column` of second at the same step, 0 where it has none."""
+    return first.join(second.select("step_at", column), "step_at", "left").withColumn(column, F.coalesce(column, F.lit(0)))
+
+
+def metric_names(points: DataFrame, name: str) -> DataFrame:
+    """Per metric: series, least and greatest value."""
+    return points.groupBy(F.col(name).alias("name")).agg(F.count_distinct("series").alias("n_series"), F.min("value").alias("low"), F.max("value").alias("high"))
+
+
+def metric_list(series: DataFrame, points: DataFrame, r: Range, limit: int) -> DataFrame:
+    """Series with a point in the range, in order of name and series, and whether there are more."""
+    live = within(points, "recorded_at", r).select("series").distinct()
+    return page(series.join(live, "series", "left_semi"), [F.asc("name"), F.asc("series")], limit)
+
+
 def grouped_levels(steps: DataFrame, by: list[str], kind: str) -> DataFrame:
     """Series of a group in each step: a gauge averages averages and lasts, an updown adds up, also least and greatest."""
     if kind == "gauge":
@@ -115,8 +155,43 @@ def fold_histograms(points: DataFrame, keys: list[str], cumulative: bool) -> Dat
 
 
 def exponential_index(value: Column, scale: int) -> Column:
-    """Bucket index of a positive value at a scale: the smallest i with value <= 2 ** ((i + 1) / 2 ** scale)."""
-    return (F.ceil(F.log2(value) * (2**scale)) - 1).cast("int")
+    """Bucket index of a positive value at a scale: the smallest i with value <= 2 ** ((i + 1) / 2 ** scale).
+
+    The logarithm may be off by its last bit at a border, so its neighbours' borders are looked at.
+    """
+    upper = lambda i: F.pow(F.lit(2.0), (i + 1) / float(2**scale))
+    near = F.ceil(F.log2(value) * (2**scale)) - 1
+    return F.when(value <= upper(near - 1), near - 1).when(value > upper(near), near + 1).otherwise(near).cast("int")
+
+
+def to_least_scale(cells: DataFrame, keys: list[str]) -> DataFrame:
+    """Exponential buckets (scale, index, n) of several scales added at the least scale of their group."""
+    least = cells.groupBy(*keys).agg(F.min("scale").alias("__scale"))
+    joined = cells.join(least, keys)
+    index = F.floor(F.col("index") / F.pow(F.lit(2.0), F.col("scale") - F.col("__scale"))).cast("int")
+    return joined.groupBy(*keys, F.col("__scale").alias("scale"), index.alias("index")).agg(F.sum("n").alias("n"))
+
+
+def subtract_counts(newer: Column, older: Column) -> Column:
+    """Bucket by bucket; null if any is negative (a restart) or the arrays differ in length."""
+    less = F.zip_with(newer, older, lambda a, b: a - b)
+    return F.when((F.size(newer) == F.size(older)) & ~F.exists(less, lambda x: x < 0), less)
+
+
+def explicit_bounds(offset: Column, counts: Column, scale: Column, most: int = 64) -> Column:
+    """Exponential buckets as (bounds, counts) of explicit ones: neighbours are joined until there are at most `most`."""
+    last = offset + F.size(counts) - 1
+    width = lambda k: F.shiftright(last, k) - F.shiftright(offset, k) + 1
+    halvings = F.lit(31)
+    for k in range(30, -1, -1):
+        halvings = F.when(width(k) <= most, k).otherwise(halvings)
+    first, per = F.floor(offset / F.pow(F.lit(2.0), halvings)).cast("int"), F.pow(F.lit(2.0), halvings)
+    cells = (F.floor(last / per).cast("int")) - first
+    places = F.sequence(F.lit(0), F.greatest(cells, F.lit(0)))
+    joined = F.transform(places, lambda j: F.aggregate(F.transform(counts, lambda c, i: F.when(F.floor((offset + i) / per) == first + j, c).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda s, x: s + x))
+    bounds = F.transform(places, lambda j: F.pow(F.lit(2.0), (first + j + 1) * per / F.pow(F.lit(2.0), scale)))
+    empty = F.size(counts) == 0
+    return F.struct(F.when(empty, F.array().cast("array<double>")).otherwise(bounds).alias("bounds"), F.when(empty, F.array().cast("array<long>")).otherwise(joined).alias("counts"))
 
 
 def lower_scale(cells: DataFrame, keys: list[str], halvings: int) -> DataFrame:

@@ -50,6 +50,18 @@ def metric_summary(points: DataFrame, keys: list[str], unit: int) -> DataFrame:
     )
 
 
+def coarser_metrics(cells: DataFrame, keys: list[str], unit: int) -> DataFrame:
+    """Summaries of a coarser unit from those of a finer one: equal to summing up the points."""
+    return cells.groupBy(*keys, step_of(F.col("unit_at"), unit).alias("unit_at")).agg(
+        F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"), F.sum("sum").alias("sum"), F.max_by("last", "unit_at").alias("last"), F.sum("increase").alias("increase"), F.sum("elapsed_ns").alias("elapsed_ns")
+    )
+
+
+def due(indexed_until: int, unit: int, late: int = 2 * MINUTE) -> int:
+    """The end of what can be summed up: whole units that ended `late` before what has arrived."""
+    return (indexed_until - late) // unit * unit
+
+
 def retained(records: DataFrame, column: str, today: int, days: int = 7) -> DataFrame:
     """Records of the last `days` whole UTC days, today included; today is any instant of it."""
     day = 86_400_000_000_000

@@ -27,10 +27,11 @@ def quantiles(durations: DataFrame, keys: list[str], column: str = "duration_ns"
     return quantiles_of_counts(counts, keys, probabilities)
 
 
-def quantiles_of_counts(counts: DataFrame, keys: list[str], probabilities: dict[str, float] | None = None) -> DataFrame:
+def quantiles_of_counts(counts: DataFrame, keys: list[str], probabilities: dict[str, float] | None = None, also: list[Column] | None = None) -> DataFrame:
+    """Of cells (keys, bucket, n), one for each bucket; `also` has more aggregates over the cells of a group."""
     probabilities = probabilities or {"p50": 0.5, "p95": 0.95, "p99": 0.99}
     up, whole = Window.partitionBy(*keys).orderBy("bucket"), Window.partitionBy(*keys)
     seen = counts.withColumns({"seen": F.sum("n").over(up), "total": F.sum("n").over(whole)})
     rank = lambda q: F.greatest(F.ceil(q * F.col("total")), F.lit(1)) - 1
     first = [midpoint(F.min(F.when(F.col("seen") > rank(q), F.col("bucket")))).alias(name) for name, q in probabilities.items()]
-    return seen.groupBy(*keys).agg(*first)
+    return seen.groupBy(*keys).agg(*(also or []), *first)

@@ -43,3 +43,26 @@ def fill_forward(df: DataFrame, keys: list[str], column: str, step: int, most_ag
     reach = max(0, -(-most_age // step) - 1)
     w = Window.partitionBy(*keys).orderBy("step_at").rowsBetween(-reach, 0)
     return df.withColumn(column, F.last(column, ignorenulls=True).over(w))
+
+
+def page(rows: DataFrame, order: list[Column], limit: int) -> DataFrame:
+    """The first rows in an order, with `truncated`: whether there are more. One row more than the page is read."""
+    top = rows.orderBy(*order).limit(limit + 1)
+    numbered = top.withColumns({"__place": F.row_number().over(Window.orderBy(*order)), "truncated": F.count(F.lit(1)).over(Window.partitionBy()) > limit})
+    return numbered.filter(F.col("__place") <= limit).drop("__place")
+
+
+def after(order: list[tuple[str, bool]], values: list) -> Column:
+    """Rows that come after a row with these values in an order of (column, descending): a keyset cursor."""
+    if len(values) != len(order):
+        raise ValueError(f"a cursor has {len(order)} values")
+    out, same = F.lit(False), F.lit(True)
+    for (name, descending), x in zip(order, values, strict=True):
+        out = out | (same & ((F.col(name) < x) if descending else (F.col(name) > x)))
+        same = same & (F.col(name) == x)
+    return out
+
+
+def table_order(name: str, descending: bool) -> Column:
+    """How a table is sorted by a column: missing values come last both ways."""
+    return F.desc_nulls_last(name) if descending else F.asc_nulls_last(name)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
+from datetime import datetime, timezone
 
 SECOND = 1_000_000_000
 MINUTE, HOUR, DAY = 60 * SECOND, 3600 * SECOND, 86_400 * SECOND
@@ -78,3 +80,43 @@ def parts(r: Range) -> dict[str, list[Range]]:
 
     split(r.start, r.end, [("1h", HOUR), ("1m", MINUTE), ("raw", 1)])
     return out
+
+
+# The units of a duration text.
+UNITS = {"ns": 1, "us": 1_000, "ms": 1_000_000, "s": SECOND, "m": MINUTE, "h": HOUR, "d": DAY, "w": 7 * DAY}
+MOST = 2**63 - 1
+
+
+def parse_duration(text: str) -> int:
+    """Nanoseconds of 500ms, 1h, 2d or 1h30m; a day has 24 hours."""
+    parts = re.findall(r"([0-9]+(?:\.[0-9]+)?)\s*(ns|us|ms|s|m|h|d|w)", text)
+    if text.strip().startswith("-"):
+        raise ValueError(f"{text!r} is negative")
+    if not parts or re.sub(r"[0-9]+(?:\.[0-9]+)?\s*(?:ns|us|ms|s|m|h|d|w)", "", text).strip():
+        raise ValueError(f"{text!r} is not a duration such as 500ms, 1h or 2d")
+    return min(MOST, sum(round(float(n) * UNITS[u]) if "." in n else int(n) * UNITS[u] for n, u in parts))
+
+
+def parse_time(text: str, now: int) -> int:
+    """Nanoseconds of an RFC 3339 instant, or of a duration before now."""
+    found = re.fullmatch(r"(\d{4}-\d\d-\d\d)[Tt ](\d\d:\d\d:\d\d)(?:\.(\d{1,9})\d*)?([Zz]|[+-]\d\d:\d\d)", text.strip())
+    if not found:
+        return max(-MOST, now - parse_duration(text))
+    day, clock, fraction, zone = found.groups()
+    whole = datetime.fromisoformat(f"{day}T{clock}{'+00:00' if zone in 'Zz' else zone}") - datetime(1970, 1, 1, tzinfo=timezone.utc)
+    return min(MOST, (whole.days * 86_400 + whole.seconds) * SECOND + int((fraction or "").ljust(9, "0")))
+
+
+def resolve(since: str | None, until: str | None, now: int, oldest: list[int], whole: bool = False) -> Range:
+    """The range that two texts name, within what is kept: by default the last hour, or all that is kept.
+
+    `oldest` has the oldest kept instant of each signal that is read; the latest of them counts.
+    """
+    end = now if until is None else parse_time(until, now)
+    start = parse_time(since, now) if since is not None else None if whole else now - HOUR
+    if start is not None and start >= end:
+        raise ValueError("since has to be before until")
+    kept = max(oldest)
+    if kept >= end:
+        raise ValueError("the range ends before the oldest telemetry that is kept")
+    return Range(kept if start is None else max(start, kept), end)

@@ -34,12 +34,13 @@ SPANS = """
         SELECT lpad(lower(to_hex(o_orderkey)), 32, '0') AS trace_id, lpad(lower(to_hex(o_orderkey * 1000)), 16, '0') AS span_id, NULL::VARCHAR AS parent_span_id, o_orderpriority AS name, 2 AS kind,
             epoch_us(o_orderdate) * 1000 + (o_orderkey % 86400) * 1000000000 AS started_at, CAST(round(o_totalprice * 100) AS BIGINT) * 10000 AS duration_ns,
             CASE WHEN o_orderkey % 20 = 1 THEN 2 WHEN o_orderkey % 3 = 0 THEN 1 ELSE 0 END AS status, 'svc-' || (o_custkey % 5) AS service,
-            CASE WHEN o_custkey % 4 = 0 THEN '"POST"' ELSE '"GET"' END AS method, '"/r' || (o_custkey % 7) || '/{id}"' AS route, NULL::VARCHAR AS query, o_orderkey * 1000 AS row_id
-        FROM orders WHERE o_orderkey % 50 <> 0
+            CASE WHEN o_custkey % 4 = 0 THEN '"POST"' ELSE '"GET"' END AS method, '"/r' || (o_custkey % 7) || '/{id}"' AS route, NULL::VARCHAR AS query, NULL::VARCHAR AS system, o_orderkey * 1000 AS row_id
+        FROM orders
         UNION ALL
-        SELECT lpad(lower(to_hex(l_orderkey)), 32, '0'), lpad(lower(to_hex(l_orderkey * 1000 + n)), 16, '0'), lpad(lower(to_hex(l_orderkey * 1000 + CASE WHEN n % 3 = 0 THEN n - 1 ELSE 0 END)), 16, '0'), 'ship ' || l_linestatus, 3,
+        SELECT lpad(lower(to_hex(l_orderkey)), 32, '0'), lpad(lower(to_hex(l_orderkey * 1000 + n)), 16, '0'), lpad(lower(to_hex(l_orderkey * 1000 + CASE WHEN l_orderkey % 50 = 0 THEN 999 WHEN n % 3 = 0 THEN n - 1 ELSE 0 END)), 16, '0'), 'ship ' || l_linestatus, 3,
             epoch_us(l_shipdate) * 1000 + n * 1000000, CAST(round(l_extendedprice * 100) AS BIGINT) * 10000, CASE WHEN l_returnflag = 'R' THEN 2 ELSE 0 END, 'svc-' || (l_suppkey % 5),
-            NULL, NULL, '"SELECT * FROM part WHERE id = ' || l_partkey || ' AND qty > ' || CAST(l_quantity AS INT) || '"', l_orderkey * 1000 + n
+            NULL, NULL, '"' || CASE l_orderkey % 4 WHEN 0 THEN 'SELECT * FROM part WHERE id = ' || l_partkey || ' AND qty > ' || CAST(l_quantity AS INT) WHEN 1 THEN 'SELECT name FROM supplier WHERE note IN (''it''''s'', ''b'') AND id = ' || l_suppkey
+                WHEN 2 THEN 'INSERT INTO shipped (id, mode) VALUES (' || l_partkey || ', ''air''), (' || l_suppkey || ', ''rail'')' ELSE 'SELECT * FROM part WHERE id = $1 -- 42' END || '"', CASE WHEN l_orderkey % 7 = 0 THEN '"mongodb"' ELSE '"postgresql"' END, l_orderkey * 1000 + n
         FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) AS n FROM lineitem)
     )"""
 POINTS = """
@@ -112,15 +113,30 @@ def flt_5_to_18_log_filters(spark: SparkSession, sf: str) -> DataFrame:
     })
 
 
+@query(
+    kept_sql("numbers", {"zero": "k = 0 AND x = 0", "above_5": "k > 0", "small": "k = 0 AND x > 5e-11", "not_small": "NOT (k = 0 AND x > 5e-11)", "huge": "k = 1", "exact": "event_id = 50", "below_exact": "k = 0 OR (k = 2 AND event_id < 50)"}),
+    "numbers AS (SELECT event_id AS row_id, event_id, event_id % 3 AS k, value * 1e-12 AS x FROM events)",
+)
+def flt_7_flt_9_numbers(spark: SparkSession, sf: str) -> DataFrame:
+    """Numbers near zero, beyond any decimal, and whole ones that doubles can't tell apart."""
+    k, v = F.col("event_id") % 3, F.col("v")
+    text = F.when(k == 0, (F.col("value") * 1e-12).cast("string")).when(k == 1, "1e30").otherwise((F.col("event_id") + 9_007_199_254_740_992).cast("string"))
+    return kept(S.table(spark, sf, "events").select(F.col("event_id").alias("row_id"), text.alias("v")), {
+        "zero": A.equals(v, 0), "above_5": A.compares(v, ">", 5), "small": A.compares(v, ">", 5e-11) & ~A.compares(v, ">", 1), "not_small": A.keep_unless(A.compares(v, ">", 5e-11) & ~A.compares(v, ">", 1)), "huge": A.equals(v, "1e30"),
+        "exact": A.equals(v, 9_007_199_254_741_042), "below_exact": A.compares(v, "<", 9_007_199_254_741_042),
+    })
+
+
 @query(
     kept_sql("docs", {"one": "contains(line, ' the ')", "order_free": "contains(line, ' of ') AND contains(line, ' the ')", "phrase": "contains(line, ' of the ')", "marks": "contains(line, ' ete ') OR contains(line, ' a ')", "ignored": "contains(line, ' und ')"}),
     "docs AS (SELECT doc_id AS row_id, ' ' || trim(regexp_replace(strip_accents(lower(text)), '[^\\p{L}\\p{N}]+', ' ', 'g')) || ' ' AS line FROM documents)",
 )
 def flt_16_full_text(spark: SparkSession, sf: str) -> DataFrame:
     """Words and phrases in texts, whatever the case and marks."""
-    body = F.col("body")
-    return kept(S.table(spark, sf, "documents").select(F.col("doc_id").alias("row_id"), F.col("text").alias("body")), {
-        "one": A.matches_text(body, "THE"), "order_free": A.matches_text(body, "the of"), "phrase": A.matches_text(body, "of-the"), "marks": A.matches_text(body, "été") | A.matches_text(body, "à"), "ignored": A.matches_text(body, "!!! und"),
+    line = F.col("line")
+    lines = S.table(spark, sf, "documents").select(F.col("doc_id").alias("row_id"), A.tokens_line(F.col("text")).alias("line"))
+    return kept(lines, {
+        "one": A.matches_line(line, "THE"), "order_free": A.matches_line(line, "the of"), "phrase": A.matches_line(line, "of-the"), "marks": A.matches_line(line, "été") | A.matches_line(line, "à"), "ignored": A.matches_line(line, "!!! und"),
     })
 
 
@@ -166,12 +182,15 @@ def agg_2_grouping_sets(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    """SELECT template, count(*) AS n, max(severity) AS severity, min(logged_at) AS first_at, max(logged_at) AS last_at, array_to_string(list_sort(list(DISTINCT service)), ',') AS services
-    FROM (SELECT *, regexp_replace(body, '[0-9]+(\\.[0-9]+)?', '<num>', 'g') AS template FROM (SELECT * FROM logs ORDER BY logged_at DESC, row_id DESC LIMIT 50000)) GROUP BY template ORDER BY n DESC, last_at DESC, template LIMIT 50""", LOGS,
-)
+    """SELECT g.*, s.samples FROM (SELECT template, count(*) AS n, max(severity) AS severity, min(logged_at) AS first_at, max(logged_at) AS last_at, array_to_string(list_sort(list(DISTINCT service)), ',') AS services FROM lines GROUP BY template) g
+    JOIN (SELECT template, string_agg(body, '|' ORDER BY seen_at DESC) AS samples FROM (SELECT *, row_number() OVER (PARTITION BY template ORDER BY seen_at DESC) AS place FROM (SELECT template, body, max((logged_at, row_id)) AS seen_at FROM lines GROUP BY ALL)) WHERE place <= 3 GROUP BY template) s USING (template)
+    ORDER BY n DESC, last_at DESC, template LIMIT 50""",
+    LOGS + ", lines AS (SELECT *, regexp_replace(body, '[0-9]+(\\.[0-9]+)?', '<num>', 'g') AS template FROM (SELECT * FROM logs ORDER BY logged_at DESC, row_id DESC LIMIT 50000))",
+)
 def agg_1_str_1_templates(spark: SparkSession, sf: str) -> DataFrame:
-    """Templates of the newest 50,000 lines."""
-    return logs.templates(S.logs(spark, sf)).select("template", "n", "severity", "first_at", "last_at", F.array_join("services", ",").alias("services"))
+    """Templates of the newest 50,000 lines, each with its newest samples."""
+    found = logs.templates(S.logs(spark, sf))
+    return found.select("template", "n", "severity", "first_at", "last_at", F.array_join("services", ",").alias("services"), F.array_join("samples", "|").alias("samples"))
 
 
 SKETCH = """, cells AS (
@@ -205,13 +224,46 @@ def agg_5_error_rate_rank(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    """SELECT s.service, coalesce(r.requests, 0) AS requests, coalesce(r.failed, 0) AS failed, s.n AS spans, coalesce(l.logs, 0) AS logs, coalesce(l.errors, 0) AS error_logs FROM (SELECT service, count(*) AS n FROM spans GROUP BY 1) s
+    """SELECT s.service, coalesce(r.requests, 0) AS requests, coalesce(r.failed, 0) AS failed, s.n AS spans, coalesce(l.logs, 0) AS logs, coalesce(l.errors, 0) AS error_logs, q.p50, q.p95, q.p99 FROM (SELECT service, count(*) AS n FROM spans GROUP BY 1) s
     FULL JOIN (SELECT service, count(*) AS logs, count(*) FILTER (severity >= 17) AS errors FROM logs GROUP BY 1) l USING (service)
-    LEFT JOIN (SELECT service, count(*) AS requests, count(*) FILTER (status = 2) AS failed FROM spans WHERE kind = 2 AND method IS NOT NULL GROUP BY 1) r USING (service)""", LOGS + "," + SPANS,
-)
+    LEFT JOIN (SELECT service, count(*) AS requests, count(*) FILTER (status = 2) AS failed FROM http GROUP BY 1) r USING (service) LEFT JOIN quant q USING (service)""",
+    LOGS + "," + SPANS + ", http AS (SELECT * FROM spans WHERE kind = 2 AND method IS NOT NULL)" + SKETCH.format(keys="service", columns=_Q).replace("FROM spans", "FROM http"),
+)
 def agg_10_services(spark: SparkSession, sf: str) -> DataFrame:
-    """Requests, spans and logs of each service."""
-    return spans.services(S.spans(spark, sf), S.logs(spark, sf)).drop("p50", "p95", "p99")
+    """Requests with their percentiles, spans and logs of each service."""
+    return spans.services(S.spans(spark, sf), S.logs(spark, sf))
+
+
+YEAR_95 = Range(788_918_400 * 10**9, 820_454_400 * 10**9)
+
+
+@query(
+    f"""SELECT k.service, k.name, s.step_at, count(x.row_id) AS n, count(x.row_id) FILTER (x.status = 2) AS errors, coalesce(sum(x.duration_ns), 0)::BIGINT AS total_ns FROM (SELECT service, name FROM spans WHERE started_at >= {YEAR_95.start} AND started_at < {YEAR_95.end} GROUP BY ALL ORDER BY sum(duration_ns) DESC, service, name LIMIT 5) k
+    CROSS JOIN (SELECT unnest(range({YEAR_95.first_step(10 * DAY)}, {YEAR_95.end}, {10 * DAY})) AS step_at) s
+    LEFT JOIN (SELECT * FROM spans WHERE started_at >= {YEAR_95.start} AND started_at < {YEAR_95.end}) x ON x.started_at - x.started_at % {10 * DAY} = s.step_at AND x.service = k.service AND x.name = k.name GROUP BY ALL""", SPANS,
+)
+def agg_4_span_group_steps(spark: SparkSession, sf: str) -> DataFrame:
+    """The five groups with most time of a year, by ten days, zero filled."""
+    return spans.group_steps(S.spans(spark, sf), {"service": F.col("service"), "name": F.col("name")}, YEAR_95, 10 * DAY, 5)
+
+
+@query("SELECT name, count(*) AS n, max_by(coalesce(route, query), (started_at, row_id)) AS shown FROM spans GROUP BY 1", SPANS)
+def agg_4_newest_attributes(spark: SparkSession, sf: str) -> DataFrame:
+    """What the newest span of each name was about."""
+    shown = F.coalesce(A.value("attributes", "http.route"), A.value("attributes", "db.query.text"))
+    return spans.span_groups(S.spans(spark, sf), {"name": F.col("name")}, {"shown": shown}).select("name", "n", "shown")
+
+
+@query(
+    f"""SELECT k.service, s.step_at, coalesce(c.requests, 0)::BIGINT AS requests, coalesce(c.failed, 0)::BIGINT AS failed, coalesce(c.logs, 0)::BIGINT AS logs, coalesce(c.error_logs, 0)::BIGINT AS error_logs FROM (SELECT DISTINCT service FROM cells) k
+    CROSS JOIN (SELECT unnest(range({WEEK.first_step(DAY)}, {WEEK.end}, {DAY})) AS step_at) s LEFT JOIN cells c USING (service, step_at)""",
+    LOGS + "," + SPANS + f""", cells AS (SELECT service, t - t % {DAY} AS step_at, sum(requests) AS requests, sum(failed) AS failed, sum(logs) AS logs, sum(error_logs) AS error_logs FROM (
+        SELECT service, started_at AS t, (kind = 2 AND method IS NOT NULL)::INT AS requests, (kind = 2 AND method IS NOT NULL AND status = 2)::INT AS failed, 0 AS logs, 0 AS error_logs FROM spans
+        UNION ALL SELECT service, logged_at, 0, 0, 1, (severity >= 17)::INT FROM logs) WHERE t >= {WEEK.start} AND t < {WEEK.end} GROUP BY ALL)""",
+)
+def agg_10_service_steps(spark: SparkSession, sf: str) -> DataFrame:
+    """Requests and logs of every service of a week by day, zero filled."""
+    return spans.service_steps(S.spans(spark, sf), S.logs(spark, sf), WEEK, DAY)
 
 
 @query(
@@ -256,6 +308,17 @@ def agg_14_win_1_counter_increase(spark: SparkSession, sf: str) -> DataFrame:
     return metrics.increases(S.counter_points(spark, sf), ["series"], HOUR)
 
 
+@query(
+    f"""SELECT series, recorded_at - recorded_at % {HOUR} AS step_at, sum(grown)::BIGINT AS increase, sum(took)::BIGINT AS elapsed_ns FROM (
+        SELECT *, CASE WHEN value >= lag(value) OVER w THEN value - lag(value) OVER w WHEN lag(value) OVER w IS NOT NULL THEN value END AS grown, coalesce(recorded_at - lag(recorded_at) OVER w, 0) AS took
+        FROM counter WHERE recorded_at >= {WEEK.start - 5 * MINUTE} AND recorded_at < {WEEK.end} WINDOW w AS (PARTITION BY series ORDER BY recorded_at)
+    ) WHERE grown IS NOT NULL AND recorded_at >= {WEEK.start} GROUP BY ALL""", COUNTER,
+)
+def jon_12_increase_in_range(spark: SparkSession, sf: str) -> DataFrame:
+    """Increase of counters in a week; a point up to five minutes before it is the base of the first."""
+    return metrics.increases(S.counter_points(spark, sf), ["series"], HOUR, r=WEEK)
+
+
 LEVELS = f", steps AS (SELECT series, shard, type, recorded_at - recorded_at % {DAY} AS step_at, count(*) AS n, min(value) AS low, max(value) AS high, sum(value)::BIGINT AS sum, max_by(value, recorded_at) AS last FROM points GROUP BY ALL)"
 
 
@@ -274,14 +337,14 @@ def agg_18_updown_groups(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    f"""SELECT coalesce(r.series, 'other') AS series, step_at, sum(c.increase)::BIGINT AS increase, count(DISTINCT c.series) AS series_count FROM (SELECT series, recorded_at - recorded_at % {DAY} AS step_at, sum(value)::BIGINT AS increase FROM points GROUP BY ALL) c
-    LEFT JOIN (SELECT series FROM points GROUP BY 1 ORDER BY sum(value) DESC, series LIMIT 5) r USING (series) GROUP BY ALL""", POINTS,
-)
+    f"""SELECT coalesce(r.series, 'other') AS series, step_at, sum(c.increase)::BIGINT AS increase, count(DISTINCT c.series) AS series_count FROM steps c
+    LEFT JOIN (SELECT series FROM steps WHERE elapsed > 0 GROUP BY 1 ORDER BY avg(increase / (elapsed / 1e9)) DESC, series LIMIT 5) r USING (series) GROUP BY ALL""",
+    POINTS + f", steps AS (SELECT series, recorded_at - recorded_at % {DAY} AS step_at, sum(value)::BIGINT AS increase, sum(took)::BIGINT AS elapsed FROM (SELECT *, coalesce(recorded_at - lag(recorded_at) OVER (PARTITION BY series ORDER BY recorded_at), 0) AS took FROM points) GROUP BY ALL)",
+)
 def agg_19_agg_20_top_and_other(spark: SparkSession, sf: str) -> DataFrame:
-    """The five largest delta counters by day, and all others as one group."""
+    """The five delta counters with the greatest mean rate by day, and all others as one group."""
     found = metrics.increases(S.gauge_points(spark, sf), ["series"], DAY, cumulative=False)
-    rank = found.groupBy("series").agg(F.sum("increase").alias("score"))
-    return metrics.top_and_rest(found, "series", rank, 5, "increase")
+    return metrics.top_and_rest(found, "series", metrics.ranking(found, "series", "counter"), 5, "increase")
 
 
 BOUNDS = [1_000.0, 5_000.0, 10_000.0, 25_000.0]
@@ -297,7 +360,16 @@ def agg_15_histogram_merge(spark: SparkSession, sf: str) -> DataFrame:
     return merged.select("type", "step_at", "n", "sum", *[F.col("counts")[k].alias(f"b{k}") for k in range(len(BOUNDS) + 1)])
 
 
-@query()
+_EDGES = [0.0, *BOUNDS, BOUNDS[-1]]
+_PLACED = "CASE " + " ".join(f"WHEN value <= {b} THEN {k}" for k, b in enumerate(BOUNDS)) + f" ELSE {len(BOUNDS)} END"
+_AT = " ".join(f"WHEN {k} THEN {{}}" for k in range(len(BOUNDS) + 1))
+_LOW, _HIGH = "CASE k " + _AT.format(*_EDGES[:-1]) + " END", "CASE k " + _AT.format(*_EDGES[1:]) + " END"
+
+
+@query(
+    "SELECT type, " + ", ".join(f"round(arg_min({_LOW} + ({_HIGH} - {_LOW}) * ({q} * total - (seen - n)) / n, k) FILTER (seen >= {q} * total), 3) AS {p}" for p, q in (("p50", 0.5), ("p90", 0.9), ("p99", 0.99))) + " FROM summed GROUP BY type",
+    POINTS + f", cells AS (SELECT type, {_PLACED} AS k, count(*) AS n FROM points GROUP BY ALL), summed AS (SELECT *, sum(n) OVER (PARTITION BY type ORDER BY k)::DOUBLE AS seen, sum(n) OVER (PARTITION BY type)::DOUBLE AS total FROM cells)",
+)
 def agg_17_distribution(spark: SparkSession, sf: str) -> DataFrame:
     """p50, p90 and p99 of the merged histograms by type."""
     whole = metrics.add_counts(metrics.histogram_points(S.gauge_points(spark, sf), ["type"], BOUNDS, DAY), ["type"], len(BOUNDS) + 1)
@@ -311,6 +383,16 @@ def agg_16_exponential_scale(spark: SparkSession, sf: str) -> DataFrame:
     return metrics.lower_scale(cells, ["type"], 2)
 
 
+@query("SELECT type, 2 AS scale, CASE WHEN shard % 2 = 0 THEN index >> 1 ELSE index END AS index, count(*) AS n FROM (SELECT type, shard, CAST(ceil(log2(value) * CASE WHEN shard % 2 = 0 THEN 8 ELSE 4 END) AS INT) - 1 AS index FROM points) GROUP BY ALL", POINTS)
+def agg_16_add_scales(spark: SparkSession, sf: str) -> DataFrame:
+    """Exponential buckets of two scales, added at the smaller one."""
+    points = S.gauge_points(spark, sf)
+    even = F.col("shard") % 2 == 0
+    index = F.when(even, metrics.exponential_index(F.col("value"), 3)).otherwise(metrics.exponential_index(F.col("value"), 2))
+    cells = points.groupBy("type", F.when(even, 3).otherwise(2).alias("scale"), index.alias("index")).agg(F.count(F.lit(1)).alias("n"))
+    return metrics.to_least_scale(cells, ["type"])
+
+
 @query("SELECT key, count(*) AS n, CASE WHEN min(type) = max(type) THEN min(type) ELSE 'mixed' END AS type FROM (SELECT 'user.id' AS key, CASE WHEN starts_with(a_user, '\"') THEN 'string' ELSE 'int' END AS type FROM logs UNION ALL SELECT 'event.type', 'string' FROM logs UNION ALL SELECT 'k', 'int' FROM logs WHERE a_k IS NOT NULL UNION ALL SELECT 'ok', 'bool' FROM logs) GROUP BY key", LOGS)
 def agg_21_jsn_2_attribute_keys(spark: SparkSession, sf: str) -> DataFrame:
     return catalog.keys(S.logs(spark, sf))
@@ -326,13 +408,22 @@ def agg_23_span_names(spark: SparkSession, sf: str) -> DataFrame:
     return catalog.counts_of(S.spans(spark, sf), "name")
 
 
-@query("SELECT CAST(to_timestamp(logged_at // 1000000000) AT TIME ZONE 'UTC' AS DATE)::VARCHAR AS day, count(DISTINCT a_user) AS n_values, count(*) AS n, 'user.id' AS key FROM logs GROUP BY 1", LOGS)
+@query(
+    "SELECT CAST(to_timestamp(logged_at // 1000000000) AT TIME ZONE 'UTC' AS DATE)::VARCHAR AS day, key, count(*) AS n, count(DISTINCT value) AS n_values FROM entries GROUP BY ALL",
+    LOGS + ", entries AS (" + " UNION ALL ".join(f"SELECT logged_at, '{k}' AS key, {c} AS value FROM logs WHERE {c} IS NOT NULL" for k, c in (("user.id", "a_user"), ("event.type", "a_type"), ("k", "a_k"), ("ok", "a_ok"))) + ")",
+)
 def ing_7_dat_2_catalog_by_day(spark: SparkSession, sf: str) -> DataFrame:
-    found = catalog.keys_by_day(S.logs(spark, sf), steps.day_of(F.col("logged_at")))
-    return found.filter("key = 'user.id'").withColumn("day", F.col("day").cast("string"))
+    """Every attribute key by day, with how many values it had."""
+    return catalog.keys_by_day(S.logs(spark, sf), steps.day_of(F.col("logged_at"))).withColumn("day", F.col("day").cast("string"))
 
 
-@query("SELECT a_user AS value, count(*) AS n FROM (SELECT * FROM logs WHERE severity >= 13 ORDER BY logged_at DESC, row_id DESC LIMIT 10000) WHERE starts_with(ltrim(a_user, '\"'), '1') GROUP BY 1 ORDER BY n DESC, value LIMIT 50", LOGS)
+@query("SELECT 'user.id' AS key, 'mixed' AS type, 'attributes' AS origin, (SELECT count(DISTINCT a_user) FROM logs) AS n_values, (SELECT string_agg(a_user, ',' ORDER BY n DESC, a_user) FROM (SELECT a_user, count(*) AS n FROM logs GROUP BY 1 ORDER BY n DESC, a_user LIMIT 10)) AS common", LOGS)
+def cmp_3_field_help(spark: SparkSession, sf: str) -> DataFrame:
+    """What completion says about a field."""
+    return catalog.help_on(S.logs(spark, sf), "user.id").withColumn("common", F.array_join("common", ","))
+
+
+@query("SELECT a_user AS value, count(*) AS n FROM (SELECT * FROM logs WHERE severity >= 13 AND starts_with(ltrim(a_user, '\"'), '1') ORDER BY logged_at DESC, row_id DESC LIMIT 10000) GROUP BY 1 ORDER BY n DESC, value LIMIT 50", LOGS)
 def cmp_4_suggestions(spark: SparkSession, sf: str) -> DataFrame:
     """What completion offers for user.id after `1`, among recent warnings."""
     return catalog.suggestions(S.logs(spark, sf), F.col("severity") >= 13, [F.desc("logged_at"), F.desc("row_id")], "user.id", "1")
@@ -352,7 +443,8 @@ def ing_5_set_2_summary_read(spark: SparkSession, sf: str) -> DataFrame:
         SELECT *, CASE WHEN lag(value) OVER w IS NULL THEN 0 WHEN value >= lag(value) OVER w THEN value - lag(value) OVER w ELSE value END AS grown, coalesce(recorded_at - lag(recorded_at) OVER w, 0) AS took FROM counter WINDOW w AS (PARTITION BY series ORDER BY recorded_at)) GROUP BY ALL""", COUNTER,
 )
 def ing_6_metric_summary(spark: SparkSession, sf: str) -> DataFrame:
-    return rollups.metric_summary(S.counter_points(spark, sf), ["series"], HOUR)
+    """Hours made from the summaries of their minutes; the SQL makes them from the points."""
+    return rollups.coarser_metrics(rollups.metric_summary(S.counter_points(spark, sf), ["series"], MINUTE), ["series"], HOUR)
 
 
 @query(f"SELECT row_id FROM logs WHERE logged_at >= {JAN + 22 * DAY}", LOGS)
@@ -361,18 +453,19 @@ def ing_8_retention(spark: SparkSession, sf: str) -> DataFrame:
     return rollups.retained(S.logs(spark, sf), "logged_at", JAN + 28 * DAY + HOUR).select("row_id")
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query(f"SELECT DISTINCT user_id FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE epoch_us(ts) * 1000 >= {JAN + 29 * DAY})")
 def jon_8_unreferenced(spark: SparkSession, sf: str) -> DataFrame:
-    """Dimension rows that nothing refers to."""
-    orders = S.table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey"))
-    return rollups.unreferenced(S.table(spark, sf, "customer").select("c_custkey"), orders, "c_custkey")
+    """Users that nothing refers to any more once only the last days are kept."""
+    events = S.table(spark, sf, "events").select("user_id", S.nanos("ts").alias("at"))
+    kept_rows = rollups.retained(events, "at", JAN + 30 * DAY + HOUR, days=2)
+    return rollups.unreferenced(events.select("user_id").distinct(), kept_rows, "user_id")
 
 
-@query("SELECT series, recorded_at, value FROM points QUALIFY row_number() OVER (PARTITION BY series, recorded_at // 3600000000000 ORDER BY recorded_at DESC) = 1", POINTS)
+@query("SELECT series, hour, value FROM (SELECT *, recorded_at - recorded_at % 3600000000000 AS hour FROM (SELECT (user_id % 10) || '/' || event_type AS series, epoch_us(ts) * 1000 AS recorded_at, CAST(round(value * 100) AS BIGINT) AS value, event_id * 7919 % 1000003 AS arrival FROM events)) QUALIFY row_number() OVER (PARTITION BY series, hour ORDER BY arrival DESC) = 1")
 def snk_4_latest_write(spark: SparkSession, sf: str) -> DataFrame:
-    """One point of each series and hour, the one that came last."""
-    rows = S.gauge_points(spark, sf).withColumn("hour", steps.step_of(F.col("recorded_at"), HOUR))
-    return rollups.latest_write(rows, ["series", "hour"], F.col("recorded_at")).select("series", "recorded_at", "value")
+    """Points written in another order than they were recorded: of one series and instant, the last to arrive holds."""
+    rows = S.table(spark, sf, "events").select(F.concat_ws("/", (F.col("user_id") % 10).cast("string"), "event_type").alias("series"), steps.step_of(S.nanos("ts"), HOUR).alias("hour"), F.round(F.col("value") * 100).cast("long").alias("value"), (F.col("event_id") * 7919 % 1_000_003).alias("arrival"))
+    return rollups.latest_write(rows, ["series", "hour"], F.col("arrival")).select("series", "hour", "value")
 
 
 @query("SELECT p.series, p.recorded_at FROM points p JOIN (SELECT type, series FROM points GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY type ORDER BY min(recorded_at), series) <= 3) USING (type, series)", POINTS)
@@ -395,11 +488,15 @@ def win_5_fill_forward(spark: SparkSession, sf: str) -> DataFrame:
     return steps.fill_forward(cells.join(found, ["series", "step_at"], "left").select("series", "step_at", "last"), ["series"], "last", MINUTE)
 
 
-@query("SELECT DISTINCT regexp_replace(regexp_replace(trim(query, '\"'), '[0-9]+', '?', 'g'), 'x', 'x') AS text FROM spans WHERE query IS NOT NULL", SPANS)
-def str_2_ing_1_sanitized_sql(spark: SparkSession, sf: str) -> DataFrame:
-    """SQL texts of spans without their literals."""
-    text = A.text_of(A.value("attributes", "db.query.text"))
-    return S.spans(spark, sf).filter(A.has("attributes", "db.query.text")).select(T.sanitize_sql(text).alias("text")).distinct()
+@query(
+    """SELECT DISTINCT CASE WHEN system = '"mongodb"' THEN trim(query, '"') ELSE CASE row_id // 1000 % 4 WHEN 0 THEN 'SELECT * FROM part WHERE id = ? AND qty > ?' WHEN 1 THEN 'SELECT name FROM supplier WHERE note IN (?) AND id = ?'
+    WHEN 2 THEN 'INSERT INTO shipped (id, mode) VALUES (?)' ELSE 'SELECT * FROM part WHERE id = $1 -- 42' END END AS text FROM spans WHERE query IS NOT NULL""", SPANS,
+)
+def str_2_str_3_ing_1_sanitized_sql(spark: SparkSession, sf: str) -> DataFrame:
+    """Query texts of spans, those of SQL systems without their literals."""
+    system, text = A.text_of(A.value("attributes", "db.system.name")), A.text_of(A.value("attributes", "db.query.text"))
+    texts = S.spans(spark, sf).filter(A.has("attributes", "db.query.text")).select(T.is_sql_system(system).alias("sql"), text.alias("raw")).distinct()
+    return texts.select(F.when(F.col("sql"), F.coalesce(T.sanitize_sql(F.col("raw")), F.col("raw"))).otherwise(F.col("raw")).alias("text")).distinct()
 
 
 @query("SELECT url, regexp_extract(url, '^[a-z]+://([^/]+)', 1) AS host, regexp_replace(regexp_extract(url, '^[a-z]+://[^/]+([^?#]*)', 1), '/[0-9]+', '/{}', 'g') AS shape FROM pages")
@@ -414,9 +511,42 @@ def cli_4_mth_3_span_measures(spark: SparkSession, sf: str) -> DataFrame:
     return spans.span_steps(S.spans(spark, sf), 30 * DAY).withColumns({"rate": F.round("rate", 9), "error_rate": F.round("error_rate", 9)})
 
 
-@query("SELECT series, count(*) AS n, max(recorded_at) AS last_at FROM points GROUP BY 1 ORDER BY series LIMIT 100", POINTS)
+@query(f"SELECT type AS name, series, count(*) OVER () > 20 AS truncated FROM (SELECT DISTINCT type, series FROM points WHERE recorded_at >= {JAN} AND recorded_at < {JAN + 2 * HOUR}) QUALIFY row_number() OVER (ORDER BY type, series) <= 20", POINTS)
 def agg_25_jon_7_metric_list(spark: SparkSession, sf: str) -> DataFrame:
-    return S.gauge_points(spark, sf).groupBy("series").agg(F.count(F.lit(1)).alias("n"), F.max("recorded_at").alias("last_at")).orderBy("series").limit(100)
+    """The first series, by name, with a point in two hours, and whether there are more."""
+    points = S.gauge_points(spark, sf)
+    series = points.select(F.col("type").alias("name"), "series").distinct()
+    return metrics.metric_list(series, points, Range(JAN, JAN + 2 * HOUR), 20).select("name", "series", "truncated")
+
+
+@query("SELECT row_id, route, true AS truncated FROM (SELECT * FROM spans ORDER BY route DESC NULLS LAST, row_id LIMIT 50)", SPANS)
+def srt_4_lim_1_table_order(spark: SparkSession, sf: str) -> DataFrame:
+    """A page of a table that is sorted by a column with gaps, and whether there is more."""
+    rows = S.spans(spark, sf).select("row_id", A.value("attributes", "http.route").alias("route"))
+    return steps.page(rows, [steps.table_order("route", True), F.asc("row_id")], 50)
+
+
+@query("SELECT row_id, duration_ns FROM (SELECT *, row_number() OVER (ORDER BY duration_ns DESC, started_at DESC, row_id DESC) AS place FROM spans) WHERE place BETWEEN 51 AND 100", SPANS)
+def lim_2_next_spans(spark: SparkSession, sf: str) -> DataFrame:
+    """The second page of the longest spans, by the cursor of the first."""
+    rows = S.spans(spark, sf)
+    order = [c for c, _ in spans.order_of("longest")]
+    last = spans.ordered(rows, "longest", 50).agg(F.min(F.struct(*order)).alias("x")).first()["x"]
+    return spans.ordered(rows, "longest", 50, list(last)).select("row_id", "duration_ns")
+
+
+@query("SELECT method, route, count(*) AS n, count(*) FILTER (status = 2) AS errors FROM spans WHERE service = 'svc-1' AND kind = 2 AND method IS NOT NULL GROUP BY ALL", SPANS)
+def cli_11_routes_of_a_service(spark: SparkSession, sf: str) -> DataFrame:
+    """A service's routes."""
+    condition, keys = spans.routes_of("svc-1")
+    groups = spans.span_groups(S.spans(spark, sf).filter(condition), keys)
+    return groups.select(F.col("http_request_method").alias("method"), F.col("http_route").alias("route"), "n", "errors")
+
+
+@query("SELECT row_id FROM spans WHERE method = '\"POST\"' AND query IS NULL", SPANS)
+def cli_13_drill_down(spark: SparkSession, sf: str) -> DataFrame:
+    """The spans of a group, one of whose keys is missing."""
+    return S.spans(spark, sf).filter(spans.drill_down({"http.request.method": "POST", "db.query.text": None})).select("row_id")
 
 
 @query("SELECT a_type AS value, count(DISTINCT a_user) AS n_distinct FROM logs GROUP BY 1", LOGS)
@@ -444,16 +574,20 @@ def srt_3_jon_6_logs_of_traces(spark: SparkSession, sf: str) -> DataFrame:
     return rows.join(F.broadcast(page), "trace_id", "left_semi").select("row_id", "trace_id")
 
 
-@query("SELECT service, arg_max(host, (logged_at, row_id)) AS host, max(logged_at) AS newest_at FROM logs GROUP BY 1", LOGS)
+@query(
+    "SELECT service, max_by(host, (host IS NOT NULL, t, row_id)) AS host, max(t) AS newest_at FROM (SELECT service, CASE WHEN row_id % 9 <> 0 THEN host END AS host, logged_at AS t, row_id FROM logs UNION ALL SELECT service, NULL, started_at, row_id FROM spans) GROUP BY 1", LOGS + "," + SPANS,
+)
 def agg_11_resource_of_service(spark: SparkSession, sf: str) -> DataFrame:
-    """The resource that each service's newest log came from."""
-    found = S.logs(spark, sf).groupBy("service").agg(F.max_by(A.value("resource", "host.name"), F.struct("logged_at", "row_id")).alias("host"), F.max("logged_at").alias("newest_at"))
-    return found
+    """The resource of each service over logs and spans; one without attributes only where there is no other."""
+    empty = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
+    lines = S.logs(spark, sf).select("service", F.when(F.col("row_id") % 9 != 0, F.col("resource")).otherwise(empty).alias("resource"), F.col("logged_at").alias("at"), "row_id")
+    found = spans.resource_of_service(lines.unionByName(S.spans(spark, sf).select("service", empty.alias("resource"), F.col("started_at").alias("at"), "row_id")))
+    return found.select("service", A.value("resource", "host.name").alias("host"), "newest_at")
 
 
 @query("SELECT type AS name, count(DISTINCT series) AS n_series, min(value) AS low, max(value) AS high FROM points GROUP BY 1", POINTS)
 def agg_26_metric_names(spark: SparkSession, sf: str) -> DataFrame:
-    return S.gauge_points(spark, sf).groupBy(F.col("type").alias("name")).agg(F.count_distinct("series").alias("n_series"), F.min("value").alias("low"), F.max("value").alias("high"))
+    return metrics.metric_names(S.gauge_points(spark, sf), "type")
 
 
 @query(
@@ -461,8 +595,9 @@ def agg_26_metric_names(spark: SparkSession, sf: str) -> DataFrame:
 )
 def cli_5_cli_6_combined_series(spark: SparkSession, sf: str) -> DataFrame:
     """All series of a chart as one line: gauges average, updowns add up, steps without a point left out."""
-    found = metrics.levels(S.gauge_points(spark, sf), ["series"], DAY).withColumn("a", F.col("sum") / F.col("n"))
-    return found.groupBy("step_at").agg(F.round(F.avg("a"), 6).alias("gauge"), F.round(F.sum("a"), 6).alias("updown"))
+    found = metrics.levels(S.gauge_points(spark, sf), ["series"], DAY)
+    gauge, updown = (metrics.combined(found, kind).select("step_at", F.round("value", 6).alias(kind)) for kind in ("gauge", "updown"))
+    return gauge.join(updown, "step_at")
 
 
 @query(
@@ -472,11 +607,11 @@ def cli_5_cli_6_combined_series(spark: SparkSession, sf: str) -> DataFrame:
 def cli_7_two_queries_on_one_chart(spark: SparkSession, sf: str) -> DataFrame:
     """Two queries aligned by the start of their steps."""
     a = S.logs(spark, sf).groupBy(steps.step_of(F.col("logged_at"), DAY).alias("step_at")).agg(F.count(F.lit(1)).alias("logs"))
-    b = S.gauge_points(spark, sf).filter("type = 'purchase'").groupBy(steps.step_of(F.col("recorded_at"), DAY).alias("step_at")).agg(F.count(F.lit(1)).alias("p"))
-    return a.join(b, "step_at", "left").select("step_at", "logs", F.coalesce("p", F.lit(0)).alias("purchases"))
+    b = S.gauge_points(spark, sf).filter("type = 'purchase'").groupBy(steps.step_of(F.col("recorded_at"), DAY).alias("step_at")).agg(F.count(F.lit(1)).alias("purchases"))
+    return metrics.aligned(a, b, "purchases")
 
 
-@query("SELECT row_id, CASE WHEN method IS NOT NULL THEN 'http' WHEN query IS NOT NULL THEN 'database' END AS meaning, coalesce(trim(method, '\"') || ' ' || trim(route, '\"'), 'postgresql') AS title FROM spans", SPANS)
+@query("SELECT row_id, CASE WHEN method IS NOT NULL THEN 'http' WHEN query IS NOT NULL THEN 'database' END AS meaning, coalesce(trim(method, '\"') || ' ' || trim(route, '\"'), trim(system, '\"')) AS title FROM spans", SPANS)
 def cli_14_span_meaning(spark: SparkSession, sf: str) -> DataFrame:
     """Whether a span is an HTTP request or a database call, by new and old attribute names."""
     return S.spans(spark, sf).select("row_id", *spans.meaning())

@@ -5,7 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-ANY = "STRUCT<stringValue: STRING, boolValue: BOOLEAN, intValue: STRING, doubleValue: STRING, bytesValue: STRING, arrayValue: STRING, kvlistValue: STRING>"
+DEPTH = 2  # arrays and maps within one another whose form is made canonical; what is deeper is left as it came
+
+
+def _any(depth: int) -> str:
+    inner = _any(depth - 1) if depth else ""
+    array = f"STRUCT<values: ARRAY<{inner}>>" if depth else "STRING"
+    pairs = f"STRUCT<values: ARRAY<STRUCT<key: STRING, value: {inner}>>>" if depth else "STRING"
+    return f"STRUCT<stringValue: STRING, boolValue: BOOLEAN, intValue: STRING, doubleValue: STRING, bytesValue: STRING, arrayValue: {array}, kvlistValue: {pairs}>"
+
+
+ANY = _any(DEPTH)
 KEYS = f"ARRAY<STRUCT<key: STRING, value: {ANY}>>"
 SCOPE = f"scope: STRUCT<name: STRING, version: STRING, attributes: {KEYS}>"
 RESOURCE = f"resource: STRUCT<attributes: {KEYS}>"
@@ -29,21 +39,36 @@ def requests(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
     return lines.select(F.from_json("value", REQUEST).alias("r")).select("r.*")
 
 
+def unreadable(spark: SparkSession, path: str) -> DataFrame:
+    """One row: how many lines of the files, other than blank ones, are no JSON objects."""
+    whole = F.coalesce(F.get_json_object("value", "$").startswith("{"), F.lit(False))
+    return spark.read.text(path).filter(F.trim("value") != "").agg(F.count_if(~whole).alias("unreadable"))
+
+
 def _quoted(text: Column) -> Column:
     array = F.to_json(F.array(text))
     return array.substr(F.lit(2), F.length(array) - 2)
 
 
-def _json(value: Column) -> Column:
-    """Canonical JSON text of a value; doubles that JSON lacks are strings, arrays and maps keep their OTLP form."""
+def _json(value: Column, depth: int = DEPTH) -> Column:
+    """Canonical JSON text of a value; doubles that JSON lacks are strings, maps are in order of their keys."""
     double = value["doubleValue"]
+    array, pairs = value["arrayValue"], value["kvlistValue"]
+    if depth:
+        array = F.when(array.isNotNull(), _listed("[", F.transform(array["values"], lambda v: _json(v, depth - 1)), "]"))
+        texts = F.array_sort(F.transform(pairs["values"], lambda p: F.concat(_quoted(p["key"]), F.lit(":"), _json(p["value"], depth - 1))))
+        pairs = F.when(pairs.isNotNull(), _listed("{", texts, "}"))
     return F.coalesce(
         F.when(value["stringValue"].isNotNull(), _quoted(value["stringValue"])), value["boolValue"].cast("string"), value["intValue"],
         F.when(double.isin("NaN", "Infinity", "-Infinity"), F.concat(F.lit('"'), double, F.lit('"'))).when(double.rlike(r"[.eE]"), double).when(double.isNotNull(), F.concat(double, F.lit(".0"))),
-        F.concat(F.lit('"'), value["bytesValue"], F.lit('"')), value["arrayValue"], value["kvlistValue"], F.lit("null"),
+        F.concat(F.lit('"'), value["bytesValue"], F.lit('"')), array, pairs, F.lit("null"),
     )
 
 
+def _listed(start: str, texts: Column, end: str) -> Column:
+    return F.concat(F.lit(start), F.coalesce(F.array_join(texts, ","), F.lit("")), F.lit(end))
+
+
 def _entries(keys: Column) -> Column:
     return F.transform(F.coalesce(keys, F.array().cast(KEYS)), lambda k: F.struct(k["key"].alias("key"), _json(k["value"]).alias("value")))
 
@@ -74,7 +99,8 @@ def _id(value: Column, digits: int) -> Column:
 
 def _opened(request: DataFrame, kind: str, scopes: str, items: str) -> DataFrame:
     resource = request.select(F.explode(kind).alias("r")).select("r.resource.attributes", F.explode(f"r.{scopes}").alias("s"))
-    service = F.try_element_at(F.map_from_entries(F.transform(F.coalesce("attributes", F.array().cast(KEYS)), lambda k: F.struct(k["key"], k["value"]["stringValue"]))), F.lit("service.name"))
+    named = F.filter(F.coalesce("attributes", F.array().cast(KEYS)), lambda k: k["key"] == "service.name")  # the last one holds
+    service = F.try_element_at(named, F.lit(-1))["value"]["stringValue"]
     return resource.select(
         F.coalesce(F.nullif(service, F.lit("")), F.lit("unknown_service")).alias("service"), _map(_entries(F.col("attributes"))).alias("resource"), F.col("s.scope").alias("scope"), F.explode(f"s.{items}").alias("x")
     )
@@ -101,7 +127,7 @@ def spans(request: DataFrame) -> tuple[DataFrame, DataFrame]:
     x = F.col("x")
     start, end = F.coalesce(_time(x["startTimeUnixNano"]), F.lit(0)), F.coalesce(_time(x["endTimeUnixNano"]), F.lit(0))
     status = F.coalesce(x["status"]["code"], F.lit(0))
-    events = F.transform(F.coalesce(x["events"], F.array().cast(f"ARRAY<{EVENT}>")), lambda e: F.struct(F.coalesce(_time(e["timeUnixNano"]), F.lit(0)).alias("occurred_at"), e["name"].alias("name"), F.map_from_entries(_entries(e["attributes"])).alias("attributes")))
+    events = F.transform(F.coalesce(x["events"], F.array().cast(f"ARRAY<{EVENT}>")), lambda e: F.struct(F.coalesce(_time(e["timeUnixNano"]), F.lit(0)).alias("occurred_at"), e["name"].alias("name"), _map(_entries(e["attributes"])).alias("attributes")))
     found = _opened(request, "resourceSpans", "scopeSpans", "spans").select(
         _id(x["traceId"], 32).alias("trace_id"), _id(x["spanId"], 16).alias("span_id"), _id(x["parentSpanId"], 16).alias("parent_span_id"), F.coalesce(x["name"], F.lit("")).alias("name"), F.coalesce(x["kind"], F.lit(0)).alias("kind"),
         start.alias("started_at"), F.greatest(end - start, F.lit(0)).alias("duration_ns"), F.when(status.isin(0, 1, 2), status).otherwise(0).alias("status"), "service", _map(*_scope(), _entries(x["attributes"]), _text("otel.status_description", x["status"]["message"])).alias("attributes"), "resource", events.alias("events"),

@@ -56,9 +56,12 @@ def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders are root spans of a trace each, their lines the children; every 50th order's root is missing."""
+    """Orders are root spans of a trace each, their lines the children; those of every 50th order name a parent that is missing.
+
+    The children's query texts have four shapes, one of them with bound values, and every seventh order's are no SQL.
+    """
     o, line = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
-    roots = o.filter("o_orderkey % 50 <> 0").select(
+    roots = o.select(
         hex_id(F.col("o_orderkey"), 32).alias("trace_id"), hex_id(F.col("o_orderkey") * 1000, 16).alias("span_id"), F.lit(None).cast("string").alias("parent_span_id"),
         F.col("o_orderpriority").alias("name"), F.lit(2).alias("kind"), (nanos("o_orderdate") + (F.col("o_orderkey") % 86_400) * SECOND).alias("started_at"),
         (F.round(F.col("o_totalprice") * 100).cast("long") * 10_000).alias("duration_ns"), F.when(F.col("o_orderkey") % 20 == 1, 2).when(F.col("o_orderkey") % 3 == 0, 1).otherwise(0).alias("status"),
@@ -67,13 +70,20 @@ def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("o_orderkey") * 1000).alias("row_id"),
     )
     number = F.expr("row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate)")
+    part, supplier, shape = F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string"), F.col("l_orderkey") % 4
+    statement = (
+        F.when(shape == 0, F.concat(F.lit("SELECT * FROM part WHERE id = "), part, F.lit(" AND qty > "), F.col("l_quantity").cast("int").cast("string")))
+        .when(shape == 1, F.concat(F.lit("SELECT name FROM supplier WHERE note IN ('it''s', 'b') AND id = "), supplier))
+        .when(shape == 2, F.concat(F.lit("INSERT INTO shipped (id, mode) VALUES ("), part, F.lit(", 'air'), ("), supplier, F.lit(", 'rail')")))
+        .otherwise("SELECT * FROM part WHERE id = $1 -- 42")
+    )
     children = line.withColumn("n", number).select(
         hex_id(F.col("l_orderkey"), 32).alias("trace_id"), hex_id(F.col("l_orderkey") * 1000 + F.col("n"), 16).alias("span_id"),
-        hex_id(F.col("l_orderkey") * 1000 + F.when(F.col("n") % 3 == 0, F.col("n") - 1).otherwise(0), 16).alias("parent_span_id"),
+        hex_id(F.col("l_orderkey") * 1000 + F.when(F.col("l_orderkey") % 50 == 0, 999).when(F.col("n") % 3 == 0, F.col("n") - 1).otherwise(0), 16).alias("parent_span_id"),
         F.concat(F.lit("ship "), "l_linestatus").alias("name"), F.lit(3).alias("kind"), (nanos("l_shipdate") + F.col("n") * 1_000_000).alias("started_at"),
         (F.round(F.col("l_extendedprice") * 100).cast("long") * 10_000).alias("duration_ns"), F.when(F.col("l_returnflag") == "R", 2).otherwise(0).alias("status"),
         F.concat(F.lit("svc-"), (F.col("l_suppkey") % 5).cast("string")).alias("service"),
-        entries(db__system__name=F.lit('"postgresql"'), db__query__text=quoted(F.concat(F.lit("SELECT * FROM part WHERE id = "), F.col("l_partkey").cast("string"), F.lit(" AND qty > "), F.col("l_quantity").cast("int").cast("string")))).alias("attributes"),
+        entries(db__system__name=quoted(F.when(F.col("l_orderkey") % 7 == 0, "mongodb").otherwise("postgresql")), db__query__text=quoted(statement)).alias("attributes"),
         (F.col("l_orderkey") * 1000 + F.col("n")).alias("row_id"),
     )
     return roots.unionByName(children)

@@ -41,8 +41,3 @@ def read_minutes(spark: SparkSession, target: str) -> DataFrame:
     rows = spark.read.parquet(target)
     keys = ["minute_at", "service", "bucket"]
     return rows.groupBy(*keys).agg(*[F.max_by(c, "batch").alias(c) for c in ("n", "errors", "sum_ns")])
-
-
-def minutes_of(r) -> int:
-    """How many minutes a range touches."""
-    return r.steps(MINUTE)

@@ -51,6 +51,20 @@ def test_otlp_json(spark, tmp_path):
     assert [list(r["histogram"]["counts"]) for r in points.filter("name = 'h'").orderBy(F.size("histogram.counts")).collect()] == [[3], [1, 2]]
 
 
+def test_repeated_keys_arrays_and_unreadable_lines(spark, tmp_path):
+    twice = {"attributes": [attribute("service.name", stringValue="old"), attribute("service.name", stringValue="new")]}
+    tags = attribute("tags", arrayValue={"values": [{"intValue": "1"}, {"stringValue": "x"}, {"arrayValue": {"values": []}}]})
+    tree = attribute("tree", kvlistValue={"values": [attribute("b", boolValue=True), attribute("a", doubleValue=2)]})
+    event = {"timeUnixNano": "7", "name": "e", "attributes": [attribute("k", intValue="1"), attribute("k", intValue="2")]}
+    span = {"traceId": "ab" * 16, "spanId": "12" * 8, "attributes": [tags, tree], "events": [event]}
+    lines = [json.dumps({"resourceSpans": [{"resource": twice, "scopeSpans": [{"spans": [span]}]}]}), "{broken", "", "[]", "{}"]
+    (tmp_path / "r.json").write_text("\n".join(lines) + "\n")
+    found = otlp.spans(otlp.requests(spark, str(tmp_path)))[0].first()
+    assert found["service"] == "new" and found["resource"] == {"service.name": '"new"'} and found["events"][0]["attributes"] == {"k": "2"}
+    assert found["attributes"] == {"tags": '[1,"x",[]]', "tree": '{"a":2.0,"b":true}'}
+    assert otlp.unreadable(spark, str(tmp_path)).first()["unreadable"] == 2
+
+
 def test_streamed_logs_equal_batch(spark, tmp_path):
     (tmp_path / "in").mkdir()
     for k in range(3):
