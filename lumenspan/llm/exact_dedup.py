@@ -20,13 +20,14 @@ HOT, SALTS = 1000, 64
 
 
 def _join_counts(rows: DataFrame, groups: DataFrame, keys: list[str], total: int) -> DataFrame:
-    """rows with what groups (a written table) says of their keys, or nulls."""
+    """rows with what groups (a written table) says of their keys, or nulls: by the same sort-merge join at every size."""
+    groups = groups.hint("merge")
     hot = [r[0] for r in groups.filter(F.col("n") > max(SALTS, total / HOT)).select(F.xxhash64(*keys)).collect()]
     if not hot:
         return rows.join(groups, keys, "left")
     is_hot = F.xxhash64(*keys).isin(hot)
     salted = groups.withColumn("salt", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
-    return rows.withColumn("salt", F.when(is_hot, F.pmod(F.xxhash64("rid"), F.lit(SALTS)).cast("int")).otherwise(0)).join(salted, [*keys, "salt"], "left").drop("salt")
+    return rows.withColumn("salt", F.when(is_hot, F.pmod(F.xxhash64("rid"), F.lit(SALTS)).cast("int")).otherwise(0)).join(salted.hint("merge"), [*keys, "salt"], "left").drop("salt")
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", first_block: int = 32, growth: int = 4) -> DataFrame:
