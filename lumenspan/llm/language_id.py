@@ -156,10 +156,16 @@ def fit_language(docs: DataFrame, label_col: str = "lang", id_col: str = "doc_id
 
     Of each label at most docs_per_label texts are used, those with the least seeded hash, and of each text WINDOWS
     windows of SEGMENT bytes spread over the whole of it: this bound, by the number of labels, is what the driver
-    gets. Rows with a null id, label or text, or a blank text, aren't learned from. Without any, nothing is known.
+    gets, and a count for each label. Rows with a null id, label or text, or a blank text, aren't learned from. Without any, nothing is known.
     """
     rows = docs.select(F.col(label_col).cast("string").alias("label"), F.col(text_col).cast("string").alias("body"), F.xxhash64(F.lit(seed), id_col, text_col).alias("rank"), fold_of(id_col, folds).alias("fold"))
     rows = rows.filter(F.col("label").isNotNull() & (F.col("fold") != held_fold) & (F.trim("body") != ""))
+    # Twice as many rows as are wanted come below these ranks, so what meets in a label's task doesn't grow with the table.
+    sizes = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not sizes:
+        return LanguageModel([], {})
+    most = [F.lit(x) for label, n in sizes.items() for x in (label, min(2**63 - 1, -(2**63) + 2**64 * (2 * docs_per_label + 50) // n))]
+    rows = rows.filter(F.col("rank") <= F.try_element_at(F.create_map(*most), F.col("label")))
     data, n = F.col("body").cast("binary"), F.octet_length("body")
     starts = [(F.greatest(n - SEGMENT, F.lit(0)) * k / (WINDOWS - 1)).cast("int") + 1 for k in range(WINDOWS)]
     windows = rows.select("label", "rank", F.array(*[F.substring(data, s, F.lit(SEGMENT)) for s in starts]).alias("windows"))

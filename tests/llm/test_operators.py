@@ -144,6 +144,19 @@ def test_language_id(spark, docs, empty):
     assert {r["lang_pred"] for r in language_id.identify_language(docs, nothing).collect()} == {"und"} and language_id.identify_language(empty, model).count() == 0
 
 
+def test_language_sample_is_that_of_the_least_hashes(spark, monkeypatch):
+    """What is learned from is the docs_per_label texts of least rank of each label, as brute force finds them."""
+    seen = []
+    monkeypatch.setattr(language_id, "train", lambda segments, target, labels: seen.append((segments, target, labels)))
+    texts = [f"{'uvw'[k % 3]} text number {k}" for k in range(900)]
+    table = rows_of(spark, texts).withColumn("lang", F.concat(F.lit("l"), (F.col("doc_id") % 3).cast("string"))).repartition(5)
+    language_id.fit_language(table, docs_per_label=20)
+    ranked = table.select("lang", "text", F.xxhash64(F.lit(5), "doc_id", "text").alias("rank"), (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3).alias("fold")).filter("fold <> 1").collect()
+    want = {r["text"] for label in ("l0", "l1", "l2") for r in sorted((r for r in ranked if r["lang"] == label), key=lambda r: r["rank"])[:20]}
+    segments, _, labels = seen[0]
+    assert labels == ["l0", "l1", "l2"] and {bytes(x).rstrip(b"\0").decode() for x in segments} == want
+
+
 def test_backpropagation_through_time():
     """The gradient of one step against differences of the loss: Adam's first step has the gradient's signs."""
     rng = np.random.default_rng(0)
