@@ -1,8 +1,9 @@
 """Repeated passages: overlapping windows of three lines, of which later occurrences are removed.
 
-A line ends at a line break, after a sentence end, or after LONGEST words, so that a passage that is repeated inside
-longer lines is found too. Windows are hashed; hashes that occur twice anywhere are looked at again with all their
-places; every place but the first covers its three lines, covered lines are merged and dropped.
+A line ends at a line break, after a sentence end, and after a word of five or seven characters (marks beside it count),
+wherever it stands: a passage has the same lines in every text, whatever words come before it. Only where LONGEST words
+have none of these, a line ends by count. Windows are hashed; hashes that occur twice anywhere are looked at again with
+all their places; every place but the first covers its lines, covered lines are merged and dropped.
 """
 
 from __future__ import annotations
@@ -16,11 +17,15 @@ from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from .common import cut, text_of
 
-LONGEST = 16  # words of a line
+NO_CUT = r"\S{0,3}|\S{5}|\S{7,}"  # a word that ends no line, but for its last character: not of five or seven
+LONGEST = 32  # words of a line at most
 WINDOW = 3  # lines of a window
+#: Lines of a window whose lines are short: the first of these with enough characters.
+LENGTHS = (WINDOW, 4, 6, 8, 12, 24, 48)
+LEAST = 80  # characters of a window
 #: The lines of a text, each with the white space that follows it; together they are the whole text.
 BLANK = " \t\n\x0b\f\r"
-LINES = rf"(?:\S*[^\s.!?][^\S\n]+){{0,{LONGEST - 1}}}\S+\s*|\s+"
+LINES = rf"(?:(?:{NO_CUT})[^\s.!?][^\S\n]+){{0,{LONGEST - 1}}}\S+\s*|\s+"
 _LINES = re.compile(LINES, re.ASCII)
 
 
@@ -28,40 +33,52 @@ def lines_of(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(LINES), F.lit(0))
 
 
+def _window(bare: Column, at: Column, least_chars: int) -> Column:
+    """The text of the window that starts at a line; null if the text ends before it has enough characters."""
+    long_enough = lambda n: F.get(F.filter(F.array(F.array_join(F.slice(bare, at + 1, n), "\n")), lambda t: F.length(t) >= least_chars), F.lit(0))
+    return F.coalesce(*[long_enough(n) for n in LENGTHS])
+
+
 def _windows(docs: DataFrame, least_chars: int) -> DataFrame:
-    """id, key, at (first line), h1, h2: a row for each window, or one for a text of fewer lines."""
+    """id, key, at (first line), h1, h2: a row for each window; a text of fewer than three lines has one."""
     bare = docs.filter("body <> ''").select("id", "key", F.transform(lines_of(F.col("body")), lambda u: F.rtrim(u, F.lit(BLANK))).alias("bare"))
-    n = F.size("bare")
+    starts = F.sequence(F.lit(0), F.greatest(F.size("bare") - WINDOW, F.lit(0)))
+    texts = F.transform(starts, lambda at: F.struct(at.alias("at"), _window(F.col("bare"), at, least_chars).alias("t")))
+    hashes = F.transform(F.filter(texts, lambda w: w["t"].isNotNull()), lambda w: F.struct(w["at"].alias("at"), F.xxhash64(w["t"]).alias("h1"), F.hash(w["t"]).alias("h2")))
     # Not explode: the optimizer would derive a filter from it and cut every text into lines once more.
-    at = F.explode_outer(F.sequence(F.lit(0), F.greatest(n - WINDOW, F.lit(0)))).alias("at")
-    text = F.array_join(F.slice("bare", F.col("at") + 1, WINDOW), "\n")
-    placed = bare.select("id", "key", "bare", at).select("id", "key", "at", text.alias("t"))
-    return placed.filter(F.length("t") >= least_chars).select("id", "key", "at", F.xxhash64("t").alias("h1"), F.hash("t").alias("h2"))
+    return bare.select("id", "key", F.explode_outer(hashes).alias("w")).filter("w IS NOT NULL").select("id", "key", "w.at", "w.h1", "w.h2")
+
+
+def _length(bare: list[str], at: int, least_chars: int) -> int:
+    return next(n for n in LENGTHS if len("\n".join(bare[at : at + n])) >= least_chars)
 
 
-def without(text: str, starts) -> tuple[str | None, int, int]:
+def without(text: str, starts, least_chars: int) -> tuple[str | None, int, int]:
     """The text without the windows that start at those lines (None if there are none), its lines, and how many went."""
     lines = _LINES.findall(text)
     if starts is None:
         return None, len(lines), 0
-    gone = {k for s in starts for k in range(s, min(s + WINDOW, len(lines)))}
+    bare = [x.rstrip(BLANK) for x in lines]
+    gone = {k for s in starts for k in range(s, min(s + _length(bare, s, least_chars), len(lines)))}
     return "".join(x for k, x in enumerate(lines) if k not in gone), len(lines), len(gone)
 
 
 @F.pandas_udf(StructType([StructField("text", StringType()), StructField("n_lines", IntegerType()), StructField("n_removed", IntegerType())]))
-def _rebuild(texts: pd.Series, starts: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([without(t, s) for t, s in zip(texts, starts, strict=True)], columns=["text", "n_lines", "n_removed"])
+def _rebuild(texts: pd.Series, starts: pd.Series, least: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([without(*row) for row in zip(texts, starts, least, strict=True)], columns=["text", "n_lines", "n_removed"])
 
 
 #: So that a filter on the result isn't moved below it, which would rebuild every text once more.
 _rebuilt = _rebuild.asNondeterministic()
 
 
-def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_chars: int = 40, carry: tuple[str, ...] = ()) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_chars: int = LEAST, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per input row: id, key (hash of the text it had), text (what stays), n_lines, n_removed.
 
     The first occurrence of a window is the one with the least (id, text hash, line); null ids come first. A window of
-    fewer than least_chars characters is never a repeat. A text of fewer than three lines is one window. Texts without
+    three lines with fewer than least_chars (at most 94) characters takes in the next lines, so that short lines are no
+    way out; what recurs by chance is shorter. The last lines of a text belong to windows that start before them, and a
+    text of fewer than three lines is one window. A whole text of fewer than least_chars is no repeat. Texts without
     repeats stay as they are to the byte; an empty or null text stays empty (null stays null) with no lines. Rows that
     repeat id and text are one document and get the same result. Of other columns those named in
     `carry` come along as the fields of a struct `carried`, whatever their names; the rest is not read.
@@ -79,7 +96,7 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     covered = later.groupBy("id", "key").agg(F.collect_set("at").alias("starts"))
     same = base["id"].eqNullSafe(covered["id"]) & (base["key"] == covered["key"])
     joined = base.join(covered, same, "left").select(base["id"], base["key"], "body", "absent", "starts", "carried")
-    found = joined.withColumn("made", _rebuilt("body", "starts"))
+    found = joined.withColumn("made", _rebuilt("body", "starts", F.lit(least_chars)))
     return found.select(
         F.col("id").alias(id_col), "key", *(["carried"] if carry else []), F.when(F.col("starts").isNotNull(), F.col("made.text")).when(~F.col("absent"), F.col("body")).alias("text"), "made.n_lines", "made.n_removed"
     )

@@ -10,7 +10,7 @@ from .exact_dedup import exact_dedup
 from .fingerprints import fingerprint_with_next
 from .html_text import extract_text
 from .language_id import fit_language, identify_language
-from .line_dedup import LINES, drop_repeated_lines
+from .line_dedup import LEAST, LENGTHS, LINES, drop_repeated_lines
 from .lm_scoring import score_documents
 from .mixing import mix_sources
 from .ngram_join import ngram_components
@@ -101,11 +101,13 @@ ORACLES = {
             SELECT r, doc_id, regexp_extract_all(body, '{LINES}') AS u, list_transform(regexp_extract_all(body, '{LINES}'), lambda x: regexp_replace(x, '\s+$', '')) AS bare FROM numbered WHERE body <> ''
         ), starts AS (
             SELECT r, doc_id, bare, unnest(range(0, greatest(len(bare) - 3, 0) + 1)) AS pos FROM split WHERE len(bare) > 0
+        ), sized AS (
+            SELECT r, doc_id, pos, bare, list_filter({list(LENGTHS)}, lambda n: length(array_to_string(bare[pos + 1:pos + n], chr(10))) >= {LEAST})[1] AS n FROM starts
         ), windows AS (
-            SELECT r, doc_id, pos, array_to_string(bare[pos + 1:pos + 3], chr(10)) AS t FROM starts
+            SELECT r, doc_id, pos, n, array_to_string(bare[pos + 1:pos + n], chr(10)) AS t FROM sized WHERE n IS NOT NULL
         ), later AS (
-            SELECT r, pos FROM windows WHERE length(t) >= 40 QUALIFY row_number() OVER (PARTITION BY t ORDER BY doc_id, r, pos) > 1
-        ), gone AS (SELECT r, list(DISTINCT pos + k) AS g FROM later, range(0, 3) AS s(k) GROUP BY r)
+            SELECT r, pos, n FROM windows QUALIFY row_number() OVER (PARTITION BY t ORDER BY doc_id, r, pos) > 1
+        ), gone AS (SELECT r, list(DISTINCT pos + k) AS g FROM later, range(0, {max(LENGTHS)}) AS s(k) WHERE k < n GROUP BY r)
         SELECT e.doc_id, CASE WHEN g.r IS NULL THEN e.text
                  ELSE coalesce(array_to_string(list_filter(s.u, lambda x, i: NOT list_contains(g.g, i - 1)), ''), '') END AS text,
                coalesce(len(s.u), 0)::INT AS n_lines, coalesce(len(list_filter(g.g, lambda x: x < len(s.u))), 0)::INT AS n_removed

@@ -475,22 +475,38 @@ def test_quality(spark, docs, empty):
 
 
 def brute_lines(rows):
-    """The same by hand: windows of three lines, all but the first go."""
-    pattern = re.compile(r"(?:\S*[^\s.!?][^\S\n]+){0,15}\S+\s*|\s+", re.ASCII)
+    """The same by hand, word by word: windows of three lines or, if they are short, of more; all but the first go."""
     seen, out = set(), []
     for _, text in rows:
-        lines, gone = pattern.findall(text or ""), set()
+        lines, gone, words, line = [], set(), 0, ""
+        for word, space in re.findall(r"(\S*)(\s*)", text or "", re.ASCII)[:-1]:
+            line, words = line + word + space, words + 1
+            if word == "" or word[-1] in ".!?" or len(word) in (5, 7) or "\n" in space or words == 32:
+                lines, line, words = [*lines, line], "", 0
+        lines += [line] if line else []
         for at in range(max(len(lines) - 3, 0) + 1 if lines else 0):
-            window = "\n".join(x.rstrip(" \t\n\x0b\f\r") for x in lines[at : at + 3])
-            if len(window) < 40:
-                continue
-            if window in seen:
-                gone |= {at, at + 1, at + 2}
-            seen.add(window)
+            for n in (3, 4, 6, 8, 12, 24, 48):
+                window = "\n".join(x.rstrip(" \t\n\x0b\f\r") for x in lines[at : at + n])
+                if len(window) >= 80:
+                    gone |= set(range(at, min(at + n, len(lines)))) if window in seen else set()
+                    seen.add(window)
+                    break
         out.append("".join(x for k, x in enumerate(lines) if k not in gone))
     return out
 
 
+def test_line_dedup_finds_passages_at_any_word(spark):
+    """51 words without a sentence end, in mid-sentence, after other numbers of words each time; lines of one sign too."""
+    rng = np.random.default_rng(5)
+    words = lambda n: " ".join("".join(rng.choice(list("aeinrstlmdou"), rng.integers(1, 10))) for _ in range(n))
+    passages, plain = [words(51) for _ in range(12)], [words(120) for _ in range(6)]
+    texts = [f"{words(int(rng.integers(0, 40)))} {p} {words(9)}" for _ in range(3) for p in passages] + plain + ["\n".join("abcdefghij" * 12)] * 2
+    found = {r["doc_id"]: r for r in drop_repeated_lines(rows_of(spark, texts).repartition(3)).collect()}
+    assert [found[k]["text"] for k in range(len(texts))] == brute_lines(list(enumerate(texts)))
+    assert [found[k]["n_removed"] > 0 for k in range(len(texts) - 2)] == [False] * 12 + [True] * 24 + [False] * 6
+    assert found[len(texts) - 1]["text"] == ""
+
+
 def test_line_dedup(spark, docs, empty):
     shared = ". ".join(passage(70 + k, 14) for k in range(5)) + "."
     texts = [passage(1, 20) + ".\n" + shared + "\n" + passage(2, 30), shared + " " + passage(3, 10), passage(4, 9) + ". " + shared, passage(5, 80), shared, None, "", " \n ", "a b. c d. e f.", shared + "\n" + shared]
