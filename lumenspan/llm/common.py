@@ -37,6 +37,14 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(spark: SparkSession, *tables: DataFrame) -> None:
+    """Delete the files of tables made by cut that nothing to come reads again."""
+    for table in tables:
+        for file in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(file)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def text_of(column: str) -> Column:
     """The column as text, null as empty."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

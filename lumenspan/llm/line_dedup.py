@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
-from .common import cut, text_of
+from .common import cut, forget, text_of
 
 NO_CUT = r"\S{0,3}|\S{5}|\S{7,}"  # a word that ends no line, but for its last character: not of five or seven
 LONGEST = 32  # words of a line at most
@@ -77,8 +77,8 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     The first occurrence of a window is the one with the least (id, text hash, line); null ids come first. A window of
     three lines with fewer than least_chars (at most 94) characters takes in the next lines, so that short lines are no
-    way out; what recurs by chance is shorter. The last lines of a text belong to windows that start before them, and a
-    text of fewer than three lines is one window. A whole text of fewer than least_chars is no repeat. Texts without
+    way out; what recurs by chance is shorter. A text of fewer than three lines is one window. Where fewer than
+    least_chars follow, no window starts: short texts are no repeats, and lines at a text's end may stay. Texts without
     repeats stay as they are to the byte; an empty or null text stays empty (null stays null) with no lines. Rows that
     repeat id and text are one document and get the same result. Of other columns those named in
     `carry` come along as the fields of a struct `carried`, whatever their names; the rest is not read.
@@ -89,7 +89,9 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     base = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_of(text_col)).alias("key"), text_of(text_col).alias("body"), F.col(text_col).isNull().alias("absent"), F.struct(*[F.col(c) for c in carry] or [F.lit(0)]).alias("carried"))
     windows = cut(_windows(base, least_chars), "windows")
     again = cut(windows.groupBy("h1").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h1"), "repeated")
-    places = cut(windows.join(again, "h1").dropDuplicates(["id", "key", "at"]), "places")
+    # Rows that repeat id and text have the same places twice; none of those is after itself.
+    places = cut(windows.join(again, "h1"), "places")
+    forget(docs.sparkSession, windows, again)
     place = F.struct("id", "key", "at")
     first = cut(places.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "first")
     later = places.join(first, ["h1", "h2"]).filter(place > F.col("first"))
