@@ -5,17 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .collocations import mine_collocations
 from .common import fold_of, read
 from .exact_dedup import exact_dedup
 from .fingerprints import fingerprint_with_next
 from .html_text import extract_text
 from .language_id import fit_language, identify_language
+from .license_scan import NOTICES, scan_notices
 from .line_dedup import LEAST, LENGTHS, LINES, drop_repeated_lines
 from .lm_scoring import score_documents
 from .mixing import mix_sources
 from .ngram_join import ngram_components
 from .packing import pack_documents
 from .quality import fit_quality, score_quality
+from .spelling import corpus_words, group_variants
 
 
 def word_tokenizer() -> str:
@@ -69,7 +72,32 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_repeated_lines(read(spark, sf_dir, "documents")).drop("key")
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_language_id, op3_exact_dedup, op4_html_extraction, op5_best_fit_packing, op6_mixing, op7_lm_scoring, op8_fingerprints, op9_quality, op10_line_dedup)}
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_notices(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    of_base = [k for k, n in enumerate(NOTICES) if n.base]
+    base = F.filter("places", lambda p: (p["edits"] == 0) & p["notice"].isin(of_base))
+    labels = lambda places: F.array_join(F.array_sort(F.array_distinct(F.transform(places, lambda p: p["label"]))), ",")
+    first = F.transform(base, lambda p: p["first_word"])
+    return found.select(
+        "doc_id", "n_words", F.size(base).cast("long").alias("n_base"), F.array_min(first).alias("first_word"), F.array_max(first).alias("last_word"), labels(base).alias("base_labels"), labels("places").alias("labels"),
+        F.coalesce(F.array_max(F.transform("places", lambda p: p["likeness"])), F.lit(0.0)).alias("score"),
+    )
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return group_variants(corpus_words(read(spark, sf_dir, "documents")))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mine_collocations(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_language_id, op3_exact_dedup, op4_html_extraction, op5_best_fit_packing, op6_mixing, op7_lm_scoring, op8_fingerprints, op9_quality, op10_line_dedup, op11_license_scan, op12_spelling_variants, op13_collocations)}
+
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Distances in DuckDB go by bytes: for them the letters beyond ASCII become signs that no word has.
+ACCENTED = "".join(map(chr, range(0xC0, 0x100)))
+PLAIN = "".join(chr(c) for c in range(33, 127) if not (97 <= c <= 122 or c in (39, 45)))[: len(ACCENTED)]
 
 ORACLES = {
     "op1_ngram_jaccard_join": r"""
@@ -113,4 +141,74 @@ ORACLES = {
                coalesce(len(s.u), 0)::INT AS n_lines, coalesce(len(list_filter(g.g, lambda x: x < len(s.u))), 0)::INT AS n_removed
         FROM documents e JOIN numbered d ON d.doc_id IS NOT DISTINCT FROM e.doc_id AND d.text IS NOT DISTINCT FROM e.text LEFT JOIN split s USING (r) LEFT JOIN gone g USING (r)
     """,
+    # The notices' own words, edits and labels; other letters than ASCII count as one sign each in distances.
+    "op11_license_scan": rf"""
+        WITH words AS (
+            SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+        ), notices AS (
+            SELECT * FROM (VALUES {", ".join(f"({k}, '{n.label}', '{n.fixed}', '{n.rest}', {n.edits}, {n.words}, {n.base}, '{n.fixed}.*(' || '{"|".join(p for p, _ in n.seeds)})')" for k, n in enumerate(NOTICES))}) AS t(k, label, fixed, rest, edits, n, base, needed)
+        ), plain AS (
+            SELECT r, k, list_transform(w, lambda x: regexp_replace(x, '[^\x00-\x7F]', '~', 'g')) AS w FROM words JOIN notices ON regexp_matches(array_to_string(w, ' '), needed)
+        ), starts AS (SELECT r, k, w, unnest(range(len(w))) AS pos FROM plain),
+        sizes AS (SELECT *, unnest(range(greatest(n - edits, 1), n + edits + 1)) AS size FROM notices),
+        windows AS (
+            SELECT r, pos, k, s.label, s.base, s.edits AS most, length(s.fixed || s.rest) AS size_of, s.rest, substr(array_to_string(w[pos + 1:pos + s.size], ' '), length(s.fixed) + 1) AS t
+            FROM starts JOIN sizes s USING (k) WHERE pos + s.size <= len(w) AND (s.fixed = '' OR w[pos + 1] = rtrim(s.fixed)) AND starts_with(array_to_string(w[pos + 1:pos + s.size], ' '), s.fixed)
+        ), places AS (
+            SELECT *, levenshtein(t, rest) AS edits FROM windows WHERE abs(length(t) - length(rest)) <= most
+        ), found AS (
+            SELECT r, count(*) FILTER (base AND edits = 0) AS n_base, min(pos) FILTER (base AND edits = 0) AS first_word, max(pos) FILTER (base AND edits = 0) AS last_word,
+                array_to_string(list_sort(list(DISTINCT label) FILTER (base AND edits = 0)), ',') AS base_labels, array_to_string(list_sort(list(DISTINCT label)), ',') AS labels, max(1 - edits / size_of::DOUBLE) AS score
+            FROM places WHERE edits <= most GROUP BY r
+        )
+        SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0)::DOUBLE AS score
+        FROM words LEFT JOIN found USING (r)
+    """,
+    # crc32 byte by byte from its polynomial; words one edit apart have a common text once a letter is left out of one or both.
+    "op12_spelling_variants": rf"""
+        WITH RECURSIVE steps AS (
+            SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, _: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) AS x(i)
+        ), runs AS (
+            SELECT doc_id, translate(run, '{UPPER}', '{LOWER}') AS run, count(*) AS m FROM (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{{00C0}}-\x{{00FF}}]+')) AS run FROM documents) WHERE length(run) >= 7 GROUP BY ALL
+        ), coded AS (
+            SELECT run, m, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(regexp_replace(hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)), '(..)', '\1 ', 'g')[:-2], ' '), lambda x: ('0x' || x)::BIGINT)),
+                lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) AS h FROM runs, steps
+        ), words AS (
+            SELECT word, sum(m)::BIGINT AS n FROM (SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word, m FROM coded) WHERE length(word) >= 7 GROUP BY 1 HAVING sum(m) >= 2
+        ), cuts AS (
+            SELECT word, n, unnest(list_distinct(list_prepend(word, list_transform(range(1, length(word) + 1), lambda i: substr(word, 1, (i - 1)::INT) || substr(word, (i + 1)::INT))))) AS part FROM words
+        ), pairs AS (
+            SELECT DISTINCT a.word, a.n, b.word AS near, b.n AS near_n FROM cuts a JOIN cuts b ON a.part = b.part AND a.word <> b.word
+        ), near AS (
+            SELECT * FROM pairs WHERE levenshtein(translate(word, '{ACCENTED}', '{PLAIN}'), translate(near, '{ACCENTED}', '{PLAIN}')) = 1
+        ), told AS (
+            SELECT w.word, w.n, count(p.near) AS n_near, min((-p.near_n, p.near)) AS best FROM words w LEFT JOIN near p ON p.word = w.word GROUP BY ALL
+        ), forms AS (
+            SELECT word, n, n_near, CASE WHEN n_near > 0 AND -best[1] >= 10 * n THEN best[2] END AS form, CASE WHEN n_near > 0 AND -best[1] >= 10 * n THEN -best[1] END AS form_n FROM told
+        ), way AS (
+            SELECT word, word AS root, 0 AS k FROM forms UNION ALL SELECT w.word, f.form, k + 1 FROM way w JOIN forms f ON f.word = w.root WHERE f.form IS NOT NULL
+        )
+        SELECT f.word, f.n, f.n_near, f.form, f.form_n::BIGINT AS form_n, w.root FROM forms f JOIN (SELECT word, max_by(root, k) AS root FROM way GROUP BY 1) w ON w.word = f.word
+    """,
+    "op13_collocations": rf"""
+        WITH pieces AS (
+            SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM (SELECT lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents)
+        ), f AS (
+            SELECT lang, g, count(*) AS f FROM (SELECT lang, unnest(list_concat(w, [array_to_string(w[i:i + 1], ' ') FOR i IN range(1, len(w))], [array_to_string(w[i:i + 2], ' ') FOR i IN range(1, len(w) - 1)])) AS g FROM pieces) GROUP BY ALL
+        ), keyed AS (SELECT lang || chr(1) || g AS key, f FROM f WHERE f >= 10),
+        candidates AS (
+            SELECT lang, g, f, string_split(g, ' ') AS w FROM f WHERE f >= 10 AND contains(g, ' ')
+        ), cuts AS (
+            SELECT lang, g, f AS a, k, array_to_string(w[:k], ' ') AS first, array_to_string(w[k + 1:], ' ') AS rest FROM candidates, (VALUES (1), (2)) AS t(k) WHERE k < len(w)
+        ), scored AS (
+            SELECT c.lang, c.g, c.a, c.k, x.f AS l, y.f AS r, (1000000::HUGEINT * c.a * c.a) // (x.f::HUGEINT * y.f) AS score FROM cuts c JOIN keyed x ON x.key = c.lang || chr(1) || c.first JOIN keyed y ON y.key = c.lang || chr(1) || c.rest
+        ), lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+        inside AS (
+            SELECT lang, part, max(f) AS longer FROM (SELECT lang, f, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS part FROM candidates WHERE len(w) = 3) GROUP BY ALL
+        ), kept AS (
+            SELECT s.* FROM lowest s LEFT JOIN inside i ON i.lang = s.lang AND i.part = s.g WHERE i.longer IS NULL OR 100 * i.longer < 50 * s.a
+        ), sizes AS (SELECT lang, sum(len(w))::BIGINT AS n FROM pieces GROUP BY 1)
+        SELECT k.lang, row_number() OVER (PARTITION BY k.lang ORDER BY score DESC, a DESC, g) AS rank, g AS phrase, a, l, r, n, score::BIGINT AS score FROM kept k JOIN sizes s ON s.lang = k.lang
+        QUALIFY row_number() OVER (PARTITION BY k.lang ORDER BY score DESC, a DESC, g) <= 2000
+    """,
 }
