@@ -84,15 +84,28 @@ class Index:
 
 
 def _pairs(rows: list[tuple[str, int, list[str], int]], gram: str, across: bool) -> Iterator[tuple[str, int, str, int]]:
-    """word, n, word, n of the pairs whose rarest shared gram is this one; rows: word, n, its rarest grams, side."""
-    rows = sorted(rows, key=lambda r: (len(r[0]), r[0]))
+    """word, n, word, n of the pairs whose rarest shared gram is this one; rows: word, n, its rarest grams, side.
+
+    One edit leaves the first or the last gram of a word in its place, so words with a common end are looked at together.
+    """
+    for end in (slice(0, Q), slice(-Q, None)):
+        alike = defaultdict(list)
+        for r in rows:
+            alike[r[0][end]].append(r)
+        for own in alike.values():
+            if len(own) > 1:
+                yield from _pairs_alike(sorted(own, key=lambda r: (len(r[0]), r[0])), gram, across, end.start != 0)
+
+
+def _pairs_alike(rows: list[tuple[str, int, list[str], int]], gram: str, across: bool, by_last: bool) -> Iterator[tuple[str, int, str, int]]:
     left = [r for r in rows if r[3] == 0] if across else rows
     index = Index([r[0] for r in left])
     for place, r in enumerate(r for r in rows if r[3] == 1) if across else enumerate(rows):
-        own = set(r[2])
         for k in index.near(r[0], None if across else place):
             other = left[k]
-            if next(g for g in other[2] if g in own) == gram:
+            if by_last and r[0][:Q] == other[0][:Q]:
+                continue  # found by the first gram
+            if next(g for g in other[2] if g in r[2]) == gram:
                 yield r[0], r[1], other[0], other[1]
 
 
@@ -114,10 +127,10 @@ def _compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for row in found():
         out.append(row)
         if len(out) >= 20_000:
-            yield pd.DataFrame(out, columns=columns)
+            yield pd.DataFrame(out, columns=columns, dtype=object)
             out = []
     if out:
-        yield pd.DataFrame(out, columns=columns)
+        yield pd.DataFrame(out, columns=columns, dtype=object)
 
 
 def _in_groups(words: DataFrame, per_group: int) -> DataFrame:
