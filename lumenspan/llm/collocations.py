@@ -98,7 +98,14 @@ def _count_words(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             found = Counter(chain.from_iterable(line.split(" ") for line in lines))
             found.pop("", None)
             found.pop("\n", None)
-            yield pd.DataFrame({"lang": lang, "word": list(found.keys()), "n": list(found.values())})
+            yield _frame(lang, word=list(found.keys()), n=np.fromiter(found.values(), np.int64, len(found)))
+
+
+def _frame(lang: str, **columns) -> pd.DataFrame:
+    """Rows of one language; texts as plain objects, which Arrow takes as one array."""
+    frame = pd.DataFrame({k: pd.Series(v, dtype=object if isinstance(v, list) else None) for k, v in columns.items()})
+    frame.insert(0, "lang", pd.Series([lang] * len(frame), dtype=object))
+    return frame
 
 
 def _packed(cells: np.ndarray) -> bytes:
@@ -158,7 +165,7 @@ def _candidates(bitmap, bits: int):
                         at = at[on[k - 1][at] & on[k - 1][at + 1]]
                     cells = h.cells(k, at, bits)
                     on[k][at[(frequent[cells >> 3] >> (7 - (cells & 7)).astype(np.uint8)) & 1 == 1]] = True
-                yield pd.DataFrame({"lang": lang, "phrase": h.phrases(np.flatnonzero(on[1]), np.flatnonzero(on[2]))})
+                yield _frame(lang, phrase=h.phrases(np.flatnonzero(on[1]), np.flatnonzero(on[2])))
 
     return run
 
@@ -195,7 +202,7 @@ def _scan(key: str, phrases):
                     counts[lang] += np.bincount(hits, minlength=len(counts[lang]))
         for lang, n in counts.items():
             hit = np.flatnonzero(n)
-            yield pd.DataFrame({"lang": lang, "phrase": [automata[lang][1][k] for k in hit], "f": n[hit]})
+            yield _frame(lang, phrase=[automata[lang][1][k] for k in hit], f=n[hit])
 
     return run
 
