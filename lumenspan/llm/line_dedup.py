@@ -1,104 +1,258 @@
-"""Repeated passages: overlapping windows of three lines, of which later occurrences are removed.
+"""Repeated passages: overlapping windows of three consecutive lines, of which later occurrences are removed.
 
-A line ends at a line break, after a sentence end, and after a word of five or seven characters (marks beside it count),
-wherever it stands: a passage has the same lines in every text, whatever words come before it. Only where LONGEST words
-have none of these, a line ends by count. Windows are hashed; hashes that occur twice anywhere are looked at again with
-all their places; every place but the first covers its lines, covered lines are merged and dropped.
+A line ends at a line break and at a sentence end, unless one of the three words before it ends a sentence or line, too: texts
+whose words all have marks are no rows of short lines. Runs of words without such ends are cut at winnowing minima: of every RUN
+consecutive words in a run, the one with the smallest crc32 (of equal ones the last) ends a line, words that repeat the
+one before them left out; where one word goes on and on, lines end by count. So no line is longer than RUN words, a passage is cut alike wherever it stands (but for its first three words), and 51 words hold three whole lines,
+whatever is around them.
+Windows whose hashes occur again anywhere are looked at with their places; every place but the first covers its lines,
+covered lines are merged and dropped.
 """
 
 from __future__ import annotations
 
 import re
+from collections import defaultdict
+from collections.abc import Iterator
+from itertools import islice
+from zlib import crc32
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
+from xxhash import xxh3_128_digest
 
 from .common import cut, forget, text_of
 
-NO_CUT = r"\S{0,3}|\S{5}|\S{7,}"  # a word that ends no line, but for its last character: not of five or seven
-LONGEST = 32  # words of a line at most
+RUN = 12  # words of a line at most
+NEAR = 3  # words after an end of which none ends a sentence
 WINDOW = 3  # lines of a window
-#: Lines of a window whose lines are short: the first of these with enough characters.
-LENGTHS = (WINDOW, 4, 6, 8, 12, 24, 48)
-LEAST = 80  # characters of a window
-#: The lines of a text, each with the white space that follows it; together they are the whole text.
+CHUNK = 8_000_000  # characters that are cut into lines at once (whole texts)
+VOCABULARY = 500_000  # tokens that a task remembers before it starts anew
+FILTER_BITS = (16, 30)  # size of the filter that is sent to the tasks, as powers of two of bits: 128 MB at most
 BLANK = " \t\n\x0b\f\r"
-LINES = rf"(?:(?:{NO_CUT})[^\s.!?][^\S\n]+){{0,{LONGEST - 1}}}\S+\s*|\s+"
-_LINES = re.compile(LINES, re.ASCII)
+#: A word and the white space behind it.
+TOKEN = re.compile(r"\S+\s*", re.ASCII)
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+_NONE = np.int64(2**32)  # beyond any crc32
+_POWERS = np.array([pow(0x9E3779B97F4A7C15, k, 2**64) for k in range(RUN)], np.uint64)
 
 
-def lines_of(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(LINES), F.lit(0))
+class Tokens:
+    """Numbers of tokens (words with the white space behind them), and what is known of each: kept from chunk to chunk."""
 
+    def __init__(self):
+        self.number: defaultdict[str, int] = defaultdict()
+        self.number.default_factory = self.number.__len__
+        self.breaks = self.marks = np.zeros(0, bool)
+        self.order, self.hashes = np.zeros(0, np.uint32), np.zeros((0, 2), np.uint64)
 
-def _window(bare: Column, at: Column, least_chars: int) -> Column:
-    """The text of the window that starts at a line; null if the text ends before it has enough characters."""
-    long_enough = lambda n: F.get(F.filter(F.array(F.array_join(F.slice(bare, at + 1, n), "\n")), lambda t: F.length(t) >= least_chars), F.lit(0))
-    return F.coalesce(*[long_enough(n) for n in LENGTHS])
+    def ids(self, tokens: list[str]) -> np.ndarray:
+        old = len(self.number)
+        out = np.fromiter(map(self.number.__getitem__, tokens), np.int64, len(tokens))
+        new = list(islice(self.number, old, None))
+        words = [t.rstrip(BLANK) for t in new]
+        coded = [w.encode() for w in words]
+        self.breaks = np.concatenate([self.breaks, np.array(["\n" in t for t in new], bool)])
+        self.marks = np.concatenate([self.marks, np.array([w[-1] in ".!?" for w in words], bool)])
+        self.order = np.concatenate([self.order, np.array(list(map(crc32, coded)), np.uint32)])
+        self.hashes = np.concatenate([self.hashes, np.frombuffer(b"".join(map(xxh3_128_digest, coded)), "<u8").astype(np.uint64).reshape(-1, 2)])
+        return out
 
 
-def _windows(docs: DataFrame, least_chars: int) -> DataFrame:
-    """id, key, at (first line), h1, h2: a row for each window; a text of fewer than three lines has one."""
-    bare = docs.filter("body <> ''").select("id", "key", F.transform(lines_of(F.col("body")), lambda u: F.rtrim(u, F.lit(BLANK))).alias("bare"))
-    starts = F.sequence(F.lit(0), F.greatest(F.size("bare") - WINDOW, F.lit(0)))
-    texts = F.transform(starts, lambda at: F.struct(at.alias("at"), _window(F.col("bare"), at, least_chars).alias("t")))
-    hashes = F.transform(F.filter(texts, lambda w: w["t"].isNotNull()), lambda w: F.struct(w["at"].alias("at"), F.xxhash64(w["t"]).alias("h1"), F.hash(w["t"]).alias("h2")))
-    # Not explode: the optimizer would derive a filter from it and cut every text into lines once more.
-    return bare.select("id", "key", F.explode_outer(hashes).alias("w")).filter("w IS NOT NULL").select("id", "key", "w.at", "w.h1", "w.h2")
+class Lines:
+    """The lines and windows of some texts together."""
 
+    def __init__(self, texts: list[str], known: Tokens | None = None):
+        known = known or Tokens()
+        tokens, sizes = [], []
+        for t in texts:
+            own = TOKEN.findall(t)
+            tokens += own
+            sizes.append(len(own))
+        ids = known.ids(tokens)
+        self.text_ends = np.cumsum(sizes, dtype=np.int64)  # behind the last word of each text
+        breaks, marks, hashes = known.breaks[ids], known.marks[ids], known.hashes[ids]
+        sizes = np.array(sizes, np.int64)
+        inside = np.arange(len(ids)) - np.repeat(self.text_ends - sizes, sizes)  # place of a word in its text
+        ends, last = breaks | marks, marks.copy()
+        for k in range(1, NEAR + 1):
+            last[k:] &= ~(ends[:-k] & (inside[k:] >= k))
+        last |= breaks
+        last[self.text_ends[sizes > 0] - 1] = True
+        again = np.zeros(len(ids), bool)
+        again[1:] = (hashes[1:, 0] == hashes[:-1, 0]) & (inside[1:] >= 1)
+        last |= _minima(np.where(again, _NONE, known.order[ids]), last)
+        stops = np.flatnonzero(last)
+        line = np.arange(len(ids)) - np.repeat(np.concatenate([[0], stops[:-1] + 1]), np.diff(stops, prepend=-1)) if len(stops) else stops
+        last |= line % RUN == RUN - 1
+        stops = np.flatnonzero(last) + 1
+        self.starts = np.concatenate([[0], stops[:-1]]).astype(np.int64) if len(stops) else stops  # first word of each line
+        self.stops = stops
+        #: Lines of each text, and the number of its first one.
+        self.first = np.searchsorted(self.starts, self.text_ends - sizes)
+        self.n = np.searchsorted(self.starts, self.text_ends) - self.first
+        self._hash(hashes)
 
-def _length(bare: list[str], at: int, least_chars: int) -> int:
-    return next(n for n in LENGTHS if len("\n".join(bare[at : at + n])) >= least_chars)
+    def _hash(self, words: np.ndarray) -> None:
+        """Windows: number of the text, first line within it, two hashes of the words in their lines."""
+        if not len(self.starts):
+            self.text = self.at = np.zeros(0, np.int64)
+            self.h1 = self.h2 = np.zeros(0, np.int64)
+            return
+        place = np.arange(len(words)) - np.repeat(self.starts, self.stops - self.starts)
+        with np.errstate(over="ignore"):
+            lines = [_mixed(np.add.reduceat(words[:, k] * _POWERS[place], self.starts) + (self.stops - self.starts).astype(np.uint64)) for k in (0, 1)]
+            count = np.where(self.n > 0, np.maximum(self.n - WINDOW + 1, 1), 0)
+            self.text = np.repeat(np.arange(len(count)), count)
+            self.at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+            here, more = self.first[self.text] + self.at, self.n[self.text] - self.at
+            found = []
+            for h in lines:
+                own = h[here]
+                for k in range(1, WINDOW):  # a text of fewer lines is one window
+                    own = _mixed(own * _ODD + np.where(more > k, h[np.minimum(here + k, len(h) - 1)], np.uint64(k)))
+                found.append(own.astype(np.int64))
+            self.h1, self.h2 = found
 
 
-def without(text: str, starts, least_chars: int) -> tuple[str | None, int, int]:
-    """The text without the windows that start at those lines (None if there are none), its lines, and how many went."""
-    lines = _LINES.findall(text)
-    if starts is None:
-        return None, len(lines), 0
-    bare = [x.rstrip(BLANK) for x in lines]
-    gone = {k for s in starts for k in range(s, min(s + _length(bare, s, least_chars), len(lines)))}
-    return "".join(x for k, x in enumerate(lines) if k not in gone), len(lines), len(gone)
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(32))) * _ODD
+    return h ^ (h >> np.uint64(29))
 
 
-@F.pandas_udf(StructType([StructField("text", StringType()), StructField("n_lines", IntegerType()), StructField("n_removed", IntegerType())]))
-def _rebuild(texts: pd.Series, starts: pd.Series, least: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([without(*row) for row in zip(texts, starts, least, strict=True)], columns=["text", "n_lines", "n_removed"])
+def _minima(hashes: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Whether a word is the last smallest one of some RUN words in a row, none of which but the last may end a run."""
+    cuts = np.zeros(len(hashes), bool)
+    stops = np.flatnonzero(last)
+    until = np.repeat(stops, np.diff(stops, prepend=-1))  # the last word of each word's run
+    starts = np.flatnonzero(until - np.arange(len(hashes)) >= RUN - 1)
+    best, where = hashes[starts], starts.copy()
+    for k in range(1, RUN):
+        other = hashes[starts + k]
+        less = other <= best
+        best[less], where[less] = other[less], starts[less] + k
+    cuts[where[best != _NONE]] = True
+    return cuts
+
+
+def _chunks(texts: list[str], known: Tokens) -> Iterator[tuple[int, Lines]]:
+    """The number of the first text and the lines of about CHUNK characters of texts."""
+    a = size = 0
+    for k, t in enumerate(texts):
+        size += len(t)
+        if size >= CHUNK or k + 1 == len(texts):
+            if len(known.number) > VOCABULARY:
+                known.__init__()
+            yield a, Lines(texts[a : k + 1], known)
+            a, size = k + 1, 0
+
+
+def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    known = Tokens()
+    for batch in batches:
+        for _, x in _chunks(batch.column("body").to_pylist(), known):
+            yield pa.RecordBatch.from_arrays([pa.array(x.h1)], names=["h1"])
+
+
+def _bit(h: np.ndarray, bits: int) -> np.ndarray:
+    return (h.view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def _places(sent, bits: int):
+    """A row for each text, and instead one for each window that the filter doesn't tell to be unique."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filled, known = np.frombuffer(sent.value, np.uint8), Tokens()
+        for batch in batches:
+            for a, x in _chunks(batch.column("body").to_pylist(), known):
+                place = _bit(x.h1, bits)
+                hit = np.flatnonzero((filled[place >> 3] >> (7 - (place & 7)).astype(np.uint8)) & 1)
+                none = np.setdiff1d(np.arange(len(x.n)), x.text[hit])
+                text = np.concatenate([x.text[hit], none])
+                gap = np.arange(len(text)) >= len(hit)
+                own = lambda v: pa.array(np.concatenate([v[hit], np.zeros(len(none), v.dtype)]), mask=gap)  # noqa: E731, B023
+                columns = [batch.column(c).take(pa.array(text + a)) for c in ("id", "key")]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(x.n[text].astype(np.int32)), own(x.at.astype(np.int32)), own(x.h1), own(x.h2)], names=["id", "key", "n_lines", "at", "h1", "h2"])
+
+    return run
+
+
+def _filter(again: DataFrame, bits: int) -> bytes:
+    """A bit for the leading bits of each hash, put together in slices of 2 ** 20 bits."""
+    width = min(bits, 20)
+
+    def slices(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            place = np.unique(_bit(frame["h1"].to_numpy(np.int64), bits))
+            for k in np.unique(place >> width).tolist():
+                own = np.zeros(1 << width, bool)
+                own[place[place >> width == k] - (k << width)] = True
+                yield pd.DataFrame({"slice": [k], "filled": [np.packbits(own).tobytes()]})
+
+    out = np.zeros(1 << (bits - 3), np.uint8)
+    spread = again.repartitionByRange("h1")  # few slices in each task
+    for row in spread.mapInPandas(slices, "slice long, filled binary").toLocalIterator():
+        out[row["slice"] << (width - 3) : (row["slice"] + 1) << (width - 3)] |= np.frombuffer(row["filled"], np.uint8)
+    return out.tobytes()
+
+
+def without(text: str, starts) -> tuple[str, int]:
+    """The text without the windows that start at those lines, and how many lines went. White space before the first
+    word goes with the first line."""
+    x = Lines([text])
+    gone = sorted({k for s in starts for k in range(s, min(s + WINDOW, int(x.n[0])))})
+    spans = [m.span() for m in TOKEN.finditer(text)]
+    dropped = {w for k in gone for w in range(x.starts[k], x.stops[k])}
+    lead = "" if 0 in dropped else text[: spans[0][0]]
+    return lead + "".join(text[a:b] for w, (a, b) in enumerate(spans) if w not in dropped), len(gone)
+
+
+@F.pandas_udf(StructType([StructField("text", StringType()), StructField("n_removed", IntegerType())]))
+def _rebuild(texts: pd.Series, starts: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([(None, 0) if s is None else without(t, s) for t, s in zip(texts, starts, strict=True)], columns=["text", "n_removed"])
 
 
 #: So that a filter on the result isn't moved below it, which would rebuild every text once more.
 _rebuilt = _rebuild.asNondeterministic()
 
 
-def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_chars: int = LEAST, carry: tuple[str, ...] = ()) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per input row: id, key (hash of the text it had), text (what stays), n_lines, n_removed.
 
-    The first occurrence of a window is the one with the least (id, text hash, line); null ids come first. A window of
-    three lines with fewer than least_chars (at most 94) characters takes in the next lines, so that short lines are no
-    way out; what recurs by chance is shorter. A text of fewer than three lines is one window. Where fewer than
-    least_chars follow, no window starts: short texts are no repeats, and lines at a text's end may stay. Texts without
-    repeats stay as they are to the byte; an empty or null text stays empty (null stays null) with no lines. Rows that
-    repeat id and text are one document and get the same result. Of other columns those named in
-    `carry` come along as the fields of a struct `carried`, whatever their names; the rest is not read.
+    Two windows are equal if their three lines have the same words. The first occurrence is the one with the least (id,
+    text hash, line); null ids come first. A text of fewer than three lines is one window, so of equal short texts the
+    first keeps its words; there is no least length. Texts without repeats stay as they are to the byte; an empty or
+    null text and one of white space stays as it is, with no lines. Rows that repeat id and text are one document and get
+    the same result. Of other columns those named in `carry` come along as the fields of a struct `carried`, whatever
+    their names; the rest is not read.
 
-    Hashes are counted with combining before the shuffle; the joins are equi-joins of written tables, which adaptive
-    execution can split at a hot window. No group is gathered but the covered lines of one document.
+    A first pass shuffles nothing but the windows' hashes, counted with combining. Those that occur again fill a filter of
+    at most 128 MB, by which a second pass leaves out most unique windows; what it lets through (all, on a corpus beyond
+    its size) is decided by both hashes. The joins are equi-joins, which adaptive execution can split at a hot window. No
+    group is gathered but the covered lines of one document.
     """
+    spark = docs.sparkSession
     base = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_of(text_col)).alias("key"), text_of(text_col).alias("body"), F.col(text_col).isNull().alias("absent"), F.struct(*[F.col(c) for c in carry] or [F.lit(0)]).alias("carried"))
-    windows = cut(_windows(base, least_chars), "windows")
-    again = cut(windows.groupBy("h1").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h1"), "repeated")
-    # Rows that repeat id and text have the same places twice; none of those is after itself.
-    places = cut(windows.join(again, "h1"), "places")
-    forget(docs.sparkSession, windows, again)
+    texts = base.select("id", "key", "body")
+    again = cut(texts.select("body").mapInArrow(_hashes, "h1 long").groupBy("h1").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h1"), "repeated")
+    bits = min(max((16 * again.count()).bit_length(), FILTER_BITS[0]), FILTER_BITS[1])
+    sent = spark.sparkContext.broadcast(_filter(again, bits))
+    fields = StructType([StructField("id", base.schema["id"].dataType), StructField("key", LongType()), StructField("n_lines", IntegerType()), StructField("at", IntegerType()), StructField("h1", LongType()), StructField("h2", LongType())])
+    found = cut(texts.mapInArrow(_places(sent, bits), fields), "places")
+    forget(spark, again)
+    sent.destroy()
+    places = found.filter("at IS NOT NULL").select("id", "key", "at", "h1", "h2")
     place = F.struct("id", "key", "at")
-    first = cut(places.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "first")
+    first = places.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     later = places.join(first, ["h1", "h2"]).filter(place > F.col("first"))
-    covered = later.groupBy("id", "key").agg(F.collect_set("at").alias("starts"))
-    same = base["id"].eqNullSafe(covered["id"]) & (base["key"] == covered["key"])
-    joined = base.join(covered, same, "left").select(base["id"], base["key"], "body", "absent", "starts", "carried")
-    found = joined.withColumn("made", _rebuilt("body", "starts", F.lit(least_chars)))
-    return found.select(
-        F.col("id").alias(id_col), "key", *(["carried"] if carry else []), F.when(F.col("starts").isNotNull(), F.col("made.text")).when(~F.col("absent"), F.col("body")).alias("text"), "made.n_lines", "made.n_removed"
-    )
+    covered = later.select("id", "key", "at", F.lit(None).cast("int").alias("n_lines")).unionByName(found.select("id", "key", F.lit(None).cast("int").alias("at"), "n_lines"))
+    told = covered.groupBy("id", "key").agg(F.collect_set("at").alias("starts"), F.max("n_lines").alias("n_lines"))
+    same = base["id"].eqNullSafe(told["id"]) & (base["key"] == told["key"])
+    joined = base.join(told, same).select(base["id"], base["key"], "body", "absent", F.when(F.size("starts") > 0, F.col("starts")).alias("starts"), "n_lines", "carried")
+    made = joined.withColumn("made", _rebuilt(F.when(F.col("starts").isNotNull(), F.col("body")), "starts"))
+    text = F.when(F.col("starts").isNotNull(), F.col("made.text")).when(~F.col("absent"), F.col("body"))
+    return made.select(F.col("id").alias(id_col), "key", *(["carried"] if carry else []), text.alias("text"), "n_lines", F.col("made.n_removed").alias("n_removed"))

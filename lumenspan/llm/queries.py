@@ -12,7 +12,7 @@ from .fingerprints import fingerprint_with_next
 from .html_text import extract_text
 from .language_id import fit_language, identify_language
 from .license_scan import NOTICES, scan_notices
-from .line_dedup import LEAST, LENGTHS, LINES, drop_repeated_lines
+from .line_dedup import NEAR, RUN, drop_repeated_lines
 from .lm_scoring import score_documents
 from .mixing import mix_sources
 from .ngram_join import ngram_components
@@ -99,6 +99,16 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ACCENTED = "".join(map(chr, range(0xC0, 0x100)))
 PLAIN = "".join(chr(c) for c in range(33, 127) if not (97 <= c <= 122 or c in (39, 45)))[: len(ACCENTED)]
 
+#: crc32 in SQL, byte by byte from its polynomial.
+CRC_STEPS = "steps AS (SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, _: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) AS x(i))"
+
+
+def crc32_sql(text: str) -> str:
+    """Of a text that isn't empty, with the table t of steps."""
+    codes = rf"list_transform(string_split(regexp_replace(hex(encode({text})), '(..)', '\1 ', 'g')[:-2], ' '), lambda x: ('0x' || x)::BIGINT)"
+    return f"xor(4294967295, list_reduce(list_prepend(4294967295, {codes}), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])))"
+
+
 ORACLES = {
     "op1_ngram_jaccard_join": r"""
         WITH RECURSIVE words AS (
@@ -123,23 +133,33 @@ ORACLES = {
         FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
     """,
     "op10_line_dedup": rf"""
-        WITH docs AS (
-            SELECT DISTINCT doc_id, text, coalesce(text, '') AS body FROM documents
-        ), numbered AS (SELECT row_number() OVER (ORDER BY doc_id NULLS FIRST, body) AS r, * FROM docs), split AS (
-            SELECT r, doc_id, regexp_extract_all(body, '{LINES}') AS u, list_transform(regexp_extract_all(body, '{LINES}'), lambda x: regexp_replace(x, '\s+$', '')) AS bare FROM numbered WHERE body <> ''
-        ), starts AS (
-            SELECT r, doc_id, bare, unnest(range(0, greatest(len(bare) - 3, 0) + 1)) AS pos FROM split WHERE len(bare) > 0
-        ), sized AS (
-            SELECT r, doc_id, pos, bare, list_filter({list(LENGTHS)}, lambda n: length(array_to_string(bare[pos + 1:pos + n], chr(10))) >= {LEAST})[1] AS n FROM starts
-        ), windows AS (
-            SELECT r, doc_id, pos, n, array_to_string(bare[pos + 1:pos + n], chr(10)) AS t FROM sized WHERE n IS NOT NULL
+        WITH {CRC_STEPS}, numbered AS (
+            SELECT row_number() OVER (ORDER BY doc_id NULLS FIRST, body) AS r, * FROM (SELECT DISTINCT doc_id, text, coalesce(text, '') AS body FROM documents)
+        ), tokens AS (
+            SELECT r, unnest(t) AS token, generate_subscripts(t, 1) AS i FROM (SELECT r, regexp_extract_all(body, '\S+\s*') AS t FROM numbered)
+        ), words AS (
+            SELECT r, i, token, rtrim(token, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS word FROM tokens
+        ), coded AS (SELECT word, {crc32_sql("word")} AS crc FROM (SELECT DISTINCT word FROM words), steps),
+        marked AS (SELECT w.*, CASE WHEN word IS DISTINCT FROM lag(word) OVER (PARTITION BY r ORDER BY i) THEN crc END AS h, regexp_matches(word, '[.!?]$') AS mark, contains(token, chr(10)) AS break FROM words w JOIN coded USING (word)),
+        ended AS (SELECT *, break OR mark AND NOT coalesce(bool_or(mark OR break) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN {NEAR} PRECEDING AND 1 PRECEDING), FALSE) AS hard FROM marked),
+        runs AS (SELECT *, coalesce(sum(hard::INT) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS run FROM ended),
+        least AS (SELECT r, run, i, min(h) OVER w AS h, count(*) OVER w AS n FROM runs WINDOW w AS (PARTITION BY r, run ORDER BY i ROWS BETWEEN CURRENT ROW AND {RUN - 1} FOLLOWING)),
+        cuts AS (SELECT DISTINCT r, max(x.i) AS i FROM least l JOIN runs x USING (r, run, h) WHERE l.n = {RUN} AND x.i BETWEEN l.i AND l.i + {RUN - 1} GROUP BY r, l.i),
+        lined AS (
+            SELECT x.*, coalesce(sum((hard OR c.i IS NOT NULL)::INT) OVER (PARTITION BY x.r ORDER BY x.i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS line FROM runs x LEFT JOIN cuts c ON c.r = x.r AND c.i = x.i
+        ), sublined AS (SELECT * REPLACE (line * 1000000000 + (row_number() OVER (PARTITION BY r, line ORDER BY i) - 1) // {RUN} AS line) FROM lined),
+        numbered_lines AS (SELECT * REPLACE (dense_rank() OVER (PARTITION BY r ORDER BY line) - 1 AS line) FROM sublined),
+        lines AS (SELECT r, line, string_agg(word, ' ' ORDER BY i) AS t, string_agg(token, '' ORDER BY i) AS whole FROM numbered_lines GROUP BY r, line),
+        windows AS (
+            SELECT r, line, string_agg(t, chr(10)) OVER w AS t, count(*) OVER w AS n, count(*) OVER (PARTITION BY r) AS n_lines FROM lines WINDOW w AS (PARTITION BY r ORDER BY line ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING)
         ), later AS (
-            SELECT r, pos, n FROM windows QUALIFY row_number() OVER (PARTITION BY t ORDER BY doc_id, r, pos) > 1
-        ), gone AS (SELECT r, list(DISTINCT pos + k) AS g FROM later, range(0, {max(LENGTHS)}) AS s(k) WHERE k < n GROUP BY r)
-        SELECT e.doc_id, CASE WHEN g.r IS NULL THEN e.text
-                 ELSE coalesce(array_to_string(list_filter(s.u, lambda x, i: NOT list_contains(g.g, i - 1)), ''), '') END AS text,
-               coalesce(len(s.u), 0)::INT AS n_lines, coalesce(len(list_filter(g.g, lambda x: x < len(s.u))), 0)::INT AS n_removed
-        FROM documents e JOIN numbered d ON d.doc_id IS NOT DISTINCT FROM e.doc_id AND d.text IS NOT DISTINCT FROM e.text LEFT JOIN split s USING (r) LEFT JOIN gone g USING (r)
+            SELECT r, line, n FROM windows WHERE n = 3 OR line = 0 QUALIFY row_number() OVER (PARTITION BY t ORDER BY r, line) > 1
+        ), gone AS (SELECT DISTINCT r, line + k AS line FROM later, range(0, 3) AS s(k) WHERE k < n),
+        kept AS (
+            SELECT l.r, string_agg(whole, '' ORDER BY line) FILTER (g.line IS NULL) AS t, count(*) AS n_lines, count(g.line) AS n_removed, bool_or(line = 0 AND g.line IS NULL) AS head FROM lines l LEFT JOIN gone g USING (r, line) GROUP BY l.r
+        )
+        SELECT e.doc_id, CASE WHEN k.n_removed > 0 THEN CASE WHEN k.head THEN regexp_extract(d.body, '^\s*') ELSE '' END || coalesce(k.t, '') ELSE e.text END AS text, coalesce(k.n_lines, 0)::INT AS n_lines, coalesce(k.n_removed, 0)::INT AS n_removed
+        FROM documents e JOIN numbered d ON d.doc_id IS NOT DISTINCT FROM e.doc_id AND d.text IS NOT DISTINCT FROM e.text LEFT JOIN kept k USING (r)
     """,
     # The notices' own words, edits and labels; other letters than ASCII count as one sign each in distances.
     "op11_license_scan": rf"""
@@ -164,15 +184,12 @@ ORACLES = {
         SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0)::DOUBLE AS score
         FROM words LEFT JOIN found USING (r)
     """,
-    # crc32 byte by byte from its polynomial; words one edit apart have a common text once a letter is left out of one or both.
+    # Words one edit apart have a common text once a letter is left out of one or both.
     "op12_spelling_variants": rf"""
-        WITH RECURSIVE steps AS (
-            SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, _: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) AS x(i)
-        ), runs AS (
+        WITH RECURSIVE {CRC_STEPS}, runs AS (
             SELECT doc_id, translate(run, '{UPPER}', '{LOWER}') AS run, count(*) AS m FROM (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{{00C0}}-\x{{00FF}}]+')) AS run FROM documents) WHERE length(run) >= 7 GROUP BY ALL
         ), coded AS (
-            SELECT run, m, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(regexp_replace(hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)), '(..)', '\1 ', 'g')[:-2], ' '), lambda x: ('0x' || x)::BIGINT)),
-                lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) AS h FROM runs, steps
+            SELECT run, m, {crc32_sql("coalesce(doc_id::VARCHAR, '') || ':' || run")} AS h FROM runs, steps
         ), words AS (
             SELECT word, sum(m)::BIGINT AS n FROM (SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word, m FROM coded) WHERE length(word) >= 7 GROUP BY 1 HAVING sum(m) >= 2
         ), cuts AS (

@@ -475,23 +475,30 @@ def test_quality(spark, docs, empty):
 
 
 def brute_lines(rows):
-    """The same by hand, word by word: windows of three lines or, if they are short, of more; all but the first go."""
+    """The same by hand, word by word: windows of three lines, of which all but the first go."""
     seen, out = set(), []
     for _, text in rows:
-        lines, gone, words, line = [], set(), 0, ""
-        for word, space in re.findall(r"(\S*)(\s*)", text or "", re.ASCII)[:-1]:
-            line, words = line + word + space, words + 1
-            if word == "" or word[-1] in ".!?" or len(word) in (5, 7) or "\n" in space or words == 32:
-                lines, line, words = [*lines, line], "", 0
-        lines += [line] if line else []
-        for at in range(max(len(lines) - 3, 0) + 1 if lines else 0):
-            for n in (3, 4, 6, 8, 12, 24, 48):
-                window = "\n".join(x.rstrip(" \t\n\x0b\f\r") for x in lines[at : at + n])
-                if len(window) >= 80:
-                    gone |= set(range(at, min(at + n, len(lines)))) if window in seen else set()
-                    seen.add(window)
-                    break
-        out.append("".join(x for k, x in enumerate(lines) if k not in gone))
+        tokens = [(m[1], m[2]) for m in re.finditer(r"(\S+)(\s*)", text or "", re.ASCII)]
+        mark = [w[-1] in ".!?" or "\n" in space for w, space in tokens]
+        hard = ["\n" in space or (w[-1] in ".!?" and not any(mark[max(0, k - 3) : k])) or k + 1 == len(tokens) for k, (w, space) in enumerate(tokens)]
+        order = [zlib.crc32(w.encode()) if k == 0 or w != tokens[k - 1][0] else None for k, (w, _) in enumerate(tokens)]
+        ends = set()
+        for k in range(len(tokens) - 11):
+            own = [(x, -j) for j, x in enumerate(order[k : k + 12]) if x is not None]
+            if not any(hard[k : k + 11]) and own:
+                ends.add(k - min(own)[1])
+        lines, line = [], []
+        for k, token in enumerate(tokens):
+            line.append(token)
+            if hard[k] or k in ends or len(line) == 12:
+                lines, line = [*lines, line], []
+        gone = set()
+        for at in range(max(len(lines) - 2, 1) if lines else 0):
+            window = tuple(tuple(w for w, _ in x) for x in lines[at : at + 3])
+            gone |= set(range(at, min(at + 3, len(lines)))) if window in seen else set()
+            seen.add(window)
+        head = re.match(r"\s*", text or "", re.ASCII)[0]
+        out.append(("" if 0 in gone else head) + "".join(w + space for k, x in enumerate(lines) if k not in gone for w, space in x))
     return out
 
 
@@ -500,16 +507,17 @@ def test_line_dedup_finds_passages_at_any_word(spark):
     rng = np.random.default_rng(5)
     words = lambda n: " ".join("".join(rng.choice(list("aeinrstlmdou"), rng.integers(1, 10))) for _ in range(n))
     passages, plain = [words(51) for _ in range(12)], [words(120) for _ in range(6)]
-    texts = [f"{words(int(rng.integers(0, 40)))} {p} {words(9)}" for _ in range(3) for p in passages] + plain + ["\n".join("abcdefghij" * 12)] * 2
+    texts = [f"{words(int(rng.integers(0, 40)))} {p} {words(9)}" for _ in range(3) for p in passages] + plain + ["\n".join("abcdefghij" * 12)] * 2 + ["short and equal.", "short  and equal."]
     found = {r["doc_id"]: r for r in drop_repeated_lines(rows_of(spark, texts).repartition(3)).collect()}
     assert [found[k]["text"] for k in range(len(texts))] == brute_lines(list(enumerate(texts)))
-    assert [found[k]["n_removed"] > 0 for k in range(len(texts) - 2)] == [False] * 12 + [True] * 24 + [False] * 6
-    assert found[len(texts) - 1]["text"] == ""
+    assert [found[k]["n_removed"] > 0 for k in range(len(texts) - 4)] == [False] * 12 + [True] * 24 + [False] * 6
+    assert not any(" ".join(p.split()[14:37]) in found[12 + k]["text"] for k, p in enumerate(passages))
+    assert found[43]["text"] == found[45]["text"] == ""
 
 
 def test_line_dedup(spark, docs, empty):
     shared = ". ".join(passage(70 + k, 14) for k in range(5)) + "."
-    texts = [passage(1, 20) + ".\n" + shared + "\n" + passage(2, 30), shared + " " + passage(3, 10), passage(4, 9) + ". " + shared, passage(5, 80), shared, None, "", " \n ", "a b. c d. e f.", shared + "\n" + shared]
+    texts = ["  " + passage(1, 20) + ".\n" + shared + "\n" + passage(2, 30), shared + " " + passage(3, 10), passage(4, 9) + ". " + shared, passage(5, 80), shared, None, "", " \n ", "a b. c d. e f.", shared + "\n" + shared, "For " * 90, " ".join(f"{w}!!" for w in BASE.split()), " ".join(f"{w}!!" for w in BASE.split()[7:])]
     found = {r["doc_id"]: r for r in drop_repeated_lines(rows_of(spark, texts).repartition(3)).collect()}
     assert [found[k]["text"] or "" for k in range(len(texts))] == brute_lines(list(enumerate(texts)))
     assert found[3]["text"] == texts[3] and found[5]["text"] is None and found[4]["text"] == "" and found[0]["n_removed"] == 0
