@@ -30,7 +30,7 @@ from .common import cut, forget, text_of
 RUN = 12  # words of a line at most
 NEAR = 3  # words after an end of which none ends a sentence
 WINDOW = 3  # lines of a window
-CHUNK = 8_000_000  # characters that are cut into lines at once (whole texts)
+CHUNK = 4_000_000  # characters that are cut into lines at once (whole texts)
 VOCABULARY = 500_000  # tokens that a task remembers before it starts anew
 FILTER_BITS = (16, 30)  # size of the filter that is sent to the tasks, as powers of two of bits: 128 MB at most
 BLANK = " \t\n\x0b\f\r"
