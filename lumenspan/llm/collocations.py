@@ -27,8 +27,8 @@ from .common import cut, forget, shared_dir, text_of
 
 LEAST = 10  # occurrences of a candidate
 INSIDE = 50  # per cent of a phrase's occurrences that within a longer candidate make the phrase go
-CHUNK = 8_000_000  # characters of lines that are hashed at once
-PART = 400_000  # phrases of an automaton (about 170 MB), each collected and sent to the tasks on its own
+CHUNK = 3_000_000  # characters of lines that are hashed at once
+PART = 200_000  # phrases of an automaton (about 90 MB), each collected and sent to the tasks on its own
 SLICE_BITS = 20  # cells of a slice of the sketch, as a power of two
 CELL_BITS = (SLICE_BITS, 30)  # the sketch has at least a cell for each word of the corpus, between these powers of two; its bits are broadcast (128 MB at most)
 FOLD = bytes(b + 32 if 65 <= b <= 90 else 32 if b == 9 else 10 if chr(b) in ".,;:!?\n\x0b\x0c\r" else b for b in range(256))
