@@ -44,7 +44,11 @@ def guarded(text: str) -> str:
 
 @F.pandas_udf(StringType())
 def _guarded(texts: pd.Series) -> pd.Series:
-    return texts.map(guarded)
+    return pd.Series([guarded(t) for t in texts], dtype=object)
+
+
+#: So that the filter on the lines isn't moved below it, which would make every line twice.
+_guarded_once = _guarded.asNondeterministic()
 
 
 class Hashes:
@@ -209,7 +213,7 @@ def _scan(key: str, phrases):
 
 def guarded_lines(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """lang (null: `und`), line: the guarded words of each text that has any."""
-    return docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), _guarded(text_of(text_col)).alias("line")).filter("line <> ''")
+    return docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), _guarded_once(text_of(text_col)).alias("line")).filter("line <> ''")
 
 
 def candidate_phrases(lines: DataFrame, n_words: int, least: int = LEAST) -> DataFrame:
