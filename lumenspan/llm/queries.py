@@ -12,7 +12,7 @@ from .fingerprints import fingerprint_with_next
 from .html_text import extract_text
 from .language_id import fit_language, identify_language
 from .license_scan import NOTICES, scan_notices
-from .line_dedup import NEAR, RUN, drop_repeated_lines
+from .line_dedup import LONG, NEAR, ORDER, RUN, SPREAD, drop_repeated_lines
 from .lm_scoring import score_documents
 from .mixing import mix_sources
 from .ngram_join import ngram_components
@@ -133,13 +133,18 @@ ORACLES = {
         FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
     """,
     "op10_line_dedup": rf"""
-        WITH {CRC_STEPS}, numbered AS (
+        WITH numbered AS (
             SELECT row_number() OVER (ORDER BY doc_id NULLS FIRST, body) AS r, * FROM (SELECT DISTINCT doc_id, text, coalesce(text, '') AS body FROM documents)
         ), tokens AS (
             SELECT r, unnest(t) AS token, generate_subscripts(t, 1) AS i FROM (SELECT r, regexp_extract_all(body, '\S+\s*') AS t FROM numbered)
         ), words AS (
             SELECT r, i, token, rtrim(token, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS word FROM tokens
-        ), coded AS (SELECT word, {crc32_sql("word")} AS crc FROM (SELECT DISTINCT word FROM words), steps),
+        ), bytes AS (SELECT word, list_transform(string_split(regexp_replace(hex(encode(word)), '(..)', '\1 ', 'g')[:-2], ' '), lambda x: ('0x' || x)::HUGEINT) AS b FROM (SELECT DISTINCT word FROM words)),
+        -- The bytes beyond the {LONG}th share its power, so they are summed first.
+        coded AS (
+            SELECT word, (list_reduce(list_reverse(list_append(b[1:{LONG - 1}], coalesce(list_sum(b[{LONG}:]), 0)::HUGEINT)), lambda h, x: (h * {ORDER} + x) % 18446744073709551616) * {SPREAD}) % 18446744073709551616 // 4294967296 AS crc
+            FROM bytes
+        ),
         marked AS (SELECT w.*, CASE WHEN word IS DISTINCT FROM lag(word) OVER (PARTITION BY r ORDER BY i) THEN crc END AS h, regexp_matches(word, '[.!?]$') AS mark, contains(token, chr(10)) AS break FROM words w JOIN coded USING (word)),
         ended AS (SELECT *, break OR mark AND NOT coalesce(bool_or(mark OR break) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN {NEAR} PRECEDING AND 1 PRECEDING), FALSE) AS hard FROM marked),
         runs AS (SELECT *, coalesce(sum(hard::INT) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS run FROM ended),

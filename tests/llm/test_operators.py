@@ -481,7 +481,8 @@ def brute_lines(rows):
         tokens = [(m[1], m[2]) for m in re.finditer(r"(\S+)(\s*)", text or "", re.ASCII)]
         mark = [w[-1] in ".!?" or "\n" in space for w, space in tokens]
         hard = ["\n" in space or (w[-1] in ".!?" and not any(mark[max(0, k - 3) : k])) or k + 1 == len(tokens) for k, (w, space) in enumerate(tokens)]
-        order = [zlib.crc32(w.encode()) if k == 0 or w != tokens[k - 1][0] else None for k, (w, _) in enumerate(tokens)]
+        powers = lambda w: sum(b * pow(0x85EBCA6B, min(j, 63), 2**64) for j, b in enumerate(w.encode())) % 2**64
+        order = [powers(w) * 0x27220A95FE4A7C15 % 2**64 >> 32 if k == 0 or w != tokens[k - 1][0] else None for k, (w, _) in enumerate(tokens)]
         ends = set()
         for k in range(len(tokens) - 11):
             own = [(x, -j) for j, x in enumerate(order[k : k + 12]) if x is not None]
