@@ -2,8 +2,8 @@ r"""Collocations: a sketch bounds the counts of all phrases, automata count thos
 
 Texts become lines of guarded words (` w1 w2 ` with a blank on both sides of each word and ` \n ` between pieces). A
 counting sketch over all words and phrases, built in slices, gives upper bounds; phrases whose own bound and whose parts'
-bounds reach the threshold are candidates. They are compiled into Aho-Corasick automata part by part; tasks scan the lines
-with these, counting overlapping matches, and the counts are summed. Thresholds apply to these exact counts.
+bounds reach the threshold are candidates. They are compiled into Aho-Corasick automata part by part, over letters that
+stand for words and a guard between pieces; tasks scan the lines with these, counting overlapping matches, and the counts are summed. Thresholds apply to these exact counts.
 """
 
 from __future__ import annotations
@@ -18,6 +18,8 @@ from uuid import uuid4
 import ahocorasick
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,7 +30,7 @@ from .common import cut, forget, shared_dir, text_of
 LEAST = 10  # occurrences of a candidate
 INSIDE = 50  # per cent of a phrase's occurrences that within a longer candidate make the phrase go
 CHUNK = 3_000_000  # characters of lines that are hashed at once
-PART = 200_000  # phrases of an automaton (about 90 MB), each collected and sent to the tasks on its own
+PART = 600_000  # phrases of a part's automata (about 90 MB), each collected and sent to the tasks on its own
 SLICE_BITS = 20  # cells of a slice of the sketch, as a power of two
 CELL_BITS = (SLICE_BITS, 30)  # the sketch has at least a cell for each word of the corpus, between these powers of two; its bits are broadcast (128 MB at most)
 FOLD = bytes(b + 32 if 65 <= b <= 90 else 32 if b == 9 else 10 if chr(b) in ".,;:!?\n\x0b\x0c\r" else b for b in range(256))
@@ -81,35 +83,42 @@ class Hashes:
         return [" ".join(self.words[p : p + k]) for k, at in ((2, pairs[two]), (3, triples[three])) for p in at.tolist()]
 
 
-def _chunks(frame: pd.DataFrame) -> Iterator[tuple[str, list[str]]]:
-    """Lines of one language, together about CHUNK characters; longer lines are cut between pieces."""
-    for lang, own in frame.groupby("lang", sort=False)["line"]:
-        chunk, size = [], 0
-        for line in own:
-            for part in [line] if len(line) <= CHUNK else line.split(" \n "):
-                chunk.append(part)
-                size += len(part)
-                if size >= CHUNK:
-                    yield lang, chunk
-                    chunk, size = [], 0
-        if size:
-            yield lang, chunk
-
-
-def _count_words(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for frame in frames:
-        for lang, lines in _chunks(frame):
+def _chunks(batch: pa.RecordBatch) -> Iterator[tuple[str, list[str]]]:
+    """Lines of one language, together at most about CHUNK bytes; longer lines are cut between pieces."""
+    size = np.cumsum(pc.binary_length(batch.column("line")).to_numpy(zero_copy_only=False).astype(np.int64))
+    a = 0
+    while a < batch.num_rows:
+        b = max(a + 1, int(np.searchsorted(size, CHUNK + (size[a - 1] if a else 0))))
+        by_lang: dict[str, list[str]] = {}
+        for lang, line in zip(batch.column("lang")[a:b].to_pylist(), batch.column("line")[a:b].to_pylist(), strict=True):
+            by_lang.setdefault(lang, []).append(line)
+        a = b
+        for lang, lines in by_lang.items():
+            if len(lines) == 1 and len(lines[0]) > CHUNK:
+                pieces, n, first = lines[0].split(" \n "), 0, 0
+                for k, piece in enumerate(pieces):
+                    n += len(piece)
+                    if n >= CHUNK or k + 1 == len(pieces):
+                        yield lang, pieces[first : k + 1]
+                        n, first = 0, k + 1
+            else:
+                yield lang, lines
+
+
+def _rows(lang: str, **columns) -> pa.RecordBatch:
+    """Rows of one language."""
+    arrays = {k: pa.array(v) if isinstance(v, np.ndarray) else pa.array(v, pa.string()) for k, v in columns.items()}
+    n = len(next(iter(arrays.values())))
+    return pa.RecordBatch.from_pydict({"lang": pa.array([lang] * n, pa.string()), **arrays})
+
+
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for lang, lines in _chunks(batch):
             found = Counter(chain.from_iterable(line.split(" ") for line in lines))
             found.pop("", None)
             found.pop("\n", None)
-            yield _frame(lang, word=list(found.keys()), n=np.fromiter(found.values(), np.int64, len(found)))
-
-
-def _frame(lang: str, **columns) -> pd.DataFrame:
-    """Rows of one language; texts as plain objects, which Arrow takes as one array."""
-    frame = pd.DataFrame({k: pd.Series(v, dtype=object if isinstance(v, list) else None) for k, v in columns.items()})
-    frame.insert(0, "lang", pd.Series([lang] * len(frame), dtype=object))
-    return frame
+            yield _rows(lang, word=list(found.keys()), n=np.fromiter(found.values(), np.int64, len(found)))
 
 
 def _packed(cells: np.ndarray) -> bytes:
@@ -126,15 +135,16 @@ def _unpacked(packed: bytes) -> np.ndarray:
 
 
 def _sketch(bits: int):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for lang, lines in _chunks(frame):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lang, lines in _chunks(batch):
                 h = Hashes(lang, lines)
                 cells, counts = np.unique(np.concatenate([h.cells(k, h.at[k], bits) for k in range(3)]), return_counts=True)
                 counts = np.minimum(counts, 255).astype(np.uint8)  # a count of 255 reaches any threshold below it
                 own, starts = np.unique(cells >> SLICE_BITS, return_index=True)
-                rows = [(k, _packed(cells[a:b] - (k << SLICE_BITS)), counts[a:b].tobytes()) for k, a, b in zip(own.tolist(), starts, [*starts[1:], len(cells)], strict=True)]
-                yield pd.DataFrame(rows, columns=["slice", "cells", "counts"])
+                bounds = list(zip(own.tolist(), starts, [*starts[1:], len(cells)], strict=True))
+                packed = [[_packed(cells[a:b] - (k << SLICE_BITS)) for k, a, b in bounds], [counts[a:b].tobytes() for _, a, b in bounds]]
+                yield pa.RecordBatch.from_arrays([pa.array(own), *(pa.array(x, pa.binary()) for x in packed)], names=["slice", "cells", "counts"])
 
     return run
 
@@ -157,10 +167,10 @@ def _merge(least: int):
 
 
 def _candidates(bitmap, bits: int):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent = np.frombuffer(bitmap.value, np.uint8)
-        for frame in frames:
-            for lang, lines in _chunks(frame):
+        for batch in batches:
+            for lang, lines in _chunks(batch):
                 h = Hashes(lang, lines)
                 on = np.zeros((3, len(h.words) + 1), bool)
                 for k in range(3):
@@ -169,48 +179,73 @@ def _candidates(bitmap, bits: int):
                         at = at[on[k - 1][at] & on[k - 1][at + 1]]
                     cells = h.cells(k, at, bits)
                     on[k][at[(frequent[cells >> 3] >> (7 - (cells & 7)).astype(np.uint8)) & 1 == 1]] = True
-                yield _frame(lang, phrase=h.phrases(np.flatnonzero(on[1]), np.flatnonzero(on[2])))
+                yield _rows(lang, phrase=h.phrases(np.flatnonzero(on[1]), np.flatnonzero(on[2])))
 
     return run
 
 
-_automata: dict[str, dict[str, tuple]] = {}  # of this worker: those of the part that it scans with
+GUARD = "\n"  # between pieces, and in place of words that no phrase of a part has
+
+
+class Automaton:
+    """The phrases of one language in a part. Each word is written in letters of a number system whose places have alphabets
+    of their own, so that matches start and end at words; the guard is no letter, so that none crosses pieces."""
 
+    def __init__(self, phrases: list[str]):
+        self.code: dict[str, str] = {}
+        words = dict.fromkeys(chain.from_iterable(p.split(" ") for p in phrases))
+        places = max(1, -(-len(words).bit_length() // 6))
+        for k, w in enumerate(words):
+            self.code[w] = "".join(chr(0x100 + 64 * j + (k >> 6 * j & 63)) for j in range(places))
+        self.search = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        for k, p in enumerate(phrases):
+            self.search.add_word("".join(map(self.code.__getitem__, p.split(" "))), k)
+        self.search.make_automaton()
 
-def automata_of(key: str, phrases: list[tuple[str, str]]) -> dict[str, tuple]:
-    """By language: the guarded phrases' automaton and the phrases; made once in each worker."""
+    def matches(self, lines: list[str]) -> np.ndarray:
+        """The number of the phrase at each place where one stands, overlapping ones too."""
+        letters = "".join([self.code.get(w, GUARD) for w in " \n ".join(lines).split(" ") if w])
+        return np.fromiter((k for _, k in self.search.iter(letters)), np.int64)
+
+
+_automata: dict[str, dict[str, tuple[Automaton, pa.Array]]] = {}  # of this worker: those of the part that it scans with
+
+
+def automata_of(key: str, part: bytes) -> dict[str, tuple[Automaton, pa.Array]]:
+    """By language: the automaton and the phrases; made once in each worker."""
     if key not in _automata:
         _automata.clear()
-        own: dict[str, list[str]] = {}
-        for lang, p in phrases:
-            own.setdefault(lang, []).append(p)
+        table = pa.ipc.open_stream(part).read_all()
         made = {}
-        for lang, ps in own.items():
-            automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-            for k, p in enumerate(ps):
-                automaton.add_word(f" {p} ", k)
-            automaton.make_automaton()
-            made[lang] = automaton, ps
+        for lang in pc.unique(table["lang"]).to_pylist():
+            own = table.filter(pc.equal(table["lang"], lang))["phrase"].combine_chunks()
+            made[lang] = Automaton(own.to_pylist()), own
         _automata[key] = made
     return _automata[key]
 
 
-def _scan(key: str, phrases):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        automata = automata_of(key, phrases.value)
-        counts = {lang: np.zeros(len(ps), np.int64) for lang, (_, ps) in automata.items()}
-        for frame in frames:
-            for lang, lines in _chunks(frame):
+def _scan(key: str, part):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automata = automata_of(key, part.value)
+        counts = {lang: np.zeros(len(own), np.int64) for lang, (_, own) in automata.items()}
+        for batch in batches:
+            for lang, lines in _chunks(batch):
                 if lang in automata:
-                    hits = np.fromiter((k for line in lines for _, k in automata[lang][0].iter(f" {line.strip(' ')} ")), np.int64)
-                    counts[lang] += np.bincount(hits, minlength=len(counts[lang]))
+                    counts[lang] += np.bincount(automata[lang][0].matches(lines), minlength=len(counts[lang]))
         for lang, n in counts.items():
             hit = np.flatnonzero(n)
-            yield _frame(lang, phrase=[automata[lang][1][k] for k in hit], f=n[hit])
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(hit), pa.string()), automata[lang][1].take(pa.array(hit)).cast(pa.string()), pa.array(n[hit])], names=["lang", "phrase", "f"])
 
     return run
 
 
+def _sent(table: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as out:
+        out.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
 def guarded_lines(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """lang (null: `und`), line: the guarded words of each text that has any."""
     return docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), _guarded_once(text_of(text_col)).alias("line")).filter("line <> ''")
@@ -224,13 +259,13 @@ def candidate_phrases(lines: DataFrame, n_words: int, least: int = LEAST) -> Dat
     """
     spark = lines.sparkSession
     bits = min(max(n_words.bit_length(), CELL_BITS[0]), CELL_BITS[1])
-    slices = lines.mapInPandas(_sketch(bits), "slice long, cells binary, counts binary").repartition("slice").sortWithinPartitions("slice")
+    slices = lines.mapInArrow(_sketch(bits), "slice long, cells binary, counts binary").repartition("slice").sortWithinPartitions("slice")
     bitmap = bytearray(1 << (bits - 3))
     width = 1 << (SLICE_BITS - 3)
     for row in slices.mapInPandas(_merge(min(least, 255)), "slice long, bits binary").toLocalIterator():  # 2^bits bits in all
         bitmap[row["slice"] * width : (row["slice"] + 1) * width] = row["bits"]
     sent = spark.sparkContext.broadcast(bytes(bitmap))
-    return lines.mapInPandas(_candidates(sent, bits), "lang string, phrase string").distinct()
+    return lines.mapInArrow(_candidates(sent, bits), "lang string, phrase string").distinct()
 
 
 def count_phrases(lines: DataFrame, phrases: DataFrame, per_part: int = PART) -> DataFrame:
@@ -250,8 +285,11 @@ def count_phrases(lines: DataFrame, phrases: DataFrame, per_part: int = PART) ->
     parts = spark.read.schema("lang string, phrase string, part long").parquet(written)
     counted = []
     for (k,) in sorted(parts.select("part").distinct().collect()):
-        sent = spark.sparkContext.broadcast([tuple(r) for r in parts.filter(F.col("part") == k).select("lang", "phrase").collect()])
-        counted.append(cut(lines.mapInPandas(_scan(uuid4().hex, sent), "lang string, phrase string, f long").groupBy("lang", "phrase").agg(F.sum("f").alias("f")), "counted"))
+        table = parts.filter(F.col("part") == k).select("lang", "phrase").toArrow()
+        langs = pc.unique(table["lang"]).to_pylist()
+        sent = spark.sparkContext.broadcast(_sent(table))
+        own = lines.filter(F.col("lang").isin(langs)) if len(langs) <= 100 else lines
+        counted.append(cut(own.mapInArrow(_scan(uuid4().hex, sent), "lang string, phrase string, f long").groupBy("lang", "phrase").agg(F.sum("f").alias("f")), "counted"))
         sent.destroy()
     forget(spark, phrases, parts)
     return reduce(DataFrame.unionByName, counted, spark.createDataFrame([], "lang string, phrase string, f long"))
@@ -284,7 +322,7 @@ def mine_collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "
     """
     spark = docs.sparkSession
     lines = cut(guarded_lines(docs, text_col, lang_col), "lines")
-    words = cut(lines.mapInPandas(_count_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
+    words = cut(lines.mapInArrow(_count_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
     total = words.agg(F.sum("n")).first()[0] or 0
     counted = count_phrases(lines, candidate_phrases(lines, total, least), per_part)
     counted = cut(counted.filter(F.col("f") >= least), "frequent")

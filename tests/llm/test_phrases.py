@@ -166,7 +166,7 @@ def test_collocations_against_brute_force(spark, monkeypatch):
     texts = [" ".join(rng.choice(words) + rng.choice(["", "", "", ",", ".\n", "\t", "\x0b", "!?"]) for _ in range(rng.randrange(120))) for _ in range(80)] + [None, "", " .,\n", "ha " * 9000, "of the of the"]
     langs = [rng.choice(["en", "de", None, "und"]) for _ in texts]
     want = brute_collocations(list(zip(langs, texts, strict=True)))
-    for part in (3, 200_000):
+    for part in (3, 600_000):
         monkeypatch.setattr(collocations, "CHUNK", 700 if part == 3 else 3_000_000)
         found = mine_collocations(with_langs(spark, texts, langs).repartition(3), per_part=40 if part == 3 else part)
         assert sorted(map(tuple, found.collect())) == want and len(want) > 50
