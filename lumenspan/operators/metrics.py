@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -115,43 +114,99 @@ def percentile(counts: Column, bounds: list[float], q: float) -> Column:
     return F.when(total > 0, F.get(lower, at) + (F.get(upper, at) - F.get(lower, at)) * part)
 
 
-def fold_histograms(points: DataFrame, keys: list[str], cumulative: bool) -> DataFrame:
+def with_previous(points: DataFrame, keys: list[str], point: Column, block: int) -> DataFrame:
+    """points with `previous`: that column at the point before in its series, null at the first; instants are distinct.
+
+    A series is cut into blocks of time, which are read in order each on its own; what a block starts from is the last
+    point of the block before, so only one row of each block meets in the order of a whole series.
+    """
+    at = step_of(F.col("recorded_at"), block)
+    rows = points.withColumns({"__block": at, "__point": point})
+    lasts = rows.groupBy(*keys, "__block").agg(F.max_by("__point", "recorded_at").alias("__last"))
+    carried = lasts.select(*[F.col(k).alias(f"__{k}") for k in keys], F.col("__block").alias("__at"), F.lag("__last").over(Window.partitionBy(*keys).orderBy("__block")).alias("__carried"))
+    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys] + [F.col("__block") == F.col("__at")]
+    within_block = F.lag("__point").over(Window.partitionBy(*keys, "__block").orderBy("recorded_at"))
+    joined = rows.withColumn("__before", within_block).join(carried, same)
+    return joined.withColumn("previous", F.coalesce("__before", "__carried")).drop("__block", "__point", "__before", "__at", "__carried", *[f"__{k}" for k in keys])
+
+
+def fold_histograms(points: DataFrame, keys: list[str], cumulative: bool, block: int = 3_600_000_000_000) -> DataFrame:
     """Explicit histograms of each series and step in order of time, where bounds may change: the newer bounds replace all.
 
-    Points: recorded_at, step_at, bounds, counts, sum, low, high. Cumulative points add their increase, a fall counts
-    from zero; least and greatest survive only among delta points that all have them. The fold depends on order, so each
-    series is one group.
+    Points: recorded_at, step_at, bounds, counts, sum, low, high. Cumulative points add their increase, a fall or other
+    bounds count whole; least and greatest survive only among delta points that all have them. As what a step holds is
+    what came after its last change of bounds, a step is a sum over the points from that instant on: parts of it combine
+    before the shuffle, and no series is gathered.
     """
+    whole = with_previous(points, keys, F.struct("bounds", "counts", "sum"), block)
+    before = F.col("previous")
+    changed = before.isNull() | (before["bounds"] != F.col("bounds"))
+    if cumulative:
+        less = F.when(~changed, subtract_counts(F.col("counts"), before["counts"]))
+        grown = {"counts": F.coalesce(less, F.col("counts")), "sum": F.when(less.isNotNull(), F.col("sum") - before["sum"]).otherwise(F.col("sum")), "low": F.lit(None).cast("double"), "high": F.lit(None).cast("double")}
+        whole = whole.withColumn("__changed", changed).filter(before.isNotNull()).withColumns(grown)
+    else:
+        whole = whole.withColumn("__changed", changed)
+    by = [*keys, "step_at"]
+    since = whole.groupBy(*by).agg(F.max(F.when(F.col("__changed"), F.col("recorded_at"))).alias("__since"))
+    kept = whole.join(since, by).filter(F.coalesce(F.col("recorded_at") >= F.col("__since"), F.lit(True)))
+    all_have = lambda c, agg: F.when(F.count(c) == F.count(F.lit(1)), agg(c)).alias(c)
+    told = kept.groupBy(*by).agg(F.max("bounds").alias("bounds"), F.sum("sum").alias("sum"), all_have("low", F.min), all_have("high", F.max))
+    cells = kept.select(*by, F.posexplode("counts").alias("place", "n")).groupBy(*by, "place").agg(F.sum("n").alias("n"))
+    counts = cells.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "n"))), lambda c: c["n"]).alias("counts"))
+    return told.join(counts, by).select(*by, "bounds", "counts", "sum", "low", "high")
+
+
+MOST_BUCKETS = 4_096  # buckets that the counts of one sign may span
+SIGNS = ("positive", "negative")
+
+
+def joined_buckets(buckets: Column, halvings: Column) -> Column:
+    """Buckets (offset, counts) at a scale that is lower by `halvings`: of 2 ** halvings neighbours each the sum."""
+    offset, counts = buckets["offset"], buckets["counts"]
+    down = lambda x: F.call_function("shiftright", x, halvings)
+    last = offset + F.size(counts) - 1
+    per = F.call_function("shiftleft", F.lit(1), halvings)
+    part = lambda j: F.slice(counts, F.greatest(j * per, offset) - offset + 1, F.least((j + 1) * per - 1, last) - F.greatest(j * per, offset) + 1)
+    added = F.transform(F.sequence(down(offset), down(last)), lambda j: F.aggregate(part(j), F.lit(0).cast("long"), lambda s, x: s + x))
+    return F.when(F.size(counts) == 0, buckets).otherwise(F.struct(down(offset).alias("offset"), added.alias("counts")))
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        out: dict[int, dict] = {}
-        before = None
-        for r in rows.sort_values("recorded_at").to_dict("records"):
-            bounds, counts, total = list(r["bounds"]), [int(c) for c in r["counts"]], float(r["sum"])
-            low, high = r["low"], r["high"]
-            if cumulative:
-                last, before = before, (bounds, counts, total)
-                low = high = None
-                if last is None:
-                    continue
-                if last[0] == bounds:
-                    less = [a - b for a, b in zip(counts, last[1], strict=True)]
-                    if min(less, default=0) >= 0:
-                        counts, total = less, total - last[2]
-            held = out.get(r["step_at"])
-            if held is None or held["bounds"] != bounds:
-                out[r["step_at"]] = {"bounds": bounds, "counts": counts, "sum": total, "low": low, "high": high}
-                continue
-            held["counts"] = [a + b for a, b in zip(held["counts"], counts, strict=True)]
-            held["sum"] += total
-            held["low"] = None if pd.isna(held["low"]) or pd.isna(low) else min(held["low"], low)
-            held["high"] = None if pd.isna(held["high"]) or pd.isna(high) else max(held["high"], high)
-        key = {k: rows[k].iloc[0] for k in keys}
-        return pd.DataFrame([{**key, "step_at": s, **h} for s, h in sorted(out.items())], columns=[*keys, "step_at", "bounds", "counts", "sum", "low", "high"])
-
-    kinds = dict(points.dtypes)
-    fields = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", step_at long, bounds array<double>, counts array<long>, sum double, low double, high double"
-    return points.groupBy(*keys).applyInPandas(fold, fields)
+
+def subtract_buckets(newer: Column, older: Column) -> Column:
+    """Bucket by bucket at one scale; null if any is negative or the buckets span too many."""
+    start, end = F.least(newer["offset"], older["offset"]), F.greatest(newer["offset"] + F.size(newer["counts"]), older["offset"] + F.size(older["counts"])) - 1
+    at = lambda b, j: F.coalesce(F.get(b["counts"], j - b["offset"]), F.lit(0).cast("long"))
+    less = F.transform(F.sequence(start, end), lambda j: at(newer, j) - at(older, j))
+    fits = (end - start < MOST_BUCKETS) & ~F.exists(less, lambda x: x < 0)
+    return F.when(F.size(older["counts"]) == 0, newer).otherwise(F.when(F.size(newer["counts"]) > 0, F.when(fits, F.struct(start.alias("offset"), less.alias("counts")))).when(~F.exists(older["counts"], lambda x: x > 0), newer))
+
+
+def fold_exponential(points: DataFrame, keys: list[str], cumulative: bool, block: int = 3_600_000_000_000) -> DataFrame:
+    """Exponential histograms of each series and step as cells: keys, step_at, scale, sign, index, n; index 0 of `zero` counts zeros.
+
+    Points: recorded_at, step_at, scale, zeros, positive and negative (offset, counts). Cumulative points add what they
+    have more than the point before, both at the lesser scale; where any bucket fell, they count whole. A step's points
+    are added at the least scale among them; cells are summed, so no series and no step is gathered. Points of which one
+    sign spans more than 4,096 buckets are left out.
+    """
+    fits = (F.size("positive.counts") <= MOST_BUCKETS) & (F.size("negative.counts") <= MOST_BUCKETS)
+    rows = points.filter(fits)
+    if cumulative:
+        rows = with_previous(rows, keys, F.struct("scale", "zeros", *SIGNS), block).filter("previous IS NOT NULL")
+        before = F.col("previous")
+        scale = F.least(F.col("scale"), before["scale"])
+        less = {s: subtract_buckets(joined_buckets(F.col(s), F.col("scale") - scale), joined_buckets(before[s], before["scale"] - scale)) for s in SIGNS}
+        rows = rows.withColumns({f"__{s}": c for s, c in less.items()} | {"__zeros": F.col("zeros") - before["zeros"], "__scale": scale})
+        good = (F.col("__zeros") >= 0) & F.col("__positive").isNotNull() & F.col("__negative").isNotNull()
+        rows = rows.withColumns({c: F.when(good, F.col(f"__{c}")).otherwise(F.col(c)) for c in ("zeros", "scale", *SIGNS)})
+    one = lambda s: F.transform(F.col(f"{s}.counts"), lambda n, k: F.struct(F.lit(s).alias("sign"), (F.col(f"{s}.offset") + k).alias("index"), n.alias("n")))
+    zero = F.array(F.struct(F.lit("zero").alias("sign"), F.lit(0).alias("index"), F.col("zeros").cast("long").alias("n")))
+    by = [*keys, "step_at"]
+    cells = rows.select(*by, "scale", F.explode(F.filter(F.concat(one("positive"), one("negative"), zero), lambda c: c["n"] > 0)).alias("c")).select(*by, "scale", "c.*")
+    cells = cells.groupBy(*by, "scale", "sign", "index").agg(F.sum("n").alias("n"))
+    least = rows.groupBy(*by).agg(F.min("scale").alias("__least"))
+    index = F.call_function("shiftright", F.col("index"), F.col("scale") - F.col("__least"))
+    return cells.join(least, by).groupBy(*by, F.col("__least").alias("scale"), "sign", index.alias("index")).agg(F.sum("n").alias("n"))
 
 
 def exponential_index(value: Column, scale: int) -> Column:

@@ -39,13 +39,17 @@ def minutes_and_hours(spans: DataFrame, keys: list[str]) -> tuple[DataFrame, Dat
     return minutes, coarser(minutes, keys, HOUR)
 
 
-def metric_summary(points: DataFrame, keys: list[str], unit: int) -> DataFrame:
-    """Points, least, greatest, sum, last, increase and its time of each series and unit, for a cumulative counter."""
+def metric_summary(points: DataFrame, keys: list[str], unit: int, since: int | None = None) -> DataFrame:
+    """Points, least, greatest, sum, last, increase and its time of each series and unit, for a cumulative counter.
+
+    Points before `since` are only what the first ones after it grew from.
+    """
     w = Window.partitionBy(*keys).orderBy("recorded_at")
     before = F.lag("value").over(w)
     grown = F.when(before.isNull(), 0).when(F.col("value") >= before, F.col("value") - before).otherwise(F.col("value"))
     took = F.coalesce(F.col("recorded_at") - F.lag("recorded_at").over(w), F.lit(0))
-    return points.withColumns({"grown": grown, "took": took}).groupBy(*keys, step_of(F.col("recorded_at"), unit).alias("unit_at")).agg(
+    told = points.withColumns({"grown": grown, "took": took})
+    return (told if since is None else told.filter(F.col("recorded_at") >= since)).groupBy(*keys, step_of(F.col("recorded_at"), unit).alias("unit_at")).agg(
         F.count(F.lit(1)).alias("n"), F.min("value").alias("low"), F.max("value").alias("high"), F.sum("value").alias("sum"), F.max_by("value", "recorded_at").alias("last"), F.sum("grown").alias("increase"), F.sum("took").alias("elapsed_ns")
     )
 

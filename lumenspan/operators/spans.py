@@ -10,6 +10,7 @@ from ..functions.attributes import KINDS, equals, has, keep_unless, text_of, val
 from ..plans.ranges import Range, group_limit
 from .sketch import bucket, quantiles_of_counts
 from .steps import after, step_of, within, zero_filled
+from .traces import large_trace_trees
 
 MOST = 2**63 - 1
 
@@ -34,11 +35,12 @@ def span_groups(spans: DataFrame, keys: dict[str, Column], carry: dict[str, Colu
 def group_steps(spans: DataFrame, keys: dict[str, Column], r: Range, step: int, limit: int, by: str = "total_ns") -> DataFrame:
     """The steps of the first groups of a range: count, errors and time, zero filled. Groups are ranked from their steps."""
     cells = within(spans, "started_at", r).groupBy(*[c.alias(k) for k, c in keys.items()], step_of(F.col("started_at"), step).alias("step_at")).agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(F.col("status") == 2).alias("errors"), F.sum("duration_ns").alias("total_ns")
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("status") == 2).alias("errors"), F.sum(F.col("duration_ns").cast("decimal(38,0)")).alias("total_ns")
     )
     whole = cells.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in ("n", "errors", "total_ns")])
     page = ranked(whole, list(keys), by, group_limit(limit, r.steps(step)))
-    return zero_filled(cells, page.select(*keys), r, step, ["n", "errors", "total_ns"])
+    held = F.least("total_ns", F.lit(MOST).cast("decimal(38,0)")).cast("long")
+    return zero_filled(cells.withColumn("total_ns", held), page.select(*keys), r, step, ["n", "errors", "total_ns"])
 
 
 def ranked(groups: DataFrame, keys: list[str], by: str = "total_ns", limit: int = 50, highest: bool = True) -> DataFrame:
@@ -90,14 +92,14 @@ def meaning() -> list[Column]:
 
 
 def services(spans: DataFrame, logs: DataFrame) -> DataFrame:
-    """Per service: HTTP requests with their errors and percentiles, all spans, logs, error logs. Most requests first."""
+    """Per service: HTTP requests with their errors and percentiles, all spans, logs, error logs. Most requests first, then most logs, then by name."""
     http = spans.filter((F.col("kind") == KINDS["server"]) & has("attributes", "http.request.method"))
     requests = span_groups(http, {"service": F.col("service")}).select("service", F.col("n").alias("requests"), F.col("errors").alias("failed"), "p50", "p95", "p99")
     all_spans = spans.groupBy("service").agg(F.count(F.lit(1)).alias("spans"))
     lines = logs.groupBy("service").agg(F.count(F.lit(1)).alias("logs"), F.count_if(F.col("severity") >= 17).alias("error_logs"))
     joined = all_spans.join(lines, "service", "full").join(requests, "service", "left")
     counts = [F.coalesce(c, F.lit(0)).alias(c) for c in ("requests", "failed", "spans", "logs", "error_logs")]
-    return joined.select("service", *counts, "p50", "p95", "p99").orderBy(F.desc("requests"), F.desc("spans"), F.desc("logs"), "service")
+    return joined.select("service", *counts, "p50", "p95", "p99").orderBy(F.desc("requests"), F.desc("logs"), "service")
 
 
 def service_steps(spans: DataFrame, logs: DataFrame, r: Range, step: int) -> DataFrame:
@@ -133,11 +135,12 @@ def trace_summaries(spans: DataFrame) -> DataFrame:
     return spans.groupBy("trace_id").agg(F.count(F.lit(1)).alias("n_spans"), F.count_if(F.col("status") == 2).alias("errors"), (end - F.min("started_at")).alias("length_ns"), F.min("started_at").alias("started_at"))
 
 
-def trace_trees(spans: DataFrame, per_task: int = 200_000) -> DataFrame:
+def trace_trees(spans: DataFrame, per_task: int = 200_000, per_trace: int = 200_000) -> DataFrame:
     """Rows of each trace's tree in depth-first order: place, depth, children, offset.
 
     A span whose parent is missing is a root; siblings are in order of start; spans in a cycle of parents come last, the
-    first reached as a root. Traces are dealt to tasks whole, about per_task spans together.
+    first reached as a root. Traces are dealt to tasks whole, about per_task spans together; those of more than per_trace
+    spans are spread over all tasks instead, with the same rows.
     """
 
     def trees(rows: pd.DataFrame) -> pd.DataFrame:
@@ -168,7 +171,13 @@ def trace_trees(spans: DataFrame, per_task: int = 200_000) -> DataFrame:
             a = z
         return pd.DataFrame(out, columns=["trace_id", "span_id", "place", "depth", "children", "offset_ns"])
 
-    tasks = max(1, -(-spans.count() // per_task))
+    sizes = spans.groupBy("trace_id").agg(F.count(F.lit(1)).alias("__n"))
+    count, most = sizes.agg(F.sum("__n"), F.max("__n")).first()
+    tasks = max(1, -(-(count or 0) // per_task))
+    if (most or 0) > per_trace:
+        large = sizes.filter(F.col("__n") > per_trace).select("trace_id")
+        found = large_trace_trees(spans.join(large, "trace_id", "left_semi"))
+        return found.unionByName(trace_trees(spans.join(large, "trace_id", "left_anti"), per_task, per_trace))
     dealt = spans.select("trace_id", "span_id", "parent_span_id", "started_at", "row_id", F.pmod(F.xxhash64("trace_id"), F.lit(tasks)).alias("task"))
     return dealt.groupBy("task").applyInPandas(trees, "trace_id string, span_id string, place int, depth int, children int, offset_ns long")
 

@@ -36,7 +36,7 @@ class Increases(StatefulProcessor):
         self.handle = handle
         self.held = handle.getValueState("points", "times array<long>, counts array<long>, let_go boolean")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         times, counts, let_go = self.held.get() if self.held.exists() else ([], [], False)
         times, counts = list(times), list(counts)
         new = sorted((int(t), int(v)) for frame in rows for t, v in zip(frame["recorded_at"], frame["value"], strict=True))
@@ -61,7 +61,7 @@ class Increases(StatefulProcessor):
         found += [(key[0], new_step, 0, 0, 1) for new_step in (t - t % self.step for t, _ in late)]
         yield pd.DataFrame(found, columns=GROWN.names)
 
-    def handleExpiredTimer(self, key, timer_values, expired) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.held.clear()
         yield pd.DataFrame([], columns=GROWN.names)
 

@@ -1,9 +1,13 @@
+import random
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
 from lumenspan.functions import attributes as A
 from lumenspan.functions import texts as T
-from lumenspan.operators import catalog, metrics, sketch, spans, steps
+from lumenspan.operators import catalog, metrics, sketch, spans, steps, traces
+from lumenspan.operators import spans as span_ops
 from lumenspan.plans import ranges
 from lumenspan.sources import daily
 
@@ -96,26 +100,118 @@ def test_sketch_is_within_one_percent(spark):
 
 
 def test_counter_restarts(spark):
+    """A base, a rise by 7, a standstill, a restart that reached 3, a rise by 8; then a step that starts from the one before."""
     sec = 1_000_000_000
-    rows = [("s", t * sec, v) for t, v in ((0, 100), (15, 120), (30, 5), (45, 9))]
-    found = metrics.increases(spark.createDataFrame(rows, "series string, recorded_at long, value long"), ["series"], 60 * sec).first()
-    assert (found["increase"], found["elapsed_ns"]) == (29, 45 * sec)
-
-
-def test_histograms(spark):
-    fields = "series string, recorded_at long, step_at long, bounds array<double>, counts array<long>, sum double, low double, high double"
-    delta = [("s", 1, 0, [10.0, 100.0], [1, 0, 0], 5.0, 5.0, 5.0), ("s", 2, 0, [10.0, 100.0], [1, 2, 0], 70.0, 4.0, 40.0)]
-    found = metrics.fold_histograms(spark.createDataFrame(delta, fields), ["series"], cumulative=False).first()
-    assert (list(found["counts"]), found["sum"], found["low"], found["high"]) == ([2, 2, 0], 75.0, 4.0, 40.0)
-    running = [("s", 1, 0, [10.0, 100.0], [5, 5, 0], 100.0, 1.0, 50.0), ("s", 2, 0, [10.0, 100.0], [6, 7, 0], 130.0, 1.0, 50.0), ("s", 3, 9, [10.0, 100.0], [6, 9, 1], 400.0, 1.0, 50.0), ("s", 4, 9, [10.0, 100.0], [1, 0, 0], 2.0, 1.0, 2.0)]
-    found = metrics.fold_histograms(spark.createDataFrame(running, fields), ["series"], cumulative=True).orderBy("step_at").collect()
-    assert [(list(r["counts"]), r["sum"]) for r in found] == [([1, 2, 0], 30.0), ([1, 2, 1], 272.0)]
-    changed = [*delta, ("s", 3, 0, [20.0], [1, 1], 9.0, None, None)]
-    found = metrics.fold_histograms(spark.createDataFrame(changed, fields), ["series"], cumulative=False).first()
-    assert (list(found["bounds"]), list(found["counts"]), found["low"]) == ([20.0], [1, 1], None)
-    counts = F.array(*[F.lit(x).cast("long") for x in (0, 10, 0)])
-    assert one(spark, metrics.percentile(counts, [10.0, 20.0], 0.5)) == 15.0
-    assert one(spark, metrics.percentile(F.array(*[F.lit(0).cast("long")] * 3), [10.0, 20.0], 0.5)) is None
+    rows = [("s", t * sec, v) for t, v in ((2, 40), (9, 47), (20, 47), (31, 3), (50, 11), (64, 12))]
+    found = metrics.increases(spark.createDataFrame(rows, "series string, recorded_at long, value long"), ["series"], 60 * sec).orderBy("step_at").collect()
+    assert [(r["increase"], r["elapsed_ns"]) for r in found] == [(18, 48 * sec), (1, 14 * sec)]
+
+
+HISTOGRAMS = "series string, recorded_at long, step_at long, bounds array<double>, counts array<long>, sum double, low double, high double"
+
+
+def brute_fold(points, cumulative):
+    """Point by point in order of time."""
+    out, before = {}, {}
+    for s, _, step, bounds, counts, total, low, high in sorted(points, key=lambda p: (p[0], p[1])):
+        last, before[s] = before.get(s), (bounds, counts, total)
+        if cumulative:
+            low = high = None
+            if last is None:
+                continue
+            if last[0] == bounds and all(a >= b for a, b in zip(counts, last[1], strict=True)):
+                counts, total = [a - b for a, b in zip(counts, last[1], strict=True)], total - last[2]
+        held = out.get((s, step))
+        if held is None or held[0] != bounds:
+            out[s, step] = (bounds, counts, total, low, high)
+        else:
+            both = lambda f, a, b: None if a is None or b is None else f(a, b)
+            out[s, step] = (bounds, [a + b for a, b in zip(held[1], counts, strict=True)], held[2] + total, both(min, held[3], low), both(max, held[4], high))
+    return out
+
+
+@pytest.mark.parametrize("cumulative", [True, False])
+def test_histograms_are_folded_in_order(spark, cumulative):
+    rng = random.Random(9)
+    points = []
+    for s in ("a", "b"):
+        bounds, counts = [1.0, 4.0], [0, 0, 0]
+        for t in range(60):
+            if rng.random() < 0.2:
+                bounds = rng.choice([[1.0, 4.0], [2.0], [1.0, 4.0, 9.0]])
+                counts = [0] * (len(bounds) + 1)
+            counts = [rng.randrange(3) for _ in counts] if not cumulative or rng.random() < 0.15 else [n + rng.randrange(3) for n in counts]
+            gap = rng.random() < 0.2
+            points.append((s, t, t // 7, bounds, list(counts), float(sum(counts)), None if gap else float(t % 5), None if gap else float(t)))
+    found = metrics.fold_histograms(spark.createDataFrame(points, HISTOGRAMS).repartition(3), ["series"], cumulative, block=10)
+    assert {(r["series"], r["step_at"]): (r["bounds"], r["counts"], r["sum"], r["low"], r["high"]) for r in found.collect()} == brute_fold(points, cumulative)
+
+
+def brute_exponential(points, cumulative):
+    def cells(scale, zeros, positive, negative):
+        own = Counter({("zero", 0): zeros})
+        for sign, (offset, counts) in (("positive", positive), ("negative", negative)):
+            own.update({(sign, offset + k): n for k, n in enumerate(counts)})
+        return scale, Counter({k: n for k, n in own.items() if n})
+
+    def at(scale, old, own):
+        out = Counter()
+        for (sign, index), n in own.items():
+            out[sign, index >> (old - scale)] += n
+        return out
+
+    out, before = {}, {}
+    for s, _, step, *point in sorted(points, key=lambda p: (p[0], p[1])):
+        scale, own = cells(*point)
+        last, before[s] = before.get(s), (scale, own)
+        if cumulative:
+            if last is None:
+                continue
+            least = min(scale, last[0])
+            now, then = at(least, scale, own), at(least, *last)
+            if all(now[k] >= n for k, n in then.items()):
+                scale, own = least, now - then
+        held = out.get((s, step))
+        if held is None:
+            out[s, step] = (scale, own)
+        else:
+            least = min(scale, held[0])
+            out[s, step] = (least, at(least, *held) + at(least, scale, own))
+    return {(s, step, scale, *k, n) for (s, step), (scale, own) in out.items() for k, n in own.items()}
+
+
+@pytest.mark.parametrize("cumulative", [True, False])
+def test_exponential_histograms_are_folded(spark, cumulative):
+    rng = random.Random(5)
+    points = []
+    for s in ("a", "b"):
+        positive, negative, zeros, scale = [-3, [0] * 9], [2, [0] * 4], 0, 3
+        for t in range(50):
+            if rng.random() < 0.15:
+                positive, negative, zeros, scale = [rng.randrange(-9, 5), [0] * rng.randrange(9)], [rng.randrange(-5, 5), [0] * rng.randrange(4)], 0, rng.randrange(5)
+            grow = lambda counts: [(n if cumulative else 0) + rng.randrange(3) for n in counts]
+            positive, negative, zeros = [positive[0], grow(positive[1])], [negative[0], grow(negative[1])], (zeros if cumulative else 0) + rng.randrange(2)
+            points.append((s, t, t // 6, scale, zeros, tuple(positive), tuple(negative)))
+    fields = "series string, recorded_at long, step_at long, scale int, zeros long, positive struct<offset:int,counts:array<long>>, negative struct<offset:int,counts:array<long>>"
+    found = metrics.fold_exponential(spark.createDataFrame(points, fields).repartition(3), ["series"], cumulative, block=10)
+    assert {(r["series"], r["step_at"], r["scale"], r["sign"], r["index"], r["n"]) for r in found.collect()} == brute_exponential(points, cumulative)
+
+
+def test_percentiles_of_histograms(spark):
+    counts = F.array(*[F.lit(x).cast("long") for x in (0, 6, 2)])
+    assert one(spark, metrics.percentile(counts, [3.0, 9.0], 0.25)) == 5.0 and one(spark, metrics.percentile(counts, [3.0, 9.0], 0.9)) == 9.0
+    assert one(spark, metrics.percentile(F.array(*[F.lit(0).cast("long")] * 3), [3.0, 9.0], 0.5)) is None
+
+
+def test_large_traces_have_the_trees_of_small_ones(spark):
+    rng = random.Random(11)
+    rows = [("deep", f"{k}", f"{k - 1}" if k else None, k, k) for k in range(70)] + [("wide", f"{k}", "0" if k else "0", 5, k) for k in range(40)]
+    for t in range(12):
+        n = rng.randrange(1, 25)
+        rows += [(f"t{t}", str(rng.randrange(n)), rng.choice([None, "gone", *map(str, range(n))]), rng.randrange(9), k) for k in range(n)]
+    spans = spark.createDataFrame(rows, "trace_id string, span_id string, parent_span_id string, started_at long, row_id long").repartition(3)
+    whole, spread = (sorted(map(tuple, span_ops.trace_trees(spans, per_trace=n).collect())) for n in (10**6, 20))
+    assert whole == spread == sorted(map(tuple, traces.large_trace_trees(spans).collect()))
 
 
 def test_bucket_arrays(spark):
