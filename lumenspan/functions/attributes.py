@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Callable
 
@@ -16,7 +17,11 @@ KINDS = {"internal": 1, "server": 2, "client": 3, "producer": 4, "consumer": 5}
 STATUSES = {"unset": 0, "ok": 1, "error": 2}
 
 
-def _key(key: str) -> Column:
+#: What a text must be to equal a number: no blanks, no signs within digits, no digits of other scripts.
+WHOLE, NUMBER = re.compile(r"[+-]?[0-9]+"), re.compile(r"[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?")
+
+
+def key_of(key: str) -> Column:
     if '"' in key:
         raise ValueError(f"a key can't have a double quote: {key}")
     return F.lit(key)
@@ -24,7 +29,7 @@ def _key(key: str) -> Column:
 
 def value(attributes: str, key: str) -> Column:
     """The JSON text of an attribute, null if it is missing."""
-    return F.try_element_at(F.col(attributes), _key(key))
+    return F.try_element_at(F.col(attributes), key_of(key))
 
 
 def json_type(text: Column) -> Column:
@@ -78,10 +83,7 @@ def equals(text: Column, x: Literal) -> Column:
     elif isinstance(x, int | float):
         same, other = same_as(x), _string(text) == (str(x) if isinstance(x, int) else _plain(x))
     else:
-        try:
-            same = same_as(float(x) if any(c in x for c in ".eE") else int(x))
-        except ValueError:
-            same = F.lit(False)
+        same = same_as(int(x)) if WHOLE.fullmatch(x) else same_as(float(x)) if NUMBER.fullmatch(x) else F.lit(False)
         other = _string(text) == x
     return F.when(text.isNotNull() & (text != "null"), F.coalesce(same, F.lit(False)) | F.coalesce(other, F.lit(False)))
 
@@ -116,7 +118,7 @@ def contains(text: Column, part: str) -> Column:
 
 
 def has(attributes: str, key: str) -> Column:
-    return F.map_contains_key(F.col(attributes), _key(key))
+    return F.map_contains_key(F.col(attributes), key_of(key))
 
 
 def level(severity: Column, op: str, x: str | int) -> Column:

@@ -39,8 +39,9 @@ SQL_SYSTEMS = (
     " intersystems_cache maxdb mssql mssqlcompact netezza oracle pervasive pointbase progress redshift spanner sybase vertica"
 ).split()
 
-# A literal, or what hides text from the search for literals: identifiers in quotes, comments, bound parameters.
-_HIDDEN = r'"[^"]*"|`[^`]*`|--[^\n]*|[?$:@.][A-Za-z0-9_]+|[A-Za-z_][A-Za-z0-9_]*(?!\')'
+# What hides text from the search for literals: identifiers in quotes (an open quote hides the rest), comments, bound
+# parameters, words of any script. An x before a quote starts a literal only where a word could start.
+_HIDDEN = r'"[^"]*(?:"|\z)|`[^`]*(?:`|\z)|--[^\n]*|[?$:@.][\p{L}\p{N}_]+|(?![xX]\')[\p{L}_][\p{L}\p{N}_]*'
 _VALUE = r"[xX]?'(?:[^']|'')*'|0[xX][0-9a-fA-F]+|[0-9]+(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?"
 
 

@@ -10,16 +10,18 @@ from pyspark.sql import functions as F
 from ..plans.ranges import HOUR, MINUTE
 from ..sources import stored
 from .rollups import coarser_metrics, due, metric_summary
-from .steps import step_of
+from .steps import day_of
 
 
 @dataclass(frozen=True)
 class MetricRollup:
     """Summaries of cumulative series by minute and hour in a folder.
 
-    Every run writes the partitions of the hours that it sums up, by dynamic overwrite, and then how far it came, with the
-    last point of each series, from which the next hour's first points grew. Killed in between, the next run sums up the
-    same hours again. Versions are whole: a rebuild fills a new one, which readers see once it is pointed to.
+    Every run sums up the hours from where the last one came to until what is due, in folders of its own (with the days
+    as partitions), and then writes how far it came, with the last point of each series, from which the next hour's first
+    points grew. Folders count once that is written: killed in between, the next run sums up the same hours again, and
+    what a dead run left is not read. Versions are whole: a rebuild fills a new one, which readers see once it is pointed
+    to.
     """
 
     path: str
@@ -28,9 +30,9 @@ class MetricRollup:
     def version(self, spark: SparkSession) -> int:
         return max(stored.folders(spark, f"{self.path}/current", "version"), default=0)
 
-    def done(self, spark: SparkSession, version: int | None = None) -> int | None:
-        """The end of what is summed up."""
-        return max(stored.folders(spark, f"{self._root(spark, version)}/progress", "upto"), default=None)
+    def runs(self, spark: SparkSession, version: int | None = None) -> list[int]:
+        """Where each complete run came to."""
+        return sorted(stored.folders(spark, f"{self._root(spark, version)}/progress", "upto"))
 
     def _root(self, spark: SparkSession, version: int | None) -> str:
         return f"{self.path}/version={self.version(spark) if version is None else version}"
@@ -38,23 +40,23 @@ class MetricRollup:
     def run(self, points: DataFrame, indexed_until: int, version: int | None = None) -> int | None:
         """Sum up the hours that are due; points: keys, recorded_at, value, of which those of these hours are read."""
         spark = points.sparkSession
-        root, done, until = self._root(spark, version), self.done(spark, version), due(indexed_until, HOUR)
+        root, done, until = self._root(spark, version), max(self.runs(spark, version), default=None), due(indexed_until, HOUR)
         if done is not None and until <= done:
             return done
         rows = points.select(*self.keys, "recorded_at", "value").filter(F.col("recorded_at") < until)
         if done is not None:
             rows = rows.filter(F.col("recorded_at") >= done).unionByName(spark.read.parquet(f"{root}/progress/upto={done}"))
-        self._write(metric_summary(rows, list(self.keys), MINUTE, done), f"{root}/minutes")
-        minutes = spark.read.parquet(f"{root}/minutes").drop("hour") if done is None else spark.read.parquet(f"{root}/minutes").filter((F.col("hour") >= done) & (F.col("hour") < until)).drop("hour")
-        self._write(coarser_metrics(minutes, list(self.keys), HOUR), f"{root}/hours")
+        made = metric_summary(rows, list(self.keys), MINUTE, done)
+        self._write(made, f"{root}/minutes/upto={until}")
+        minutes = spark.read.schema(made.schema).parquet(f"{root}/minutes/upto={until}")
+        self._write(coarser_metrics(minutes, list(self.keys), HOUR), f"{root}/hours/upto={until}")
         last = rows.groupBy(*self.keys).agg(F.max("recorded_at").alias("recorded_at"), F.max_by("value", "recorded_at").alias("value"))
         stored.put(last, f"{root}/progress/upto={until}")
         return until
 
     @staticmethod
     def _write(cells: DataFrame, path: str) -> None:
-        hour = step_of(F.col("unit_at"), HOUR)
-        cells.withColumn("hour", hour).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("hour").parquet(path)
+        stored.put(cells.withColumn("day", day_of(F.col("unit_at"))).hint("rebalance", "day"), path, ("day",))
 
     def rebuild(self, points: DataFrame, indexed_until: int) -> int:
         """Sum up everything anew as the next version and point to it; readers keep the old one until then."""
@@ -67,4 +69,7 @@ class MetricRollup:
 
     def read(self, spark: SparkSession, unit: str) -> DataFrame:
         """`minutes` or `hours` of the version that is pointed to."""
-        return spark.read.parquet(f"{self._root(spark, None)}/{unit}").drop("hour")
+        root = f"{self._root(spark, None)}/{unit}"
+        paths = [f"{root}/upto={k}" for k in self.runs(spark)]
+        own = [p for p in paths if stored.children(spark, p)]  # a run without points has no days
+        return spark.read.option("basePath", root).parquet(*own).drop("day", "upto")

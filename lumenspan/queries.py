@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import attributes as A
 from .functions import texts as T
-from .operators import catalog, logs, metrics, rollups, spans, steps
+from .operators import catalog, logs, metrics, newest, rollup_job, rollups, spans, steps, traces
 from .plans.ranges import DAY, HOUR, MINUTE, Range
+from .sources import daily, stored
 from .sources import signals as S
+from .streaming import series
+from .streaming.deltas import Deltas
 
 JAN = 1_704_067_200_000_000_000  # 2024-01-01 in nanoseconds
 WEEK = Range(JAN + 7 * DAY + 12_345_678_901, JAN + 14 * DAY + 3_000_000_007)
@@ -234,6 +237,17 @@ def agg_10_services(spark: SparkSession, sf: str) -> DataFrame:
     return spans.services(S.spans(spark, sf), S.logs(spark, sf))
 
 
+@query(
+    """SELECT row_number() OVER (ORDER BY coalesce(r.requests, 0) DESC, coalesce(l.logs, 0) DESC, service) AS place, service, coalesce(r.requests, 0) AS requests, coalesce(l.logs, 0) AS logs FROM (SELECT name AS service, count(*) AS n FROM spans GROUP BY 1) s
+    FULL JOIN (SELECT service, count(*) AS logs FROM logs GROUP BY 1) l USING (service) LEFT JOIN (SELECT name AS service, count(*) AS requests FROM spans WHERE kind = 2 AND method IS NOT NULL GROUP BY 1) r USING (service)""", LOGS + "," + SPANS,
+)
+def agg_10_service_order(spark: SparkSession, sf: str) -> DataFrame:
+    """Services in their order, many of which have no requests: most requests, then most logs, then by name."""
+    found = spans.services(S.spans(spark, sf).withColumn("service", F.col("name")), S.logs(spark, sf))
+    place = F.row_number().over(Window.orderBy(F.desc("requests"), F.desc("logs"), "service"))  # a row for each service
+    return found.select(place.cast("long").alias("place"), "service", "requests", "logs")
+
+
 YEAR_95 = Range(788_918_400 * 10**9, 820_454_400 * 10**9)
 
 
@@ -623,3 +637,122 @@ def src_13_mth_2_range_scan(spark: SparkSession, sf: str) -> DataFrame:
     rows = steps.within(S.spans(spark, sf), "started_at", Range(820454400 * 10**9, 852076800 * 10**9))
     total = F.sum(F.col("duration_ns").cast("decimal(38,0)"))
     return rows.groupBy("service").agg(F.count(F.lit(1)).alias("n"), F.round(total.cast("double") / 1e9, 3).alias("seconds"))
+
+
+def in_batches(rows: DataFrame, batch: Column, n: int, name: str) -> str:
+    """A folder of the rows' files, batch by batch in the order of their names; each is written by Spark from the tables."""
+    path = stored.shared(rows.sparkSession, name)
+    for k in range(n):
+        rows.filter(batch == k).repartition(4).write.mode("append").parquet(path)
+    return path
+
+
+@query(ORACLES["agg_14_win_1_counter_increase"])
+def agg_14_win_1_increase_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """Increase of cumulative counters by hour from a stream: files with points of all times, in any order."""
+    points = S.counter_points(spark, sf).select("series", "recorded_at", F.col("value").cast("long").alias("value"))
+    source = in_batches(points, F.pmod(F.xxhash64("series", "recorded_at"), F.lit(2)), 2, "arriving")
+    target, checkpoint = stored.shared(spark, "increases"), stored.shared(spark, "offsets")
+    stream = spark.readStream.schema(points.schema).option("maxFilesPerTrigger", 4).parquet(source)
+    series.land_increases(stream, HOUR, target, checkpoint, horizon=400 * DAY, idle="400 days").awaitTermination()
+    table = series.increases_table(target)
+    table.compact(spark)
+    # Steps in which nothing grew and no time passed add nothing; a step with a point has time in it.
+    return table.read(spark).select("series", "step_at", "increase", "elapsed_ns").filter("elapsed_ns > 0")
+
+
+@query("SELECT service, started_at - started_at % 3600000000000 AS hour_at, count(*) AS n, sum(duration_ns)::BIGINT AS sum_ns, min(duration_ns) AS low_ns, max(duration_ns) AS high_ns FROM spans GROUP BY ALL", SPANS)
+def snk_3_ing_5_late_spans(spark: SparkSession, sf: str) -> DataFrame:
+    """Hours of spans of which a third came years late: minute cells that batches add to, one of them twice, compacted midway."""
+    table = Deltas(stored.shared(spark, "minutes"), ("service", "unit_at", "bucket"), {"n": "sum", "sum_ns": "sum", "low_ns": "min", "high_ns": "max"})
+    rows = S.spans(spark, sf).select("service", "started_at", "duration_ns", F.pmod("row_id", F.lit(3)).alias("batch"))
+    for k in (0, 1, 1, 2):
+        table.add(rollups.span_cells(rows.filter(F.col("batch") == k), ["service"], MINUTE), k)
+        if k == 0:
+            table.compact(spark)
+    hours = table.read(spark).groupBy("service", steps.step_of(F.col("unit_at"), HOUR).alias("hour_at"))
+    return hours.agg(F.sum("n").alias("n"), F.sum("sum_ns").alias("sum_ns"), F.min("low_ns").alias("low_ns"), F.max("high_ns").alias("high_ns"))
+
+
+@query(ORACLES["snk_5_lim_6_series_guard"])
+def snk_5_ing_9_series_guard_batches(spark: SparkSession, sf: str) -> DataFrame:
+    """Points of the first three series of each metric, from batches in order of time, one of which comes twice."""
+    guard = series.SeriesGuard(stored.shared(spark, "guard"), 3)
+    points = S.gauge_points(spark, sf).select(F.col("type").alias("metric"), "series", "recorded_at")
+    cuts = [None, JAN + HOUR, JAN + DAY, None]
+    for k in (0, 1, 1, 2):
+        low, high = cuts[k], cuts[k + 1]
+        within = (F.lit(True) if low is None else F.col("recorded_at") >= low) & (F.lit(True) if high is None else F.col("recorded_at") < high)
+        guard.writer()(points.filter(within), k)
+    return guard.points(spark).select("series", "recorded_at")
+
+
+@query(ORACLES["cli_1_trace_trees"])
+def cli_1_large_trace_trees(spark: SparkSession, sf: str) -> DataFrame:
+    """Every trace as a tree, by pointer jumping over all rows instead of trace by trace."""
+    return traces.large_trace_trees(S.spans(spark, sf))
+
+
+@query(ORACLES["ing_6_metric_summary"])
+def ing_6_ing_10_rollup_job(spark: SparkSession, sf: str) -> DataFrame:
+    """Hours of counters by the job: two runs, then a rebuild, of which every hour has to equal what the runs left."""
+    points = S.counter_points(spark, sf).select("series", "recorded_at", "value")
+    job = rollup_job.MetricRollup(stored.shared(spark, "rollup"))
+    for until in (JAN + 11 * DAY + 5 * HOUR, JAN + 60 * DAY):
+        job.run(points, until)
+    live = job.read(spark, "hours")
+    job.rebuild(points, JAN + 60 * DAY)
+    rebuilt = job.read(spark, "hours")
+    columns = ["series", "unit_at", "n", "low", "high", "sum", "last", "increase", "elapsed_ns"]
+    return live.select(columns).intersect(rebuilt.select(columns))
+
+
+_CELLS = [f"b{k}" for k in range(5)]
+_CASES = ["value <= {0}", "value > {0} AND value <= {1}", "value > {1} AND value <= {2}", "value > {2} AND value <= {3}", "value > {3}"]
+OTHER_BOUNDS = [2_000.0, 4_000.0, 20_000.0, 40_000.0]
+WIDE = 10 * DAY
+
+
+def _placed(bounds: list[float]) -> str:
+    return ", ".join(f"count(*) FILTER ({c.format(*map(int, bounds))}) AS b{k}" for k, c in enumerate(_CASES))
+
+
+@query(
+    f"""SELECT series, step_at, max(set) AS set, {", ".join(f"sum(g{k})::BIGINT AS b{k}" for k in range(5))}, sum(gs)::BIGINT AS sum FROM (
+        SELECT *, max(CASE WHEN changed THEN recorded_at END) OVER (PARTITION BY series, step_at) AS since FROM (
+            SELECT series, recorded_at, recorded_at - recorded_at % {WIDE} AS step_at, set, p_set IS DISTINCT FROM set AS changed, p_set IS NULL AS first,
+                {", ".join(f"CASE WHEN p_set = set AND {' AND '.join(f'{c} >= p_{c}' for c in _CELLS)} THEN {x} - p_{x} ELSE {x} END AS g{x[1:] if x != 'total' else 's'}" for x in [*_CELLS, "total"])}
+            FROM (SELECT *, {", ".join(f"lag({x}) OVER w AS p_{x}" for x in ["set", "total", *_CELLS])} FROM running WINDOW w AS (PARTITION BY series ORDER BY recorded_at))
+        ) WHERE NOT first
+    ) WHERE since IS NULL OR recorded_at >= since GROUP BY ALL""",
+    POINTS + f""", hours AS (SELECT series, recorded_at - recorded_at % {HOUR} AS recorded_at, recorded_at // {7 * DAY} % 2 AS set, sum(value)::BIGINT AS total, {_placed(BOUNDS)} FROM points WHERE recorded_at // {7 * DAY} % 2 = 0 GROUP BY ALL
+        UNION ALL SELECT series, recorded_at - recorded_at % {HOUR}, recorded_at // {7 * DAY} % 2, sum(value)::BIGINT, {_placed(OTHER_BOUNDS)} FROM points WHERE recorded_at // {7 * DAY} % 2 = 1 GROUP BY ALL),
+    running AS (SELECT series, recorded_at, set, {", ".join(f"sum({x}) OVER (PARTITION BY series, recorded_at // {7 * DAY}, recorded_at // {3 * DAY} ORDER BY recorded_at) AS {x}" for x in ["total", *_CELLS])} FROM hours)""",
+)
+def agg_15_histogram_fold(spark: SparkSession, sf: str) -> DataFrame:
+    """Cumulative histograms by hour that restart every few days and change their bounds each week, folded to ten days."""
+    points = S.gauge_points(spark, sf).select("series", "recorded_at", "value", (F.expr(f"recorded_at div {7 * DAY}") % 2).alias("set"))
+    hours = [metrics.histogram_points(points.filter(F.col("set") == k), ["series", "set"], b, HOUR).withColumn("bounds", F.array(*map(F.lit, b))) for k, b in enumerate((BOUNDS, OTHER_BOUNDS))]
+    week, part = F.expr(f"step_at div {7 * DAY}"), F.expr(f"step_at div {3 * DAY}")
+    so_far = Window.partitionBy("series", week, part).orderBy("step_at").rowsBetween(Window.unboundedPreceding, 0)
+    running = F.array(*[F.sum(F.col("counts")[k]).over(so_far) for k in range(5)])
+    rows = hours[0].unionByName(hours[1]).select("series", F.col("step_at").alias("recorded_at"), steps.step_of(F.col("step_at"), WIDE).alias("step_at"), "bounds", running.alias("counts"), F.sum("sum").over(so_far).cast("double").alias("sum"), F.lit(None).cast("double").alias("low"), F.lit(None).cast("double").alias("high"))
+    found = metrics.fold_histograms(rows, ["series"], cumulative=True, block=DAY)
+    return found.select("series", "step_at", (F.col("bounds")[0] == OTHER_BOUNDS[0]).cast("long").alias("set"), *[F.col("counts")[k].alias(f"b{k}") for k in range(5)], F.col("sum").cast("long").alias("sum"))
+
+
+@query("SELECT row_id, logged_at, true AS truncated, false AS partial FROM logs WHERE severity >= 13 ORDER BY logged_at DESC, row_id DESC LIMIT 100", LOGS)
+def srt_1_lim_1_newest_days(spark: SparkSession, sf: str) -> DataFrame:
+    """A page of warnings from a table by day, read back from its newest day until it is full."""
+    path = stored.shared(spark, "logs-by-day")
+    daily.write(S.logs(spark, sf), "logged_at", path)
+    page = newest.newest_page(spark, path, "logged_at", F.col("severity") >= 13, 100)
+    return page.rows.select("row_id", "logged_at", F.lit(page.truncated).alias("truncated"), F.lit(page.partial).alias("partial"))
+
+
+@query(f"SELECT row_id, service, severity FROM logs WHERE logged_at >= {WEEK.start} AND logged_at < {WEEK.end}", LOGS)
+def src_13_day_table_range(spark: SparkSession, sf: str) -> DataFrame:
+    """A week of logs from a table by day: its days are partition filters, its ends filters on their files."""
+    path = stored.shared(spark, "logs-by-day")
+    daily.write(S.logs(spark, sf), "logged_at", path)
+    return daily.read(spark, path, "logged_at", WEEK).select("row_id", "service", "severity")
