@@ -9,10 +9,9 @@ enough of them are verified, and a pair is kept in the group of its rarest share
 from __future__ import annotations
 
 import heapq
-from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
-from itertools import groupby
+from itertools import chain, groupby
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -28,11 +27,16 @@ MODULUS = 31  # one of so many occurrences (by hash) loses a letter in `corpus_w
 
 def one_edit(a: str, b: str) -> bool:
     """Whether exactly one inserted, deleted or replaced code point tells the two apart."""
-    if abs(len(a) - len(b)) > 1 or a == b:
+    if len(a) > len(b):
+        a, b = b, a
+    if len(b) - len(a) > 1 or a == b:
         return False
-    short = min(len(a), len(b))
-    p = next((k for k in range(short) if a[k] != b[k]), short)
-    return a[p + (len(a) >= len(b)) :] == b[p + (len(b) >= len(a)) :]
+    p = 0
+    for x, y in zip(a, b):  # noqa: B905
+        if x != y:
+            break
+        p += 1
+    return a[p:] == b[p + 1 :] if len(a) < len(b) else a[p + 1 :] == b[p + 1 :]
 
 
 def grams(word: str) -> list[str]:
@@ -45,42 +49,53 @@ def least_shared(a: int, b: int) -> int:
 
 
 class Index:
-    """Postings of positional q-grams over words in order of their lengths."""
+    """Postings of q-grams over words in order of their lengths: the numbers of the words, each with the gram's place."""
 
     def __init__(self, words: list[str]):
         self.words = words
-        self.by_length = [0]  # place of the first word of each length
-        self.postings: dict[tuple[str, int], list[int]] = defaultdict(list)
+        self.postings: dict[str, list[int]] = defaultdict(list)
         for k, w in enumerate(words):
-            while len(self.by_length) <= len(w):
-                self.by_length.append(k)
+            base = k << 32
             for p, g in enumerate(grams(w)):
-                self.postings[g, p].append(k)
-
-    def first_of(self, length: int) -> int:
-        return self.by_length[length] if length < len(self.by_length) else len(self.words)
+                self.postings[g].append(base + p)
 
     def near(self, word: str, below: int | None = None) -> Iterator[int]:
-        """Places of the words one edit away, only those below a place if one is given.
+        """Numbers of the words one edit away, only those below a number if one is given.
 
-        A word that shares least_shared grams has one of the grams that are left without the longest least_shared - 1
-        lists; only the others are merged, and what they bring is counted on in the long lists.
+        Two words share all but Q of a word's grams, so one of any Q + 1 of its grams: the lists of its Q + 1 rarest here
+        are merged by a heap, under the limits on length and place, and what they bring is counted on in the longer lists.
         """
-        low, high = self.first_of(len(word) - 1), self.first_of(len(word) + 2)
-        high = high if below is None else min(high, below)
+        postings, own = self.postings, grams(word)
+        shortest, longest = len(word) - 1, len(word) + 1
+        sized = sorted([(len(postings[g]) if g in postings else 0, p) for p, g in enumerate(own)])
         lists = []
-        for p, g in enumerate(grams(word)):
-            own = [own for at in (p - 1, p, p + 1) if (own := self.postings.get((g, at)))]
-            parts = [own[k][bisect_left(own[k], low) : bisect_left(own[k], high)] for k in range(len(own))]
-            lists.append((sum(map(len, parts)), p, g, parts))
-        lists.sort()
-        skipped = least_shared(len(word), 0) - 1
-        short, long = lists[: len(lists) - skipped], lists[len(lists) - skipped :]
-        for k, hits in groupby(heapq.merge(*[part for *_, parts in short for part in parts if part])):
-            other = self.words[k]
-            n = sum(1 for _ in hits) + sum(g in other[max(0, p - 1) : p + 1 + Q] for _, p, g, _ in long)
-            if n >= least_shared(len(word), len(other)) and one_edit(word, other):
-                yield k
+        for size, p in sized[: Q + 1]:
+            if size:
+                at = [x >> 32 for x in postings[own[p]] if -1 <= (x & 0xFFFFFFFF) - p <= 1]
+                if below is not None:
+                    at = [k for k in at if k < below]
+                if at:
+                    lists.append(at)
+        last, hits = -1, 0
+        for k in chain(lists[0] if len(lists) == 1 else heapq.merge(*lists), (-2,)):
+            if k == last:
+                hits += 1
+                continue
+            if last >= 0:
+                other = self.words[last]
+                if shortest <= len(other) <= longest and self._enough(own, other, sized, hits, least_shared(len(word), len(other))) and one_edit(word, other):
+                    yield last
+            last, hits = k, 1
+
+    @staticmethod
+    def _enough(own: list[str], other: str, sized: list[tuple[int, int]], hits: int, least: int) -> bool:
+        """Whether the counted grams and those of the longer lists reach the bound."""
+        for left, (_, p) in zip(range(len(sized) - Q - 1, 0, -1), sized[Q + 1 :], strict=True):
+            if hits >= least or hits + left < least:
+                break
+            g = own[p]
+            hits += other.startswith(g, p) or other.startswith(g, p + 1) or (p > 0 and other.startswith(g, p - 1))
+        return hits >= least
 
 
 def _pairs(rows: list[tuple[str, int, list[str], int]], gram: str, across: bool) -> Iterator[tuple[str, int, str, int]]:
