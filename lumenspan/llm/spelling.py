@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import heapq
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain, groupby
 
 import pandas as pd
@@ -59,8 +59,8 @@ class Index:
             for p, g in enumerate(grams(w)):
                 self.postings[g].append(base + p)
 
-    def near(self, word: str, below: int | None = None) -> Iterator[int]:
-        """Numbers of the words one edit away, only those below a number if one is given.
+    def near(self, word: str, below: int | None = None, wanted: Callable[[int], bool] = lambda _: True) -> Iterator[int]:
+        """Numbers of the words one edit away, only wanted ones and those below a number if one is given.
 
         Two words share all but Q of a word's grams, so one of any Q + 1 of its grams: the lists of its Q + 1 rarest here
         are merged by a heap, under the limits on length and place, and what they bring is counted on in the longer lists.
@@ -83,7 +83,7 @@ class Index:
                 continue
             if last >= 0:
                 other = self.words[last]
-                if shortest <= len(other) <= longest and self._enough(own, other, sized, hits, least_shared(len(word), len(other))) and one_edit(word, other):
+                if shortest <= len(other) <= longest and wanted(last) and self._enough(own, other, sized, hits, least_shared(len(word), len(other))) and one_edit(word, other):
                     yield last
             last, hits = k, 1
 
@@ -115,13 +115,21 @@ def _pairs(rows: list[tuple[str, int, list[str], int]], gram: str, across: bool)
 def _pairs_alike(rows: list[tuple[str, int, list[str], int]], gram: str, across: bool, by_last: bool) -> Iterator[tuple[str, int, str, int]]:
     left = [r for r in rows if r[3] == 0] if across else rows
     index = Index([r[0] for r in left])
-    for place, r in enumerate(r for r in rows if r[3] == 1) if across else enumerate(rows):
-        for k in index.near(r[0], None if across else place):
-            other = left[k]
-            if by_last and r[0][:Q] == other[0][:Q]:
-                continue  # found by the first gram
-            if next(g for g in other[2] if g in r[2]) == gram:
-                yield r[0], r[1], other[0], other[1]
+    heads, rarest = [r[0][:Q] for r in left], [r[2] for r in left]
+    for place, (word, n, own, _) in enumerate(r for r in rows if r[3] == 1) if across else enumerate(rows):
+        head = word[:Q]
+
+        def here(k: int) -> bool:
+            """Whether the pair belongs to this group and end: the same pair comes up in those of its other shared grams."""
+            if by_last and heads[k] == head:  # noqa: B023
+                return False
+            for g in rarest[k]:
+                if g in own:  # noqa: B023
+                    return g == gram
+            return False
+
+        for k in index.near(word, None if across else place, here):
+            yield word, n, left[k][0], left[k][1]
 
 
 def _compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
