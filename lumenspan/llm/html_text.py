@@ -2,7 +2,8 @@
 
 Markup is stripped to lines, one for each block element; parts that are never article text (scripts, forms, navigation,
 what a class, id or role names as an advert, menu, notice or the like) are stripped with it. A line weighs its characters
-outside links; an element for prose and being inside an article add less than a window needs. Weights are summed over
+outside links; elements for prose and being inside an article add less than a window needs, for all its lines together. A
+block that is named as no text but holds most of the page's prose, with its heading or all there is, is text. Weights are summed over
 sliding windows of lines; where the sum surges the text starts, where it dives it ends, and the lines between are kept.
 Of what is kept, lines outside an article go only if those inside hold most of the characters.
 """
@@ -22,8 +23,8 @@ from pyspark.sql import functions as F
 
 WINDOW = 3  # lines whose weights are summed
 SURGE = 90  # weight of a window in which text starts
-PROSE = 45  # weight of an element for prose, besides its characters
-INSIDE = 30  # weight of being inside an article; with PROSE less than SURGE
+PROSE = 17  # weight of an element for prose, besides its characters
+INSIDE = 12  # weight of being inside an article; for all lines of a window tags alone weigh less than SURGE
 
 # The elements and words of page structure.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -67,6 +68,7 @@ class Element:
     dropped: bool
     inside: bool
     link: bool
+    named: int = -1  # the innermost block around it that is named as no text, by number
 
 
 class Block:
@@ -99,6 +101,7 @@ class Line:
     links: int
     prose: bool
     inside: bool
+    named: int = -1
 
     def weight(self) -> int:
         own = len(self.text) - 2 * self.links
@@ -120,8 +123,13 @@ def _names_no_text(value: str, inside: bool) -> bool:
     return False
 
 
-def _not_text(name: str, attributes: str, inside: bool) -> bool:
-    if name in DROPPED or name == "header" and not inside:
+def _never_text(name: str, inside: bool) -> bool:
+    return name in DROPPED and name != "form" or name == "header" and not inside
+
+
+def _names_none(name: str, attributes: str, inside: bool) -> bool:
+    """Whether an element's name, role, style, class or id says that it is no article text."""
+    if name == "form":
         return True
     for key, value in _ATTRIBUTE.findall(attributes) if attributes.strip() else ():
         key, value = key.lower(), value.strip("\"'")
@@ -197,13 +205,15 @@ def page_lines(page: str) -> list[Line]:
     blocks, opened, lines = [Block(Element("", False, False, False), False)], Counter(), []
     parts: list[tuple[str, bool]] = []
     prose = False
+    around: list[int] = []  # of each block that is named as no text, the one around it
+    headed: list[bool] = []  # whether it has the page's heading or main part
 
     def end_line() -> None:
         nonlocal prose
         text = " ".join("".join(t for t, _ in parts).split())
         if text:
             links = len(" ".join("".join(t for t, a in parts if a).split()))
-            lines.append(Line(text, links, prose, blocks[-1].element.inside))
+            lines.append(Line(text, links, prose, blocks[-1].element.inside, blocks[-1].element.named))
         parts.clear()
         prose = False
 
@@ -239,14 +249,43 @@ def page_lines(page: str) -> list[Line]:
                 end_block()
                 block = blocks[-1]
                 above = block.top()
-        element = Element(name, above.dropped or _not_text(name, attributes, above.inside), above.inside or name in ("article", "main"), above.link or name == "a")
+        never = above.dropped or _never_text(name, above.inside)
+        none = not never and _names_none(name, attributes, above.inside)
+        element = Element(name, never or none and name not in BLOCKS, above.inside or name in ("article", "main"), above.link or name == "a", above.named)
+        if none and name in BLOCKS:
+            around.append(above.named)
+            headed.append(False)
+            element.named = len(around) - 1
+        if name in ("h1", "main") and not element.dropped and element.named >= 0:
+            headed[element.named] = True
         if name in BLOCKS:
             blocks.append(Block(element, block.prose or name in PROSE_BLOCKS))
             opened[name] += 1
         else:
             block.open(element)
     end_line()
-    return lines
+    return _of_text(lines, around, headed)
+
+
+def _of_text(lines: list[Line], around: list[int], headed: list[bool]) -> list[Line]:
+    """Lines outside the blocks that are named as no text, but for blocks with over half of the page's prose: these are
+    text if they have its heading, or nine tenths of the prose."""
+    own = [0] * len(around)
+    total = 0
+    for x in lines:
+        n = (x.prose or x.inside) * max(0, len(x.text) - x.links)
+        total += n
+        if x.named >= 0:
+            own[x.named] += n
+    for k in range(len(around) - 1, -1, -1):  # inner ones come after those around them
+        if around[k] >= 0:
+            own[around[k]] += own[k]
+            headed[around[k]] |= headed[k]
+    gone: list[bool] = []
+    for k, up in enumerate(around):
+        text = 2 * own[k] > total and (headed[k] or 10 * own[k] >= 9 * total)
+        gone.append(not text or up >= 0 and gone[up])
+    return [x for x in lines if x.named < 0 or not gone[x.named]]
 
 
 def window_sums(weights: list[int]) -> list[int]:
@@ -293,7 +332,8 @@ def extract_text(pages: DataFrame, html_col: str = "html", to: str = "main_text"
     unclosed elements end with their parents, an unfinished tag at the end is dropped, a quote without its end is an ordinary
     character. Pages of any length are read whole, in time linear in their length; nothing is shuffled or gathered. Rows that
     repeat get equal texts; an empty table gives no rows. An element goes with all in it if its name, role or style, or a
-    whole class or id (`share-buttons`, not `share-price`) names it as what is never article text.
+    whole class or id (`share-buttons`, not `share-price`) names it as what is never article text; a block so named that
+    holds most of the page's prose stays (a form around the page, `class="page search"`).
     """
 
     @F.pandas_udf("string")

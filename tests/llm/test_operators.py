@@ -215,6 +215,23 @@ def test_html_keeps_what_names_and_links_hide():
     assert html_text.main_text("<body><div><p>Short text.</p></div>") == "Short text." and html_text.main_text("<body><a href=a>A</a>") == ""
 
 
+def test_html_keeps_an_article_whatever_is_around_it():
+    article = "<h1>Title</h1>" + "".join(f"<p>{'Some words of prose that go on. ' * 4}{k}</p>" for k in range(6))
+    want = html_text.main_text(f"<body><article>{article}</article></body>")
+    assert want.startswith("Title\nSome words") and want.count("\n") == 6
+    comments = f"<div class='comments'><p>{'and a comment ' * 200}</p></div>"
+    for around in ("<div class='page search'>{}</div>", "<form action='/'><nav>menu</nav>{}</form>", "<div id='related'><div class='notice'>{}</div></div>", "<form>{}" + comments + "</form>", "{}" + comments, "<div class='search'><p>find</p></div>{}"):
+        for tag in ("article", "main", "div"):
+            assert html_text.main_text(f"<body>{around.format(f'<{tag}>{article}</{tag}>')}</body>") == want
+
+
+def test_html_tags_alone_make_no_text():
+    prose = "".join(f"<p>{'Some words of prose that go on. ' * 4}{k}</p>" for k in range(6))
+    gap = "".join(f"<div><a href='/{k}'>{k}</a></div>" for k in range(4))
+    assert html_text.main_text(f"<body><div><p>a</p><p>b</p><p>c</p></div>{gap}<div>{prose}</div></body>").startswith("Some words")
+    assert html_text.WINDOW * (html_text.PROSE + html_text.INSIDE) < html_text.SURGE
+
+
 def test_html_attributes_and_references_are_read_exactly():
     prose = "Prose that is long enough to surge by itself, and then some more of it here, until the line ends."
     for start in ('<p data-class="menu">', '<p data-hidden-id="x">', '<p title="class=menu">', '<p class="share-price">', '<p id="copyright-law">'):
