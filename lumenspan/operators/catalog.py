@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from ..functions.attributes import json_type, key_of
 
 
-def entries(records: DataFrame, map_col: str = "attributes") -> DataFrame:
-    return records.select(F.explode(map_col).alias("key", "value"))
+def entries(records: DataFrame, map_col: str = "attributes", *also: str) -> DataFrame:
+    """key, value of each entry, with the columns named in `also`."""
+    return records.select(*also, F.explode(map_col).alias("key", "value"))
 
 
 TYPES = ("string", "int", "float", "bool", "array", "object", "null")

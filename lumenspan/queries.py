@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .functions import attributes as A
 from .functions import texts as T
-from .operators import catalog, logs, metrics, newest, rollup_job, rollups, spans, steps, traces
+from .operators import catalog, distinct, logs, metrics, newest, rollup_job, rollups, spans, steps, traces
 from .plans.ranges import DAY, HOUR, MINUTE, Range
 from .sources import daily, stored
 from .sources import signals as S
@@ -756,3 +756,19 @@ def src_13_day_table_range(spark: SparkSession, sf: str) -> DataFrame:
     path = stored.shared(spark, "logs-by-day")
     daily.write(S.logs(spark, sf), "logged_at", path)
     return daily.read(spark, path, "logged_at", WEEK).select("row_id", "service", "severity")
+
+
+_WEEK_ENTRIES = LOGS + ", entries AS (" + " UNION ALL ".join(f"SELECT '{k}' AS key, {c} AS value FROM logs WHERE {c} IS NOT NULL AND logged_at >= {JAN + 7 * DAY} AND logged_at < {JAN + 14 * DAY}" for k, c in (("user.id", "a_user"), ("event.type", "a_type"), ("k", "a_k"), ("ok", "a_ok"))) + ")"
+
+
+@query("SELECT key, count(*) AS n, count(DISTINCT value) <= 64 AS exact, CASE WHEN count(DISTINCT value) <= 64 THEN count(DISTINCT value) END AS n_values, true AS close FROM entries GROUP BY 1", _WEEK_ENTRIES)
+def agg_24_ing_7_merged_days(spark: SparkSession, sf: str) -> DataFrame:
+    """Different values of each key in a week, merged from the stored cells of its days; estimates are within 5 per cent."""
+    path = stored.shared(spark, "catalog")
+    entries = catalog.entries(S.logs(spark, sf).withColumn("day", F.expr(f"logged_at div {DAY}")), "attributes", "day")
+    stored.put(distinct.value_cells(entries, ["day", "key"]), path, ("day",))
+    first = JAN // DAY + 7
+    week = distinct.merged_cells(spark.read.parquet(path).filter(F.col("day").between(first, first + 6)), ["key"])
+    true = entries.filter(F.col("day").between(first, first + 6)).groupBy("key").agg(F.count_distinct("value").alias("true"))
+    n = distinct.n_values()
+    return week.join(true, "key").select("key", "n", "exact", F.when(F.col("exact"), n).alias("n_values"), (F.abs(n - F.col("true")) <= 0.05 * F.col("true")).alias("close"))

@@ -9,7 +9,7 @@ from test_ingest import LOGS, METRICS, SPANS, attribute
 
 from lumenspan.functions import attributes as A
 from lumenspan.functions import texts as T
-from lumenspan.operators import catalog, newest, rollup_job, rollups, spans
+from lumenspan.operators import catalog, distinct, newest, rollup_job, rollups, spans
 from lumenspan.plans.ranges import DAY, HOUR, MINUTE, Range
 from lumenspan.sources import daily
 from lumenspan.streaming import landing
@@ -101,3 +101,17 @@ def test_what_was_wrong(spark):
     huge = spark.createDataFrame([("s", "n", 0, 2**62, 1, k) for k in range(4)], "service string, name string, started_at long, duration_ns long, status int, row_id long")
     found = spans.group_steps(huge, {"service": F.col("service")}, Range(0, MINUTE), MINUTE, 5).first()
     assert (found["n"], found["total_ns"]) == (4, 2**63 - 1)
+
+
+def test_distinct_values_merge(spark):
+    """Lists while short, sketches beyond; merged days equal the whole."""
+    rows = [(d, "few", f"v{(d + k) % 40}") for d in range(4) for k in range(30)] + [(d, "some", f"v{30 * d + k}") for d in range(4) for k in range(30)] + [(d, "many", f"v{(d * 500 + k) % 3000}") for d in range(4) for k in range(2000)] + [(0, "none", None)]
+    values = spark.createDataFrame(rows, "day int, key string, value string")
+    cells = distinct.value_cells(values, ["day", "key"])
+    assert {(r["day"], r["key"]): r["exact"] for r in cells.collect()} == {(d, k): k != "many" for d in range(4) for k in ("few", "some", "many")}
+    found = {r["key"]: r for r in distinct.merged_cells(cells, ["key"]).withColumn("values", distinct.n_values()).collect()}
+    assert (found["few"]["exact"], found["few"]["values"], found["few"]["n"]) == (True, 33, 120)
+    assert not found["some"]["exact"] and found["some"]["n"] == 120 and abs(found["some"]["values"] - 120) <= 3
+    assert abs(found["many"]["values"] / 3000 - 1) < 0.05 and found["many"]["n"] == 8000
+    top = distinct.first_values(values.filter("key = 'few'"), limit=5).collect()
+    assert len(top) == 5 and all(r["has_more"] for r in top) and not distinct.first_values(values.filter("key = 'few'")).first()["has_more"]
