@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import attributes as A
 from .functions import texts as T
-from .operators import catalog, distinct, logs, metrics, newest, rollup_job, rollups, spans, steps, traces
+from .operators import catalog, distinct, logs, metrics, newest, retention, rollup_job, rollups, spans, steps, traces
 from .plans.ranges import DAY, HOUR, MINUTE, Range
 from .sources import daily, stored
 from .sources import signals as S
@@ -772,3 +774,16 @@ def agg_24_ing_7_merged_days(spark: SparkSession, sf: str) -> DataFrame:
     true = entries.filter(F.col("day").between(first, first + 6)).groupBy("key").agg(F.count_distinct("value").alias("true"))
     n = distinct.n_values()
     return week.join(true, "key").select("key", "n", "exact", F.when(F.col("exact"), n).alias("n_values"), (F.abs(n - F.col("true")) <= 0.05 * F.col("true")).alias("close"))
+
+
+@query(ORACLES["jon_8_unreferenced"])
+def jon_8_ing_8_dropped_days(spark: SparkSession, sf: str) -> DataFrame:
+    """Users whom nothing refers to once the days before the 30th are dropped, told from the days' key sets."""
+    events = S.table(spark, sf, "events").select("user_id", S.nanos("ts").alias("at"))
+    facts, sets, first = stored.shared(spark, "facts"), stored.shared(spark, "keys"), date(2024, 1, 30)
+    daily.write(events, "at", facts)
+    retention.key_sets(events, "at", F.col("user_id"), sets)
+    gone = stored.shared(spark, "orphans")
+    stored.put(retention.orphans(spark, sets, first).select(F.col("key").alias("user_id")), gone)
+    retention.drop_days(spark, first, facts, sets)
+    return spark.read.parquet(gone)

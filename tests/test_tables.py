@@ -2,6 +2,7 @@
 
 import json
 import random
+from datetime import date
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,7 +10,7 @@ from test_ingest import LOGS, METRICS, SPANS, attribute
 
 from lumenspan.functions import attributes as A
 from lumenspan.functions import texts as T
-from lumenspan.operators import catalog, distinct, newest, rollup_job, rollups, spans
+from lumenspan.operators import catalog, distinct, newest, retention, rollup_job, rollups, spans
 from lumenspan.plans.ranges import DAY, HOUR, MINUTE, Range
 from lumenspan.sources import daily
 from lumenspan.streaming import landing
@@ -115,3 +116,17 @@ def test_distinct_values_merge(spark):
     assert abs(found["many"]["values"] / 3000 - 1) < 0.05 and found["many"]["n"] == 8000
     top = distinct.first_values(values.filter("key = 'few'"), limit=5).collect()
     assert len(top) == 5 and all(r["has_more"] for r in top) and not distinct.first_values(values.filter("key = 'few'")).first()["has_more"]
+
+
+def test_days_are_dropped_with_what_they_refer_to(spark, tmp_path):
+    facts, sets = str(tmp_path / "facts"), str(tmp_path / "keys")
+    rows = spark.createDataFrame([(d * DAY, k) for d, ks in enumerate(("abc", "bd", "ce", "e")) for k in ks] + [(0, None)], "at long, k string")
+    daily.write(rows, "at", facts)
+    retention.key_sets(rows, "at", F.col("k"), sets)
+    retention.key_sets(rows.filter(F.col("at") == 0), "at", F.col("k"), sets)  # a repeated day replaces itself
+    first = date(1970, 1, 3)
+    before = {str(p): p.stat().st_mtime_ns for p in (tmp_path / "facts").glob("day=1970-01-0[34]/*.parquet")}
+    assert sorted(r["key"] for r in retention.orphans(spark, sets, first).collect()) == ["a", "b", "d"]
+    assert retention.drop_days(spark, first, facts, sets) == 4 and retention.drop_days(spark, first, facts, sets) == 0
+    assert {str(p): p.stat().st_mtime_ns for p in (tmp_path / "facts").glob("day=*/*.parquet")} == before
+    assert daily.read(spark, facts, "at").count() == 3 and retention.orphans(spark, sets, first).count() == 0
