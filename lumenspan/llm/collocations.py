@@ -29,7 +29,7 @@ from .common import cut, forget, shared_dir, text_of
 
 LEAST = 10  # occurrences of a candidate
 INSIDE = 50  # per cent of a phrase's occurrences that within a longer candidate make the phrase go
-CHUNK = 3_000_000  # characters of lines that are hashed at once
+CHUNK = 2_000_000  # characters of lines that are hashed at once
 PART = 600_000  # phrases of a part's automata (about 90 MB), each collected and sent to the tasks on its own
 SLICE_BITS = 20  # cells of a slice of the sketch, as a power of two
 CELL_BITS = (SLICE_BITS, 30)  # the sketch has at least a cell for each word of the corpus, between these powers of two; its bits are broadcast (128 MB at most)
@@ -113,6 +113,7 @@ def _rows(lang: str, **columns) -> pa.RecordBatch:
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    _automata.clear()
     for batch in batches:
         for lang, lines in _chunks(batch):
             found = Counter(chain.from_iterable(line.split(" ") for line in lines))
@@ -136,6 +137,7 @@ def _unpacked(packed: bytes) -> np.ndarray:
 
 def _sketch(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _automata.clear()
         for batch in batches:
             for lang, lines in _chunks(batch):
                 h = Hashes(lang, lines)
@@ -168,6 +170,7 @@ def _merge(least: int):
 
 def _candidates(bitmap, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _automata.clear()
         frequent = np.frombuffer(bitmap.value, np.uint8)
         for batch in batches:
             for lang, lines in _chunks(batch):
@@ -184,6 +187,8 @@ def _candidates(bitmap, bits: int):
     return run
 
 
+#: Of this worker: the automata of the part that it scans with. Other steps let go of them.
+_automata: dict[str, dict[str, tuple[Automaton, pa.Array]]] = {}
 GUARD = "\n"  # between pieces, and in place of words that no phrase of a part has
 
 
@@ -208,7 +213,6 @@ class Automaton:
         return np.fromiter((k for _, k in self.search.iter(letters)), np.int64)
 
 
-_automata: dict[str, dict[str, tuple[Automaton, pa.Array]]] = {}  # of this worker: those of the part that it scans with
 
 
 def automata_of(key: str, part: bytes) -> dict[str, tuple[Automaton, pa.Array]]:
