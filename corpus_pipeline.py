@@ -18,12 +18,13 @@ KEEP_FROM = 0.3  # least quality score that stays
 
 
 def _key(docs: DataFrame):
-    """With the id, what tells a document: rows that repeat both are one document to every stage."""
+    """With the id, what tells a document: rows that repeat both are one document to every stage, and stay or go together."""
     return F.xxhash64(F.coalesce(docs["text"], F.lit("")))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier doesn't reject. A null text is scored as an empty one."""
+    """Documents that the classifier doesn't reject (score below KEEP_FROM). A null text is scored as an empty one; rows that
+    repeat are scored alike; without labels all score 0.5 and stay. Columns stay as they are."""
     model = fit_quality(docs, read(spark, sf_dir, "labels"))
     return docs.filter(model.column()(F.col("text")) >= KEEP_FROM)
 
@@ -45,7 +46,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources takes them: not at all, once, or repeated."""
+    """Documents as often as the mix of sources takes them: not at all, once, or repeated. Those without words (null, empty or
+    white texts) have nothing that a mix could take, and go."""
     mixed = mix_sources(docs, F.array("source")).filter("taken > 0")
     uses = mixed.select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), (F.col("taken") / F.col("size")).cast("int").alias("__uses")).dropDuplicates(["__id", "__key"])
     joined = docs.join(uses, docs["doc_id"].eqNullSafe(uses["__id"]) & (_key(docs) == uses["__key"]))
@@ -53,7 +55,8 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of token sequences, each with its sequence and place."""
+    """Pieces of token sequences, each with its sequence and place. A null or empty text is the end mark alone; rows that repeat
+    are packed each."""
     return pack_documents(docs, word_tokenizer())
 
 
