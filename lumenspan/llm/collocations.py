@@ -2,18 +2,16 @@ r"""Collocations: a sketch bounds the counts of all phrases, automata count thos
 
 Texts become lines of guarded words (` w1 w2 ` with a blank on both sides of each word and ` \n ` between pieces). A
 counting sketch over all words and phrases, built in slices, gives upper bounds; phrases whose own bound and whose parts'
-bounds reach the threshold are candidates. They are compiled into Aho-Corasick automata part by part, over letters that
-stand for words and a guard between pieces; tasks scan the lines with these, counting overlapping matches, and the counts are summed. Thresholds apply to these exact counts.
+bounds reach the threshold are candidates. A task compiles the candidates of each chunk of its lines into Aho-Corasick
+automata, over letters that stand for words and a guard between pieces, and scans the chunk with these, counting overlapping
+matches; the counts are summed. So the lines are scanned once, however many candidates there are. Thresholds apply to the
+exact counts.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterator
-from functools import reduce
-from itertools import chain
-from uuid import uuid4
 
 import ahocorasick
 import numpy as np
@@ -25,12 +23,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from .common import cut, forget, shared_dir, text_of
+from .common import cut, forget, text_of
 
 LEAST = 10  # occurrences of a candidate
 INSIDE = 50  # per cent of a phrase's occurrences that within a longer candidate make the phrase go
 CHUNK = 2_000_000  # characters of lines that are hashed at once
-PART = 600_000  # phrases of a part's automata (about 90 MB), each collected and sent to the tasks on its own
+PART = 600_000  # phrases of an automaton (about 90 MB)
 SLICE_BITS = 20  # cells of a slice of the sketch, as a power of two
 CELL_BITS = (SLICE_BITS, 30)  # the sketch has at least a cell for each word of the corpus, between these powers of two; its bits are broadcast (128 MB at most)
 FOLD = bytes(b + 32 if 65 <= b <= 90 else 32 if b == 9 else 10 if chr(b) in ".,;:!?\n\x0b\x0c\r" else b for b in range(256))
@@ -53,47 +51,54 @@ def _guarded(texts: pd.Series) -> pd.Series:
 _guarded_once = _guarded.asNondeterministic()
 
 
+def encoded(lines: list[str]) -> tuple[pa.Array, np.ndarray]:
+    """The different words of the lines, the break between pieces among them, and the lines as numbers of these."""
+    words = pc.list_flatten(pc.split_pattern(pa.array([" \n ".join(lines)], pa.large_string()), " "))
+    found = words.filter(pc.not_equal(words, "")).dictionary_encode()
+    return found.dictionary.cast(pa.string()), found.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+
+
 class Hashes:
     """Words of lines of one language as numbers, and hashes of its words and phrases; phrases don't cross pieces."""
 
     def __init__(self, lang: str, lines: list[str]):
-        self.words = [w for w in " \n ".join(lines).split(" ") if w]
-        number = {w: k for k, w in enumerate(dict.fromkeys(self.words))}
-        seed = zlib.crc32(lang.encode())
-        hashes = np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in number), np.uint64, len(number))
-        ids = np.fromiter(map(number.__getitem__, self.words), np.int64, len(self.words))
-        h, word = hashes[ids], ids != number.get("\n", -1)
+        self.words, self.ids = encoded(lines)
+        self.n, seed = len(self.words), zlib.crc32(lang.encode())
+        own = self.words.to_pylist()
+        hashes = np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in own), np.uint64, self.n)
+        h, word = hashes[self.ids], self.ids != (own.index("\n") if "\n" in own else -1)
         with np.errstate(over="ignore"):
             two = (h[:-1] * _A + h[1:]) * _B
             three = (two[:-1] * _A + h[2:]) * _B
         #: By number of words less one: where a word or phrase starts, and what it hashes to there.
         self.at = [np.flatnonzero(x) for x in (word, word[:-1] & word[1:], word[:-2] & word[1:-1] & word[2:])]
         self.of = [h, two, three]
-        self.ids, self.n = ids, len(number)
 
     def cells(self, k: int, at: np.ndarray, bits: int) -> np.ndarray:
         return (self.of[k][at] >> np.uint64(64 - bits)).astype(np.int64)
 
-    def phrases(self, pairs: np.ndarray, triples: np.ndarray) -> list[str]:
-        """The different phrases of two words and of three that start there."""
-        first, second = self.ids[:-1] * self.n + self.ids[1:], self.ids
+    def firsts(self, pairs: np.ndarray, triples: np.ndarray) -> list[tuple[int, np.ndarray]]:
+        """Number of words and where each of the different phrases that start at these places stands first."""
+        first = self.ids[:-1] * self.n + self.ids[1:]
         _, two = np.unique(first[pairs], return_index=True)
         _, dense = np.unique(first[triples], return_inverse=True)
-        _, three = np.unique(dense * self.n + second[triples + 2], return_index=True)
-        return [" ".join(self.words[p : p + k]) for k, at in ((2, pairs[two]), (3, triples[three])) for p in at.tolist()]
+        _, three = np.unique(dense * self.n + self.ids[triples + 2], return_index=True)
+        return [(2, pairs[two]), (3, triples[three])]
 
 
 def _chunks(batch: pa.RecordBatch) -> Iterator[tuple[str, list[str]]]:
     """Lines of one language, together at most about CHUNK bytes; longer lines are cut between pieces."""
-    size = np.cumsum(pc.binary_length(batch.column("line")).to_numpy(zero_copy_only=False).astype(np.int64))
-    a = 0
-    while a < batch.num_rows:
-        b = max(a + 1, int(np.searchsorted(size, CHUNK + (size[a - 1] if a else 0))))
-        by_lang: dict[str, list[str]] = {}
-        for lang, line in zip(batch.column("lang")[a:b].to_pylist(), batch.column("line")[a:b].to_pylist(), strict=True):
-            by_lang.setdefault(lang, []).append(line)
-        a = b
-        for lang, lines in by_lang.items():
+    langs = batch.column("lang").dictionary_encode()
+    order = np.argsort(langs.indices.to_numpy(zero_copy_only=False), kind="stable")
+    bounds = np.cumsum([0, *np.bincount(langs.indices.to_numpy(zero_copy_only=False), minlength=len(langs.dictionary))])
+    for lang, low, high in zip(langs.dictionary.to_pylist(), bounds, bounds[1:], strict=False):
+        own = batch.column("line").take(pa.array(order[low:high]))
+        size = np.cumsum(pc.binary_length(own).to_numpy(zero_copy_only=False).astype(np.int64))
+        a = 0
+        while a < len(own):
+            b = max(a + 1, int(np.searchsorted(size, CHUNK + (size[a - 1] if a else 0))))
+            lines = own[a:b].to_pylist()
+            a = b
             if len(lines) == 1 and len(lines[0]) > CHUNK:
                 pieces, n, first = lines[0].split(" \n "), 0, 0
                 for k, piece in enumerate(pieces):
@@ -107,19 +112,18 @@ def _chunks(batch: pa.RecordBatch) -> Iterator[tuple[str, list[str]]]:
 
 def _rows(lang: str, **columns) -> pa.RecordBatch:
     """Rows of one language."""
-    arrays = {k: pa.array(v) if isinstance(v, np.ndarray) else pa.array(v, pa.string()) for k, v in columns.items()}
+    arrays = {k: pa.array(v) if isinstance(v, np.ndarray) else v.cast(pa.string()) for k, v in columns.items()}
     n = len(next(iter(arrays.values())))
     return pa.RecordBatch.from_pydict({"lang": pa.array([lang] * n, pa.string()), **arrays})
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    _automata.clear()
     for batch in batches:
         for lang, lines in _chunks(batch):
-            found = Counter(chain.from_iterable(line.split(" ") for line in lines))
-            found.pop("", None)
-            found.pop("\n", None)
-            yield _rows(lang, word=list(found.keys()), n=np.fromiter(found.values(), np.int64, len(found)))
+            words, ids = encoded(lines)
+            n = np.bincount(ids, minlength=len(words))
+            own = np.flatnonzero(pc.not_equal(words, "\n").to_numpy(zero_copy_only=False))
+            yield _rows(lang, word=words.take(pa.array(own)), n=n[own])
 
 
 def _packed(cells: np.ndarray) -> bytes:
@@ -137,7 +141,6 @@ def _unpacked(packed: bytes) -> np.ndarray:
 
 def _sketch(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _automata.clear()
         for batch in batches:
             for lang, lines in _chunks(batch):
                 h = Hashes(lang, lines)
@@ -168,98 +171,80 @@ def _merge(least: int):
     return run
 
 
-def _candidates(bitmap, bits: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _automata.clear()
-        frequent = np.frombuffer(bitmap.value, np.uint8)
-        for batch in batches:
-            for lang, lines in _chunks(batch):
-                h = Hashes(lang, lines)
-                on = np.zeros((3, len(h.words) + 1), bool)
-                for k in range(3):
-                    at = h.at[k]
-                    if k:  # both parts that lack a word reach the threshold, too
-                        at = at[on[k - 1][at] & on[k - 1][at + 1]]
-                    cells = h.cells(k, at, bits)
-                    on[k][at[(frequent[cells >> 3] >> (7 - (cells & 7)).astype(np.uint8)) & 1 == 1]] = True
-                yield _rows(lang, phrase=h.phrases(np.flatnonzero(on[1]), np.flatnonzero(on[2])))
-
-    return run
-
-
-#: Of this worker: the automata of the part that it scans with. Other steps let go of them.
-_automata: dict[str, dict[str, tuple[Automaton, pa.Array]]] = {}
-GUARD = "\n"  # between pieces, and in place of words that no phrase of a part has
-
-
 class Automaton:
-    """The phrases of one language in a part. Each word is written in letters of a number system whose places have alphabets
-    of their own, so that matches start and end at words; the guard is no letter, so that none crosses pieces."""
-
-    def __init__(self, phrases: list[str]):
-        self.code: dict[str, str] = {}
-        words = dict.fromkeys(chain.from_iterable(p.split(" ") for p in phrases))
-        places = max(1, -(-len(words).bit_length() // 6))
-        for k, w in enumerate(words):
-            self.code[w] = "".join(chr(0x100 + 64 * j + (k >> 6 * j & 63)) for j in range(places))
+    """Phrases, each given by where it stands first among the words. Each word is written in letters of a number system whose
+    places have alphabets of their own, so that matches start and end at words; words that no phrase has, and what is between
+    pieces, are a guard that is no letter, so that no match crosses them."""
+
+    def __init__(self, ids: np.ndarray, n: int, firsts: list[tuple[int, np.ndarray]]):
+        had = np.zeros(n, bool)
+        for k, at in firsts:
+            had[ids[at[:, None] + np.arange(k)]] = True
+        number = np.arange(int(had.sum()))
+        wide = max(1, len(number).bit_length())
+        self.places = -(-wide // LETTER_BITS)
+        bits = -(-wide // self.places)
+        self.letters = np.full((n, self.places), ord(GUARD), "<u4")
+        for j in range(self.places):
+            self.letters[had, j] = 0x100 + (j << bits) + (number >> bits * j & (1 << bits) - 1)
         self.search = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-        for k, p in enumerate(phrases):
-            self.search.add_word("".join(map(self.code.__getitem__, p.split(" "))), k)
+        self.size = 0
+        for k, at in firsts:
+            width, written = k * self.places, self.written(ids[at[:, None] + np.arange(k)])
+            for place in range(0, len(written), width):
+                self.search.add_word(written[place : place + width], self.size)
+                self.size += 1
         self.search.make_automaton()
 
-    def matches(self, lines: list[str]) -> np.ndarray:
-        """The number of the phrase at each place where one stands, overlapping ones too."""
-        letters = "".join([self.code.get(w, GUARD) for w in " \n ".join(lines).split(" ") if w])
-        return np.fromiter((k for _, k in self.search.iter(letters)), np.int64)
-
+    def written(self, ids: np.ndarray) -> str:
+        return self.letters[ids].tobytes().decode("utf-32-le")
 
+    def counts(self, ids: np.ndarray) -> np.ndarray:
+        """By phrase: the places among these words where it stands, overlapping ones too."""
+        if not self.size:
+            return np.zeros(0, np.int64)
+        return np.bincount(np.fromiter((k for _, k in self.search.iter(self.written(ids))), np.int64), minlength=self.size)
 
 
-def automata_of(key: str, part: bytes) -> dict[str, tuple[Automaton, pa.Array]]:
-    """By language: the automaton and the phrases; made once in each worker."""
-    if key not in _automata:
-        _automata.clear()
-        table = pa.ipc.open_stream(part).read_all()
-        made = {}
-        for lang in pc.unique(table["lang"]).to_pylist():
-            own = table.filter(pc.equal(table["lang"], lang))["phrase"].combine_chunks()
-            made[lang] = Automaton(own.to_pylist()), own
-        _automata[key] = made
-    return _automata[key]
+GUARD = "\n"
+LETTER_BITS = 7  # of an alphabet: a state's next letters are searched one by one
 
 
-def _scan(key: str, part):
+def _count(bitmap, bits: int, per_part: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automata = automata_of(key, part.value)
-        counts = {lang: np.zeros(len(own), np.int64) for lang, (_, own) in automata.items()}
+        frequent = np.frombuffer(bitmap.value, np.uint8)
         for batch in batches:
             for lang, lines in _chunks(batch):
-                if lang in automata:
-                    counts[lang] += np.bincount(automata[lang][0].matches(lines), minlength=len(counts[lang]))
-        for lang, n in counts.items():
-            hit = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(hit), pa.string()), automata[lang][1].take(pa.array(hit)).cast(pa.string()), pa.array(n[hit])], names=["lang", "phrase", "f"])
+                h = Hashes(lang, lines)
+                on = np.zeros((3, len(h.ids) + 1), bool)
+                for k in range(3):
+                    at = h.at[k]
+                    if k:  # both parts that lack a word reach the threshold, too
+                        at = at[on[k - 1][at] & on[k - 1][at + 1]]
+                    cells = h.cells(k, at, bits)
+                    on[k][at[(frequent[cells >> 3] >> (7 - (cells & 7)).astype(np.uint8)) & 1 == 1]] = True
+                for k, firsts in h.firsts(np.flatnonzero(on[1]), np.flatnonzero(on[2])):
+                    for low in range(0, len(firsts), per_part):
+                        at = firsts[low : low + per_part]
+                        counts = Automaton(h.ids, h.n, [(k, at)]).counts(h.ids)
+                        parts = [h.words.take(pa.array(h.ids[at + j])) for j in range(k)]
+                        yield _rows(lang, phrase=pc.binary_join_element_wise(*parts, " "), f=counts)
 
     return run
 
 
-def _sent(table: pa.Table) -> bytes:
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, table.schema) as out:
-        out.write_table(table)
-    return sink.getvalue().to_pybytes()
-
-
 def guarded_lines(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """lang (null: `und`), line: the guarded words of each text that has any."""
     return docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), _guarded_once(text_of(text_col)).alias("line")).filter("line <> ''")
 
 
-def candidate_phrases(lines: DataFrame, n_words: int, least: int = LEAST) -> DataFrame:
-    """lang, phrase: the phrases of two or three words whose bounds reach the threshold; none that occurs as often is missing.
+def candidate_phrases(lines: DataFrame, n_words: int, least: int = LEAST, per_part: int = PART) -> DataFrame:
+    """lang, phrase, f: the phrases of two or three words whose bounds reach the threshold, and their occurrences within pieces,
+    overlapping ones included; no phrase that occurs as often is missing.
 
     Two languages or phrases may share a cell, which only raises a bound. A slice of the sketch is summed in one task; its
-    size is fixed and their number grows with the corpus.
+    size is fixed and their number grows with the corpus. Candidates are counted chunk by chunk of the lines, by automata of
+    at most per_part of the phrases that the chunk has.
     """
     spark = lines.sparkSession
     bits = min(max(n_words.bit_length(), CELL_BITS[0]), CELL_BITS[1])
@@ -269,34 +254,8 @@ def candidate_phrases(lines: DataFrame, n_words: int, least: int = LEAST) -> Dat
     for row in slices.mapInPandas(_merge(min(least, 255)), "slice long, bits binary").toLocalIterator():  # 2^bits bits in all
         bitmap[row["slice"] * width : (row["slice"] + 1) * width] = row["bits"]
     sent = spark.sparkContext.broadcast(bytes(bitmap))
-    return lines.mapInArrow(_candidates(sent, bits), "lang string, phrase string").distinct()
-
-
-def count_phrases(lines: DataFrame, phrases: DataFrame, per_part: int = PART) -> DataFrame:
-    """lang, phrase, f: the occurrences of each phrase (lang, phrase) within pieces, overlapping ones included.
-
-    Phrases are dealt to parts of about per_part, ordered by language; each part is one pass of all tasks over the lines. A
-    part is the most that the driver, a broadcast or an automaton ever holds.
-    """
-    spark = lines.sparkSession
-    phrases = cut(phrases.select("lang", "phrase", F.pmod(F.xxhash64("phrase"), F.lit(1 << 30)).alias("place")), "phrases")
-    before = F.coalesce(F.sum("n").over(Window.orderBy("lang").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    spread = phrases.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).withColumn("before", before)
-    part = F.floor((F.col("before") + F.col("n") * F.col("place") / (1 << 30)) / per_part)
-    dealt = phrases.join(spread, "lang").select("lang", "phrase", part.alias("part"))
-    written = f"{shared_dir(spark)}/parts-{uuid4().hex}"
-    dealt.repartition("part").write.partitionBy("part").parquet(written)
-    parts = spark.read.schema("lang string, phrase string, part long").parquet(written)
-    counted = []
-    for (k,) in sorted(parts.select("part").distinct().collect()):
-        table = parts.filter(F.col("part") == k).select("lang", "phrase").toArrow()
-        langs = pc.unique(table["lang"]).to_pylist()
-        sent = spark.sparkContext.broadcast(_sent(table))
-        own = lines.filter(F.col("lang").isin(langs)) if len(langs) <= 100 else lines
-        counted.append(cut(own.mapInArrow(_scan(uuid4().hex, sent), "lang string, phrase string, f long").groupBy("lang", "phrase").agg(F.sum("f").alias("f")), "counted"))
-        sent.destroy()
-    forget(spark, phrases, parts)
-    return reduce(DataFrame.unionByName, counted, spark.createDataFrame([], "lang string, phrase string, f long"))
+    counted = lines.mapInArrow(_count(sent, bits, per_part), "lang string, phrase string, f long")
+    return counted.groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
 
 
 def _scored(counted: DataFrame, words: DataFrame) -> DataFrame:
@@ -321,14 +280,14 @@ def mine_collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "
     Ties of the score go by a descending, then by the phrase's bytes. Null and empty texts have no words; repeated rows
     count each; other columns aren't read; an empty table gives an empty result.
 
-    The texts are read once, as guarded lines in the shared folder; the sketch is summed in slices, phrases are counted by
-    parts. No language or phrase is gathered in a task: what is grouped was summed in the tasks before.
+    The texts are read once, as guarded lines in the shared folder; the sketch is summed in slices, phrases are counted in one
+    pass over the lines. No language or phrase is gathered in a task: what is grouped was summed in the tasks before.
     """
     spark = docs.sparkSession
     lines = cut(guarded_lines(docs, text_col, lang_col), "lines")
     words = cut(lines.mapInArrow(_count_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
     total = words.agg(F.sum("n")).first()[0] or 0
-    counted = count_phrases(lines, candidate_phrases(lines, total, least), per_part)
+    counted = candidate_phrases(lines, total, least, per_part)
     counted = cut(counted.filter(F.col("f") >= least), "frequent")
     forget(spark, lines)
     longer = counted.filter(F.size(F.split("phrase", " ")) == 3)

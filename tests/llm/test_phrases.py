@@ -189,3 +189,14 @@ def test_products_beyond_64_bits(spark):
     words = spark.createDataFrame([("en", "a", 10**13), ("en", "b", 9 * 10**12 + 7)], "lang string, word string, n long")
     r = collocations._scored(counted, words).first()
     assert r["score"] == 10**6 * (9 * 10**12) ** 2 // (10**13 * (9 * 10**12 + 7))
+
+
+def test_lines_are_scanned_once_for_any_number_of_candidates(spark):
+    texts = [" ".join(f"w{(k * j) % 17}" for j in range(60)) for k in range(1, 40)]
+    docs, jobs, found = with_langs(spark, texts, ["en"] * len(texts)), [], []
+    for part in (5, 600_000):
+        spark.sparkContext.setJobGroup(f"phrases-{part}", "")
+        found.append(sorted(map(tuple, mine_collocations(docs, per_part=part).collect())))
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"phrases-{part}")))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert found[0] == found[1] and len(found[0]) > 30 and jobs[0] == jobs[1]
