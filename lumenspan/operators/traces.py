@@ -1,7 +1,9 @@
-"""Trace trees of any size: parents are followed and places found by pointer jumping, a join for each doubling of the way."""
+"""Trace trees of any size: parents are followed and rows counted by pointer jumping, a join for each doubling of the way."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,64 +18,99 @@ def _written(df: DataFrame) -> DataFrame:
 
 
 def _parents(nodes: DataFrame) -> DataFrame:
-    """nodes (trace_id, row_id, span_id, parent_span_id, started_at) with `up`: the row of the parent, the first of its ID; null for roots."""
-    first = nodes.groupBy(F.col("trace_id").alias("__trace"), F.col("span_id").alias("__span")).agg(F.min(F.struct("started_at", "row_id")).alias("__first"))
+    """nodes (trace_id, row_id, span_id, parent_span_id, started_at) with `up`: the row of the parent, the first of its ID; null for roots. `on`: whether that one names a parent, too."""
+    first = nodes.groupBy(F.col("trace_id").alias("__trace"), F.col("span_id").alias("__span")).agg(F.min(F.struct("started_at", "row_id", F.col("parent_span_id").isNotNull().alias("on"))).alias("__first"))
     joined = nodes.join(first, (F.col("trace_id") == F.col("__trace")) & (F.col("parent_span_id") == F.col("__span")), "left")
     up = F.col("__first.row_id")
-    return joined.select(*nodes.columns, F.when(up != F.col("row_id"), up).alias("up"))
+    return joined.select(*nodes.columns, F.when(up != F.col("row_id"), up).alias("up"), F.coalesce("__first.on", F.lit(False)).alias("on"))
+
+
+def _same(row: str):
+    return (F.col("trace_id") == F.col("__trace")) & (F.col(row) == F.col("__row"))
 
 
-def _without_cycles(nodes: DataFrame, most: int) -> DataFrame:
+def _jumps(nodes: DataFrame, most: int) -> tuple[list[DataFrame], DataFrame | None]:
+    """trace_id, row_id, at: the rows whose way up has 1, 2, 4 and so on steps, with where these lead; then those whose way never ends.
+
+    `low` is the first row on these steps. Rows whose way has ended are in no later table, so what is joined shrinks.
+    """
+    now = nodes.filter("up IS NOT NULL").select("trace_id", "row_id", F.col("up").alias("at"), F.struct("started_at", "row_id").alias("low"), "on")
+    found = [now]
+    for _ in range(most.bit_length() + 1):
+        there = now.select(F.col("trace_id").alias("__trace"), F.col("row_id").alias("__row"), F.col("at").alias("__at"), F.col("low").alias("__low"))
+        going = now.filter("on") if len(found) == 1 else now
+        now = _written(going.join(there, _same("at")).select("trace_id", "row_id", F.col("__at").alias("at"), F.least("low", "__low").alias("low")))
+        if now.isEmpty():
+            return found, None
+        found.append(now)
+    return found, now
+
+
+def _without_cycles(nodes: DataFrame, endless: DataFrame | None) -> DataFrame:
     """`up` without cycles, and `late`: whether a row is a root only since it is the first of a cycle, or above none before it.
 
     Of rows whose way up never ends, those with no earlier row on their way are roots; the others hang below them.
     """
-    now = _written(nodes.select("trace_id", "row_id", F.col("up").alias("at"), F.struct("started_at", "row_id").alias("low")))
-    for _ in range(max(1, most.bit_length() + 1)):
-        if now.filter("at IS NOT NULL").isEmpty():
-            break
-        there = now.select(F.col("trace_id").alias("__trace"), F.col("row_id").alias("__row"), F.col("at").alias("__at"), F.col("low").alias("__low"))
-        jumped = now.join(there, (F.col("trace_id") == F.col("__trace")) & (F.col("at") == F.col("__row")), "left")
-        now = _written(jumped.select("trace_id", "row_id", F.col("__at").alias("at"), F.least("low", "__low").alias("low")))
-    endless = now.filter("at IS NOT NULL").select(F.col("trace_id").alias("__trace"), F.col("row_id").alias("__row"), (F.col("low.row_id") == F.col("row_id")).alias("__root"))
-    joined = nodes.join(endless, (F.col("trace_id") == F.col("__trace")) & (F.col("row_id") == F.col("__row")), "left")
+    if endless is None:
+        return nodes.withColumns({"named": F.col("up"), "late": F.lit(False)})
+    told = endless.select(F.col("trace_id").alias("__trace"), F.col("row_id").alias("__row"), (F.col("low.row_id") == F.col("row_id")).alias("__root"))
     late = F.coalesce("__root", F.lit(False))
-    return joined.select(*[c for c in nodes.columns if c != "up"], F.col("up").alias("named"), F.when(~late, F.col("up")).alias("up"), late.alias("late"))
+    return _written(nodes.join(told, _same("row_id"), "left").select(*[c for c in nodes.columns if c != "up"], F.col("up").alias("named"), F.when(~late, F.col("up")).alias("up"), late.alias("late")))
 
 
-def _ranked(nodes: DataFrame) -> DataFrame:
-    """trace_id, row_id, after (rows from this one on in depth-first order), depth: list ranking of the tour of each tree.
+def _below(jumps: list[DataFrame], trees: DataFrame) -> DataFrame:
+    """trace_id, row_id, below, children: the rows below each row and those that name it, where there are any.
 
-    The tour enters each row and leaves it again; the sums from a step to the end of the tour are found by jumping over
-    twice as many steps in each round.
+    A row is counted 1, 2, 4 and so on steps above it, with what was counted below it until then.
     """
-    siblings = Window.partitionBy("trace_id", "up").orderBy("late", "started_at", "row_id")
-    placed = nodes.select("trace_id", "row_id", "up", F.lead("row_id").over(siblings).alias("sibling"), F.row_number().over(siblings).alias("place"))
-    first = placed.filter("place = 1 AND up IS NOT NULL").select(F.col("trace_id").alias("__trace"), F.col("up").alias("__up"), F.col("row_id").alias("child"))
-    linked = placed.join(first, (F.col("trace_id") == F.col("__trace")) & (F.col("row_id") == F.col("__up")), "left")
-    step = lambda row, leaves: F.struct(row.alias("row"), F.lit(leaves).alias("leaves"))
-    row, child, sibling, up = (F.col(c) for c in ("row_id", "child", "sibling", "up"))
-    enter = F.struct(F.lit(False).alias("leaves"), F.when(child.isNotNull(), step(child, False)).otherwise(step(row, True)).alias("next"), F.lit(1).cast("long").alias("rows"), F.lit(1).cast("long").alias("level"))
-    leave = F.struct(F.lit(True).alias("leaves"), F.when(sibling.isNotNull(), step(sibling, False)).when(up.isNotNull(), step(up, True)).alias("next"), F.lit(0).cast("long").alias("rows"), F.lit(-1).cast("long").alias("level"))
-    now = _written(linked.select("trace_id", "row_id", F.explode(F.array(enter, leave)).alias("s")).select("trace_id", "row_id", "s.*"))
-    while not now.filter("next IS NOT NULL").isEmpty():
-        there = now.select(F.col("trace_id").alias("__trace"), F.struct(F.col("row_id").alias("row"), "leaves").alias("__step"), F.col("next").alias("__next"), F.col("rows").alias("__rows"), F.col("level").alias("__level"))
-        jumped = now.join(there, (F.col("trace_id") == F.col("__trace")) & (F.col("next") == F.col("__step")), "left")
-        more = lambda c: (F.col(c) + F.coalesce(f"__{c}", F.lit(0))).alias(c)
-        now = _written(jumped.select("trace_id", "row_id", "leaves", F.col("__next").alias("next"), more("rows"), more("level")))
-    return now.filter("NOT leaves").select("trace_id", "row_id", F.col("rows").alias("after"), (-F.col("level")).alias("depth"))
+    one = F.lit(1).cast("long")
+    rows = F.filter(F.array(F.struct(F.col("up").alias("row_id"), one.alias("below"), F.lit(0).cast("long").alias("children")), F.struct(F.col("named").alias("row_id"), F.lit(0).cast("long").alias("below"), one.alias("children"))), lambda r: r["row_id"].isNotNull())
+    named = trees.select("trace_id", F.explode(rows).alias("r")).select("trace_id", "r.*")
+    found = _written(named.groupBy("trace_id", "row_id").agg(F.sum("below").alias("below"), F.sum("children").alias("children")))
+    for now in jumps[1:]:
+        so_far = found.select(F.col("trace_id").alias("__trace"), F.col("row_id").alias("__row"), "below")
+        above = now.join(so_far, _same("row_id"), "left").select("trace_id", F.col("at").alias("row_id"), (1 + F.coalesce("below", F.lit(0))).alias("below"), F.lit(0).cast("long").alias("children"))
+        found = _written(found.unionByName(above).groupBy("trace_id", "row_id").agg(F.sum("below").alias("below"), F.sum("children").alias("children")))
+    return found
+
+
+def _tops(placed: DataFrame) -> DataFrame:
+    """trace_id, row_id, place, depth of the rows that have others below them: sums along the way up, over twice as many steps in each round."""
+    now = placed.filter("below > 0").select("trace_id", "row_id", F.col("up").alias("at"), F.col("before").alias("place"), F.col("up").isNotNull().cast("int").alias("depth"))
+    done = []
+    while True:
+        now = _written(now)
+        done.append(now.filter("at IS NULL").drop("at"))
+        left = now.filter("at IS NOT NULL")
+        if left.isEmpty():
+            return reduce(DataFrame.unionByName, done)
+        ended = reduce(DataFrame.unionByName, done).withColumn("at", F.lit(None).cast("long"))
+        there = left.unionByName(ended).select(F.col("trace_id").alias("__trace"), F.col("row_id").alias("__row"), F.col("at").alias("__at"), F.col("place").alias("__place"), F.col("depth").alias("__depth"))
+        now = left.join(there, _same("at")).select("trace_id", "row_id", F.col("__at").alias("at"), (F.col("place") + F.col("__place")).alias("place"), (F.col("depth") + F.col("__depth")).alias("depth"))
 
 
 def large_trace_trees(spans: DataFrame) -> DataFrame:
     """Rows of each trace's tree in depth-first order: place, depth, children, offset; see `spans.trace_trees`.
 
-    Every step is a join or a window on rows of a trace and a parent, so a trace is spread over all tasks; the number of
-    rounds grows with the logarithm of the largest trace. Row IDs are distinct within a trace.
+    A row's place is that of its parent, one more, and the rows below its earlier siblings and these. Every step is a join,
+    an aggregate or a window on rows of a trace and a parent, so a trace is spread over all tasks; the number of rounds
+    grows with the logarithm of the deepest way, and only rows that have as long a way are in a round. Row IDs are distinct
+    within a trace.
     """
-    nodes = _written(_parents(spans.select("trace_id", "row_id", "span_id", "parent_span_id", "started_at")))
-    sizes = nodes.groupBy("trace_id").agg(F.count(F.lit(1)).alias("__n"), F.min("started_at").alias("__start"))
-    most = sizes.agg(F.max("__n")).first()[0] or 0
-    trees = _written(_without_cycles(nodes, most))
-    children = trees.filter("named IS NOT NULL").groupBy("trace_id", F.col("named").alias("row_id")).agg(F.count(F.lit(1)).alias("children"))
-    told = trees.join(_ranked(trees), ["trace_id", "row_id"]).join(children, ["trace_id", "row_id"], "left").join(sizes, "trace_id")
-    return told.select("trace_id", "span_id", (F.col("__n") - F.col("after")).cast("int").alias("place"), F.col("depth").cast("int").alias("depth"), F.coalesce("children", F.lit(0)).cast("int").alias("children"), (F.col("started_at") - F.col("__start")).alias("offset_ns"))
+    nodes = _written(_parents(spans.select("trace_id", "row_id", "span_id", "parent_span_id", "started_at")).drop("parent_span_id"))
+    sizes = _written(nodes.groupBy("trace_id").agg(F.count(F.lit(1)).alias("__n"), F.min("started_at").alias("__start")))
+    jumps, endless = _jumps(nodes, sizes.agg(F.max("__n")).first()[0] or 0)
+    trees = _without_cycles(nodes, endless)
+    if endless is not None:
+        jumps, _ = _jumps(trees, sizes.agg(F.max("__n")).first()[0])
+    inner = _below(jumps, trees).select(F.col("trace_id").alias("__trace"), F.col("row_id").alias("__row"), F.col("below").alias("__below"), F.col("children").alias("__children"))
+    sized = trees.join(inner, _same("row_id"), "left").withColumns({c: F.coalesce(f"__{c}", F.lit(0)) for c in ("below", "children")})
+    siblings = Window.partitionBy("trace_id", "up").orderBy("late", "started_at", "row_id").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum(1 + F.col("below")).over(siblings), F.lit(0)) + F.col("up").isNotNull().cast("long")
+    placed = _written(sized.select("trace_id", "row_id", "span_id", "up", "started_at", "below", "children", before.alias("before")))
+    starts = sizes.select(F.col("trace_id").alias("__of"), "__start")
+    tops = _tops(placed).join(starts, F.col("trace_id") == F.col("__of")).select(F.col("trace_id").alias("__trace"), F.col("row_id").alias("__row"), F.col("place").alias("__place"), F.col("depth").alias("__depth"), "__start")
+    below, roots = placed.filter("up IS NOT NULL").join(tops, _same("up")), placed.filter("up IS NULL").join(starts, F.col("trace_id") == F.col("__of"))
+    told = below.unionByName(roots, allowMissingColumns=True)
+    place, depth = F.coalesce("__place", F.lit(0)) + F.col("before"), F.coalesce(F.col("__depth") + 1, F.lit(0))
+    return told.select("trace_id", "span_id", place.cast("int").alias("place"), depth.cast("int").alias("depth"), F.col("children").cast("int").alias("children"), (F.col("started_at") - F.col("__start")).alias("offset_ns"))

@@ -307,3 +307,13 @@ def test_ranges():
         ranges.Range(1, 1)
     with pytest.raises(ValueError, match="limit"):
         ranges.page_limit("logs", 1_001)
+
+
+def test_shallow_traces_take_few_rounds(spark, monkeypatch):
+    rows = [("t", 0, "r", None, 0)] + [("t", k, f"s{k}", "r", k) for k in range(1, 400)] + [("t", 400, "leaf", "s7", 7)]
+    written, whole = [], traces._written
+    monkeypatch.setattr(traces, "_written", lambda df: written.append(df) or whole(df))
+    found = traces.large_trace_trees(spark.createDataFrame(rows, "trace_id string, row_id long, span_id string, parent_span_id string, started_at long"))
+    told = {r["span_id"]: (r["place"], r["depth"], r["children"], r["offset_ns"]) for r in found.collect()}
+    assert (told["r"], told["s7"], told["leaf"], told["s8"]) == ((0, 0, 399, 0), (7, 1, 1, 7), (8, 2, 0, 7), (9, 1, 0, 8))
+    assert len(told) == 401 and len(written) < 10
