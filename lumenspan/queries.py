@@ -667,7 +667,9 @@ def agg_14_win_1_increase_stream(spark: SparkSession, sf: str) -> DataFrame:
 def snk_3_ing_5_late_spans(spark: SparkSession, sf: str) -> DataFrame:
     """Hours of spans of which a third came years late: minute cells that batches add to, one of them twice, compacted midway."""
     table = Deltas(stored.shared(spark, "minutes"), ("service", "unit_at", "bucket"), {"n": "sum", "sum_ns": "sum", "low_ns": "min", "high_ns": "max"})
-    rows = S.spans(spark, sf).select("service", "started_at", "duration_ns", F.pmod("row_id", F.lit(3)).alias("batch"))
+    arrived = stored.shared(spark, "arrived")
+    stored.put(S.spans(spark, sf).select("service", "started_at", "duration_ns", F.pmod("row_id", F.lit(3)).alias("batch")), arrived)
+    rows = spark.read.parquet(arrived)
     for k in (0, 1, 1, 2):
         table.add(rollups.span_cells(rows.filter(F.col("batch") == k), ["service"], MINUTE), k)
         if k == 0:

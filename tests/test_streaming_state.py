@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from lumenspan import queries
 from lumenspan.operators import metrics, rollups
 from lumenspan.streaming.deltas import Deltas
 from lumenspan.streaming.series import SeriesGuard, increases_table, land_increases
@@ -87,3 +88,17 @@ def test_series_guard_whatever_the_batches(spark, tmp_path, cuts):
     kept, rest = rollups.first_series(points(rows), "metric", "series", 3)
     assert sorted(map(tuple, guard.points(spark).select("metric", "series", "recorded_at").collect())) == sorted(map(tuple, kept.select("metric", "series", "recorded_at").collect()))
     assert {r["metric"]: r["rejected"] for r in guard.rejected(spark).collect()} == {"m": rest.count(), "other": 0}
+
+
+def test_late_spans_are_made_once(spark, monkeypatch):
+    made = spark.sparkContext.accumulator(0)
+
+    def mark(k):
+        made.add(1)
+        return k
+
+    rows = spark.range(300).select("id", F.udf(mark, "long")("id").alias("row_id"))
+    spans = rows.select("row_id", F.lit("svc").alias("service"), (F.col("id") * 10**9).alias("started_at"), (F.col("id") + 1).alias("duration_ns"))
+    monkeypatch.setattr(queries.S, "spans", lambda *_: spans)
+    r = queries.snk_3_ing_5_late_spans(spark, "").agg(F.sum("n"), F.sum("sum_ns")).first()
+    assert tuple(r) == (300, 300 * 301 // 2) and made.value == 300
