@@ -1,17 +1,20 @@
 """Spelling variants: words of a corpus that one edit tells apart, and the form that each of them stands for.
 
 A positional q-gram index finds the pairs. Words within one edit share all but q of their q-grams, at places that differ
-by at most one, so both have the rarest shared gram among their q + 1 rarest. Words meet in the groups of these grams; in a
-group, the postings of a word's grams are merged by a heap under the limits on length and position, words that occur in
-enough of them are verified, and a pair is kept in the group of its rarest shared gram alone.
+by at most one, so both have the rarest gram that the edit leaves among their q + 1 rarest. Words meet in the groups of these
+grams; in a group, those that are the same up to the gram, or from it on, are indexed by the grams of their rest. The
+postings of two of a word's grams are merged by a heap under the limits on length and position, words that share enough
+grams are verified, and a pair is kept in the group of its rarest such gram alone.
 """
 
 from __future__ import annotations
 
 import heapq
+from bisect import bisect_left
 from collections import defaultdict
-from collections.abc import Callable, Iterator
-from itertools import chain, groupby
+from collections.abc import Iterator
+from itertools import chain, count, groupby
+from operator import eq, ne
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -31,105 +34,121 @@ def one_edit(a: str, b: str) -> bool:
         a, b = b, a
     if len(b) - len(a) > 1 or a == b:
         return False
+    if len(a) == len(b):
+        return sum(map(ne, a, b)) == 1
     p = 0
     for x, y in zip(a, b):  # noqa: B905
         if x != y:
             break
         p += 1
-    return a[p:] == b[p + 1 :] if len(a) < len(b) else a[p + 1 :] == b[p + 1 :]
+    return a[p:] == b[p + 1 :]
 
 
 def grams(word: str) -> list[str]:
     return [word[k : k + Q] for k in range(len(word) - Q + 1)]
 
 
-def least_shared(a: int, b: int) -> int:
-    """q-grams that two words of these lengths share at least if one edit tells them apart."""
-    return max(a, b) - Q + 1 - Q
+def shared_around(gram: str, a: str, b: str) -> bool:
+    """Whether the words are the same up to the gram's first place, or from its last place on; both have the gram."""
+    return b.startswith(a[: a.index(gram) + Q]) or b.endswith(a[a.rindex(gram) :])
 
 
 class Index:
-    """Postings of q-grams over words in order of their lengths: the numbers of the words, each with the gram's place."""
-
-    def __init__(self, words: list[str]):
-        self.words = words
-        self.postings: dict[str, list[int]] = defaultdict(list)
-        for k, w in enumerate(words):
-            base = k << 32
-            for p, g in enumerate(grams(w)):
-                self.postings[g].append(base + p)
-
-    def near(self, word: str, below: int | None = None, wanted: Callable[[int], bool] = lambda _: True) -> Iterator[int]:
-        """Numbers of the words one edit away, only wanted ones and those below a number if one is given.
-
-        Two words share all but Q of a word's grams, so one of any Q + 1 of its grams: the lists of its Q + 1 rarest here
-        are merged by a heap, under the limits on length and place, and what they bring is counted on in the longer lists.
+    """Postings of q-grams by place over words in order of their lengths: the numbers of the words. All start with the same `alike` letters."""
+
+    def __init__(self, words: list[str], alike: int = 0):
+        self.alike, self.words, self.grams = alike, words, [grams(w) for w in words]
+        self.postings: dict[tuple[str, int], list[int]] = defaultdict(list)
+        for k, own in enumerate(self.grams):
+            for place in zip(own, count()):  # noqa: B905
+                self.postings[place].append(k)
+        self.lengths = [len(w) for w in words]
+
+    def near(self, word: str, below: int | None = None) -> Iterator[int]:
+        """Numbers of the words one edit away, only those below a number if one is given.
+
+        One edit touches at most Q grams, which follow one another, so of two grams with no letter in common one is left, at its
+        place or moved by the difference of the lengths. The lists of two such grams, rare ones here, are merged by a heap under
+        the limits on length and place, and what they bring is counted on in the other grams. A word too short to have
+        two such grams is compared with all words of about its length.
         """
-        postings, own = self.postings, grams(word)
-        shortest, longest = len(word) - 1, len(word) + 1
-        sized = sorted([(len(postings[g]) if g in postings else 0, p) for p, g in enumerate(own)])
+        n, own = len(word), grams(word)
+        lengths, words = self.lengths, self.words
+        end = bisect_left(lengths, n + 2) if below is None else below
+        low = bisect_left(lengths, n - 1, 0, end)
+        if low == end:
+            return
+        same = bisect_left(lengths, n, low, end)
+        lists = self._lists(own, low, same, bisect_left(lengths, n + 1, low, end), end) if len(own) > Q else [range(low, end)]
+        half, less = (n - self.alike) // 2, (n - self.alike - 1) // 2  # letters that the edit leaves at one of the ends
+        ends, ends_of_shorter = (word[: self.alike + half], word[n - half :]), (word[: self.alike + less], word[n - less :])
+        last = -1
+        for k in heapq.merge(*lists) if len(lists) > 1 else chain(*lists):
+            if k != last:
+                last, other = k, words[k]
+                head, tail = ends if k >= same else ends_of_shorter
+                if other.startswith(head) or other.endswith(tail):
+                    least = max(n, lengths[k]) - Q + 1 - Q  # grams that one edit leaves; one is there
+                    if (least < 2 or self._shared(own, self.grams[k]) >= least) and one_edit(word, other):
+                        yield k
+
+    def _lists(self, own: list[str], low: int, same: int, longer: int, end: int) -> list[list[int]]:
+        """The postings of two grams within the limits."""
+        sizes = [len(self.postings.get(place, ())) for place in zip(own, count())]  # noqa: B905
+        first = sizes.index(min(sizes))
+        rest = [p for p in range(len(own)) if abs(p - first) >= Q]
+        if not rest:
+            first, rest = 0, range(Q, len(own))
         lists = []
-        for size, p in sized[: Q + 1]:
-            if size:
-                at = [x >> 32 for x in postings[own[p]] if -1 <= (x & 0xFFFFFFFF) - p <= 1]
-                if below is not None:
-                    at = [k for k in at if k < below]
-                if at:
-                    lists.append(at)
-        last, hits = -1, 0
-        for k in chain(lists[0] if len(lists) == 1 else heapq.merge(*lists), (-2,)):
-            if k == last:
-                hits += 1
-                continue
-            if last >= 0:
-                other = self.words[last]
-                if shortest <= len(other) <= longest and wanted(last) and self._enough(own, other, sized, hits, least_shared(len(word), len(other))) and one_edit(word, other):
-                    yield last
-            last, hits = k, 1
+        for p in (first, min(rest, key=sizes.__getitem__)):
+            for shift, lo, hi in ((0, low, end), (-1, low, same), (1, longer, end)):
+                if lo < hi and (found := self.postings.get((own[p], p + shift))):
+                    at = found[bisect_left(found, lo) : bisect_left(found, hi)]
+                    if at:
+                        lists.append(at)
+        return lists
 
     @staticmethod
-    def _enough(own: list[str], other: str, sized: list[tuple[int, int]], hits: int, least: int) -> bool:
-        """Whether the counted grams and those of the longer lists reach the bound."""
-        for left, (_, p) in zip(range(len(sized) - Q - 1, 0, -1), sized[Q + 1 :], strict=True):
-            if hits >= least or hits + left < least:
-                break
-            g = own[p]
-            hits += other.startswith(g, p) or other.startswith(g, p + 1) or (p > 0 and other.startswith(g, p - 1))
-        return hits >= least
+    def _shared(own: list[str], other: list[str]) -> int:
+        """How many grams are at their places, or moved by the difference of the lengths."""
+        hits = sum(map(eq, own, other))
+        if len(own) == len(other):
+            return hits
+        return hits + sum(map(eq, own[1:], other) if len(own) > len(other) else map(eq, own, other[1:]))
 
 
 def _pairs(rows: list[tuple[str, int, list[str], int]], gram: str, across: bool) -> Iterator[tuple[str, int, str, int]]:
-    """word, n, word, n of the pairs whose rarest shared gram is this one; rows: word, n, its rarest grams, side.
+    """word, n, word, n of the pairs that this gram stands for; rows: word, n, its rarest grams, side.
 
-    One edit leaves the first or the last gram of a word in its place, so words with a common end are looked at together.
+    If a gram isn't touched by the edit, the words are the same up to its first place or from its last place on, so
+    words with the same head, or the same tail, are looked at together; tails are read backwards.
     """
-    for end in (slice(0, Q), slice(-Q, None)):
+    for tail in (False, True):
         alike = defaultdict(list)
         for r in rows:
-            alike[r[0][end]].append(r)
-        for own in alike.values():
+            alike[r[0][r[0].rindex(gram) :] if tail else r[0][: r[0].index(gram) + Q]].append(r)
+        for shared, own in alike.items():
             if len(own) > 1:
-                yield from _pairs_alike(sorted(own, key=lambda r: (len(r[0]), r[0])), gram, across, end.start != 0)
+                yield from _pairs_alike(sorted(own, key=lambda r: (len(r[0]), r[0])), gram, len(shared), across, tail)
 
 
-def _pairs_alike(rows: list[tuple[str, int, list[str], int]], gram: str, across: bool, by_last: bool) -> Iterator[tuple[str, int, str, int]]:
+def _pairs_alike(rows: list[tuple[str, int, list[str], int]], gram: str, shared: int, across: bool, tail: bool) -> Iterator[tuple[str, int, str, int]]:
+    """The pairs of words that share so many letters of their heads (or tails): an edit of the rest is one of the word."""
     left = [r for r in rows if r[3] == 0] if across else rows
-    index = Index([r[0] for r in left])
-    heads, rarest = [r[0][:Q] for r in left], [r[2] for r in left]
-    for place, (word, n, own, _) in enumerate(r for r in rows if r[3] == 1) if across else enumerate(rows):
-        head = word[:Q]
-
-        def here(k: int) -> bool:
-            """Whether the pair belongs to this group and end: the same pair comes up in those of its other shared grams."""
-            if by_last and heads[k] == head:  # noqa: B023
-                return False
-            for g in rarest[k]:
-                if g in own:  # noqa: B023
-                    return g == gram
-            return False
-
-        for k in index.near(word, None if across else place, here):
-            yield word, n, left[k][0], left[k][1]
+    right = [r for r in rows if r[3] == 1] if across else rows
+    if not left or not right:
+        return
+    kept = shared - Q + 1  # letters that all grams but those of the rest have
+    rest = (lambda w: w[: len(w) - kept][::-1]) if tail else (lambda w: w[kept:])
+    index = Index([rest(r[0]) for r in left], Q - 1)
+    for place, (word, n, own, _) in enumerate(right):
+        for k in index.near(rest(word), None if across else place):
+            other, m, theirs, _ = left[k]
+            if tail and other.startswith(word[: word.index(gram) + Q]):
+                continue  # found by their heads
+            # The pair comes up in the groups of all grams that it shares in this way: the rarest of them keeps it.
+            if next(g for g in own if g == gram or g in theirs and shared_around(g, word, other)) == gram:
+                yield word, n, other, m
 
 
 def _compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -132,6 +132,20 @@ def test_near_words_lose_no_pair_in_blocks(spark, per_group):
     assert all(spelling.one_edit(a, b) == (distance(a, b) == 1) for a in words[:60] for b in words)
 
 
+def test_only_words_alike_up_to_or_from_the_gram_are_indexed(monkeypatch):
+    indexed, plain = [], spelling.Index
+
+    def noted(words, *more):
+        indexed.append(len(words))
+        return plain(words, *more)
+
+    monkeypatch.setattr(spelling, "Index", noted)
+    apart = [(f"oft{a}{a}zqz{b}{b}", 2, ["zqz"], 0) for a, b in zip("abcdefgh", "ijklmnop", strict=True)]
+    assert not list(spelling._pairs(apart, "zqz", False)) and not indexed
+    near = [("oftaazqzii", 2, ["zqz"], 0), ("oftaazqzji", 3, ["zqz"], 0), ("obtaazqzii", 4, ["zqz"], 0), ("oftaazqzi", 5, ["zqz"], 0)]
+    assert {frozenset((a, b)) for a, _, b, _ in spelling._pairs(near, "zqz", False)} == {frozenset((a, b)) for a, *_ in near for b, *_ in near if distance(a, b) == 1}
+
+
 def brute_collocations(rows, most=2000):
     f, n = {}, Counter()
     for lang, text in rows:
