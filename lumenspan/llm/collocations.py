@@ -4,7 +4,7 @@ Texts become lines of guarded words (` w1 w2 ` with a blank on both sides of eac
 counting sketch over all words and phrases, built in slices, gives upper bounds; phrases whose own bound and whose parts'
 bounds reach the threshold are candidates. A task compiles the candidates of each chunk of its lines into Aho-Corasick
 automata, over letters that stand for words and a guard between pieces, and scans the chunk with these, counting overlapping
-matches; the counts are summed. So the lines are scanned once, however many candidates there are. Thresholds apply to the
+matches; the counts are summed, in the task first. So the lines are scanned once, however many candidates there are. Thresholds apply to the
 exact counts.
 """
 
@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import groupby
 
 import ahocorasick
 import numpy as np
@@ -29,6 +30,10 @@ LEAST = 10  # occurrences of a candidate
 INSIDE = 50  # per cent of a phrase's occurrences that within a longer candidate make the phrase go
 CHUNK = 2_000_000  # characters of lines that are hashed at once
 PART = 600_000  # phrases of an automaton (about 90 MB)
+HELD = 1_500_000  # counted phrases of a task's chunks that are summed before they are shuffled
+HELD_CELLS = 6_000_000  # cells of the sketch likewise
+WORDS_OF_PART = 4_000_000  # words of the corpus for each part that its phrases are dealt to by hash
+LEAST_PARTS = 64
 SLICE_BITS = 20  # cells of a slice of the sketch, as a power of two
 CELL_BITS = (SLICE_BITS, 30)  # the sketch has at least a cell for each word of the corpus, between these powers of two; its bits are broadcast (128 MB at most)
 FOLD = bytes(b + 32 if 65 <= b <= 90 else 32 if b == 9 else 10 if chr(b) in ".,;:!?\n\x0b\x0c\r" else b for b in range(256))
@@ -77,6 +82,9 @@ class Hashes:
     def cells(self, k: int, at: np.ndarray, bits: int) -> np.ndarray:
         return (self.of[k][at] >> np.uint64(64 - bits)).astype(np.int64)
 
+    def parts(self, k: int, at: np.ndarray, parts: int) -> np.ndarray:
+        return (self.of[k][at] % np.uint64(parts)).astype(np.int64)
+
     def firsts(self, pairs: np.ndarray, triples: np.ndarray) -> list[tuple[int, np.ndarray]]:
         """Number of words and where each of the different phrases that start at these places stands first."""
         first = self.ids[:-1] * self.n + self.ids[1:]
@@ -110,20 +118,12 @@ def _chunks(batch: pa.RecordBatch) -> Iterator[tuple[str, list[str]]]:
                 yield lang, lines
 
 
-def _rows(lang: str, **columns) -> pa.RecordBatch:
-    """Rows of one language."""
-    arrays = {k: pa.array(v) if isinstance(v, np.ndarray) else v.cast(pa.string()) for k, v in columns.items()}
-    n = len(next(iter(arrays.values())))
-    return pa.RecordBatch.from_pydict({"lang": pa.array([lang] * n, pa.string()), **arrays})
-
-
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """lang, n: the number of words of each line; breaks between pieces are none."""
     for batch in batches:
-        for lang, lines in _chunks(batch):
-            words, ids = encoded(lines)
-            n = np.bincount(ids, minlength=len(words))
-            own = np.flatnonzero(pc.not_equal(words, "\n").to_numpy(zero_copy_only=False))
-            yield _rows(lang, word=words.take(pa.array(own)), n=n[own])
+        blanks, breaks = (pc.count_substring(batch.column("line"), x) for x in (" ", "\n"))
+        n = pc.subtract(pc.subtract(blanks, breaks), 1).cast(pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column("lang").cast(pa.string()), n], names=["lang", "n"])
 
 
 def _packed(cells: np.ndarray) -> bytes:
@@ -139,17 +139,36 @@ def _unpacked(packed: bytes) -> np.ndarray:
     return np.cumsum(steps, dtype=np.int64)[steps != 255]
 
 
+def _summed(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """The different numbers of sorted runs, in order, and the sums of their counts."""
+    cells, counts = (np.concatenate(x) for x in zip(*held, strict=True))
+    order = np.argsort(cells, kind="stable")
+    cells, counts = cells[order], counts[order]
+    first = np.flatnonzero(np.concatenate([[True], cells[1:] != cells[:-1]]))
+    return cells[first], np.minimum(np.add.reduceat(counts, first, dtype=np.int64), 255).astype(np.uint8)  # a count of 255 reaches any threshold below it
+
+
+def _slices(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    cells, counts = _summed(held)
+    own, starts = np.unique(cells >> SLICE_BITS, return_index=True)
+    bounds = list(zip(own.tolist(), starts, [*starts[1:], len(cells)], strict=True))
+    packed = [[_packed(cells[a:b].astype(np.int64) - (k << SLICE_BITS)) for k, a, b in bounds], [zlib.compress(counts[a:b].tobytes(), 1) for _, a, b in bounds]]
+    return pa.RecordBatch.from_arrays([pa.array(own.astype(np.int64)), *(pa.array(x, pa.binary()) for x in packed)], names=["slice", "cells", "counts"])
+
+
 def _sketch(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         for batch in batches:
             for lang, lines in _chunks(batch):
                 h = Hashes(lang, lines)
                 cells, counts = np.unique(np.concatenate([h.cells(k, h.at[k], bits) for k in range(3)]), return_counts=True)
-                counts = np.minimum(counts, 255).astype(np.uint8)  # a count of 255 reaches any threshold below it
-                own, starts = np.unique(cells >> SLICE_BITS, return_index=True)
-                bounds = list(zip(own.tolist(), starts, [*starts[1:], len(cells)], strict=True))
-                packed = [[_packed(cells[a:b] - (k << SLICE_BITS)) for k, a, b in bounds], [zlib.compress(counts[a:b].tobytes(), 1) for _, a, b in bounds]]
-                yield pa.RecordBatch.from_arrays([pa.array(own), *(pa.array(x, pa.binary()) for x in packed)], names=["slice", "cells", "counts"])
+                held.append((cells.astype(np.uint32), np.minimum(counts, 255).astype(np.uint8)))
+                if sum(len(x) for x, _ in held) >= HELD_CELLS:
+                    yield _slices(held)
+                    held = []
+        if held:
+            yield _slices(held)
 
     return run
 
@@ -210,12 +229,14 @@ GUARD = "\n"
 LETTER_BITS = 7  # of an alphabet: a state's next letters are searched one by one
 
 
-def _count(bitmap, bits: int, per_part: int):
+def _count(bitmap, bits: int, per_part: int, parts: int):
+    """part, lang, phrases, counts: the candidates of a task's chunks, summed and packed by the part that their hash tells."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent = np.frombuffer(bitmap.value, np.uint8)
+        frequent, held, size = np.frombuffer(bitmap.value, np.uint8), {}, 0
         for batch in batches:
             for lang, lines in _chunks(batch):
-                h = Hashes(lang, lines)
+                h, own = Hashes(lang, lines), held.setdefault(lang, [])
                 on = np.zeros((3, len(h.ids) + 1), bool)
                 for k in range(3):
                     at = h.at[k]
@@ -223,12 +244,60 @@ def _count(bitmap, bits: int, per_part: int):
                         at = at[on[k - 1][at] & on[k - 1][at + 1]]
                     cells = h.cells(k, at, bits)
                     on[k][at[(frequent[cells >> 3] >> (7 - (cells & 7)).astype(np.uint8)) & 1 == 1]] = True
+                at = np.flatnonzero(on[0])
+                at = at[np.unique(h.ids[at], return_index=True)[1]]
+                own.append((h.parts(0, at, parts), h.words.take(pa.array(h.ids[at])), np.bincount(h.ids, minlength=h.n)[h.ids[at]]))
+                size += len(at)
                 for k, firsts in h.firsts(np.flatnonzero(on[1]), np.flatnonzero(on[2])):
                     for low in range(0, len(firsts), per_part):
                         at = firsts[low : low + per_part]
                         counts = Automaton(h.ids, h.n, [(k, at)]).counts(h.ids)
-                        parts = [h.words.take(pa.array(h.ids[at + j])) for j in range(k)]
-                        yield _rows(lang, phrase=pc.binary_join_element_wise(*parts, " "), f=counts)
+                        words = [h.words.take(pa.array(h.ids[at + j])) for j in range(k)]
+                        own.append((h.parts(k - 1, at, parts), pc.binary_join_element_wise(*words, " "), counts))
+                    size += len(firsts)
+                if size >= HELD:
+                    yield from (_by_part(x, rows) for x, rows in held.items())
+                    held, size = {}, 0
+        yield from (_by_part(x, rows) for x, rows in held.items())
+
+    return run
+
+
+def _by_part(lang: str, held: list[tuple[np.ndarray, pa.Array, np.ndarray]]) -> pa.RecordBatch:
+    """A row for each part: its different phrases in order, one a line (no word has a line break), and the sums of their counts."""
+    part, f = (np.concatenate([x[j] for x in held]) for j in (0, 2))
+    phrase = pa.concat_arrays([x[1] for x in held])
+    order = pc.sort_indices(pa.table({"part": part, "phrase": phrase}), sort_keys=[("part", "ascending"), ("phrase", "ascending")])
+    phrase, order = phrase.take(order), order.to_numpy()
+    part, f = part[order], f[order]
+    first = np.ones(len(part), bool)
+    first[1:] = (part[1:] != part[:-1]) | pc.not_equal(phrase[1:], phrase[:-1]).to_numpy(zero_copy_only=False)
+    first = np.flatnonzero(first)
+    phrase, part, f = phrase.take(pa.array(first)), part[first], np.add.reduceat(f, first) if len(first) else f
+    own, starts = np.unique(part, return_index=True)
+    bounds = list(zip(starts.tolist(), [*starts[1:].tolist(), len(part)], strict=False)) if len(part) else []
+    phrases = [zlib.compress("\n".join(phrase[a:b].to_pylist()).encode()) for a, b in bounds]
+    counts = [zlib.compress(np.ascontiguousarray(f[a:b].astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes()) for a, b in bounds]
+    return pa.RecordBatch.from_arrays([pa.array(own), pa.array([lang] * len(own), pa.string()), pa.array(phrases, pa.binary()), pa.array(counts, pa.binary())], names=["part", "lang", "phrases", "counts"])
+
+
+def _sums(least: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows sorted by part and lang: the phrases whose counts together reach the threshold."""
+
+        def rows():
+            for b in batches:
+                yield from zip(*(b.column(c).to_pylist() for c in ("part", "lang", "phrases", "counts")), strict=True)
+
+        for (_, lang), own in groupby(rows(), key=lambda r: r[:2]):
+            phrases, counts = [], []
+            for *_, p, n in own:
+                phrases.append(pc.list_flatten(pc.split_pattern(pa.array([zlib.decompress(p).decode()], pa.large_string()), "\n")).cast(pa.string()))
+                counts.append(np.ascontiguousarray(np.frombuffer(zlib.decompress(n), np.uint8).reshape(8, -1).T).view("<i8").ravel())
+            table = pa.table({"phrase": pa.chunked_array(phrases), "f": np.concatenate(counts)}).group_by("phrase", use_threads=False).aggregate([("f", "sum")])
+            table = table.filter(pc.greater_equal(table["f_sum"], least))
+            for b in table.to_batches(max_chunksize=100_000):
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(b), pa.string()), b.column("phrase"), b.column("f_sum")], names=["lang", "phrase", "f"])
 
     return run
 
@@ -239,12 +308,13 @@ def guarded_lines(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
 
 
 def candidate_phrases(lines: DataFrame, n_words: int, least: int = LEAST, per_part: int = PART) -> DataFrame:
-    """lang, phrase, f: the phrases of two or three words whose bounds reach the threshold, and their occurrences within pieces,
-    overlapping ones included; no phrase that occurs as often is missing.
+    """lang, phrase, f: the words and the phrases of two or three words with at least `least` occurrences within pieces,
+    overlapping ones included. Those whose bounds reach it are counted, so none is missing.
 
     Two languages or phrases may share a cell, which only raises a bound. A slice of the sketch is summed in one task; its
     size is fixed and their number grows with the corpus. Candidates are counted chunk by chunk of the lines, by automata of
-    at most per_part of the phrases that the chunk has.
+    at most per_part of the phrases that the chunk has; what a task counts is summed there and shuffled by parts, whose number
+    grows with the corpus.
     """
     spark = lines.sparkSession
     bits = min(max(n_words.bit_length(), CELL_BITS[0]), CELL_BITS[1])
@@ -254,16 +324,17 @@ def candidate_phrases(lines: DataFrame, n_words: int, least: int = LEAST, per_pa
     for row in slices.mapInPandas(_merge(min(least, 255)), "slice long, bits binary").toLocalIterator():  # 2^bits bits in all
         bitmap[row["slice"] * width : (row["slice"] + 1) * width] = row["bits"]
     sent = spark.sparkContext.broadcast(bytes(bitmap))
-    counted = lines.mapInArrow(_count(sent, bits, per_part), "lang string, phrase string, f long")
-    return counted.groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
+    parts = max(LEAST_PARTS, n_words // WORDS_OF_PART)
+    counted = lines.mapInArrow(_count(sent, bits, per_part, parts), "part long, lang string, phrases binary, counts binary")
+    return counted.repartition("part").sortWithinPartitions("part", "lang").mapInArrow(_sums(least), "lang string, phrase string, f long")
 
 
-def _scored(counted: DataFrame, words: DataFrame) -> DataFrame:
-    """lang, phrase, a, l, r, score by the lowest-scoring cut; counted and words hold all parts of the phrases."""
+def _scored(counted: DataFrame, words: DataFrame, kept: DataFrame | None = None) -> DataFrame:
+    """lang, phrase, a, l, r, score of kept (all counted ones) by the lowest-scoring cut; counted and words hold all parts of the phrases."""
     number = lambda c: F.col(c).cast("decimal(38,0)")
     split = F.split("phrase", " ")
     cuts = F.transform(F.sequence(F.lit(1), F.size(split) - 1), lambda k: F.struct(k.alias("k"), F.array_join(F.slice(split, F.lit(1), k), " ").alias("first"), F.array_join(F.slice(split, k + 1, F.size(split) - k), " ").alias("rest")))
-    cuts = counted.select("lang", "phrase", F.col("f").alias("a"), F.explode(cuts).alias("c")).select("lang", "phrase", "a", "c.*")
+    cuts = (counted if kept is None else kept).select("lang", "phrase", F.col("f").alias("a"), F.explode(cuts).alias("c")).select("lang", "phrase", "a", "c.*")
     f = words.select("lang", F.col("word").alias("part"), F.col("n").alias("f")).unionByName(counted.select("lang", F.col("phrase").alias("part"), "f"))
     left, right = f.select("lang", F.col("part").alias("first"), F.col("f").alias("l")), f.select("lang", F.col("part").alias("rest"), F.col("f").alias("r"))
     both = cuts.join(left, ["lang", "first"]).join(right, ["lang", "rest"]).withColumns({"square": number("a") * number("a") * 1_000_000, "product": number("l") * number("r")})
@@ -285,16 +356,17 @@ def mine_collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "
     """
     spark = docs.sparkSession
     lines = cut(guarded_lines(docs, text_col, lang_col), "lines")
-    words = cut(lines.mapInArrow(_count_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
-    total = words.agg(F.sum("n")).first()[0] or 0
-    counted = candidate_phrases(lines, total, least, per_part)
-    counted = cut(counted.filter(F.col("f") >= least), "frequent")
+    sizes = cut(lines.mapInArrow(_count_words, "lang string, n long").groupBy("lang").agg(F.sum("n").alias("n")), "sizes")
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    frequent = cut(candidate_phrases(lines, total, least, per_part), "frequent")
     forget(spark, lines)
+    words = frequent.filter(F.instr("phrase", " ") == 0).select("lang", F.col("phrase").alias("word"), F.col("f").alias("n"))
+    counted = frequent.filter(F.instr("phrase", " ") > 0)
     longer = counted.filter(F.size(F.split("phrase", " ")) == 3)
     parts = F.explode(F.array(F.expr("substring_index(phrase, ' ', 2)"), F.expr("substring_index(phrase, ' ', -2)"))).alias("phrase")
     holds = longer.select("lang", parts, "f").groupBy("lang", "phrase").agg(F.max("f").alias("longer"))
-    scored = _scored(counted, words.filter(F.col("n") >= least)).join(holds, ["lang", "phrase"], "left").filter(F.coalesce(100 * F.col("longer") < inside * F.col("a"), F.lit(True)))
+    kept = counted.join(holds, ["lang", "phrase"], "left").filter(F.coalesce(100 * F.col("longer") < inside * F.col("f"), F.lit(True)))
+    scored = _scored(counted, words, kept)
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
     best = scored.withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= most)
-    sizes = words.groupBy("lang").agg(F.sum("n").alias("n"))
     return best.join(sizes, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")

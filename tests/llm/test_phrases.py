@@ -6,6 +6,8 @@ import zlib
 from collections import Counter
 from fractions import Fraction
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from test_operators import rows_of
 
@@ -198,6 +200,16 @@ def test_sketch_bounds_hold_for_any_size(spark):
         assert {p for p, a in true.items() if a >= 10} <= got
 
 
+def test_counts_of_a_tasks_chunks_are_summed_before_they_are_shuffled():
+    one = (np.array([1, 0, 1]), pa.array(["é b", "a", "c d e"]), np.array([2, 3, 2**40]))
+    two = (np.array([1, 0]), pa.array(["é b", "z"]), np.array([9, 1]))
+    packed = collocations._by_part("en", [one, two])
+    assert packed.column("part").to_pylist() == [0, 1]
+    found = [tuple(r.values()) for b in collocations._sums(2)(iter([packed, collocations._by_part("fr", [two])])) for r in b.to_pylist()]
+    assert sorted(found) == [("en", "a", 3), ("en", "c d e", 2**40), ("en", "é b", 11), ("fr", "é b", 9)]
+    assert collocations._by_part("en", [(np.zeros(0, np.int64), pa.array([], pa.string()), np.zeros(0, np.int64))]).num_rows == 0
+
+
 def test_products_beyond_64_bits(spark):
     counted = spark.createDataFrame([("en", "a b", 9 * 10**12)], "lang string, phrase string, f long")
     words = spark.createDataFrame([("en", "a", 10**13), ("en", "b", 9 * 10**12 + 7)], "lang string, word string, n long")
