@@ -24,7 +24,7 @@ from pyspark.sql.types import StructField, StructType
 from .common import cut
 
 #: Entries that each of a tokenising worker's memories holds, in each of two generations.
-REMEMBER = 250_000
+REMEMBER = 500_000
 _CHUNK = re.compile(r"[^\x09-\x0D\x20]+")
 _PLAIN = re.compile(r"[\x09-\x0D\x20-\x7E\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]*")
 _PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00DF-\u00F6\u00F8-\u00FF]+|[0-9]|[^\\sa-z0-9\u00DF-\u00F6\u00F8-\u00FF]+")
@@ -49,8 +49,10 @@ class Memory:
 
     def all(self, keys: list[str]) -> list[bytes]:
         found = list(map(self.young.get, keys))
-        if None in found:
-            found = [self.get(k) if v is None else v for k, v in zip(keys, found, strict=True)]
+        at = -1
+        for _ in range(found.count(None)):
+            at = found.index(None, at + 1)
+            found[at] = self.get(keys[at])
         return found
 
 
@@ -58,7 +60,7 @@ class WordIds:
     """Token ids of texts, with chunks between white space and pieces of words remembered.
 
     The tokenizer drops white space and never merges over it or over the borders of its word pieces, so a text's ids are
-    those of its pieces in order. Chunks of printable ASCII and Latin-1 letters are cut here, by the tokenizer's own
+    those of its pieces in order. Texts and chunks of printable ASCII and Latin-1 letters are cut here, by the tokenizer's own
     pattern, and their pieces go to the model; any other chunk goes through the whole tokenizer.
     """
 
@@ -84,8 +86,9 @@ class WordIds:
         return array("I", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
 
     def ids(self, text: str) -> np.ndarray:
-        chunks = text.split() if _PLAIN.fullmatch(text) else _CHUNK.findall(text)
-        return np.frombuffer(b"".join(self.chunks.all(chunks)), "<u4")
+        if _PLAIN.fullmatch(text) and "<|" not in text:
+            return np.frombuffer(b"".join(self.pieces.all(_PIECE.findall(text.lower()))), "<u4")
+        return np.frombuffer(b"".join(self.chunks.all(_CHUNK.findall(text))), "<u4")
 
 
 _tokenizers: dict[str, WordIds] = {}

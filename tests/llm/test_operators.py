@@ -544,3 +544,14 @@ def test_line_dedup(spark, docs, empty):
     assert sorted((r["doc_id"], r["n_removed"] > 0) for r in twice.collect()) == [(3, False), (3, False), (4, False), (5, True)]
     carried = drop_repeated_lines(docs, carry=("key", "body", "n_chars")).first()
     assert carried["carried"]["key"] == "k"
+
+
+def test_pieces_of_plain_texts_are_remembered_whatever_marks_their_words_have(monkeypatch):
+    words, asked = packing.WordIds(word_tokenizer()), []
+    plain = words._piece
+    monkeypatch.setattr(words.pieces, "of", lambda p: asked.append(p) or plain(p))
+    chunks, whole = [], words.chunks.of
+    monkeypatch.setattr(words.chunks, "of", lambda c: chunks.append(c) or whole(c))
+    for text in ("Thentien, (thentien) 'THENTIEN'.\tÀé's\x0b12", "", " \n", "a <|x|> b", "x\x1cy thentien", "中 é"):
+        assert words.ids(text).tolist() == words.tokenizer.encode(text, add_special_tokens=False).ids, text
+    assert asked.count("thentien") == 1 and not any("thentien" in c.lower() and "," in c for c in chunks)
