@@ -1,5 +1,8 @@
 import random
+import time
 from collections import Counter
+from pathlib import Path
+from urllib.parse import urlparse
 
 import pytest
 from pyspark.sql import functions as F
@@ -317,3 +320,20 @@ def test_shallow_traces_take_few_rounds(spark, monkeypatch):
     told = {r["span_id"]: (r["place"], r["depth"], r["children"], r["offset_ns"]) for r in found.collect()}
     assert (told["r"], told["s7"], told["leaf"], told["s8"]) == ((0, 0, 399, 0), (7, 1, 1, 7), (8, 2, 0, 7), (9, 1, 0, 8))
     assert len(told) == 401 and len(written) < 10
+
+
+def test_large_traces_let_go_of_what_their_steps_shuffled_and_wrote(spark, monkeypatch):
+    disk, written, whole = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager(), [], traces._written
+    shuffled = lambda: {b for b in disk.getAllBlocks().mkString(" ").split() if b.startswith("shuffle_") and b.endswith(".data")}
+    monkeypatch.setattr(traces, "_written", lambda df: written.append(whole(df)) or written[-1])
+    rows = [("t", k, f"s{k}", f"s{k // 3}" if k else None, -k) for k in range(300)] + [("c", k, s, up, at) for k, (s, up, at) in enumerate([("x", "y", 5), ("y", "x", 6), ("z", "x", 3), ("v", "x", 8), ("w", "x", 7), ("u", "z", 9), ("x", "u", 9)])]
+    spans = spark.createDataFrame(rows, "trace_id string, row_id long, span_id string, parent_span_id string, started_at long").repartition(3)
+    cleanup = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, setting = shuffled(), spark.conf.get(cleanup, "false")
+    found = traces.large_trace_trees(spans)
+    until = time.time() + 20
+    while shuffled() - before and time.time() < until:  # removed in the background
+        time.sleep(0.1)
+    assert not shuffled() - before and spark.conf.get(cleanup, "false") == setting
+    assert {f for table in written for f in table.inputFiles() if Path(urlparse(f).path).exists()} == set(found.inputFiles())
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, span_ops.trace_trees(spans).collect()))
