@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,7 +29,7 @@ def _gone(*tables: DataFrame) -> None:
     """Removes tables of `_written` that nothing reads any more."""
     for table in tables:
         for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
-            stored.remove(table.sparkSession, folder)
+            stored.remove(table.sparkSession, unquote(folder))
 
 
 def _named(spans: DataFrame) -> DataFrame:
